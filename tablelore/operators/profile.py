@@ -77,15 +77,17 @@ def column_stats(df: DataFrame, ref: str, options: ProfileOptions = ProfileOptio
 
 def _slice_stats(df: DataFrame, ref: str, part: list[tuple[int, T.StructField]],
                  options: ProfileOptions) -> DataFrame:
-    distinct = F.count_distinct if options.exact else F.approx_count_distinct
     aggregates, measured = [F.count(F.lit(1)).alias("total")], []
     for i, field in part:
         kind = type_class_of(field.dataType)
         source = _named(field.name)
         taken = {"present": F.lit(None), "distinct": F.lit(None), "low": F.lit(None), "high": F.lit(None)}
         if kind not in STRUCTURE_ONLY_CLASSES:
-            aggregates += [F.count(source).alias(f"n_{i}"), distinct(source).alias(f"d_{i}")]
-            taken |= {"present": F.col(f"n_{i}"), "distinct": F.col(f"d_{i}")}
+            aggregates.append(F.count(source).alias(f"n_{i}"))
+            taken["present"] = F.col(f"n_{i}")
+            if not options.exact:
+                aggregates.append(F.approx_count_distinct(source).alias(f"d_{i}"))
+                taken["distinct"] = F.col(f"d_{i}")
         if kind in RANGED_CLASSES:
             aggregates += [F.min(source).alias(f"lo_{i}"), F.max(source).alias(f"hi_{i}")]
             taken |= {"low": value_text(F.col(f"lo_{i}"), field.dataType),
@@ -94,19 +96,45 @@ def _slice_stats(df: DataFrame, ref: str, part: list[tuple[int, T.StructField]],
     declared = df.sparkSession.createDataFrame(
         [(ref, f.name, i, f.dataType.simpleString(), type_class_of(f.dataType), f.nullable, _comment(f))
          for i, f in part], T.StructType(COLUMN_STATS.fields[:7]))
-    rows = df.agg(*aggregates).select("total", F.inline(F.array(*measured)))
-    present, found = F.col("present"), F.col("distinct")
+    rows = df.agg(*aggregates).select("total", F.inline(F.array(*measured))).join(declared, "ordinal")
+    if options.exact:
+        rows = rows.drop("distinct").join(_exact_distinct(df, part), "ordinal", "left")
+    present = F.col("present")
     described = ~F.col("type_class").isin(*STRUCTURE_ONLY_CLASSES)
-    return rows.join(declared, "ordinal").select(
+    found = F.when(described, F.coalesce(F.col("distinct").cast("long"), F.lit(0)))
+    return rows.select(
         *[f.name for f in COLUMN_STATS.fields[:7]],
         F.when(F.col("total") > 0, F.round(1 - present / F.col("total"), 6)).alias("null_fraction"),
-        found.cast("long").alias("distinct_count"),
+        found.alias("distinct_count"),
         F.when(described, F.lit(not options.exact)).alias("distinct_is_approx"),
         F.when(present > 0, F.round(found / present, 6)).alias("cardinality_ratio"),
         F.col("low").cast("string").alias("min"), F.col("high").cast("string").alias("max"),
         ((found > 0) & (found <= options.max_cardinality)).alias("is_enum_candidate"))
 
 
+def _exact_distinct(df: DataFrame, part: list[tuple[int, T.StructField]]) -> DataFrame:
+    """Exact distinct counts per column.
+
+    Each row becomes one narrow row per column, with one value field per type instead of one per
+    column, so the rows to shuffle do not get wider with the table. Values repeated within a task
+    are merged before the shuffle, whatever their share.
+    """
+    plain = [(i, f) for i, f in part if type_class_of(f.dataType) not in STRUCTURE_ONLY_CLASSES]
+    types = list(dict.fromkeys(f.dataType.simpleString() for _, f in plain))
+    if not plain:
+        return df.sparkSession.createDataFrame([], "ordinal int, distinct long")
+
+    def cell(i: int, field: T.StructField) -> Column:
+        own = field.dataType.simpleString()
+        values = [_named(field.name) if t == own else F.lit(None).cast(t) for t in types]
+        return F.struct(F.lit(i).alias("ordinal"), *[v.alias(f"v{n}") for n, v in enumerate(values)])
+
+    fields = [f"v{n}" for n in range(len(types))]
+    cells = df.select(F.inline(F.array(*[cell(i, f) for i, f in plain])))
+    present = cells.filter(" OR ".join(f"{f} IS NOT NULL" for f in fields))
+    return present.select("ordinal", *fields).distinct().groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct"))
+
+
 def top_values(df: DataFrame, ref: str, names: Sequence[str], k: int = 20) -> DataFrame:
     """The ``k`` most common values of the named columns, ties by value.
 
