@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import profiles  # noqa: F401
+from . import contexts, profiles  # noqa: F401
 from .tables import QUERIES
 
 __all__ = ["QUERIES"]
