@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import contexts, profiles  # noqa: F401
+from . import contexts, drafting, profiles, reviewing  # noqa: F401
 from .tables import QUERIES
 
 __all__ = ["QUERIES"]
