@@ -86,7 +86,7 @@ UNION ALL
 SELECT target_table_full_name, concat('Column `', target_column_name, '` derives from `', source_table_full_name, '`.`',
   source_column_name, '` (column lineage → FK/derivation hint).'), 'uc_lineage', target_column_name, 0.8, 2 FROM column_edges
 WHERE source_column_name IS NOT NULL AND target_table_full_name IN (SELECT table_ref FROM edge_targets)""",
-       ["edges", "column_edges", "edge_targets"])
+       ["edges", "column_edges", "edge_targets"], relevance="double")
 def lineage_snippets(t: Tables) -> DataFrame:
     return informs_text(lineage.lineage_snippets(t["edges"], t["column_edges"], t["edge_targets"]))
 
@@ -102,7 +102,7 @@ def statement_mentions(t: Tables) -> DataFrame:
     return history.mentions(t["query_log"], t["log_targets"]).select("table_ref", "statement_id")
 
 
-@query("recent_statements", f"WITH {MENTIONED} SELECT table_ref, statement_id, rank, statement_text FROM recent WHERE rank <= 200", LOG)
+@query("recent_statements", f"WITH {MENTIONED} SELECT table_ref, statement_id, rank, statement_text FROM recent WHERE rank <= 200", LOG, rank="int")
 def recent_statements(t: Tables) -> DataFrame:
     return history.recent_mentions(t["query_log"], t["log_targets"]).drop("start_time")
 
@@ -121,12 +121,12 @@ GROUP_SQL = counted_sql(r"(?i)\bGROUP\s+BY\b\s+([\w.`,\s]+?)(?:\bORDER\b|\bLIMIT
 PLACED = " SELECT table_ref, item, uses, place FROM placed WHERE place <= 5"
 
 
-@query("join_conditions", JOIN_SQL + PLACED, LOG)
+@query("join_conditions", JOIN_SQL + PLACED, LOG, place="int")
 def join_conditions(t: Tables) -> DataFrame:
     return history.join_conditions(history.recent_mentions(t["query_log"], t["log_targets"]))
 
 
-@query("grain_hints", GROUP_SQL + PLACED, LOG)
+@query("grain_hints", GROUP_SQL + PLACED, LOG, place="int")
 def grain_hints(t: Tables) -> DataFrame:
     return history.grain_hints(history.recent_mentions(t["query_log"], t["log_targets"]))
 
@@ -139,7 +139,7 @@ grain AS ({GROUP_SQL[GROUP_SQL.index('found AS'):].replace('found AS', 'WITH fou
   SELECT table_ref, string_agg(item, '; ' ORDER BY place) AS listed FROM placed WHERE place <= 5 GROUP BY table_ref)
 SELECT table_ref, concat('Observed in ', n, ' recent queries referencing this table.') AS text, 0.5 AS relevance, 0 AS seq FROM counts
 UNION ALL SELECT table_ref, concat('Common join conditions (query history): ', listed, '.'), 0.75, 1 FROM joins
-UNION ALL SELECT table_ref, concat('Common GROUP BY (grain hint): ', listed, '.'), 0.65, 2 FROM grain""", LOG)
+UNION ALL SELECT table_ref, concat('Common GROUP BY (grain hint): ', listed, '.'), 0.65, 2 FROM grain""", LOG, relevance="double")
 def usage_snippets(t: Tables) -> DataFrame:
     return history.usage_snippets(t["query_log"], t["log_targets"]).select("table_ref", "text", "relevance", "seq")
 
@@ -155,7 +155,7 @@ LOOKUP = """best AS (SELECT *, row_number() OVER (PARTITION BY match_key ORDER B
 
 
 @query("library_reuse", "WITH " + LOOKUP.format(scope="column", keys="SELECT concat(p_brand, '.', p_type) FROM part")
-       + " SELECT match_key, canonical_comment, usage_count, rank FROM best WHERE rank <= 3", ["library"])
+       + " SELECT match_key, canonical_comment, usage_count, rank FROM best WHERE rank <= 3", ["library"], rank="int")
 def library_reuse(t: Tables) -> DataFrame:
     keys = t["part"].select(F.concat("p_brand", F.lit("."), "p_type").alias("match_key"))
     return library.reusable(lists(t["library"]), "column", keys).drop("tags")
@@ -172,7 +172,7 @@ WITH asked AS (SELECT DISTINCT concat(p_brand, '.', p_type) AS table_ref, concat
        + " SELECT match_key AS table_ref, " + PHRASE.format(subject="'this table'") + """ AS text, '' AS informs, 0.82 AS relevance
   FROM best WHERE rank <= 3 AND trim(canonical_comment) <> ''
 UNION ALL SELECT a.table_ref, """ + PHRASE.format(subject="concat('a column named `', match_key, '`')") + """, match_key, 0.85
-  FROM best_columns JOIN asked a ON a.name = match_key WHERE rank <= 3 AND trim(canonical_comment) <> ''""", ["library"])
+  FROM best_columns JOIN asked a ON a.name = match_key WHERE rank <= 3 AND trim(canonical_comment) <> ''""", ["library"], relevance="double")
 def library_snippets(t: Tables) -> DataFrame:
     own = F.concat("p_brand", F.lit("."), "p_type")
     asked = t["part"].select(own.alias("table_ref"), F.concat("p_brand", F.lit("."), "p_name").alias("name")).unionByName(
@@ -200,7 +200,7 @@ texts AS (
     generate_subscripts(CASE event_id % 8 WHEN 0 THEN [1, 2, 3] WHEN 4 THEN [1, 2] WHEN 7 THEN [] ELSE [1] END, 1) AS item FROM events)"""
 
 
-@query("tool_result_texts", f"WITH {TEXTS} SELECT event_id, item, text FROM texts")
+@query("tool_result_texts", f"WITH {TEXTS} SELECT event_id, item, text FROM texts", item="int")
 def tool_result_texts(t: Tables) -> DataFrame:
     return payloads(t).select("event_id", F.posexplode(result_texts(F.col("payload"))).alias("at", "text")).select(
         "event_id", (F.col("at") + 1).alias("item"), "text")
@@ -208,7 +208,7 @@ def tool_result_texts(t: Tables) -> DataFrame:
 
 @query("provider_snippets", f"""
 WITH {TEXTS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id, item) AS seq FROM texts)
-SELECT concat('main.u.', user_id) AS table_ref, text, 0.6 AS relevance, seq FROM ranked WHERE seq <= 8""")
+SELECT concat('main.u.', user_id) AS table_ref, text, 0.6 AS relevance, seq FROM ranked WHERE seq <= 8""", relevance="double", seq="int")
 def provider_snippets(t: Tables) -> DataFrame:
     results = payloads(t).select(
         F.concat(F.lit("main.u."), "user_id").alias("table_ref"), F.lit("wiki").alias("provider"), F.col("event_id").alias("call"), "payload")
@@ -265,7 +265,7 @@ costed AS (SELECT *, greatest(1, round_even(length(text) / 4.0, 0)) AS cost FROM
   (SELECT * FROM observed UNION ALL SELECT * FROM results WHERE seq <= 8)),
 summed AS (SELECT *, sum(cost) OVER w AS used, row_number() OVER w AS place FROM costed
   WINDOW w AS (PARTITION BY table_ref ORDER BY relevance DESC, provider_seq, seq ROWS UNBOUNDED PRECEDING))
-SELECT table_ref, text, relevance FROM summed WHERE used <= 20 OR place = 1""", LOG)
+SELECT table_ref, text, relevance FROM summed WHERE used <= 20 OR place = 1""", LOG, relevance="double")
 def gathered_context(t: Tables) -> DataFrame:
     def counted(targets: DataFrame) -> DataFrame:
         return history.usage_snippets(t["query_log"], targets).filter("seq = 0")

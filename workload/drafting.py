@@ -35,7 +35,7 @@ SELECT concat(table_ref, '|', batch) AS prompt_id, asked, CASE WHEN s_acctbal >
 ', s_name, '
 
 Draft comments for columns: ', names, '.') ELSE concat('Draft comments for columns: ', names, '.') END AS instruction
-FROM grouped JOIN supplier ON table_ref = concat('main.sales.s', s_suppkey)""")
+FROM grouped JOIN supplier ON table_ref = concat('main.sales.s', s_suppkey)""", asked="int")
 def column_prompts(t: Tables) -> DataFrame:
     columns = order_columns(t).withColumns({"data_type": F.lit("bigint"), "existing_comment": F.lit(None).cast("string")})
     comments = t["supplier"].select(F.concat(F.lit("main.sales.s"), "s_suppkey").alias("table_ref"),

@@ -137,13 +137,13 @@ def profile_wide_in_batches(t: Tables) -> DataFrame:
 
 
 @query("enum_values_lineitem", RANKED_VALUES.format(
-    counts=values_sql("lineitem", "samples.tpch.lineitem", columns_of("lineitem"))))
+    counts=values_sql("lineitem", "samples.tpch.lineitem", columns_of("lineitem"))), rank="int")
 def enum_values_lineitem(t: Tables) -> DataFrame:
     return listed_values(profile_table(t["lineitem"], "samples.tpch.lineitem", EXACT).columns)
 
 
 @query("enum_values_every_table", RANKED_VALUES.format(counts="\nUNION ALL\n".join(
-    values_sql(name, f"samples.shop.{name}", columns_of(name)) for name in COLUMNS)))
+    values_sql(name, f"samples.shop.{name}", columns_of(name)) for name in COLUMNS)), rank="int")
 def enum_values_every_table(t: Tables) -> DataFrame:
     loaders = {f"samples.shop.{name}": (lambda name=name: t[name]) for name in COLUMNS}
     return listed_values(profile_tables(t.spark, loaders, options=EXACT).columns)
@@ -208,7 +208,7 @@ top AS (SELECT name, max(count) AS tallest FROM bars GROUP BY name)
 SELECT s.name, cast(round(null_fraction * 100) AS int) AS null_percent,
   CASE WHEN cardinality_ratio < 0.1 THEN printf('%.1f', cardinality_ratio * 100) ELSE printf('%.0f', cardinality_ratio * 100) END || '% unique' AS unique_label,
   b.rank AS bar, b.value AS label, CASE WHEN b.rank IS NOT NULL THEN round(greatest(2.0, b.count / t.tallest * 100), 6) END AS width
-FROM stats s LEFT JOIN bars b ON s.name = b.name AND b.rank <= 6 LEFT JOIN top t ON t.name = s.name""")
+FROM stats s LEFT JOIN bars b ON s.name = b.name AND b.rank <= 6 LEFT JOIN top t ON t.name = s.name""", bar="int")
 def profile_display(t: Tables) -> DataFrame:
     columns = profile_table(t["lineitem"], "samples.tpch.lineitem", EXACT).columns
     bars = columns.select(
@@ -292,7 +292,7 @@ flags AS (SELECT name, CASE WHEN name = 'home_phone' THEN 'phone'
 SELECT name, classes, CASE WHEN classes = '' THEN 'none' ELSE 'masked' END AS action, rank,
   CASE WHEN classes = '' THEN value WHEN length(value) <= 2 THEN '••'
        ELSE concat(left(value, 2), repeat('•', greatest(2, length(value) - 2))) END AS value, count
-FROM ranked JOIN flags USING (name) WHERE rank <= 20""")
+FROM ranked JOIN flags USING (name) WHERE rank <= 20""", rank="int")
 def personal_values(t: Tables) -> DataFrame:
     view = t.spark.sql(CONTACTS, customer=t["customer"])
     columns = profile_table(view, "samples.crm.contacts", EXACT).columns

@@ -78,7 +78,7 @@ def review_errors(t: Tables) -> DataFrame:
 
 
 @query("folded_answers", """SELECT a.session_id, q.table_ref, concat('Operator answer about ', coalesce(target_name, 'the table'), ': ', a.answer) AS text,
-  coalesce(target_name, '') AS informs, 1.0 AS relevance FROM answers a JOIN questions q ON a.session_id = q.session_id AND a.qid = q.qid""", ["questions", "answers"])
+  coalesce(target_name, '') AS informs, 1.0 AS relevance FROM answers a JOIN questions q ON a.session_id = q.session_id AND a.qid = q.qid""", ["questions", "answers"], relevance="double")
 def folded_answers(t: Tables) -> DataFrame:
     snippets, _ = review.fold_answers(t["questions"], t["answers"])
     return snippets.select("session_id", "table_ref", "text", F.array_join("informs", ",").alias("informs"), "relevance")

@@ -305,8 +305,15 @@ class Query:
 QUERIES: dict[str, Query] = {}
 
 
-def query(name: str, sql: str | None = None, inputs: Iterable[str] = ()):
-    """Registers a function of the tables under a name, with its SQL."""
+def query(name: str, sql: str | None = None, inputs: Iterable[str] = (), **types: str):
+    """Registers a function of the tables under a name, with its SQL.
+
+    ``types`` names result columns whose SQL type has to be stated to be that of the Spark column.
+    """
+    if sql and types:
+        casts = ", ".join(f"cast({c} AS {kind}) AS {c}" for c, kind in types.items())
+        sql = f"SELECT * REPLACE ({casts}) FROM (\n{sql}\n)"
+
     def add(run: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
