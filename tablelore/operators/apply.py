@@ -26,7 +26,10 @@ def live_comments(spark: SparkSession, refs: list[str]) -> DataFrame:
             F.concat_ws(".", "table_catalog", "table_schema", "table_name").alias("table_ref"),
             F.lit(TABLE_TARGET).alias("target"), F.col("comment").alias("live"))
         tables = rows if tables is None else tables.unionByName(rows)
-    return columns if tables is None else columns.unionByName(tables)
+    if tables is None:
+        return columns
+    named = spark.createDataFrame([(ref,) for ref in refs], "table_ref string")
+    return columns.unionByName(tables.join(named, "table_ref", "left_semi"))
 
 
 def eligible(drafts: DataFrame, targets: DataFrame | None = None) -> DataFrame:

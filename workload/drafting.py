@@ -78,14 +78,17 @@ def prompt_steps(t: Tables) -> DataFrame:
     return fitted.select("doc_id", "tokens", "within_budget", F.array_join("actions", ",").alias("actions"))
 
 
-def name_columns(messages: list[dict[str, str]]) -> str:
+def naming_model():
     """A deterministic stand-in for a model: restates the columns it is asked about."""
-    asked = messages[-1]["content"].rsplit("columns: ", 1)[1].rstrip(".").split(", ")
-    if asked[0].endswith("7"):
-        raise RuntimeError("model busy")
-    return "```json\n" + json.dumps({"columns": [
-        {"name": n, "proposed_comment": f"Holds {n}", "rationale": "named so", "tags": ["Key", "key "], "self_confidence": 0.5}
-        for n in asked if not n.endswith("5")]}) + "\n```"
+    def reply(messages: list[dict[str, str]]) -> str:
+        asked = messages[-1]["content"].rsplit("columns: ", 1)[1].rstrip(".").split(", ")
+        if asked[0].endswith("7"):
+            raise RuntimeError("model busy")
+        return "```json\n" + json.dumps({"columns": [
+            {"name": n, "proposed_comment": f"Holds {n}", "rationale": "named so", "tags": ["Key", "key "], "self_confidence": 0.5}
+            for n in asked if not n.endswith("5")]}) + "\n```"
+
+    return reply  # a closure travels to the workers whole, wherever this package is installed
 
 
 @query("model_drafts", """
@@ -104,7 +107,7 @@ def model_drafts(t: Tables) -> DataFrame:
     asked = prompts.column_prompts(columns, contexts, empty, empty.withColumnRenamed("schema_meta", "comment"))
     fitted = prompts.fit_prompts(asked, None).withColumn("messages", prompts.messages())
     replies = inference.infer(
-        fitted.select("prompt_id", F.col("table_ref").alias("session_id"), "table_ref", "asked", "actions", "messages"), name_columns)
+        fitted.select("prompt_id", F.col("table_ref").alias("session_id"), "table_ref", "asked", "actions", "messages"), naming_model())
     return inference.column_drafts(replies).select(
         "table_ref", "target", "status", "rationale", "proposed_comment", F.array_join("tags", ",").alias("tags"))
 
