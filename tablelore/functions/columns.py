@@ -40,14 +40,25 @@ def type_class_of(data_type: T.DataType) -> str:
     return "string"
 
 
-def value_text(value: Column, data_type: T.DataType) -> Column:
-    """Text of one value: ISO form for dates and timestamps (fraction only where there is one)."""
+def quoted(name: str) -> str:
+    """A column name as SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(text: str) -> str:
+    """A string as SQL text."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def value_text(source: str, data_type: T.DataType) -> str:
+    """SQL for the text of a value: ISO form for dates and timestamps, a fraction only where there is one."""
     if isinstance(data_type, T.DateType):
-        return F.date_format(value, "yyyy-MM-dd")
+        return f"date_format({source}, 'yyyy-MM-dd')"
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
-        full = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-        return F.regexp_replace(full, r"\.000000$", "")
-    return value.cast("string")
+        full = f"concat(date_format({source}, 'yyyy-MM-dd'), 'T', date_format({source}, 'HH:mm:ss.SSSSSS'))"
+        return f"regexp_replace({full}, '[.]000000$', '')"
+    return f"cast({source} AS string)"
 
 
 def confidence_band(score: Column) -> Column:

@@ -9,13 +9,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F, types as T
 
-from ..functions.columns import RANGED_CLASSES, STRUCTURE_ONLY_CLASSES, type_class_of, value_text
+from ..functions.columns import (
+    RANGED_CLASSES, STRUCTURE_ONLY_CLASSES, literal, quoted, type_class_of, value_text,
+)
 from ..functions.privacy import (
     classes_by_name, classes_by_values, mask, mask_top_values, whole_value_hits,
 )
 from ..schemas import (
     COLUMN_PROFILE, COLUMN_STATS, PROFILE_ERROR, PROFILE_VERSION, TABLE_PROFILE, TOP_VALUES,
 )
+from ..session import small_table
 from ..sources.sampling import Sample, fixed_sample
 
 # Warning texts carried on a table profile.
@@ -47,10 +50,6 @@ class Profile:
     columns: DataFrame
 
 
-def _named(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def _wanted(df: DataFrame, columns: Sequence[str] | None) -> list[tuple[int, T.StructField]]:
     numbered = list(enumerate(df.schema.fields, start=1))
     return [(i, f) for i, f in numbered if columns is None or f.name in set(columns)]
@@ -77,26 +76,29 @@ def column_stats(df: DataFrame, ref: str, options: ProfileOptions = ProfileOptio
 
 def _slice_stats(df: DataFrame, ref: str, part: list[tuple[int, T.StructField]],
                  options: ProfileOptions) -> DataFrame:
-    aggregates, measured = [F.count(F.lit(1)).alias("total")], []
+    aggregates, measured = ["count(1) AS total"], []
     for i, field in part:
         kind = type_class_of(field.dataType)
-        source = _named(field.name)
-        taken = {"present": F.lit(None), "distinct": F.lit(None), "low": F.lit(None), "high": F.lit(None)}
+        source = quoted(field.name)
+        present, distinct, low, high = "cast(NULL AS bigint)", "cast(NULL AS bigint)", "cast(NULL AS string)", "cast(NULL AS string)"
         if kind not in STRUCTURE_ONLY_CLASSES:
-            aggregates.append(F.count(source).alias(f"n_{i}"))
-            taken["present"] = F.col(f"n_{i}")
+            aggregates.append(f"count({source}) AS n_{i}")
+            present = f"n_{i}"
             if not options.exact:
-                aggregates.append(F.approx_count_distinct(source).alias(f"d_{i}"))
-                taken["distinct"] = F.col(f"d_{i}")
+                aggregates.append(f"approx_count_distinct({source}) AS d_{i}")
+                distinct = f"d_{i}"
         if kind in RANGED_CLASSES:
-            aggregates += [F.min(source).alias(f"lo_{i}"), F.max(source).alias(f"hi_{i}")]
-            taken |= {"low": value_text(F.col(f"lo_{i}"), field.dataType),
-                      "high": value_text(F.col(f"hi_{i}"), field.dataType)}
-        measured.append(F.struct(F.lit(i).alias("ordinal"), *[v.alias(k) for k, v in taken.items()]))
-    declared = df.sparkSession.createDataFrame(
-        [(ref, f.name, i, f.dataType.simpleString(), type_class_of(f.dataType), f.nullable, _comment(f))
-         for i, f in part], T.StructType(COLUMN_STATS.fields[:7]))
-    rows = df.agg(*aggregates).select("total", F.inline(F.array(*measured))).join(declared, "ordinal")
+            aggregates += [f"min({source}) AS lo_{i}", f"max({source}) AS hi_{i}"]
+            low, high = value_text(f"lo_{i}", field.dataType), value_text(f"hi_{i}", field.dataType)
+        comment = _comment(field)
+        declared = {
+            "table_ref": literal(ref), "name": literal(field.name), "ordinal": str(i),
+            "data_type": literal(field.dataType.simpleString()), "type_class": literal(kind),
+            "nullable": str(field.nullable).lower(),
+            "existing_comment": "cast(NULL AS string)" if comment is None else literal(comment),
+            "present": present, "distinct": distinct, "low": low, "high": high}
+        measured.append("struct(" + ", ".join(f"{v} AS {k}" for k, v in declared.items()) + ")")
+    rows = df.selectExpr(*aggregates).selectExpr("total", f"inline(array({', '.join(measured)}))")
     if options.exact:
         rows = rows.drop("distinct").join(_exact_distinct(df, part), "ordinal", "left")
     present = F.col("present")
@@ -108,7 +110,7 @@ def _slice_stats(df: DataFrame, ref: str, part: list[tuple[int, T.StructField]],
         found.alias("distinct_count"),
         F.when(described, F.lit(not options.exact)).alias("distinct_is_approx"),
         F.when(present > 0, F.round(found / present, 6)).alias("cardinality_ratio"),
-        F.col("low").cast("string").alias("min"), F.col("high").cast("string").alias("max"),
+        F.col("low").alias("min"), F.col("high").alias("max"),
         ((found > 0) & (found <= options.max_cardinality)).alias("is_enum_candidate"))
 
 
@@ -124,13 +126,13 @@ def _exact_distinct(df: DataFrame, part: list[tuple[int, T.StructField]]) -> Dat
     if not plain:
         return df.sparkSession.createDataFrame([], "ordinal int, distinct long")
 
-    def cell(i: int, field: T.StructField) -> Column:
+    def cell(i: int, field: T.StructField) -> str:
         own = field.dataType.simpleString()
-        values = [_named(field.name) if t == own else F.lit(None).cast(t) for t in types]
-        return F.struct(F.lit(i).alias("ordinal"), *[v.alias(f"v{n}") for n, v in enumerate(values)])
+        values = [quoted(field.name) if t == own else f"cast(NULL AS {t})" for t in types]
+        return f"struct({i} AS ordinal, " + ", ".join(f"{v} AS v{n}" for n, v in enumerate(values)) + ")"
 
     fields = [f"v{n}" for n in range(len(types))]
-    cells = df.select(F.inline(F.array(*[cell(i, f) for i, f in plain])))
+    cells = df.selectExpr(f"inline(array({', '.join(cell(i, f) for i, f in plain)}))")
     present = cells.filter(" OR ".join(f"{f} IS NOT NULL" for f in fields))
     return present.select("ordinal", *fields).distinct().groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct"))
 
@@ -143,10 +145,10 @@ def top_values(df: DataFrame, ref: str, names: Sequence[str], k: int = 20) -> Da
     has at most a few dozen rows per column.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    pairs = F.array(*[
-        F.struct(F.lit(n).alias("name"), value_text(_named(n), types[n]).alias("value")) for n in names])
+    pairs = ", ".join(
+        f"struct({literal(n)} AS name, {value_text(quoted(n), types[n])} AS value)" for n in names)
     counts = (
-        df.select(F.inline(pairs)).filter(F.col("value").isNotNull())
+        df.selectExpr(f"inline(array({pairs}))").filter("value IS NOT NULL")
         .groupBy("name", "value").agg(F.count(F.lit(1)).alias("count"))
     )
     order = Window.partitionBy("name").orderBy(F.col("count").desc(), "value")
@@ -214,7 +216,7 @@ def profile_table(df: DataFrame, ref: str, options: ProfileOptions = ProfileOpti
     spark = df.sparkSession
     rows = fixed_sample(df, sample)
     measured = column_stats(rows, ref, options, columns).collect()
-    stats = spark.createDataFrame(measured, COLUMN_STATS)
+    stats = small_table(spark, measured, COLUMN_STATS)
     enums = [r.name for r in measured if r.is_enum_candidate]
     if enums and options.top_k > 0:
         ranked = top_values(rows, ref, enums, options.top_k)
@@ -256,7 +258,7 @@ def profile_tables(spark: SparkSession, tables: Mapping[str, Callable[[], DataFr
     with ThreadPoolExecutor(max_workers=at_once) as pool:
         results = list(pool.map(one, tables.items()))
     made = [r for r in results if isinstance(r, Profile)]
-    errors = spark.createDataFrame([tuple(r) for r in results if isinstance(r, Row)], PROFILE_ERROR)
+    errors = small_table(spark, [tuple(r) for r in results if isinstance(r, Row)], PROFILE_ERROR)
     if out and made:
         return CatalogProfile(
             spark.read.schema(TABLE_PROFILE).parquet(f"{out}/tables").select(TABLE_PROFILE.names),
@@ -333,7 +335,7 @@ def scan_for_private_values(df: DataFrame, ref: str, columns: Sequence[str] | No
     fields = [(i, f) for i, f in _wanted(df, columns) if type_class_of(f.dataType) == "string"]
     aggregates, rows = [], []
     for i, field in fields:
-        hits = whole_value_hits(_named(field.name))
+        hits = whole_value_hits(F.col(quoted(field.name)))
         aggregates += [hit.alias(f"{name}_{i}") for name, hit in hits.items()]
         rows.append(F.struct(
             F.lit(ref).alias("table_ref"), F.lit(field.name).alias("name"),
