@@ -66,15 +66,15 @@ def confidence_band(score: Column) -> Column:
 
 
 def share_label(ratio: Column) -> Column:
-    """``12% unique`` style label; one decimal below a tenth."""
+    """``12% unique`` style label; one decimal below a tenth.
+
+    Rounded by the value a double really has, exact halves up.
+    """
     share = ratio * 100
-    return F.when(
-        ratio.isNotNull(),
-        F.concat(
-            F.when(ratio < 0.1, F.format_string("%.1f", share)).otherwise(F.format_string("%.0f", share)),
-            F.lit("% unique"),
-        ),
-    )
+    rest = share % 1
+    tenths = F.format_number(F.when(rest.isin(0.25, 0.75), share + 1e-9).otherwise(share), 1)
+    whole = F.format_number(F.when(rest == 0.5, share + 1e-9).otherwise(share), 0)
+    return F.when(ratio.isNotNull(), F.concat(F.when(ratio < 0.1, tenths).otherwise(whole), F.lit("% unique")))
 
 
 def null_percent(null_fraction: Column) -> Column:

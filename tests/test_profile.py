@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from tablelore.functions.columns import type_class, type_class_of
+from tablelore.functions.columns import share_label, type_class, type_class_of
 from tablelore.operators.profile import (
     WARN_EMPTY, WARN_SAMPLED, ProfileOptions, accept_versions, column_stats, merge_batches, profile_table,
     profile_tables, scan_for_private_values, table_block,
@@ -140,3 +140,9 @@ def test_scan_of_every_value(spark):
     rows = spark.range(500).select(F.concat(F.lit("user"), "id", F.lit("@x.org")).alias("contact"), F.lit("plain").alias("other"))
     hits = {r.name: r.email_values for r in scan_for_private_values(rows, "a.b.c").collect()}
     assert hits == {"contact": 500, "other": 0}
+
+
+@pytest.mark.parametrize("ratio, label", [
+    (0.0015, "0.1% unique"), (0.0025, "0.3% unique"), (0.0075, "0.8% unique"), (0.125, "13% unique"), (1.0, "100% unique"), (0.5, "50% unique")])
+def test_share_labels(spark, ratio, label):
+    assert spark.createDataFrame([(ratio,)], "r double").select(share_label(F.col("r")).alias("s")).first().s == label

@@ -206,7 +206,8 @@ bars AS (
   WHERE name IN (SELECT name FROM stats WHERE is_enum_candidate)),
 top AS (SELECT name, max(count) AS tallest FROM bars GROUP BY name)
 SELECT s.name, cast(round(null_fraction * 100) AS int) AS null_percent,
-  CASE WHEN cardinality_ratio < 0.1 THEN printf('%.1f', cardinality_ratio * 100) ELSE printf('%.0f', cardinality_ratio * 100) END || '% unique' AS unique_label,
+  CASE WHEN cardinality_ratio < 0.1 THEN printf('%.1f', cardinality_ratio * 100 + CASE WHEN cardinality_ratio * 100 % 1 IN (0.25, 0.75) THEN 1e-9 ELSE 0 END)
+    ELSE printf('%.0f', cardinality_ratio * 100 + CASE WHEN cardinality_ratio * 100 % 1 = 0.5 THEN 1e-9 ELSE 0 END) END || '% unique' AS unique_label,
   b.rank AS bar, b.value AS label, CASE WHEN b.rank IS NOT NULL THEN round(greatest(2.0, b.count / t.tallest * 100), 6) END AS width
 FROM stats s LEFT JOIN bars b ON s.name = b.name AND b.rank <= 6 LEFT JOIN top t ON t.name = s.name""", bar="int")
 def profile_display(t: Tables) -> DataFrame:
