@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import ref_part, squeezed
 from .lineage import snippet_fields
@@ -60,37 +60,51 @@ def recent_mentions(log: DataFrame, targets: DataFrame, limit: int = RECENT_STAT
         "table_ref", "statement_id", "start_time", "rank", "statement_text")
 
 
-def pattern_counts(recent: DataFrame, pattern: str, listed: int = LISTED) -> DataFrame:
-    """The most frequent matches per table, ties by first appearance, newest statement first."""
-    found = recent.select(
-        "table_ref", "rank", F.posexplode(F.regexp_extract_all("statement_text", F.lit(pattern), 1)).alias("at", "raw"))
-    counted = found.withColumn("item", squeezed(F.col("raw"))).groupBy("table_ref", "item").agg(
+def _found(pattern: str) -> Column:
+    return F.regexp_extract_all("statement_text", F.lit(pattern), 1)
+
+
+def _counted(recent: DataFrame, kinds: dict[str, Column]) -> DataFrame:
+    """Items per table and kind with their uses and first appearance, newest statement first.
+
+    Every kind is read from a statement in the same pass.
+    """
+    def marked(kind: str, found: Column) -> Column:
+        return F.transform(found, lambda raw, at: F.struct(F.lit(kind).alias("kind"), at.alias("at"), raw.alias("raw")))
+
+    items = F.concat(*[marked(kind, found) for kind, found in kinds.items()])
+    rows = recent.select("table_ref", "rank", F.inline(items)).withColumn("item", squeezed(F.col("raw")))
+    return rows.groupBy("table_ref", "kind", "item").agg(
         F.count(F.lit(1)).alias("uses"), F.min(F.struct("rank", "at")).alias("first_seen"))
+
+
+def _most_used(counted: DataFrame, listed: int = LISTED) -> DataFrame:
     order = [F.col("uses").desc(), F.col("first_seen")]
-    return top_per_key(counted, ["table_ref"], order, listed, ["item"], rank="place").select(
-        "table_ref", "item", "uses", "place")
+    return top_per_key(counted, ["table_ref", "kind"], order, listed, ["item"], rank="place").drop("first_seen")
 
 
 def join_conditions(recent: DataFrame) -> DataFrame:
-    return pattern_counts(recent, JOIN_PATTERN)
+    """The most frequent join conditions per table, ties by first appearance."""
+    return _most_used(_counted(recent, {"join": _found(JOIN_PATTERN)})).drop("kind")
 
 
 def grain_hints(recent: DataFrame) -> DataFrame:
-    return pattern_counts(recent, GROUP_PATTERN)
-
-
-def _phrase(items: DataFrame, title: str, relevance: float, seq: int) -> DataFrame:
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "item"))), lambda x: x["item"])
-    text = F.concat(F.lit(title + ": "), F.col("listed"), F.lit("."))
-    return items.groupBy("table_ref").agg(F.array_join(ordered, "; ").alias("listed")).select(
-        "table_ref", *snippet_fields(text, SOURCE, relevance, seq))
+    """The most frequent GROUP BY lists per table, ties by first appearance."""
+    return _most_used(_counted(recent, {"grain": _found(GROUP_PATTERN)})).drop("kind")
 
 
 def usage_snippets(log: DataFrame, targets: DataFrame, limit: int = RECENT_STATEMENTS) -> DataFrame:
-    recent = recent_mentions(log, targets, limit)
-    seen = recent.groupBy("table_ref").agg(F.count(F.lit(1)).alias("n"))
-    text = F.format_string("Observed in %d recent queries referencing this table.", "n")
-    counts = seen.select("table_ref", *snippet_fields(text, SOURCE, COUNT_RELEVANCE, 0))
-    joins = _phrase(join_conditions(recent), "Common join conditions (query history)", JOIN_RELEVANCE, 1)
-    grain = _phrase(grain_hints(recent), "Common GROUP BY (grain hint)", GRAIN_RELEVANCE, 2)
-    return counts.unionByName(joins).unionByName(grain)
+    """Per table: how many statements use it, their join conditions, and their grain."""
+    kinds = {"count": F.array(F.lit("")), "join": _found(JOIN_PATTERN), "grain": _found(GROUP_PATTERN)}
+    used = _most_used(_counted(recent_mentions(log, targets, limit), kinds))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "item"))), lambda x: x["item"])
+    told = used.groupBy("table_ref", "kind").agg(F.array_join(ordered, "; ").alias("listed"), F.max("uses").alias("uses"))
+    text, relevance, seq = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("int")
+    for kind, words, weight, place in (
+        ("count", F.format_string("Observed in %d recent queries referencing this table.", "uses"), COUNT_RELEVANCE, 0),
+        ("join", F.concat(F.lit("Common join conditions (query history): "), "listed", F.lit(".")), JOIN_RELEVANCE, 1),
+        ("grain", F.concat(F.lit("Common GROUP BY (grain hint): "), "listed", F.lit(".")), GRAIN_RELEVANCE, 2),
+    ):
+        own = F.col("kind") == kind
+        text, relevance, seq = (F.when(own, new).otherwise(old) for new, old in ((words, text), (weight, relevance), (place, seq)))
+    return told.select("table_ref", *snippet_fields(text, SOURCE, relevance, seq))

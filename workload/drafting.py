@@ -268,7 +268,7 @@ FROM drafts WHERE status <> 'error'""", ["drafts"])
 def evidence_sizes(t: Tables) -> DataFrame:
     drafts = t["drafts"].withColumn("evidence_refs", F.array().cast("array<string>"))
     columns = t["drafts"].filter("target <> '__table__'").select("table_ref", F.col("target").alias("name"), "ordinal")
-    tables = t["sessions"].select(F.lit("none").alias("table_ref"), "status")
+    tables = t["sessions"].select(F.concat(F.lit("main.sales.t"), "session_id").alias("table_ref"), "status")
     contexts = prompts.context_lists(t["snippets"].withColumn("informs", F.array().cast("array<string>")))
     meta = t.spark.createDataFrame([], "table_ref string, schema_meta string")
     rows = scoring.evidence_rows(drafts, tables, columns, meta, contexts, 1000)
