@@ -237,16 +237,19 @@ class CatalogProfile:
 
 def profile_tables(spark: SparkSession, tables: Mapping[str, Callable[[], DataFrame]], *,
                    options: ProfileOptions = ProfileOptions(), sample: Sample = Sample(),
+                   describe: Callable[[str], dict] | None = None,
                    out: str | None = None, at_once: int = 8) -> CatalogProfile:
     """Profiles of many tables, several at a time; a table that fails becomes an error row.
 
+    ``describe`` gives a table's ``comment`` and ``partition_columns`` where they are known.
+
     With ``out`` every table's profile is written to its own folder there and read back, so that a
     whole catalog never passes through the driver and a rerun replaces only what it redoes.
     """
     def one(item: tuple[str, Callable[[], DataFrame]]):
         ref, load = item
         try:
-            made = profile_table(load(), ref, options, sample=sample)
+            made = profile_table(load(), ref, options, sample=sample, **(describe(ref) if describe else {}))
             if out:
                 made.tables.drop("table_ref").write.mode("overwrite").parquet(f"{out}/tables/table_ref={ref}")
                 made.columns.drop("table_ref").write.mode("overwrite").parquet(f"{out}/columns/table_ref={ref}")

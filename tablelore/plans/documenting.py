@@ -158,14 +158,15 @@ def _gated(state: Documented, drafts: DataFrame, models: Models) -> Documented:
 
 def document(spark: SparkSession, tables: Mapping[str, Callable[[], DataFrame]], models: Models, *,
              providers: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None, keys: Keys | None = None,
-             settings: Settings = Settings(), run: str = "", created_by: str = "", out: str | None = None) -> Documented:
+             describe: Callable[[str], dict] | None = None, settings: Settings = Settings(), run: str = "",
+             created_by: str = "", out: str | None = None) -> Documented:
     """Profiles the tables, gathers context, drafts comments, scores them and routes the weak ones.
 
     ``tables`` maps names to loaders. A table that cannot be profiled ends as a failed session and an
     error row; a provider that is down leaves a warning; a failed call marks its own drafts.
     """
     keys = keys or Keys.none(spark)
-    made = profile.profile_tables(spark, tables, options=settings.profile, sample=settings.sample, out=out)
+    made = profile.profile_tables(spark, tables, options=settings.profile, sample=settings.sample, describe=describe, out=out)
     profiles, columns = cut_lineage(made.tables), cut_lineage(made.columns)
     gathered = context.gather(providers or {}, columns.select("table_ref", "name", "ordinal"), settings.context_budget)
     refs = profiles.select("table_ref").unionByName(made.errors.select("table_ref"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import runs
-from ..sources.catalog import list_tables, read_table, tables_to_document
+from ..sources.catalog import describe_table, list_tables, read_table, tables_to_document
 from .documenting import Documented, Models, document
 
 
@@ -34,6 +34,7 @@ def run_schema(spark: SparkSession, run_id: str, catalog: str, schema: str, mode
     skipped = wanted.join(todo, "table_ref", "left_anti").select("schema_run_id", F.lit("skipped").alias("kind"))
     if not refs:
         return SchemaRun(None, runs.run_status(runs.rollup(skipped)))
+    options.setdefault("describe", lambda ref: describe_table(spark, ref))
     made = document(spark, {ref: (lambda ref=ref: read_table(spark, ref)) for ref in refs}, models, run=run_id, **options)
     kind = F.when(F.col("status") == "awaiting_input", "needs_input").when(
         F.col("status") == "ready_for_review", "ready_for_review").otherwise("failed")

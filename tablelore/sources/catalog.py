@@ -99,6 +99,10 @@ def foreign_keys(table_constraints: DataFrame, key_column_usage: DataFrame,
     )
 
 
-def partition_columns(spark: SparkSession, ref: str) -> list[str]:
-    listed = spark.catalog.listColumns(".".join(f"`{p}`" for p in split_table_ref(ref)))
-    return [c.name for c in listed if c.isPartition]
+def describe_table(spark: SparkSession, ref: str) -> dict:
+    """What the catalog says about a table besides its columns: comment and partition columns."""
+    name = ".".join(f"`{part}`" for part in split_table_ref(ref))
+    return {
+        "comment": spark.catalog.getTable(name).description,
+        "partition_columns": [c.name for c in spark.catalog.listColumns(name) if c.isPartition],
+    }

@@ -1,3 +1,5 @@
+import tempfile
+
 import pytest
 
 from tablelore.session import build_session
@@ -11,7 +13,7 @@ def spark():
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "4g",
-            "spark.sql.warehouse.dir": "/tmp/tablelore-warehouse",
+            "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="tablelore-warehouse-"),
         },
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -9,7 +9,8 @@ from tablelore.operators import apply, lineage
 from tablelore.operators.profile import ProfileOptions
 from tablelore.plans.documenting import Models, Settings, document, regenerate, resume
 from tablelore.plans.schema_run import run_schema
-from tablelore.sources.catalog import read_table
+from tablelore.plans.reviewing import take_bulk_approval, take_reviews, write_back
+from tablelore.schemas import LIBRARY
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -115,7 +116,7 @@ def test_batch_mode_asks_nothing(spark):
     assert made.sessions.first().status == "ready_for_review"
 
 
-def test_schema_run_and_write_back(spark):
+def test_schema_run_and_write_back(spark, tmp_path):
     spark.sql("CREATE DATABASE IF NOT EXISTS lore_test")
     for name, note in (("a", ""), ("b", "COMMENT 'known'")):
         spark.sql(f"DROP TABLE IF EXISTS lore_test.{name}")
@@ -128,18 +129,35 @@ def test_schema_run_and_write_back(spark):
     again = run_schema(spark, "r3", "spark_catalog", "lore_test", MODELS, earlier=made.documented.sessions)
     assert again.documented is None and again.counts.first().skipped == 1
 
-    drafts = made.documented.drafts.withColumn("status", F.lit("approved")).withColumn(
-        "proposed_comment", F.concat("proposed_comment", F.lit(" it's ok")))
-    live = apply.live_comments(spark, ["spark_catalog.lore_test.a"])
-    plan = apply.plan_apply(drafts, live)
-    done = apply.results(plan, apply.execute(plan))
-    assert {r.result for r in done.collect()} == {"applied"}
-    assert apply.audit_rows(done, "me", F.current_timestamp()).count() == 3
-    now = {r.target: r.live for r in apply.live_comments(spark, ["spark_catalog.lore_test.a"]).collect()}
-    assert now["id"] == "About id it's ok" and now["odd name"].endswith("it's ok") and now["__table__"] == "Orders placed. it's ok"
-    broken = plan.withColumn("statement", F.when(F.col("target") == "id", "COMMENT ON TABLE nowhere.at IS 'x'").otherwise(F.col("statement")))
+    documented = run_schema(spark, "r4", "spark_catalog", "lore_test", MODELS, filters={"skip_documented": False}).documented
+    ref = "spark_catalog.lore_test.b"
+    drafts = documented.drafts.filter(F.col("table_ref") == ref)
+    assert by_target(drafts)["__table__"].current_comment == "known"
+    session = drafts.first().session_id
+    actions = spark.createDataFrame(
+        [(session, "", "edit", "It's edited.", 1), (session, "id", "approve", None, 2), (session, "odd name", "edit", " ", 3)],
+        "session_id string, target string, action string, comment string, seq int")
+    now, entries = F.current_timestamp(), spark.createDataFrame([], LIBRARY)
+    reviewed = take_reviews(drafts, actions, entries, "me", now)
+    assert [r.target for r in reviewed.rejected.collect()] == ["odd name"]
+    learned = {r.match_key: (r.status, r.usage_count) for r in reviewed.library.collect()}
+    assert learned == {ref: ("approved", 1), "id": ("approved", 1)}
+
+    written = write_back(reviewed.drafts, apply.live_comments(spark, [ref]), reviewed.library, "me", now, out=str(tmp_path / "outcomes"))
+    assert {r.target: r.result for r in written.results.collect()} == {"__table__": "applied", "id": "applied"}
+    assert {r.before for r in written.audit.collect()} == {'{"comment":"known"}', '{"comment":null}'}
+    assert {r.match_key: (r.status, r.usage_count) for r in written.library.collect()} == {ref: ("applied", 1), "id": ("applied", 1)}
+    after = by_target(written.drafts)
+    assert after["id"].status == "applied" and after["id"].applied_by == "me" and after["odd name"].apply_status == "not_applied"
+    live = {r.target: r.live for r in apply.live_comments(spark, [ref]).collect()}
+    assert live == {"__table__": "It's edited.", "id": "About id", "odd name": None}
+
+    bulk = take_bulk_approval(drafts, entries, "me", now, 0.75)
+    assert {r.status for r in bulk.drafts.collect()} <= {"approved", "needs_input", "error"}
+    plan = apply.plan_apply(reviewed.drafts, apply.live_comments(spark, [ref]), confirm=True)
+    broken = plan.withColumn("decision", F.lit("write")).withColumn("statement", F.when(
+        F.col("target") == "id", "COMMENT ON TABLE nowhere.at IS 'x'").otherwise("COMMENT ON TABLE lore_test.b IS 'again'"))
     outcomes = {r.target: r.error for r in apply.execute(broken).collect()}
     assert outcomes["id"] and outcomes["__table__"] is None
     for name in ("a", "b"):
         spark.sql(f"DROP TABLE lore_test.{name}")
-    assert read_table
