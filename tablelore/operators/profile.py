@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F, types as T
 
@@ -96,22 +97,21 @@ def _slice_stats(df: DataFrame, ref: str, part: list[tuple[int, T.StructField]],
             "data_type": literal(field.dataType.simpleString()), "type_class": literal(kind),
             "nullable": str(field.nullable).lower(),
             "existing_comment": "cast(NULL AS string)" if comment is None else literal(comment),
-            "present": present, "distinct": distinct, "low": low, "high": high}
+            "present": present, "found": distinct, "low": low, "high": high}
         measured.append("struct(" + ", ".join(f"{v} AS {k}" for k, v in declared.items()) + ")")
     rows = df.selectExpr(*aggregates).selectExpr("total", f"inline(array({', '.join(measured)}))")
     if options.exact:
-        rows = rows.drop("distinct").join(_exact_distinct(df, part), "ordinal", "left")
-    present = F.col("present")
-    described = ~F.col("type_class").isin(*STRUCTURE_ONLY_CLASSES)
-    found = F.when(described, F.coalesce(F.col("distinct").cast("long"), F.lit(0)))
-    return rows.select(
+        rows = rows.drop("found").join(_exact_distinct(df, part), "ordinal", "left")
+    described = f"type_class NOT IN ({', '.join(map(literal, STRUCTURE_ONLY_CLASSES))})"
+    counted = rows.selectExpr("*", f"CASE WHEN {described} THEN coalesce(found, 0L) END AS distinct_count")
+    return counted.selectExpr(
         *[f.name for f in COLUMN_STATS.fields[:7]],
-        F.when(F.col("total") > 0, F.round(1 - present / F.col("total"), 6)).alias("null_fraction"),
-        found.alias("distinct_count"),
-        F.when(described, F.lit(not options.exact)).alias("distinct_is_approx"),
-        F.when(present > 0, F.round(found / present, 6)).alias("cardinality_ratio"),
-        F.col("low").alias("min"), F.col("high").alias("max"),
-        ((found > 0) & (found <= options.max_cardinality)).alias("is_enum_candidate"))
+        "CASE WHEN total > 0 THEN round(1 - present / total, 6) END AS null_fraction",
+        "distinct_count",
+        f"CASE WHEN {described} THEN {str(not options.exact).lower()} END AS distinct_is_approx",
+        "CASE WHEN present > 0 THEN round(distinct_count / present, 6) END AS cardinality_ratio",
+        "low AS min", "high AS max",
+        f"distinct_count > 0 AND distinct_count <= {options.max_cardinality} AS is_enum_candidate")
 
 
 def _exact_distinct(df: DataFrame, part: list[tuple[int, T.StructField]]) -> DataFrame:
@@ -124,7 +124,7 @@ def _exact_distinct(df: DataFrame, part: list[tuple[int, T.StructField]]) -> Dat
     plain = [(i, f) for i, f in part if type_class_of(f.dataType) not in STRUCTURE_ONLY_CLASSES]
     types = list(dict.fromkeys(f.dataType.simpleString() for _, f in plain))
     if not plain:
-        return df.sparkSession.createDataFrame([], "ordinal int, distinct long")
+        return df.sparkSession.createDataFrame([], "ordinal int, found long")
 
     def cell(i: int, field: T.StructField) -> str:
         own = field.dataType.simpleString()
@@ -134,7 +134,7 @@ def _exact_distinct(df: DataFrame, part: list[tuple[int, T.StructField]]) -> Dat
     fields = [f"v{n}" for n in range(len(types))]
     cells = df.selectExpr(f"inline(array({', '.join(cell(i, f) for i, f in plain)}))")
     present = cells.filter(" OR ".join(f"{f} IS NOT NULL" for f in fields))
-    return present.select("ordinal", *fields).distinct().groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct"))
+    return present.select("ordinal", *fields).distinct().groupBy("ordinal").agg(F.count(F.lit(1)).alias("found"))
 
 
 def top_values(df: DataFrame, ref: str, names: Sequence[str], k: int = 20) -> DataFrame:
@@ -251,8 +251,9 @@ def profile_tables(spark: SparkSession, tables: Mapping[str, Callable[[], DataFr
         try:
             made = profile_table(load(), ref, options, sample=sample, **(describe(ref) if describe else {}))
             if out:
-                made.tables.drop("table_ref").write.mode("overwrite").parquet(f"{out}/tables/table_ref={ref}")
-                made.columns.drop("table_ref").write.mode("overwrite").parquet(f"{out}/columns/table_ref={ref}")
+                folder = f"table_ref={quote(ref, safe='')}"
+                made.tables.drop("table_ref").write.mode("overwrite").parquet(f"{out}/tables/{folder}")
+                made.columns.drop("table_ref").write.mode("overwrite").parquet(f"{out}/columns/{folder}")
             return made
         except Exception as failure:  # one table must not stop the others
             code = getattr(failure, "getCondition", lambda: None)() or "provider_error"
@@ -263,10 +264,15 @@ def profile_tables(spark: SparkSession, tables: Mapping[str, Callable[[], DataFr
     made = [r for r in results if isinstance(r, Profile)]
     errors = small_table(spark, [tuple(r) for r in results if isinstance(r, Row)], PROFILE_ERROR)
     if out and made:
-        return CatalogProfile(
-            spark.read.schema(TABLE_PROFILE).parquet(f"{out}/tables").select(TABLE_PROFILE.names),
-            spark.read.schema(COLUMN_PROFILE).parquet(f"{out}/columns").select(COLUMN_PROFILE.names),
-            errors)
+        failed = {r.table_ref for r in results if isinstance(r, Row)}
+        named = T.StructType([T.StructField("table_ref", T.StringType())])
+        asked = small_table(spark, [(ref,) for ref in tables if ref not in failed], named)
+
+        def stored(part: str, schema: T.StructType) -> DataFrame:
+            rows = spark.read.schema(schema).parquet(f"{out}/{part}")
+            return rows.join(asked, "table_ref", "left_semi").select(schema.names)
+
+        return CatalogProfile(stored("tables", TABLE_PROFILE), stored("columns", COLUMN_PROFILE), errors)
     return CatalogProfile(
         _union([m.tables for m in made], spark, TABLE_PROFILE),
         _union([m.columns for m in made], spark, COLUMN_PROFILE), errors)

@@ -167,7 +167,7 @@ def replace_partitions(rows: DataFrame, path: str, by: Sequence[str]) -> None:
     """
     spark = rows.sparkSession
     staged = path.rstrip("/") + "__staged"
-    rows.write.mode("overwrite").partitionBy(*by).parquet(staged)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*by).parquet(staged)
     (
         spark.read.schema(rows.schema).parquet(staged)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)

@@ -115,7 +115,10 @@ def test_one_failing_table_leaves_the_others(spark, orders, tmp_path):
     def gone():
         raise PermissionError("no grant")
 
-    for out in (None, str(tmp_path / "profiles")):
+    folder = str(tmp_path / "profiles")
+    odd = "a.b.x=y z"
+    assert profile_tables(spark, {odd: lambda: orders}, options=EXACT, out=folder).tables.first().table_ref == odd
+    for out in (None, folder):
         made = profile_tables(spark, {"a.b.orders": lambda: orders, "a.b.gone": gone}, options=EXACT, out=out)
         assert [(r.table_ref, r.message) for r in made.errors.collect()] == [("a.b.gone", "no grant")]
         assert made.columns.count() == 3 and made.tables.first().row_count == 100
