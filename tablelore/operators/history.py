@@ -14,6 +14,7 @@ JOIN_PATTERN = r"(?i)\bON\s+([\w.`]+\s*=\s*[\w.`]+)"
 GROUP_PATTERN = r"(?i)\bGROUP\s+BY\b\s+([\w.`,\s]+?)(?:\bORDER\b|\bLIMIT\b|$)"
 RECENT_STATEMENTS = 200
 LISTED = 5
+BROADCAST_ROWS = 500_000
 COUNT_RELEVANCE, JOIN_RELEVANCE, GRAIN_RELEVANCE = 0.5, 0.75, 0.65
 
 
@@ -53,10 +54,16 @@ def mentions(log: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def recent_mentions(log: DataFrame, targets: DataFrame, limit: int = RECENT_STATEMENTS) -> DataFrame:
-    """The newest statements per table; their texts are fetched after the cut."""
+    """The newest statements per table; their texts are fetched after the cut.
+
+    The cut has at most ``limit`` rows per target. Where that bound is small the log is read past it
+    without moving; beyond, both sides are joined by statement.
+    """
     newest = [F.col("start_time").desc(), F.col("statement_id")]
     kept = top_per_key(mentions(log, targets), ["table_ref"], newest, limit, ["statement_id"])
-    return kept.join(log.select("statement_id", "statement_text"), "statement_id").select(
+    if targets.select("table_ref").distinct().count() * limit <= BROADCAST_ROWS:
+        kept = F.broadcast(kept)
+    return log.select("statement_id", "statement_text").join(kept, "statement_id").select(
         "table_ref", "statement_id", "start_time", "rank", "statement_text")
 
 

@@ -82,7 +82,7 @@ def reusable(library: DataFrame, scope: str, keys: DataFrame, per_key: int = REU
         .select("id", "match_key", "canonical_comment", "tags", "usage_count", "updated_at")
     )
     order = [F.col("usage_count").desc(), F.col("updated_at").desc(), F.col("id")]
-    best = top_per_key(candidates, ["match_key"], order, max(1, int(per_key)), ["id"])
+    best = top_per_key(candidates, ["match_key"], order, max(1, int(per_key)), ["id"], sliced=True)
     return best.select("match_key", "canonical_comment", "tags", "usage_count", "rank")
 
 

@@ -66,3 +66,18 @@ def test_mentions_equal_containment(spark):
     targets = spark.createDataFrame([(n,) for n in names], "table_ref string")
     got = {(r.table_ref, r.statement_id) for r in history.mentions(frame, targets).collect()}
     assert got == {(n, i) for i, _, text in log for n in names if n.lower() in text.lower()}
+
+
+def test_recent_statements_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    log = spark.createDataFrame([(i, i % 50, f"SELECT 1 FROM a.b.{key_of(i)}") for i in range(900)],
+                                "statement_id int, start_time int, statement_text string")
+    targets = spark.createDataFrame([("a.b.hot",), ("a.b.k3",)], "table_ref string")
+    rows = []
+    for bound in (500_000, 0):
+        monkeypatch.setattr(history, "BROADCAST_ROWS", bound)
+        rows.append(sorted(tuple(r) for r in history.recent_mentions(log, targets, 20).collect()))
+    expected = []
+    for ref in ("a.b.hot", "a.b.k3"):
+        hits = sorted((i for i in range(900) if f"a.b.{key_of(i)}".startswith(ref)), key=lambda i: (-(i % 50), i))[:20]
+        expected += [(ref, i, i % 50, place, f"SELECT 1 FROM a.b.{key_of(i)}") for place, i in enumerate(hits, start=1)]
+    assert rows[0] == rows[1] == sorted(expected)
