@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import tries
+from . import lexicon, packing, tokens, tries
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,21 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = min(doc_id) OVER w AS kept, text_sha256
 FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
+
+
+@_query
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.token_counts(documents(spark, folder))
+
+
+@_query
+def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(documents(spark, folder))
+
+
+@_query
+def op10_transducer_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    made = lexicon.encode(documents(spark, folder))
+    numbers = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return made.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
