@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lexicon, packing, tokens, tries
+from . import ledger, lexicon, outliers, packing, tokens, tries
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,43 @@ def op10_transducer_bpe(spark: SparkSession, folder: str) -> DataFrame:
     numbers = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return made.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query
+def op3_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    return outliers.outlying(documents(spark, folder)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@_query
+def op9_blob_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    found, _ = ledger.scan(documents(spark, folder).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    counts = (ledger.number_of(rule).cast("bigint").alias(f"n_{rule.name}") for rule in ledger.BASE)
+    return found.select("doc_id", *counts, F.sha2(ledger.rendered(F.col("spans"), ledger.BASE), 256).alias("base_sha256"),
+                        ledger.rendered(F.col("spans")).alias("spans"))
+
+
+def _ledger_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    each = "\nUNION ALL\n".join(
+        f"SELECT r, {k} AS k, '{x.name}' AS rule, string_split_regex(t, {quoted(x.pattern)}) AS parts, "
+        f"regexp_extract_all(t, {quoted(x.pattern)}) AS hits, "
+        + (f"regexp_extract_all(t, {quoted(x.pattern)}, {x.group})" if x.group else "regexp_extract_all(t, " + quoted(x.pattern) + ")")
+        + f" AS g, {x.least} AS least FROM d" for k, x in enumerate(ledger.RULES))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+each_rule AS ({each}),
+m AS (SELECT r, k, rule, least, unnest(hits) AS hit, unnest(parts[1:len(hits)]) AS before, unnest(g) AS g,
+             generate_subscripts(hits, 1) AS pos FROM each_rule WHERE len(hits) > 0),
+p AS (SELECT r, k, rule, length(hit) AS n, length(g) >= least AS fine,
+             sum(length(before) + length(hit)) OVER (PARTITION BY r, k ORDER BY pos) AS e FROM m),
+f AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+             string_agg(rule || ':' || (e - n)::BIGINT || ':' || e::BIGINT, ',' ORDER BY e - n, k) AS spans,
+             string_agg(rule || ':' || (e - n)::BIGINT || ':' || e::BIGINT, ',' ORDER BY e - n, k) FILTER (k < 3) AS base
+      FROM p WHERE fine GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN f USING (r)
+"""
+
+
+ORACLES["op9_blob_ledger"] = _ledger_sql()
