@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ledger, lexicon, outliers, packing, tokens, tries
+from . import language, ledger, lexicon, outliers, packing, tokens, toxicity, tries
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,12 @@ def _query(run: Callable[[SparkSession, str], DataFrame]):
     return run
 
 
+@_query
+def op1_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return toxicity.toxicity(documents(spark, folder), labels).select("doc_id", "held_out", "score", "predicted")
+
+
 @_query
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return tries.exact_duplicates(documents(spark, folder))
@@ -56,6 +62,12 @@ def op3_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@_query
+def op8_sparse_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return language.predicted(docs, language.fit(docs))
+
+
 @_query
 def op9_blob_ledger(spark: SparkSession, folder: str) -> DataFrame:
     found, _ = ledger.scan(documents(spark, folder).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
