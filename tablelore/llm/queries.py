@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, ledger, lexicon, outliers, packing, tokens, toxicity, tries
+from . import disclosure, language, ledger, lexicon, outliers, packing, tokens, toxicity, tries
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,14 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+@_query
+def op4_disclosure(spark: SparkSession, folder: str) -> DataFrame:
+    spans = disclosure.private_spans(documents(spark, folder))
+    counts = (disclosure.number_of(kind).alias(f"n_{kind}") for kind in disclosure.BASE)
+    return spans.select("doc_id", *counts, F.sha2(disclosure.rendered(F.col("spans"), disclosure.BASE), 256).alias("base_sha256"),
+                        disclosure.rendered(F.col("spans")).alias("spans"))
+
+
 @_query
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(documents(spark, folder))
