@@ -232,3 +232,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     found = rows.filter("class IS NOT NULL").join(of_class, "class").select("doc_id", "n_shingles", "component_id")
     alone = rows.filter("class IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def first_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose id names their component. Needs ``doc_id`` and ``text``.
+
+    Rows without id cannot be told apart: all of them stay if a component has no other rows.
+    """
+    found = near_duplicates(docs, words, percent)
+    kept = found.filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")

@@ -28,11 +28,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablelore.session import checkpoint_folder, cut_lineage
 
 from .common import pair, rows_of
-from .words import LETTERS, BatchMemo, chunks, parts, tokenizer
+from .words import LETTERS, BatchMemo, chunk_encoder, encoded, packed_ids, tokenizer
 
 MOST_WORDS = 200_000
 WORD_END = "</w>"
-OUT_BYTES = 8 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -175,16 +174,6 @@ class Transducer:
         return self.ids[self.offsets[number]:self.offsets[number + 1]]
 
 
-@lru_cache(maxsize=2)
-def _mapped(name: str) -> Transducer:
-    return Transducer.mapped(SparkFiles.get(name))
-
-
-@lru_cache(maxsize=2)
-def _merges(path: str) -> Merges:
-    return Merges(path)
-
-
 def frequent(docs: DataFrame, most: int = MOST_WORDS, doc_id: str = "doc_id", text: str = "text") -> list[str]:
     """The lower-cased words that each make up more than 1 / ``most`` of the words met more than once."""
     found = F.explode(F.split(F.lower("text"), f"[^{LETTERS}]+")).alias("word")
@@ -205,23 +194,16 @@ def published(spark: SparkSession, image: bytes) -> str:
     return name
 
 
-def word_encoder(lexicon: Transducer, merges: Merges, library) -> BatchMemo:
-    """A memo from a run between white space to its ids, as little-endian 32-bit numbers."""
+@lru_cache(maxsize=2)
+def encoder(path: str, name: str) -> BatchMemo:
+    """One per worker process: the mapped lexicon first, merging for the words it lacks."""
+    lexicon, merges = Transducer.mapped(SparkFiles.get(name)), Merges(path)
 
     def of_words(words: list[str]) -> list[bytes]:
         numbers = lexicon.numbers([x.encode() for x in words])
-        return [np.asarray(lexicon.output(n) if n >= 0 else merges(word), "<i4").tobytes()
-                for word, n in zip(words, numbers.tolist())]
-
-    known = BatchMemo(of_words)
+        return [packed_ids(lexicon.output(n).tolist() if n >= 0 else merges(word)) for word, n in zip(words, numbers.tolist())]
 
-    def of_chunks(found: list[str]) -> list[bytes]:
-        split = [parts(x) for x in found]
-        known.learn([x for x in split if x is not None])
-        return [np.array(library.encode(chunk, add_special_tokens=False).ids, "<i4").tobytes() if x is None
-                else b"".join(map(known.__getitem__, x)) for chunk, x in zip(found, split)]
-
-    return BatchMemo(of_chunks)
+    return chunk_encoder(of_words, tokenizer(path))
 
 
 @lru_cache(maxsize=2)
@@ -237,27 +219,10 @@ def decoded(ids: pa.ListArray, path: str) -> pa.Array:
 
 def _encode(path: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(_mapped(name), _merges(path), tokenizer(path))
-        rows: list[tuple] = []
-        held = 0
-
-        def done() -> pa.RecordBatch:
-            encoder.learn([x for _, lists in rows for x in lists])
-            made = [b"".join(b"".join(map(encoder.__getitem__, x)) for x in lists) for _, lists in rows]
+        for idents, made in encoded(rows_of(batches, "doc_id", "text"), encoder(path, name)):
             offsets = np.cumsum([0, *(len(x) // 4 for x in made)], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(made), "<i4")))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in rows], pa.int64()), ids, decoded(ids, path)], ["doc_id", "ids", "decoded"])
-
-        for ident, text in rows_of(batches, "doc_id", "text"):
-            rows.append((ident, list(chunks(text))))
-            held += len(text)
-            if held >= OUT_BYTES // 8:
-                yield done()
-                rows.clear()
-                held = 0
-        if rows:
-            yield done()
+            yield pa.RecordBatch.from_arrays([pa.array(idents, pa.int64()), ids, decoded(ids, path)], ["doc_id", "ids", "decoded"])
     return run
 
 

@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Rows, pair, rows_of
-from .words import Memo, chunks, parts, tokenizer
+from .words import BatchMemo, chunk_encoder, encoded, packed_ids, tokenizer
 
 CAPACITY = 2048
 OPEN_BINS = 1024
@@ -62,37 +63,25 @@ class OpenBins:
         return bin_, self.capacity - free
 
 
-def word_ids(path: str) -> Memo:
-    """A memo from a run between white space to its ids, as little-endian 32-bit numbers."""
+@lru_cache(maxsize=2)
+def encoder(path: str) -> BatchMemo:
+    """One per worker process, so that later tasks find what earlier ones encoded."""
     library = tokenizer(path)
-
-    def ask(text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in library.encode(text, add_special_tokens=False).ids)
-
-    words = Memo(ask)
-
-    def of_chunk(chunk: str) -> bytes:
-        found = parts(chunk)
-        return ask(chunk) if found is None else b"".join(map(words.__getitem__, found))
-
-    return Memo(of_chunk)
-
-
-def encoded(text: str, ids: Memo) -> bytes:
-    return b"".join(b"".join(map(ids.__getitem__, x)) for x in chunks(text))
+    return chunk_encoder(lambda words: [packed_ids(x.ids) for x in library.encode_batch_fast(words, add_special_tokens=False)], library)
 
 
 def _cut(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = word_ids(path), end_id.to_bytes(4, "little")
+        end = packed_ids([end_id])
         out = Rows(pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                               ("length", pa.int64()), ("ids_crc32", pa.int64())]))
-        for ident, text in rows_of(batches, "doc_id", "text"):
-            data = memoryview(encoded(text, ids) + end)
-            for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                piece = data[at:at + 4 * capacity]
-                if out.add(ident, k, at // 4, len(piece) // 4, zlib.crc32(piece)):
-                    yield from out.take()
+        for idents, ids in encoded(rows_of(batches, "doc_id", "text"), encoder(path)):
+            for ident, data in zip(idents, ids):
+                data = memoryview(data + end)
+                for k, at in enumerate(range(0, len(data), 4 * capacity)):
+                    piece = data[at:at + 4 * capacity]
+                    if out.add(ident, k, at // 4, len(piece) // 4, zlib.crc32(piece)):
+                        yield from out.take()
         yield from out.take()
     return run
 

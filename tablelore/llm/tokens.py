@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Rows, pair, rows_of
-from .words import MEMO_ENTRIES, BatchMemo, segments, tokenizer
+from .words import BatchMemo, segments, tokenizer
 
 BATCH_BYTES = 1 << 20
 LIMIT = 1024
@@ -33,11 +34,16 @@ def fragments(segment: str) -> list[str]:
     return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
 
 
+@lru_cache(maxsize=2)
+def lengths(path: str) -> BatchMemo:
+    """The lengths of fragments, one memo per worker process."""
+    library = tokenizer(path)
+    return BatchMemo(lambda found: [*map(len, library.encode_batch_fast(found, add_special_tokens=False))])
+
+
 def _lengths(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = tokenizer(path)
-        known = BatchMemo(lambda found: [*map(len, library.encode_batch_fast(found, add_special_tokens=False))],
-                          2 * MEMO_ENTRIES)
+        known = lengths(path)
         out = Rows(pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())]))
         rows: list[list] = []
         waiting: list[tuple[list, list[str]]] = []

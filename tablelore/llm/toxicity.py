@@ -212,3 +212,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
     made = scored(docs, fit(docs, labels, rows))
     return made.select("doc_id", held_out("doc_id").alias("held_out"), "score",
                        F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"), "n_words", "passages")
+
+
+def _keep(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = model.value
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            kept = [probability(evidence(x or "", held)[1], held) < THRESHOLD for x in texts]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+    return run
+
+
+def not_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows, with all their columns, whose ``text`` scores below the threshold."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_keep(sent), docs.schema)

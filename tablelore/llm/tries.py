@@ -174,3 +174,13 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return joined.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all columns, that own their text. Needs ``doc_id`` and ``text``.
+
+    A row stays if its id and its text's hash are those of an owner; rows without id stay if no other row has the text.
+    """
+    known = owners(docs).select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep_id"))
+    digest = F.unhex(F.sha2(normalised(F.coalesce("text", F.lit(""))), 256))
+    return docs.join(known, (digest == F.col("_digest")) & docs["doc_id"].eqNullSafe(F.col("_keep_id")), "left_semi")

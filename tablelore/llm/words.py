@@ -9,12 +9,16 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 #: Characters of one segment of a long text, and entries of one generation of a memo.
 SEGMENT_CHARS = 1 << 18
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 400_000
+#: Characters of the texts whose fragments are looked up together.
+GROUP_CHARS = 1 << 20
 
 #: Characters on which Python's classes agree with those of the vocabularies.
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
@@ -64,7 +68,9 @@ class BatchMemo(Memo):
         self.resolve_all = resolve_all
 
     def learn(self, lists: list[list]) -> None:
-        missing = set().union(*lists).difference(self)
+        missing = set()
+        for keys in lists:
+            missing.update(filterfalse(self.__contains__, keys))
         fresh = list(missing.difference(self.old))
         found = {x: self.old[x] for x in missing.intersection(self.old)}
         found.update(zip(fresh, self.resolve_all(fresh), strict=True))
@@ -72,6 +78,43 @@ class BatchMemo(Memo):
             self.keep(key, value)
 
 
+def chunk_encoder(of_words: Callable[[list[str]], list[bytes]], library) -> BatchMemo:
+    """A memo from a run between white space to its ids, as little-endian 32-bit numbers."""
+    known = BatchMemo(of_words)
+
+    def of_chunks(found: list[str]) -> list[bytes]:
+        split = [parts(x) for x in found]
+        known.learn([x for x in split if x is not None])
+        return [packed_ids(library.encode(chunk, add_special_tokens=False).ids) if x is None
+                else b"".join(map(known.__getitem__, x)) for chunk, x in zip(found, split)]
+
+    return BatchMemo(of_chunks)
+
+
+def packed_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def encoded(rows: Iterator[tuple[int, str]], encoder: BatchMemo) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Keys and packed ids of the rows, in groups of about ``GROUP_CHARS``."""
+    group: list[tuple[int, list[list[str]]]] = []
+    held = 0
+
+    def done() -> tuple[list[int], list[bytes]]:
+        encoder.learn([x for _, lists in group for x in lists])
+        return ([key for key, _ in group],
+                [b"".join(b"".join(map(encoder.__getitem__, x)) for x in lists) for _, lists in group])
+
+    for key, text in rows:
+        group.append((key, list(chunks(text))))
+        held += len(text)
+        if held >= GROUP_CHARS:
+            yield done()
+            group, held = [], 0
+    if group:
+        yield done()
+
+
 def segments(text: str, cut: re.Pattern, size: int = SEGMENT_CHARS) -> Iterator[str]:
     """The text in pieces of about ``size`` characters, cut before matches of ``cut``; one piece where none is found."""
     start = 0
