@@ -51,6 +51,21 @@ def literal(text: str) -> str:
     return f"'{escaped}'"
 
 
+def countable(source: str, data_type: T.DataType) -> tuple[str, str]:
+    """SQL for a value that can be compared for equality, with its type: text for the types that cannot."""
+    kind = data_type.simpleString()
+    if kind == "variant":
+        return f"to_json({source})", "string"
+    if kind == "interval":
+        return f"cast({source} AS string)", "string"
+    return source, kind
+
+
+def ordered(data_type: T.DataType) -> bool:
+    """Whether values of the type have an order; calendar intervals have none."""
+    return data_type.simpleString() != "interval"
+
+
 def value_text(source: str, data_type: T.DataType) -> str:
     """SQL for the text of a value: ISO form for dates and timestamps, a fraction only where there is one."""
     if isinstance(data_type, T.DateType):
@@ -58,7 +73,7 @@ def value_text(source: str, data_type: T.DataType) -> str:
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
         full = f"concat(date_format({source}, 'yyyy-MM-dd'), 'T', date_format({source}, 'HH:mm:ss.SSSSSS'))"
         return f"regexp_replace({full}, '[.]000000$', '')"
-    return f"cast({source} AS string)"
+    return f"cast({countable(source, data_type)[0]} AS string)"
 
 
 def confidence_band(score: Column) -> Column:

@@ -51,13 +51,14 @@ def _stated(value: Column, names: tuple[str, ...]) -> Column:
 def result_texts(payload: Column) -> Column:
     """Text rows of a tool result: a string, a list, or an object around either, nested at will."""
     parsed = F.try_parse_json(payload)
-    depth = F.regexp_count(payload, F.lit(r"\{"))
+    # Only objects are unwrapped, so a list needs no round and an object one per brace at most.
+    depth = F.when(F.ltrim(payload).startswith("["), 0).otherwise(F.regexp_count(payload, F.lit(r"\{")))
     core = F.when(depth == 0, parsed).otherwise(
         F.aggregate(F.sequence(F.lit(1), depth), parsed, lambda acc, _: _unwrap(acc)))
     items = F.try_variant_get(core, "$", "array<variant>")
     shape = F.schema_of_variant(core)
     from_items = F.transform(items, lambda item: F.coalesce(
-        _stated(item, ("text", "snippet", "content")), item.cast("string")))
+        _stated(item, ("text", "snippet", "content")), item.cast("string"), F.lit("null")))
     own = F.coalesce(*[_field(core, n, "string") for n in ("text", "snippet", "summary")],
                      core.cast("string"))
     none = F.array().cast(TEXT_LIST)

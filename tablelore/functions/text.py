@@ -43,7 +43,9 @@ def quoted_name(name: Column) -> Column:
 
 
 def quoted_text(text: Column) -> Column:
-    return F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
+    """A text as a literal: backslashes are escapes there, so they are doubled like quotes."""
+    plain = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    return F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("''")), F.lit("'"))
 
 
 def is_blank(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -81,15 +82,17 @@ def plan_apply(drafts: DataFrame, live: DataFrame, *, confirm: bool | str = Fals
         F.when(F.col("_d.status") == "write", text).alias("statement"))
 
 
-def execute(plan: DataFrame, out: str | None = None) -> DataFrame:
+def execute(plan: DataFrame, out: str, run: str | None = None) -> DataFrame:
     """Runs the planned statements, one item at a time; a failed one leaves its error and the rest go on.
 
-    The rows to write are streamed to the driver, where catalog statements have to run. With ``out``
-    the outcomes are stored every few items, so that a broken run shows what it had done.
+    The rows to write are streamed to the driver, where catalog statements have to run. Outcomes are
+    stored every few items under ``out``, in a folder of this ``run``, so that a broken run shows what
+    it had done, the driver holds few of them, and earlier runs into the same folder stay apart.
     """
     spark = plan.sparkSession
+    out = f"{out.rstrip('/')}/run={run or uuid.uuid4().hex}"
     rows = plan.filter(F.col("decision") == "write").select("session_id", "table_ref", "target", "statement").toLocalIterator()
-    kept: list[tuple] = []
+    spark.createDataFrame([], OUTCOME).write.mode("overwrite").parquet(out)
     while chunk := list(islice(rows, BATCH)):
         outcomes = []
         for row in chunk:
@@ -99,14 +102,8 @@ def execute(plan: DataFrame, out: str | None = None) -> DataFrame:
             except Exception as failure:  # shown on the item
                 error = str(failure).splitlines()[0]
             outcomes.append((row.session_id, row.table_ref, row.target, error))
-        if out:
-            spark.createDataFrame(outcomes, OUTCOME).write.mode("append").parquet(out)
-        else:
-            kept += outcomes
-    if out:
-        spark.createDataFrame([], OUTCOME).write.mode("append").parquet(out)
-        return spark.read.schema(OUTCOME).parquet(out)
-    return spark.createDataFrame(kept, OUTCOME)
+        spark.createDataFrame(outcomes, OUTCOME).write.mode("append").parquet(out)
+    return spark.read.schema(OUTCOME).parquet(out)
 
 
 def results(plan: DataFrame, outcomes: DataFrame) -> DataFrame:

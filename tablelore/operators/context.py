@@ -55,9 +55,9 @@ def library_snippets(library: DataFrame, columns: DataFrame) -> DataFrame:
     return table_rows.unionByName(column_rows).filter(F.col("text").isNotNull())
 
 
-def search_texts(columns: DataFrame, template: str = "{full_name}: {column_terms}") -> DataFrame:
+def search_texts(columns: DataFrame, template: str = "{full_name}: {column_terms}", terms_searched: int = TERMS_SEARCHED) -> DataFrame:
     """The search text of each table, naming its first columns."""
-    first = top_per_key(columns, ["table_ref"], [F.col("ordinal"), F.col("name")], TERMS_SEARCHED, ["name"])
+    first = top_per_key(columns, ["table_ref"], [F.col("ordinal"), F.col("name")], terms_searched, ["name"])
     named = first.groupBy("table_ref").agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("c"))
     terms = F.array_join(F.transform("c", lambda x: x["name"]), ", ")
     text = F.lit(template)

@@ -14,7 +14,6 @@ JOIN_PATTERN = r"(?i)\bON\s+([\w.`]+\s*=\s*[\w.`]+)"
 GROUP_PATTERN = r"(?i)\bGROUP\s+BY\b\s+([\w.`,\s]+?)(?:\bORDER\b|\bLIMIT\b|$)"
 RECENT_STATEMENTS = 200
 LISTED = 5
-BROADCAST_ROWS = 500_000
 COUNT_RELEVANCE, JOIN_RELEVANCE, GRAIN_RELEVANCE = 0.5, 0.75, 0.65
 
 
@@ -56,13 +55,11 @@ def mentions(log: DataFrame, targets: DataFrame) -> DataFrame:
 def recent_mentions(log: DataFrame, targets: DataFrame, limit: int = RECENT_STATEMENTS) -> DataFrame:
     """The newest statements per table; their texts are fetched after the cut.
 
-    The cut has at most ``limit`` rows per target. Where that bound is small the log is read past it
-    without moving; beyond, both sides are joined by statement.
+    Only ids are cut and joined by statement, so the log's texts move once; Spark sends the ids to
+    every task instead where they turn out to be few.
     """
     newest = [F.col("start_time").desc(), F.col("statement_id")]
     kept = top_per_key(mentions(log, targets), ["table_ref"], newest, limit, ["statement_id"])
-    if targets.select("table_ref").distinct().count() * limit <= BROADCAST_ROWS:
-        kept = F.broadcast(kept)
     return log.select("statement_id", "statement_text").join(kept, "statement_id").select(
         "table_ref", "statement_id", "start_time", "rank", "statement_text")
 
@@ -90,20 +87,20 @@ def _most_used(counted: DataFrame, listed: int = LISTED) -> DataFrame:
     return top_per_key(counted, ["table_ref", "kind"], order, listed, ["item"], rank="place").drop("first_seen")
 
 
-def join_conditions(recent: DataFrame) -> DataFrame:
+def join_conditions(recent: DataFrame, listed: int = LISTED) -> DataFrame:
     """The most frequent join conditions per table, ties by first appearance."""
-    return _most_used(_counted(recent, {"join": _found(JOIN_PATTERN)})).drop("kind")
+    return _most_used(_counted(recent, {"join": _found(JOIN_PATTERN)}), listed).drop("kind")
 
 
-def grain_hints(recent: DataFrame) -> DataFrame:
+def grain_hints(recent: DataFrame, listed: int = LISTED) -> DataFrame:
     """The most frequent GROUP BY lists per table, ties by first appearance."""
-    return _most_used(_counted(recent, {"grain": _found(GROUP_PATTERN)})).drop("kind")
+    return _most_used(_counted(recent, {"grain": _found(GROUP_PATTERN)}), listed).drop("kind")
 
 
-def usage_snippets(log: DataFrame, targets: DataFrame, limit: int = RECENT_STATEMENTS) -> DataFrame:
+def usage_snippets(log: DataFrame, targets: DataFrame, limit: int = RECENT_STATEMENTS, listed: int = LISTED) -> DataFrame:
     """Per table: how many statements use it, their join conditions, and their grain."""
     kinds = {"count": F.array(F.lit("")), "join": _found(JOIN_PATTERN), "grain": _found(GROUP_PATTERN)}
-    used = _most_used(_counted(recent_mentions(log, targets, limit), kinds))
+    used = _most_used(_counted(recent_mentions(log, targets, limit), kinds), listed)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "item"))), lambda x: x["item"])
     told = used.groupBy("table_ref", "kind").agg(F.array_join(ordered, "; ").alias("listed"), F.max("uses").alias("uses"))
     text, relevance, seq = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("int")

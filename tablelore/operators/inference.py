@@ -22,15 +22,15 @@ VERDICT_REPLY = "subscores map<string,string>, issues array<string>"
 ANSWER_REPLY = "answers array<struct<id:string,answer:string>>"
 
 
-def infer(prompts: DataFrame, model: Model, *, done: DataFrame | None = None,
+def infer(prompts: DataFrame, model: Model, *, done: DataFrame | None = None, key: str = "prompt_id",
           partitions: int | None = None) -> DataFrame:
     """Prompts with the model's ``reply``, or the ``failure`` of that one call.
 
     ``prompts`` has ``prompt_id`` and ``messages`` besides what is passed through. Prompts already in
-    ``done`` are not asked again, so a rerun after a loss only makes the missing calls. The caller
+    ``done``, by ``key``, are not asked again, so a rerun after a loss only makes the missing calls. The caller
     stores the result before using it twice: asking again may give other words.
     """
-    todo = prompts if done is None else prompts.join(done.select("prompt_id"), "prompt_id", "left_anti")
+    todo = prompts if done is None else prompts.join(done.select(key), key, "left_anti")
     if partitions:
         todo = todo.repartition(partitions, "prompt_id")
 

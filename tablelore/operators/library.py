@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import is_blank, strip, table_key
 from ..schemas import LIBRARY_REUSABLE_STATUSES, TABLE_TARGET
+from .runs import page_of
 from .skew import top_per_key
 
 KEY = ("scope", "match_key")
 REUSED_PER_KEY = 3
+LONGEST_PAGE = 500
 # Columns an upsert replaces; the rest of an entry survives.
 REPLACED = ("canonical_comment", "conditional_fields", "tags", "source_session_id", "source_table_ref",
             "approved_by", "status")
@@ -87,13 +89,13 @@ def reusable(library: DataFrame, scope: str, keys: DataFrame, per_key: int = REU
 
 
 def page(library: DataFrame, *, scope: str | None = None, include_sunset: bool = False,
-         limit: int = 100, offset: int = 0) -> DataFrame:
+         limit: int = 100, offset: int = 0, longest: int = LONGEST_PAGE) -> DataFrame:
     """One page of entries, most used first."""
     kept = library if scope is None else library.filter(F.col("scope") == scope)
     if not include_sunset:
         kept = kept.filter(F.col("status") != "sunset")
     order = [F.col("usage_count").desc(), F.col("updated_at").desc(), F.col("id")]
-    return kept.orderBy(*order).offset(max(0, int(offset))).limit(max(1, min(int(limit), 500)))
+    return page_of(kept, order, limit, offset, longest)
 
 
 def match_key(target: Column, table_ref: Column) -> Column:

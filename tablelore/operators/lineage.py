@@ -15,7 +15,7 @@ NAMES_LISTED = 10
 def _linked(edges: DataFrame, targets: DataFrame, own: str, other: str) -> DataFrame:
     pairs = edges.select(F.col(own).alias("table_ref"), F.col(other).alias("linked"))
     wanted = targets.select("table_ref").distinct()
-    return pairs.filter(F.col("linked").isNotNull()).distinct().join(wanted, "table_ref", "left_semi")
+    return pairs.filter(F.col("linked").isNotNull()).join(wanted, "table_ref", "left_semi").distinct()
 
 
 def upstream(edges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -39,9 +39,9 @@ def column_sources(column_edges: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def _listed(links: DataFrame, title: str, relevance: float, seq: int) -> DataFrame:
+def _listed(links: DataFrame, title: str, relevance: float, seq: int, names_listed: int) -> DataFrame:
     """One snippet per table with its first names in alphabetical order."""
-    first = top_per_key(links, ["table_ref"], [F.col("linked")], NAMES_LISTED, ["linked"])
+    first = top_per_key(links, ["table_ref"], [F.col("linked")], names_listed, ["linked"])
     names = F.array_join(F.array_sort(F.collect_list("linked")), ", ")
     text = F.concat(F.lit(f"{title} (lineage): "), F.col("names"), F.lit("."))
     return first.groupBy("table_ref").agg(names.alias("names")).select(
@@ -60,9 +60,10 @@ def snippet_fields(text: Column, source: str | Column, relevance: float | Column
     ]
 
 
-def lineage_snippets(edges: DataFrame, column_edges: DataFrame, targets: DataFrame) -> DataFrame:
-    ups = _listed(upstream(edges, targets), "Upstream sources", UPSTREAM_RELEVANCE, 0)
-    downs = _listed(downstream(edges, targets), "Downstream consumers", DOWNSTREAM_RELEVANCE, 1)
+def lineage_snippets(edges: DataFrame, column_edges: DataFrame, targets: DataFrame,
+                     names_listed: int = NAMES_LISTED) -> DataFrame:
+    ups = _listed(upstream(edges, targets), "Upstream sources", UPSTREAM_RELEVANCE, 0, names_listed)
+    downs = _listed(downstream(edges, targets), "Downstream consumers", DOWNSTREAM_RELEVANCE, 1, names_listed)
     filled = F.coalesce(F.col("target_column_name"), F.lit("")) != ""
     for name in ("source_table_full_name", "source_column_name"):
         filled = filled & (F.coalesce(F.col(name), F.lit("")) != "")

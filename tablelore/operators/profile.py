@@ -11,7 +11,7 @@ from urllib.parse import quote
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F, types as T
 
 from ..functions.columns import (
-    RANGED_CLASSES, STRUCTURE_ONLY_CLASSES, literal, quoted, type_class_of, value_text,
+    RANGED_CLASSES, STRUCTURE_ONLY_CLASSES, countable, literal, ordered, quoted, type_class_of, value_text,
 )
 from ..functions.privacy import (
     classes_by_name, classes_by_values, mask, mask_top_values, whole_value_hits,
@@ -25,8 +25,10 @@ from ..sources.sampling import Sample, fixed_sample
 # Warning texts carried on a table profile.
 WARN_SAMPLED = "sampled: row_count is an estimate"
 WARN_NO_COLUMNS = "no columns found (check the table name / SELECT grant)"
-WARN_EMPTY = ("table is empty (0 rows): distributions and cardinality are not meaningful (U3 §9)")
+WARN_EMPTY = ("table is empty (0 rows): distributions and cardinality are not meaningful")
 
+# When a profile was made says nothing about the table, and would make every prompt a new one.
+VOLATILE_FIELDS = ("profiled_at",)
 VERBOSE_FIELDS = ("top_k", "sample_values", "pattern_summary", "percentiles")
 
 
@@ -61,18 +63,20 @@ def _comment(field: T.StructField) -> str | None:
 
 
 def column_stats(df: DataFrame, ref: str, options: ProfileOptions = ProfileOptions(),
-                 columns: Sequence[str] | None = None) -> DataFrame:
+                 columns: Sequence[str] | None = None, with_total: bool = False) -> DataFrame:
     """One row of statistics per column, from one aggregate per slice of ``batch_size`` columns.
 
     Each slice reads only its own columns. Complex and binary columns are listed with their
-    structure and are not read.
+    structure and are not read. ``with_total`` adds the row count as ``total``.
     """
     wanted = _wanted(df, columns)
     size = options.batch_size
     slices = [wanted[i:i + size] for i in range(0, len(wanted), size)]
+    shown = T.StructType([*COLUMN_STATS.fields, *[T.StructField("total", T.LongType())] * with_total])
     if not slices:
-        return df.sparkSession.createDataFrame([], COLUMN_STATS)
-    return reduce(DataFrame.unionByName, [_slice_stats(df, ref, part, options) for part in slices])
+        return df.sparkSession.createDataFrame([], shown)
+    made = reduce(DataFrame.unionByName, [_slice_stats(df, ref, part, options) for part in slices])
+    return made if with_total else made.drop("total")
 
 
 def _slice_stats(df: DataFrame, ref: str, part: list[tuple[int, T.StructField]],
@@ -86,9 +90,9 @@ def _slice_stats(df: DataFrame, ref: str, part: list[tuple[int, T.StructField]],
             aggregates.append(f"count({source}) AS n_{i}")
             present = f"n_{i}"
             if not options.exact:
-                aggregates.append(f"approx_count_distinct({source}) AS d_{i}")
+                aggregates.append(f"approx_count_distinct({countable(source, field.dataType)[0]}) AS d_{i}")
                 distinct = f"d_{i}"
-        if kind in RANGED_CLASSES:
+        if kind in RANGED_CLASSES and ordered(field.dataType):
             aggregates += [f"min({source}) AS lo_{i}", f"max({source}) AS hi_{i}"]
             low, high = value_text(f"lo_{i}", field.dataType), value_text(f"hi_{i}", field.dataType)
         comment = _comment(field)
@@ -111,7 +115,7 @@ def _slice_stats(df: DataFrame, ref: str, part: list[tuple[int, T.StructField]],
         f"CASE WHEN {described} THEN {str(not options.exact).lower()} END AS distinct_is_approx",
         "CASE WHEN present > 0 THEN round(distinct_count / present, 6) END AS cardinality_ratio",
         "low AS min", "high AS max",
-        f"distinct_count > 0 AND distinct_count <= {options.max_cardinality} AS is_enum_candidate")
+        f"distinct_count > 0 AND distinct_count <= {options.max_cardinality} AS is_enum_candidate", "total")
 
 
 def _exact_distinct(df: DataFrame, part: list[tuple[int, T.StructField]]) -> DataFrame:
@@ -122,17 +126,18 @@ def _exact_distinct(df: DataFrame, part: list[tuple[int, T.StructField]]) -> Dat
     are merged before the shuffle, whatever their share.
     """
     plain = [(i, f) for i, f in part if type_class_of(f.dataType) not in STRUCTURE_ONLY_CLASSES]
-    types = list(dict.fromkeys(f.dataType.simpleString() for _, f in plain))
+    compared = {i: countable(quoted(f.name), f.dataType) for i, f in plain}
+    types = list(dict.fromkeys(kind for _, kind in compared.values()))
     if not plain:
         return df.sparkSession.createDataFrame([], "ordinal int, found long")
 
-    def cell(i: int, field: T.StructField) -> str:
-        own = field.dataType.simpleString()
-        values = [quoted(field.name) if t == own else f"cast(NULL AS {t})" for t in types]
+    def cell(i: int) -> str:
+        source, own = compared[i]
+        values = [source if t == own else f"cast(NULL AS {t})" for t in types]
         return f"struct({i} AS ordinal, " + ", ".join(f"{v} AS v{n}" for n, v in enumerate(values)) + ")"
 
     fields = [f"v{n}" for n in range(len(types))]
-    cells = df.selectExpr(f"inline(array({', '.join(cell(i, f) for i, f in plain)}))")
+    cells = df.selectExpr(f"inline(array({', '.join(map(cell, compared))}))")
     present = cells.filter(" OR ".join(f"{f} IS NOT NULL" for f in fields))
     return present.select("ordinal", *fields).distinct().groupBy("ordinal").agg(F.count(F.lit(1)).alias("found"))
 
@@ -191,10 +196,13 @@ def table_warnings(row_count: Column, column_count: Column, sampled: Column) ->
     ))
 
 
-def table_block(df: DataFrame, ref: str, sampled: bool, column_count: int, *,
+def table_block(df: DataFrame, ref: str, sampled: bool, column_count: int, *, row_count: int | None = None,
                 comment: str | None = None, partition_columns: Sequence[str] = ()) -> DataFrame:
+    """The table's own row; the rows are counted unless ``row_count`` is known."""
     parts = F.array(*[F.lit(p) for p in partition_columns]).cast("array<string>")
-    row = df.agg(F.count(F.lit(1)).alias("row_count")).select(
+    counted = df.agg(F.count(F.lit(1)).alias("row_count")) if row_count is None else small_table(
+        df.sparkSession, [(row_count,)], T.StructType([T.StructField("row_count", T.LongType())]))
+    row = counted.select(
         F.lit(ref).alias("table_ref"), "row_count",
         F.lit(sampled).alias("row_count_is_estimate"), F.lit(sampled).alias("sampled"),
         F.lit(column_count).alias("column_count"), parts.alias("partition_columns"),
@@ -215,16 +223,16 @@ def profile_table(df: DataFrame, ref: str, options: ProfileOptions = ProfileOpti
     """
     spark = df.sparkSession
     rows = fixed_sample(df, sample)
-    measured = column_stats(rows, ref, options, columns).collect()
-    stats = small_table(spark, measured, COLUMN_STATS)
+    measured = column_stats(rows, ref, options, columns, with_total=True).collect()
+    stats = small_table(spark, [tuple(r)[:-1] for r in measured], COLUMN_STATS)
     enums = [r.name for r in measured if r.is_enum_candidate]
     if enums and options.top_k > 0:
         ranked = top_values(rows, ref, enums, options.top_k)
         joined = stats.join(gather_top_values(ranked), ["table_ref", "name"], "left")
     else:
         joined = stats.withColumn("top_k", F.lit(None).cast(TOP_VALUES))
-    block = table_block(rows, ref, sample.active, len(measured), comment=comment,
-                        partition_columns=partition_columns)
+    block = table_block(rows, ref, sample.active, len(measured), comment=comment, partition_columns=partition_columns,
+                        row_count=measured[0].total if measured else None)
     return Profile(block, with_privacy(joined, options.mask_range))
 
 

@@ -8,12 +8,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import is_blank, strip, tokens
 from ..schemas import TABLE_TARGET
-from .profile import VERBOSE_FIELDS
+from .profile import VERBOSE_FIELDS, VOLATILE_FIELDS
 from .skew import number_by_ordinal
 
 # Batch size, budgets and the default comment template.
 COLUMNS_PER_PROMPT = 25
-SUMMARY_LENGTH = 500
+FALLBACK_LENGTH = 500
+SUMMARY_RULES = (
+    "Condense the context notes that follow. Keep every name of a table or column, key, join condition, unit and code "
+    "meaning; drop repetition. Answer with the condensed notes only."
+)
 TABLE_REQUIRED = ("purpose", "business_definition", "grain", "primary_keys", "join_keys")
 TABLE_RECOMMENDED = (
     "technical_owner", "data_owner", "freshness_sla", "source_systems", "downstream_consumers",
@@ -23,12 +27,12 @@ TABLE_RECOMMENDED = (
 COLUMN_REQUIRED = ("definition",)
 # field -> (condition, rule)
 COLUMN_CONDITIONAL = {
-    "units": ("numeric_measure", "if a numeric measure, state the unit"),
-    "allowed_values": ("enum", "if an enum, map each value to its meaning"),
-    "null_meaning": ("nullable", "if nullable, what NULL signifies"),
-    "fk_reference": ("fk", "if a foreign key, give catalog.schema.table.column"),
-    "derivation": ("computed", "if computed/derived, the logic"),
-    "sensitivity": ("pii", "if PII, note the sensitivity class"),
+    "units": ("numeric_measure", "the unit of every number that measures something"),
+    "allowed_values": ("enum", "for a short list of codes, what each code stands for"),
+    "null_meaning": ("nullable", "where values can be missing, what a missing one says"),
+    "fk_reference": ("fk", "for a reference, the full name of the column it points to"),
+    "derivation": ("computed", "for a calculated value, how it comes about"),
+    "sensitivity": ("pii", "for personal data, which kind it is"),
 }
 CONDITIONS = ("numeric_measure", "enum", "nullable", "fk", "computed", "pii", "always")
 WEIGHT_TOLERANCE = 1e-6
@@ -104,7 +108,7 @@ def _short_context(context: Column) -> Column:
 
 def table_prompts(tables: DataFrame, contexts: DataFrame) -> DataFrame:
     """One prompt per table."""
-    profile = F.to_json(F.struct(F.struct(*tables.columns).alias("table")))
+    profile = F.to_json(F.struct(F.struct(*[c for c in tables.columns if c not in VOLATILE_FIELDS]).alias("table")))
     return tables.select("table_ref", "existing_comment", profile.alias("profile")).join(
         contexts, "table_ref", "left").select(
         F.concat_ws("|", "table_ref", F.lit(TABLE_TARGET)).alias("prompt_id"), "table_ref",
@@ -150,23 +154,44 @@ def prompt_cost(system: Column, context: Column, profile: Column, instruction: C
     return tokens(system) + context_cost + tokens(F.concat(F.lit("PROFILE:\n"), profile)) + tokens(instruction)
 
 
-def fit_prompts(prompts: DataFrame, budget: int | None,
-                summary: Callable[[Column], Column] | None = None) -> DataFrame:
+def _halved() -> Column:
+    size = F.size("context")
+    half = F.when(size > 0, F.slice("context", F.lit(1), F.greatest(F.lit(1), F.floor(size / 2).cast("int"))))
+    return F.coalesce(half, F.col("context"))
+
+
+def summary_requests(prompts: DataFrame, budget: int) -> DataFrame:
+    """What a summarising model is asked, for the prompts that half their context leaves over budget: ``prompt_id, messages``."""
+    steps = prompts.withColumn("_half", _halved()).filter(F.size("context") > 0)
+    over = prompt_cost(F.col("system"), F.col("_half"), F.col("profile"), F.col("instruction")) > budget
+    listed = F.array(F.struct(F.lit("system").alias("role"), F.lit(SUMMARY_RULES).alias("content")),
+                     F.struct(F.lit("user").alias("role"), _lines(F.col("_half")).alias("content")))
+    return steps.filter(over).select("prompt_id", F.to_json(listed).alias("messages"))
+
+
+def fit_prompts(prompts: DataFrame, budget: int | None, summary: Callable[[Column], Column] | None = None,
+                summaries: DataFrame | None = None, fallback_length: int = FALLBACK_LENGTH) -> DataFrame:
     """Prompts within the budget, made smaller step by step: half the context, a summary, a brief profile.
 
-    ``actions`` names the steps that made a prompt smaller. One still too large after all of them is
-    sent as it is then, with ``within_budget`` false.
+    The summary is an expression over the halved context, or the replies to ``summary_requests``
+    (``prompt_id, reply, failure``); the first ``fallback_length`` characters stand in only where that
+    call failed. With neither, the context stays halved. ``actions`` names the steps that made a prompt
+    smaller. One still too large after all of them is sent as it is then, with ``within_budget`` false.
     """
     if budget is None:
         return prompts.withColumns({
             "actions": F.array().cast("array<string>"), "within_budget": F.lit(True),
             "tokens": prompt_cost(F.col("system"), F.col("context"), F.col("profile"), F.col("instruction"))})
-    shorten = summary or (lambda text: F.left(text, F.lit(SUMMARY_LENGTH)))
-    size = F.size("context")
-    half = F.when(size > 0, F.slice("context", F.lit(1), F.greatest(F.lit(1), F.floor(size / 2).cast("int"))))
-    steps = prompts.withColumn("_half", F.coalesce(half, F.col("context")))
-    one = F.array(F.struct(F.lit("summary").alias("source"), shorten(_lines(F.col("_half"))).alias("text")))
-    steps = steps.withColumn("_short", F.when(size > 0, one.cast(CONTEXT_LIST)).otherwise(F.col("_half")))
+    steps = prompts.withColumn("_half", _halved())
+    whole = _lines(F.col("_half"))
+    if summaries is not None:
+        told = summaries.select("prompt_id", F.when(F.col("failure").isNull() & ~is_blank(F.col("reply")), F.col("reply")).alias("_told"))
+        steps = steps.join(told, "prompt_id", "left")
+        text = F.coalesce("_told", F.left(whole, F.lit(fallback_length)))
+    else:
+        text = summary(whole) if summary else F.lit(None).cast("string")
+    one = F.array(F.struct(F.lit("summary").alias("source"), text.alias("text"))).cast(CONTEXT_LIST)
+    steps = steps.withColumn("_short", F.when((F.size("context") > 0) & text.isNotNull(), one).otherwise(F.col("_half")))
 
     def cost(context: str, profile: str) -> Column:
         return prompt_cost(F.col("system"), F.col(context), F.col(profile), F.col("instruction"))
@@ -186,7 +211,7 @@ def fit_prompts(prompts: DataFrame, budget: int | None,
         "actions": F.array_compact(F.array(*taken)), "tokens": used, "within_budget": used <= budget,
         "context": F.when(F.col("_rung") == 0, F.col("context")).when(F.col("_rung") == 1, F.col("_half")).otherwise(F.col("_short")),
         "profile": F.when(F.col("_rung") == 3, F.col("brief_profile")).otherwise(F.col("profile")),
-    }).drop("_half", "_short", "_t0", "_t1", "_t2", "_t3", "_rung")
+    }).drop("_half", "_short", "_told", "_t0", "_t1", "_t2", "_t3", "_rung")
 
 
 def messages() -> Column:

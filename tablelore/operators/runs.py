@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import ref_part
-from ..schemas import REVIEWABLE_SESSION_STATUSES, RUN_COUNT_KEYS, TERMINAL_SESSION_STATUSES
+from ..schemas import FINISHED_SESSION_STATUSES, REVIEWABLE_SESSION_STATUSES, RUN_COUNT_KEYS
 from .review import confidence_summary
 
 KIND_COUNTS = {"ready_for_review": "ready", "needs_input": "needs_input"}
@@ -13,8 +13,8 @@ LONGEST_PAGE = 200
 
 
 def pending_tables(tables: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Tables of a run without a finished session in it, so that a rerun redoes what broke off."""
-    done = sessions.filter(F.col("status").isin(*TERMINAL_SESSION_STATUSES)).select(
+    """Tables of a run without a finished session in it, so that a rerun redoes what failed or broke off."""
+    done = sessions.filter(F.col("status").isin(*FINISHED_SESSION_STATUSES)).select(
         "schema_run_id", F.concat_ws(".", "catalog", "schema", "table").alias("table_ref")).distinct()
     return tables.join(done, ["schema_run_id", "table_ref"], "left_anti")
 
@@ -71,15 +71,19 @@ def update_runs(runs: DataFrame, changes: DataFrame, at: Column) -> DataFrame:
     return joined.withColumns(out).select(*runs.columns)
 
 
-def _page(df: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
-    return df.orderBy(*order).offset(max(0, int(offset))).limit(max(1, min(int(limit), LONGEST_PAGE)))
+def page_of(df: DataFrame, order: list[Column], limit: int, offset: int, longest: int) -> DataFrame:
+    """One page of ordered rows; a page longer than ``longest`` is refused, not shortened."""
+    if not 1 <= limit <= longest or offset < 0:
+        raise ValueError(f"limit must be 1 to {longest} and offset not negative, got {limit} and {offset}")
+    return df.orderBy(*order).offset(offset).limit(limit)
 
 
 def session_history(sessions: DataFrame, drafts: DataFrame, *, status: str | None = None, table: str | None = None,
-                    schema_run_id: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+                    schema_run_id: str | None = None, limit: int = 50, offset: int = 0,
+                    longest: int = LONGEST_PAGE) -> DataFrame:
     """One page of sessions, newest first, with their column counts.
 
-    The page is cut first, so drafts are only counted for its sessions; it has at most 200 rows.
+    The page is cut first, so drafts are only counted for its sessions; it has at most ``longest`` rows.
     """
     kept = sessions
     if status is not None:
@@ -89,10 +93,10 @@ def session_history(sessions: DataFrame, drafts: DataFrame, *, status: str | Non
         kept = kept.filter((F.col("catalog") == catalog) & (F.col("schema") == schema) & (F.col("table") == name))
     if schema_run_id is not None:
         kept = kept.filter(F.col("schema_run_id") == schema_run_id)
-    shown = _page(kept, [F.col("updated_at").desc(), F.col("session_id")], limit, offset)
+    shown = page_of(kept, [F.col("updated_at").desc(), F.col("session_id")], limit, offset, longest)
     counts = (
         drafts.filter(F.col("target") != "__table__")
-        .join(F.broadcast(shown.select("session_id")), "session_id", "left_semi")
+        .join(shown.select("session_id"), "session_id", "left_semi")
         .groupBy("session_id")
         .agg(F.count(F.lit(1)).alias("n_columns"), F.count_if(F.col("apply_status") == "applied").alias("n_applied"))
     )
@@ -102,8 +106,8 @@ def session_history(sessions: DataFrame, drafts: DataFrame, *, status: str | Non
         F.coalesce("n_applied", F.lit(0)).alias("n_applied"))
 
 
-def list_runs(runs: DataFrame, *, limit: int = 50, offset: int = 0) -> DataFrame:
-    return _page(runs, [F.col("created_at").desc(), F.col("id")], limit, offset)
+def list_runs(runs: DataFrame, *, limit: int = 50, offset: int = 0, longest: int = LONGEST_PAGE) -> DataFrame:
+    return page_of(runs, [F.col("created_at").desc(), F.col("id")], limit, offset, longest)
 
 
 def run_detail(sessions: DataFrame, drafts: DataFrame, run_id: str | None = None) -> DataFrame:

@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import append_line, tokens
 from ..schemas import TABLE_TARGET
+from .profile import VOLATILE_FIELDS
 
 # Rubric dimensions and their weights.
 RUBRIC = {"completeness": 0.30, "specificity": 0.30, "grounding": 0.25, "template_conformance": 0.15}
+MEANINGS = {
+    "completeness": "what the template asks for is there", "specificity": "it says more than the name and type do",
+    "grounding": "every claim has its evidence", "template_conformance": "shape and length are as asked",
+}
 
 
 def clean_score(raw: Column) -> Column:
@@ -52,15 +57,21 @@ def score_drafts(drafts: DataFrame, verdicts: DataFrame, rubric: dict[str, float
     }).select(*drafts.columns)
 
 
+def judge_content(kind: Column, draft: Column, evidence: Column) -> Column:
+    """The message a judge gets about one draft."""
+    return F.concat(F.lit("DRAFT ("), kind, F.lit(" comment):\n"), draft, F.lit("\n\nEVIDENCE:\n"), evidence)
+
+
 def evidence_rows(drafts: DataFrame, tables: DataFrame, columns: DataFrame, keys: DataFrame,
-                  snippets: DataFrame, budget: int | None = None) -> DataFrame:
+                  snippets: DataFrame, budget: int | None = None, system: str = "") -> DataFrame:
     """What each draft is judged on, as JSON; drafts in error are not judged.
 
     ``keys`` has one ``schema_meta`` text and ``snippets`` one ``context`` array per table. Over the
-    budget the context is replaced by its size; the draft and its own profile always stay.
+    budget the context is replaced by its size; the draft and its own profile always stay. The budget
+    is for the messages as sent, ``system`` included.
     """
     open_drafts = drafts.filter(F.col("status") != "error")
-    table_profile = tables.select("table_ref", F.to_json(F.struct(*tables.columns)).alias("table_profile"))
+    table_profile = tables.select("table_ref", F.to_json(F.struct(*[c for c in tables.columns if c not in VOLATILE_FIELDS])).alias("table_profile"))
     column_profile = columns.select(
         "table_ref", F.col("name").alias("target"), F.to_json(F.struct(*columns.columns)).alias("column_profile"))
     joined = (
@@ -80,8 +91,9 @@ def evidence_rows(drafts: DataFrame, tables: DataFrame, columns: DataFrame, keys
 
     full = evidence(F.to_json(context))
     count = F.when(F.size(context) > 0, F.format_string("<%d context snippets omitted to fit budget>", F.size(context)))
-    cost = tokens(F.concat(draft, full))
+    kind = F.when(is_table, "table").otherwise("column")
+    cost = tokens(F.lit(system)) + tokens(judge_content(kind, draft, full))
     chosen = full if budget is None else F.when(cost > budget, evidence(count)).otherwise(full)
     return joined.select(
         "session_id", "table_ref", "target",
-        F.when(is_table, "table").otherwise("column").alias("kind"), draft.alias("draft"), chosen.alias("evidence"))
+        kind.alias("kind"), draft.alias("draft"), chosen.alias("evidence"))

@@ -17,15 +17,15 @@ def slice_of(columns: Sequence[str], slices: int) -> Column:
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
-                slice_by: Sequence[str], rank: str = "rank", sliced: bool | None = None) -> DataFrame:
+                slice_by: Sequence[str], rank: str = "rank", sliced: bool = True) -> DataFrame:
     """The first ``n`` rows of each key, with their position.
 
     The filter on ``row_number`` lets Spark cut every task's rows to ``n`` per key before the
-    shuffle. For a larger ``n`` each key is first cut down in slices, so that the last step sees
-    at most ``n`` rows per slice however many rows the key has. ``sliced`` asks for that for any
-    ``n``: after a join on the same keys, whose hot tasks can be split only if rows move again.
+    shuffle. Each key is first cut down in slices, so that the last step sees at most ``n`` rows per
+    slice however many rows the key has, also after a join on the same keys. A caller whose keys have
+    few rows by construction may switch the slices off.
     """
-    if n > 10 if sliced is None else sliced:
+    if sliced:
         within = Window.partitionBy(*keys, _SALT).orderBy(*order)
         df = (
             df.withColumn(_SALT, slice_of(slice_by, spread(df.sparkSession)))

@@ -16,8 +16,9 @@ from ..sources.sampling import Sample
 Model = inference.Model
 QUESTIONS_PER_PROMPT = 25
 JUDGE_RULES = (
-    "Score the comment draft below on each of " + ", ".join(scoring.RUBRIC) + " from 0 to 1. Lower grounding "
-    "for every claim the evidence does not bear out, and name it as an issue. Answer with one JSON object: "
+    "Score the comment draft below, from 0 to 1, on each of: "
+    + "; ".join(f"{name} ({meaning})" for name, meaning in scoring.MEANINGS.items()) + ". Name every claim the "
+    "evidence does not bear out as an issue. Answer with one JSON object: "
     '{"subscores": {dimension: number}, "issues": [text]}'
 )
 ANSWER_RULES = (
@@ -28,23 +29,27 @@ ANSWER_RULES = (
 
 @dataclass(frozen=True)
 class Settings:
+    """``replies`` is a folder that keeps every reply of a model, so that a run begun again asks only what is missing."""
+
     mode: str = "hands_off"
     keep_threshold: float = gate.KEEP_THRESHOLD
     context_budget: int = context.CONTEXT_BUDGET
     prompt_budget: int | None = None
     columns_per_prompt: int = prompts.COLUMNS_PER_PROMPT
     calls_at_once: int | None = None
+    replies: str | None = None
     sample: Sample = Sample()
     profile: profile.ProfileOptions = profile.ProfileOptions()
 
 
 @dataclass(frozen=True)
 class Models:
-    """The callables asked for drafts, scores and suggested answers; each takes chat messages."""
+    """The callables asked for drafts, scores, suggested answers and summaries; each takes chat messages."""
 
     write: Model
     judge: Model
     suggest: Model | None = None
+    summarise: Model | None = None
 
 
 @dataclass(frozen=True)
@@ -82,41 +87,66 @@ def session_key(run: str, table_ref: Column) -> Column:
     return F.sha2(F.concat_ws("\n", F.lit(run), table_ref), 256)
 
 
-def _asked(prompted: DataFrame, model: Model, settings: Settings) -> DataFrame:
-    """Replies, stored: a model may answer differently when asked again."""
-    return cut_lineage(inference.infer(prompted, model, partitions=settings.calls_at_once))
+REPLIES = "call_id string, reply string, failure string"
+
 
+def _asked(prompted: DataFrame, model: Model, settings: Settings, stage: str) -> DataFrame:
+    """Replies, stored: a model may answer differently when asked again.
 
-def _drafts(state: Documented, tables: DataFrame, columns: DataFrame, model: Model) -> DataFrame:
+    With ``settings.replies`` each prompt is asked once ever per stage: its words are its key. Failed
+    calls are not kept, so they are made again by the next run.
+    """
+    if settings.replies is None:
+        return cut_lineage(inference.infer(prompted, model, partitions=settings.calls_at_once))
+    folder = f"{settings.replies.rstrip('/')}/{stage}"
+    spark = prompted.sparkSession
+    spark.createDataFrame([], REPLIES).write.mode("append").parquet(folder)
+    named = cut_lineage(prompted.withColumn("call_id", F.sha2(F.concat_ws("\n", "prompt_id", "messages"), 256)))
+    known = cut_lineage(spark.read.schema(REPLIES).parquet(folder).dropDuplicates(["call_id"]))
+    fresh = cut_lineage(inference.infer(named, model, done=known, key="call_id", partitions=settings.calls_at_once).select(
+        "call_id", "reply", "failure"))
+    fresh.filter("failure IS NULL").write.mode("append").parquet(folder)
+    return cut_lineage(named.join(known.unionByName(fresh).dropDuplicates(["call_id"]), "call_id").drop("call_id"))
+
+
+def _fitted(asked: DataFrame, models: Models, settings: Settings, stage: str) -> DataFrame:
+    """Prompts within the budget; contexts that halving leaves too long are summarised by the model."""
+    if settings.prompt_budget is None or models.summarise is None:
+        return prompts.fit_prompts(asked, settings.prompt_budget)
+    told = _asked(prompts.summary_requests(asked, settings.prompt_budget), models.summarise, settings, f"{stage}_summaries")
+    return prompts.fit_prompts(asked, settings.prompt_budget, summaries=told)
+
+
+def _drafts(state: Documented, tables: DataFrame, columns: DataFrame, models: Models) -> DataFrame:
     """Drafts of the tables and the columns given; columns are asked for with the fresh table comment."""
     settings = state.settings
     ids = state.sessions.select("session_id", F.concat_ws(".", "catalog", "schema", "table").alias("table_ref"))
     contexts = prompts.context_lists(state.snippets)
     meta = prompts.schema_meta(state.keys.declared, state.keys.foreign)
 
-    asked = prompts.fit_prompts(prompts.table_prompts(tables, contexts), settings.prompt_budget)
+    asked = _fitted(prompts.table_prompts(tables, contexts), models, settings, "tables")
     asked = asked.join(ids, "table_ref").select(
         "prompt_id", "session_id", "table_ref", "existing_comment", "actions", prompts.messages().alias("messages"))
-    of_tables = inference.table_drafts(_asked(asked, model, settings))
+    of_tables = inference.table_drafts(_asked(asked, models.write, settings, "tables"))
     comments = of_tables.filter("status <> 'error'").select("table_ref", F.col("proposed_comment").alias("comment"))
 
     asked = prompts.column_prompts(columns, contexts, meta, comments, settings.columns_per_prompt)
-    asked = prompts.fit_prompts(asked, settings.prompt_budget).join(ids, "table_ref").select(
+    asked = _fitted(asked, models, settings, "columns").join(ids, "table_ref").select(
         "prompt_id", "session_id", "table_ref", "asked", "actions", prompts.messages().alias("messages"))
-    of_columns = inference.column_drafts(_asked(asked, model, settings))
+    of_columns = inference.column_drafts(_asked(asked, models.write, settings, "columns"))
     return of_tables.unionByName(of_columns)
 
 
 def _judged(state: Documented, drafts: DataFrame, model: Model) -> DataFrame:
     contexts = prompts.context_lists(state.snippets)
     meta = prompts.schema_meta(state.keys.declared, state.keys.foreign)
-    rows = scoring.evidence_rows(drafts, state.tables, state.columns, meta, contexts, state.settings.prompt_budget)
-    content = F.concat(F.lit("DRAFT:\n"), "draft", F.lit("\n\nEVIDENCE:\n"), "evidence")
+    rows = scoring.evidence_rows(drafts, state.tables, state.columns, meta, contexts, state.settings.prompt_budget, JUDGE_RULES)
+    content = scoring.judge_content(F.col("kind"), F.col("draft"), F.col("evidence"))
     listed = F.array(F.struct(F.lit("system").alias("role"), F.lit(JUDGE_RULES).alias("content")),
                      F.struct(F.lit("user").alias("role"), content.alias("content")))
     asked = rows.select(F.concat_ws("|", "session_id", "target").alias("prompt_id"), "session_id", "target",
                         F.to_json(listed).alias("messages"))
-    replies = _asked(asked, model, state.settings)
+    replies = _asked(asked, model, state.settings, "scores")
     return cut_lineage(scoring.score_drafts(drafts, inference.verdicts(replies)))
 
 
@@ -140,7 +170,7 @@ def _suggested(state: Documented, questions: DataFrame, model: Model | None) ->
                      F.struct(F.lit("user").alias("role"), content.alias("content")))
     asked = grouped.select(F.concat_ws("|", "session_id", F.col("batch").cast("string")).alias("prompt_id"), "session_id",
                            F.to_json(listed).alias("messages"))
-    return cut_lineage(inference.suggest_answers(questions, inference.answers_of(_asked(asked, model, state.settings))))
+    return cut_lineage(inference.suggest_answers(questions, inference.answers_of(_asked(asked, model, state.settings, "answers"))))
 
 
 def _gated(state: Documented, drafts: DataFrame, models: Models) -> Documented:
@@ -178,7 +208,7 @@ def document(spark: SparkSession, tables: Mapping[str, Callable[[], DataFrame]],
         now.alias("created_at"), now.alias("updated_at"))
     state = Documented(profiles, columns, keys, cut_lineage(gathered.snippets), spark.createDataFrame([], inference.DRAFT),
                        spark.createDataFrame([], "session_id string"), cut_lineage(sessions), made.errors, gathered.warnings, settings)
-    return _gated(state, _judged(state, _drafts(state, profiles, columns, models.write), models.judge), models)
+    return _gated(state, _judged(state, _drafts(state, profiles, columns, models), models.judge), models)
 
 
 def _redone(state: Documented, targets: DataFrame, models: Models) -> Documented:
@@ -187,7 +217,7 @@ def _redone(state: Documented, targets: DataFrame, models: Models) -> Documented
     named = cut_lineage(targets.join(ids, "session_id"))
     tables = state.tables.join(named, "table_ref", "left_semi")
     columns = state.columns.join(named.select("table_ref", F.col("target").alias("name")), ["table_ref", "name"], "left_semi")
-    fresh = _drafts(state, tables, columns, models.write).join(named, ["session_id", "target"], "left_semi")
+    fresh = _drafts(state, tables, columns, models).join(named, ["session_id", "target"], "left_semi")
     merged = review.merge_redrafts(state.drafts, _judged(state, cut_lineage(fresh), models.judge))
     return _gated(state, merged, models)
 

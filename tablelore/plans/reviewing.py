@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import apply, library, review
-from ..session import cut_lineage
+from ..session import checkpoint_folder, cut_lineage
+from ..sources.store import append_audit
 
 
 @dataclass(frozen=True)
@@ -43,12 +44,19 @@ class Written:
 
 
 def write_back(drafts: DataFrame, live: DataFrame, entries: DataFrame, by: str, at: Column, *,
-               confirm: bool | str = False, targets: DataFrame | None = None, out: str | None = None) -> Written:
+               confirm: bool | str = False, targets: DataFrame | None = None, out: str | None = None,
+               run: str | None = None, audit: str | None = None) -> Written:
     """Writes reviewed comments to the catalog and records what happened to each.
 
     The plan is stored before anything runs, so that every later step sees the comments as they were.
+    Outcomes go to ``out``, in a folder of this ``run``; without it to the session's shared folder. With
+    ``audit`` the audit rows are appended there.
     """
     plan = cut_lineage(apply.plan_apply(drafts, live, confirm=confirm, targets=targets))
-    done = cut_lineage(apply.results(plan, apply.execute(plan, out)))
-    return Written(done, apply.mark_applied(drafts, done, by, at), apply.audit_rows(done, by, at),
+    folder = out or f"{checkpoint_folder(drafts.sparkSession).rstrip('/')}/outcomes"
+    done = cut_lineage(apply.results(plan, apply.execute(plan, folder, run)))
+    trail = apply.audit_rows(done, by, at)
+    if audit:
+        append_audit(trail, audit)
+    return Written(done, apply.mark_applied(drafts, done, by, at), trail,
                    library.upsert(entries, apply.library_rows(done, by, at)))

@@ -12,6 +12,7 @@ SESSION_STATUSES = (
     "applying", "applied", "paused", "failed", "cancelled",
 )
 TERMINAL_SESSION_STATUSES = ("awaiting_input", "ready_for_review", "applied", "failed", "cancelled")
+FINISHED_SESSION_STATUSES = ("awaiting_input", "ready_for_review", "applied", "cancelled")
 REVIEWABLE_SESSION_STATUSES = ("ready_for_review", "awaiting_input")
 PHASE_ROLLUP = {"judging": "reasoning", "gating": "reasoning"}
 DRAFT_STATUSES = (

@@ -157,7 +157,47 @@ def test_schema_run_and_write_back(spark, tmp_path):
     plan = apply.plan_apply(reviewed.drafts, apply.live_comments(spark, [ref]), confirm=True)
     broken = plan.withColumn("decision", F.lit("write")).withColumn("statement", F.when(
         F.col("target") == "id", "COMMENT ON TABLE nowhere.at IS 'x'").otherwise("COMMENT ON TABLE lore_test.b IS 'again'"))
-    outcomes = {r.target: r.error for r in apply.execute(broken).collect()}
+    outcomes = {r.target: r.error for r in apply.execute(broken, str(tmp_path / "broken")).collect()}
     assert outcomes["id"] and outcomes["__table__"] is None
+
+    windows = "path C:\\temp\\new, it's here\\"
+    edited = reviewed.drafts.withColumn("proposed_comment", F.lit(windows))
+    for _ in range(2):  # a second run into one folder gives one row per item again
+        now_live = apply.live_comments(spark, [ref])
+        second = write_back(edited, now_live, entries, "me", now, confirm=True, out=str(tmp_path / "outcomes"), audit=str(tmp_path / "audit"))
+        rows = second.results.collect()
+        assert len(rows) == len({r.target for r in rows}) == 2
+    assert {r.result for r in rows} == {"skipped_noop"} and spark.read.parquet(str(tmp_path / "audit")).count() == 2
+    live = {r.target: r.live for r in apply.live_comments(spark, [ref]).collect()}
+    assert live["__table__"] == live["id"] == windows
     for name in ("a", "b"):
         spark.sql(f"DROP TABLE lore_test.{name}")
+
+
+def test_a_run_begun_again_asks_only_what_is_missing(spark, tmp_path):
+    rows = spark.range(100).select((F.col("id") % 2).alias("tier"), F.col("id").alias("k"))
+    log = str(tmp_path / "calls")
+    open(log, "w").close()
+
+    def counted(model, fails=False):
+        def ask(messages):
+            with open(log, "a") as file:
+                file.write("x")
+            if fails:
+                raise RuntimeError("down")
+            return model(messages)
+        return ask
+
+    def run(judge_fails):
+        models = Models(counted(write), counted(judge, judge_fails))
+        made = document(spark, {"c.s.t": lambda: rows}, models, settings=Settings(mode="batch", replies=str(tmp_path / "replies")), run="r9")
+        made.drafts.count()
+        calls = len(open(log).read())
+        open(log, "w").close()
+        return calls, {r.target: r.status for r in made.drafts.collect()}
+
+    first, broken = run(True)
+    again, mended = run(False)
+    third, _ = run(False)
+    assert set(broken.values()) == {"error"} and "error" not in mended.values()
+    assert (first, again, third) == (5, 3, 0)

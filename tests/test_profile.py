@@ -149,3 +149,15 @@ def test_scan_of_every_value(spark):
     (0.0015, "0.1% unique"), (0.0025, "0.3% unique"), (0.0075, "0.8% unique"), (0.125, "13% unique"), (1.0, "100% unique"), (0.5, "50% unique")])
 def test_share_labels(spark, ratio, label):
     assert spark.createDataFrame([(ratio,)], "r double").select(share_label(F.col("r")).alias("s")).first().s == label
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_values_without_order_or_equality_are_profiled(spark, exact):
+    rows = spark.sql("""SELECT parse_json(concat('{"a":', id % 3, '}')) AS v, make_interval(0, CAST(id % 4 AS INT)) AS i, id
+                        FROM range(60) UNION ALL SELECT NULL, NULL, 60""")
+    made = profile_table(rows, "c.s.t", ProfileOptions(exact=exact))
+    found = {r.name: r for r in made.columns.collect()}
+    assert (found["v"].distinct_count, found["i"].distinct_count, found["id"].distinct_count) == (3, 4, 61 if exact else found["id"].distinct_count)
+    assert found["i"].min is None and found["i"].max is None and found["id"].max == "60"
+    assert {x["count"] for x in found["v"].top_k} == {20} and found["v"].top_k[0]["value"] == '{"a":0}'
+    assert made.tables.first().row_count == 61

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tablelore.operators import history
+from tablelore.operators import history, lineage
 from tablelore.operators.skew import number_by_ordinal, prefix_within_budget, top_per_key
 
 
@@ -68,16 +68,23 @@ def test_mentions_equal_containment(spark):
     assert got == {(n, i) for i, _, text in log for n in names if n.lower() in text.lower()}
 
 
-def test_recent_statements_by_broadcast_and_by_shuffle(spark, monkeypatch):
+def test_recent_statements_of_a_hot_table(spark):
     log = spark.createDataFrame([(i, i % 50, f"SELECT 1 FROM a.b.{key_of(i)}") for i in range(900)],
                                 "statement_id int, start_time int, statement_text string")
     targets = spark.createDataFrame([("a.b.hot",), ("a.b.k3",)], "table_ref string")
-    rows = []
-    for bound in (500_000, 0):
-        monkeypatch.setattr(history, "BROADCAST_ROWS", bound)
-        rows.append(sorted(tuple(r) for r in history.recent_mentions(log, targets, 20).collect()))
+    rows = sorted(tuple(r) for r in history.recent_mentions(log, targets, 20).collect())
     expected = []
     for ref in ("a.b.hot", "a.b.k3"):
         hits = sorted((i for i in range(900) if f"a.b.{key_of(i)}".startswith(ref)), key=lambda i: (-(i % 50), i))[:20]
         expected += [(ref, i, i % 50, place, f"SELECT 1 FROM a.b.{key_of(i)}") for place, i in enumerate(hits, start=1)]
-    assert rows[0] == rows[1] == sorted(expected)
+    assert rows == sorted(expected)
+
+
+def test_a_hub_table_lists_its_first_names(spark):
+    edges = spark.createDataFrame([(f"c.s.n{i % 700:03d}", "c.s.hub" if i % 100 else "c.s.other") for i in range(1400)],
+                                  "source_table_full_name string, target_table_full_name string")
+    columns = spark.createDataFrame([], "source_table_full_name string, source_column_name string, "
+                                        "target_table_full_name string, target_column_name string")
+    targets = spark.createDataFrame([("c.s.hub",)], "table_ref string")
+    text = lineage.lineage_snippets(edges, columns, targets, names_listed=3).first().text
+    assert text == "Upstream sources (lineage): c.s.n001, c.s.n002, c.s.n003."

@@ -171,7 +171,7 @@ def test_prompt_steps_keep_what_fits(spark):
                                  "profile string, brief_profile string, instruction string")
     for budget, actions, fits in ((1000, [], True), (260, ["trim_context"], True), (160, ["trim_context", "summarize_context"], True),
                                   (5, ["trim_context", "summarize_context", "reduce_profile"], False)):
-        row = prompts.fit_prompts(rows, budget).first()
+        row = prompts.fit_prompts(rows, budget, summary=lambda text: F.left(text, F.lit(500))).first()
         assert (row.actions, row.within_budget) == (actions, fits)
 
 
@@ -205,3 +205,29 @@ def test_replaced_partitions_and_audit(spark, tmp_path):
     for _ in range(2):
         store.append_audit(audit, str(tmp_path / "audit"))
     assert spark.read.parquet(str(tmp_path / "audit")).count() == 2
+
+
+def test_failed_summaries_fall_back_to_a_prefix(spark):
+    rows = spark.createDataFrame([(i, "s", [("src", f"note {i} " + "x" * 400)] * 4, "p" * 40, "p", "go") for i in ("a", "b", "c")],
+                                 "prompt_id string, system string, context array<struct<source:string,text:string>>, "
+                                 "profile string, brief_profile string, instruction string")
+    asked = prompts.summary_requests(rows, 160)
+    assert asked.count() == 3 and prompts.summary_requests(rows, 260).count() == 0
+
+    def condense(messages):
+        if "note b" in messages[1]["content"]:
+            raise RuntimeError("busy")
+        return "short notes" if "note a" in messages[1]["content"] else " "
+
+    fitted = prompts.fit_prompts(rows, 160, summaries=inference.infer(asked, condense), fallback_length=30)
+    told = {r.prompt_id: r.context[0].text for r in fitted.collect()}
+    assert told["a"] == "short notes" and told["b"].startswith("- (src) note b") and len(told["b"]) == 30 and len(told["c"]) == 30
+    assert prompts.fit_prompts(rows, 160).first().context[1].text.startswith("note")  # without a model nothing is cut
+
+
+def test_pages_that_are_too_long_are_refused(spark):
+    rows = spark.range(5).select(F.col("id").cast("string"), F.lit(1).alias("created_at"))
+    assert runs.list_runs(rows, limit=2, offset=1).count() == 2
+    with pytest.raises(ValueError):
+        runs.list_runs(rows, limit=201)
+    assert runs.list_runs(rows, limit=201, longest=500).count() == 5

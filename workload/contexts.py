@@ -36,9 +36,9 @@ def foreign_keys(t: Tables) -> DataFrame:
 @query("catalog_columns", """
 SELECT concat('main.sales.', replace(constraint_name, 'pk_', 't')) AS table_ref, column_name AS name,
   ordinal_position AS ordinal, ordinal_position % 2 = 1 AS nullable FROM key_columns
-WHERE constraint_name LIKE 'pk%' AND column_name <> 'c4'""", ["key_columns"])
+WHERE column_name <> 'c4'""", ["key_columns"])
 def catalog_columns(t: Tables) -> DataFrame:
-    keys = t["key_columns"].filter("constraint_name LIKE 'pk%'")
+    keys = t["key_columns"]
     listed = keys.select(
         F.lit("main").alias("table_catalog"), F.lit("sales").alias("table_schema"),
         F.replace("constraint_name", F.lit("pk_"), F.lit("t")).alias("table_name"),
@@ -116,8 +116,10 @@ uses AS (SELECT table_ref, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS item,
 placed AS (SELECT *, row_number() OVER (PARTITION BY table_ref ORDER BY uses DESC, seen) AS place FROM uses)"""
 
 
-JOIN_SQL = counted_sql(r"(?i)\bON\s+([\w.`]+\s*=\s*[\w.`]+)")
-GROUP_SQL = counted_sql(r"(?i)\bGROUP\s+BY\b\s+([\w.`,\s]+?)(?:\bORDER\b|\bLIMIT\b|$)")
+JOIN_PATTERN_SQL = r"(?i)\bON\s+([\w.`]+\s*=\s*[\w.`]+)"
+GROUP_PATTERN_SQL = r"(?i)\bGROUP\s+BY\b\s+([\w.`,\s]+?)(?:\bORDER\b|\bLIMIT\b|$)"
+JOIN_SQL = counted_sql(JOIN_PATTERN_SQL)
+GROUP_SQL = counted_sql(GROUP_PATTERN_SQL)
 PLACED = " SELECT table_ref, item, uses, place FROM placed WHERE place <= 5"
 
 
@@ -256,19 +258,31 @@ def context_small_budget(t: Tables) -> DataFrame:
     return context.within_budget(snippet_rows(t), 150).select("doc_id", "table_ref", "relevance")
 
 
+def told_sql(pattern: str, head: str, tail: str, relevance: float, seq: int) -> str:
+    """One usage snippet per table: its most frequent matches of the pattern."""
+    return f"""SELECT table_ref, concat('{head}', string_agg(item, '; ' ORDER BY place), '{tail}') AS text, {relevance} AS relevance, 0 AS provider_seq, {seq} AS seq
+  FROM (SELECT *, row_number() OVER (PARTITION BY table_ref ORDER BY uses DESC, seen) AS place FROM
+    (SELECT table_ref, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS item, count(*) AS uses, min(rank * 1000 + spot) AS seen FROM
+      (SELECT table_ref, rank, unnest(regexp_extract_all(statement_text, '{pattern}', 1)) AS raw,
+         generate_subscripts(regexp_extract_all(statement_text, '{pattern}', 1), 1) AS spot FROM recent WHERE rank <= 200) GROUP BY 1, 2))
+  WHERE place <= 5 GROUP BY table_ref"""
+
+
 @query("gathered_context", f"""
 WITH {MENTIONED}, counts AS (SELECT table_ref, count(*) AS n FROM recent WHERE rank <= 200 GROUP BY table_ref),
 observed AS (SELECT table_ref, concat('Observed in ', n, ' recent queries referencing this table.') AS text, 0.5 AS relevance, 0 AS provider_seq, 0 AS seq FROM counts),
+joined AS ({told_sql(JOIN_PATTERN_SQL, 'Common join conditions (query history): ', '.', 0.75, 1)}),
+grain AS ({told_sql(GROUP_PATTERN_SQL, 'Common GROUP BY (grain hint): ', '.', 0.65, 2)}),
 results AS (SELECT concat('main.sales.t', user_id % 40) AS table_ref, concat('plain ', event_type) AS text, 0.6 AS relevance, 1 AS provider_seq,
   row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) AS seq FROM events),
 costed AS (SELECT *, greatest(1, round_even(length(text) / 4.0, 0)) AS cost FROM
-  (SELECT * FROM observed UNION ALL SELECT * FROM results WHERE seq <= 8)),
+  (SELECT * FROM observed UNION ALL SELECT * FROM joined UNION ALL SELECT * FROM grain UNION ALL SELECT * FROM results WHERE seq <= 8)),
 summed AS (SELECT *, sum(cost) OVER w AS used, row_number() OVER w AS place FROM costed
   WINDOW w AS (PARTITION BY table_ref ORDER BY relevance DESC, provider_seq, seq ROWS UNBOUNDED PRECEDING))
-SELECT table_ref, text, relevance FROM summed WHERE used <= 20 OR place = 1""", LOG, relevance="double")
+SELECT table_ref, text, relevance FROM summed WHERE used <= 60 OR place = 1""", LOG, relevance="double")
 def gathered_context(t: Tables) -> DataFrame:
     def counted(targets: DataFrame) -> DataFrame:
-        return history.usage_snippets(t["query_log"], targets).filter("seq = 0")
+        return history.usage_snippets(t["query_log"], targets)
 
     def noted(targets: DataFrame) -> DataFrame:
         results = t["events"].select(
@@ -279,7 +293,7 @@ def gathered_context(t: Tables) -> DataFrame:
     def down(targets: DataFrame) -> DataFrame:
         raise ConnectionError("no answer")
 
-    made = context.gather({"query_history": counted, "wiki": noted, "tickets": down}, t["log_targets"], budget=20)
+    made = context.gather({"query_history": counted, "wiki": noted, "tickets": down}, t["log_targets"], budget=60)
     return made.snippets.select("table_ref", "text", "relevance")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tablelore.functions.loose_json import json_body
 from tablelore.functions.text import clean_facts, clean_tags
 from tablelore.operators import gate, inference, prompts, scoring
+from tablelore.operators.context import within_budget
 from tablelore.schemas import ASKING_MODES
 
 from .tables import Tables, query
@@ -27,23 +28,43 @@ def column_batches(t: Tables) -> DataFrame:
     return prompts.column_batches(order_columns(t)).select("table_ref", "name", "batch")
 
 
-@query("column_prompts", """
-WITH named AS (SELECT DISTINCT concat('main.sales.s', l_suppkey) AS table_ref, concat_ws('_', 'c', l_orderkey, l_linenumber) AS name, l_orderkey AS ordinal FROM lineitem),
+SUPPLIER_NOTES = """notes AS (SELECT concat('main.sales.s', doc_id % 100 + 1) AS table_ref, text, source, relevance, provider_seq, seq FROM snippets),
+costed AS (SELECT *, cast(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, round_even(length(text) / 4.0, 0)) END AS bigint) AS cost FROM notes),
+summed AS (SELECT *, sum(cost) OVER w AS used, row_number() OVER w AS place FROM costed
+  WINDOW w AS (PARTITION BY table_ref ORDER BY relevance DESC, provider_seq, seq, text, source ROWS UNBOUNDED PRECEDING)),
+told AS (SELECT table_ref, count(*) AS notes, md5(string_agg(concat(source, ':', text), chr(10) ORDER BY place)) AS context
+  FROM summed WHERE used <= 500 OR place = 1 GROUP BY table_ref)"""
+
+
+def notes_of(t: Tables, table_ref) -> DataFrame:
+    """The documents as notes on the tables of the drafts, cut to a token budget."""
+    rows = t["snippets"].withColumn("table_ref", table_ref).withColumn("informs", F.array().cast("array<string>"))
+    return prompts.context_lists(within_budget(rows, 500))
+
+
+def supplier_notes(t: Tables) -> DataFrame:
+    return notes_of(t, F.concat(F.lit("main.sales.s"), F.col("doc_id") % 100 + 1))
+
+
+@query("column_prompts", f"""
+WITH {SUPPLIER_NOTES}, named AS (SELECT DISTINCT concat('main.sales.s', l_suppkey) AS table_ref, concat_ws('_', 'c', l_orderkey, l_linenumber) AS name, l_orderkey AS ordinal FROM lineitem),
 numbered AS (SELECT *, (row_number() OVER (PARTITION BY table_ref ORDER BY ordinal, name) - 1) // 25 AS batch FROM named),
 grouped AS (SELECT table_ref, batch, count(*) AS asked, string_agg(name, ', ' ORDER BY ordinal, name) AS names FROM numbered GROUP BY ALL)
-SELECT concat(table_ref, '|', batch) AS prompt_id, asked, CASE WHEN s_acctbal > 5000 THEN concat('The table comment, just drafted:
+SELECT concat(grouped.table_ref, '|', batch) AS prompt_id, asked, CASE WHEN s_acctbal > 5000 THEN concat('The table comment, just drafted:
 ', s_name, '
 
-Draft comments for columns: ', names, '.') ELSE concat('Draft comments for columns: ', names, '.') END AS instruction
-FROM grouped JOIN supplier ON table_ref = concat('main.sales.s', s_suppkey)""", asked="int")
+Draft comments for columns: ', names, '.') ELSE concat('Draft comments for columns: ', names, '.') END AS instruction,
+  coalesce(notes, 0) AS notes, coalesce(context, md5('')) AS context
+FROM grouped JOIN supplier ON grouped.table_ref = concat('main.sales.s', s_suppkey) LEFT JOIN told ON told.table_ref = grouped.table_ref""",
+       ["snippets"], asked="int", notes="int")
 def column_prompts(t: Tables) -> DataFrame:
     columns = order_columns(t).withColumns({"data_type": F.lit("bigint"), "existing_comment": F.lit(None).cast("string")})
     comments = t["supplier"].select(F.concat(F.lit("main.sales.s"), "s_suppkey").alias("table_ref"),
                                     F.when(F.col("s_acctbal") > 5000, F.col("s_name")).otherwise(" ").alias("comment"))
-    edges = t["snippets"].withColumn("informs", F.array().cast("array<string>"))
     meta = t.spark.createDataFrame([], "table_ref string, schema_meta string")
-    made = prompts.column_prompts(columns, prompts.context_lists(edges), meta, comments)
-    return made.select("prompt_id", F.size("asked").alias("asked"), "instruction")
+    made = prompts.column_prompts(columns, supplier_notes(t), meta, comments)
+    told = F.array_join(F.transform("context", lambda c: F.concat_ws(":", c["source"], c["text"])), "\n")
+    return made.select("prompt_id", F.size("asked").alias("asked"), "instruction", F.size("context").alias("notes"), F.md5(told).alias("context"))
 
 
 def document_prompts(t: Tables) -> DataFrame:
@@ -74,7 +95,7 @@ SELECT doc_id, cast(CASE rung WHEN 0 THEN t0 WHEN 1 THEN t1 WHEN 2 THEN t2 ELSE
   concat_ws(',', CASE WHEN rung >= 1 AND t1 < t0 THEN 'trim_context' END, CASE WHEN rung >= 2 AND t2 < t1 THEN 'summarize_context' END,
     CASE WHEN rung >= 3 AND t3 < t2 THEN 'reduce_profile' END) AS actions FROM steps""")
 def prompt_steps(t: Tables) -> DataFrame:
-    fitted = prompts.fit_prompts(document_prompts(t), 600)
+    fitted = prompts.fit_prompts(document_prompts(t), 600, summary=lambda text: F.left(text, F.lit(500)))
     return fitted.select("doc_id", "tokens", "within_budget", F.array_join("actions", ",").alias("actions"))
 
 
@@ -103,7 +124,7 @@ SELECT table_ref, name AS target, CASE WHEN right(head, 1) = '7' OR right(name,
 def model_drafts(t: Tables) -> DataFrame:
     columns = order_columns(t).withColumns({"data_type": F.lit("bigint"), "existing_comment": F.lit(None).cast("string")})
     empty = t.spark.createDataFrame([], "table_ref string, schema_meta string")
-    contexts = prompts.context_lists(t["snippets"].withColumn("informs", F.array().cast("array<string>")))
+    contexts = supplier_notes(t)
     asked = prompts.column_prompts(columns, contexts, empty, empty.withColumnRenamed("schema_meta", "comment"))
     fitted = prompts.fit_prompts(asked, None).withColumn("messages", prompts.messages())
     replies = inference.infer(
@@ -269,7 +290,7 @@ def evidence_sizes(t: Tables) -> DataFrame:
     drafts = t["drafts"].withColumn("evidence_refs", F.array().cast("array<string>"))
     columns = t["drafts"].filter("target <> '__table__'").select("table_ref", F.col("target").alias("name"), "ordinal")
     tables = t["sessions"].select(F.concat(F.lit("main.sales.t"), "session_id").alias("table_ref"), "status")
-    contexts = prompts.context_lists(t["snippets"].withColumn("informs", F.array().cast("array<string>")))
+    contexts = notes_of(t, F.concat(F.lit("main.sales.t"), F.col("doc_id") * 4))
     meta = t.spark.createDataFrame([], "table_ref string, schema_meta string")
     rows = scoring.evidence_rows(drafts, tables, columns, meta, contexts, 1000)
     return rows.select("session_id", "target", "kind", F.col("evidence").contains("ordinal").alias("has_profile"))

@@ -144,8 +144,8 @@ def apply_decisions(t: Tables) -> DataFrame:
 
 
 @query("apply_statements", f"""WITH {PLAN} SELECT session_id, target, CASE WHEN target = '__table__'
-  THEN concat('COMMENT ON TABLE `', replace(table_ref, '.', '`.`'), '` IS ''', replace(proposed_comment, '''', ''''''), '''')
-  ELSE concat('ALTER TABLE `', replace(table_ref, '.', '`.`'), '` ALTER COLUMN `', target, '` COMMENT ''', replace(proposed_comment, '''', ''''''), '''') END AS statement
+  THEN concat('COMMENT ON TABLE `', replace(table_ref, '.', '`.`'), '` IS ''', replace(replace(proposed_comment, chr(92), chr(92) || chr(92)), '''', ''''''), '''')
+  ELSE concat('ALTER TABLE `', replace(table_ref, '.', '`.`'), '` ALTER COLUMN `', target, '` COMMENT ''', replace(replace(proposed_comment, chr(92), chr(92) || chr(92)), '''', ''''''), '''') END AS statement
 FROM plan WHERE decision = 'write'""", APPLY_INPUTS)
 def apply_statements(t: Tables) -> DataFrame:
     return plan(t).filter("decision = 'write'").select("session_id", "target", "statement")
@@ -212,7 +212,7 @@ def every_base_table(t: Tables) -> DataFrame:
 
 @query("pending_tables", """
 SELECT concat('run', o_custkey % 100) AS schema_run_id, concat('main.s', o_custkey % 20, '.t', o_orderkey) AS table_ref FROM orders
-WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW')""")
+WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '5-LOW')""")
 def pending_tables(t: Tables) -> DataFrame:
     tables = t["orders"].select(F.concat(F.lit("run"), F.col("o_custkey") % 100).alias("schema_run_id"),
                                 F.concat(F.lit("main.s"), F.col("o_custkey") % 20, F.lit(".t"), "o_orderkey").alias("table_ref"))
@@ -258,12 +258,12 @@ def run_list(t: Tables) -> DataFrame:
 
 
 @query("session_history", """
-WITH page AS (SELECT * FROM sessions WHERE status = 'applied' ORDER BY updated_at DESC, session_id LIMIT 200 OFFSET 5)
+WITH page AS (SELECT * FROM sessions ORDER BY updated_at DESC, session_id LIMIT 500 OFFSET 5)
 SELECT session_id, concat_ws('.', catalog, schema, "table") AS target, status, created_by,
   (SELECT count(*) FROM column_drafts c WHERE c.session_id = s.session_id) AS n_columns,
   (SELECT count(*) FROM column_drafts c WHERE c.session_id = s.session_id AND apply_status = 'applied') AS n_applied FROM page s""", ["sessions", "column_drafts"])
 def session_history(t: Tables) -> DataFrame:
-    shown = runs.session_history(t["sessions"], t["drafts"], status="applied", limit=500, offset=5)
+    shown = runs.session_history(t["sessions"], t["drafts"], limit=500, offset=5, longest=500)
     return shown.select("session_id", "target", "status", "created_by", "n_columns", "n_applied")
 
 

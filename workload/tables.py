@@ -50,7 +50,7 @@ SELECT cast(l_orderkey AS string) AS session_id,
             ELSE concat('Supplied by ', cast(min(l_suppkey) AS string)) END AS current_comment,
        CASE WHEN max(l_tax) = 0 THEN '  '
             WHEN min(l_suppkey) % 3 = 0 THEN 'as supplied '
-            ELSE concat('Part ', cast(min(l_partkey) AS string), '''s quantity') END AS proposed_comment,
+            ELSE concat('Part ', cast(min(l_partkey) AS string), '''s quantity in C:', chr(92), 'new', chr(92)) END AS proposed_comment,
        CASE WHEN max(l_discount) > 0.05 THEN 'seen in the profile' END AS rationale,
        max(l_quantity) / 50 AS confidence,
        CASE max(concat(l_returnflag, l_linestatus))
@@ -222,10 +222,11 @@ FROM drafts WHERE status = 'needs_input'
 """
 
 INPUTS["answers"] = """
-SELECT cast(l_orderkey AS string) AS session_id, concat('q', cast(l_linenumber % 7 AS string)) AS qid,
+SELECT cast(l_orderkey AS string) AS session_id,
+       concat(CASE WHEN l_linestatus = 'O' THEN 'q' ELSE 'p' END, cast(l_linenumber % 7 AS string)) AS qid,
        CASE WHEN l_tax = 0 THEN ' ' ELSE concat(' part ', cast(l_partkey AS string)) END AS answer,
        l_extendedprice + l_suppkey * 1000000 AS seq
-FROM {lineitem} WHERE l_linestatus = 'O'
+FROM {lineitem}
 """
 
 INPUTS["column_profiles"] = """
@@ -238,14 +239,18 @@ FROM {lineitem} GROUP BY l_orderkey, l_linenumber
 
 INPUTS["informs"] = """
 SELECT concat('main.sales.t', cast(l_orderkey AS string)) AS table_ref,
-       CASE l_linenumber WHEN 1 THEN '_id' WHEN 2 THEN 'tier' WHEN 3 THEN 'ab_' ELSE concat('col', cast(l_linenumber AS string)) END AS name
-FROM {lineitem} WHERE l_returnflag = 'A'
+       CASE WHEN l_returnflag <> 'A' THEN concat('other', cast(l_linenumber AS string))
+            WHEN l_linenumber = 1 THEN '_id' WHEN l_linenumber = 2 THEN 'tier' WHEN l_linenumber = 3 THEN 'ab_'
+            ELSE concat('col', cast(l_linenumber AS string)) END AS name
+FROM {lineitem}
 """
 
 INPUTS["declared_fks"] = """
 SELECT concat('main.sales.t', cast(l_orderkey AS string)) AS table_ref,
-       CASE l_linenumber WHEN 1 THEN '_id' WHEN 2 THEN 'tier' WHEN 3 THEN 'ab_' ELSE concat('col', cast(l_linenumber AS string)) END AS column
-FROM {lineitem} WHERE l_shipdate < timestamp '1997-01-01 00:00:00'
+       CASE WHEN l_shipdate >= timestamp '1997-01-01 00:00:00' THEN concat('other', cast(l_linenumber AS string))
+            WHEN l_linenumber = 1 THEN '_id' WHEN l_linenumber = 2 THEN 'tier' WHEN l_linenumber = 3 THEN 'ab_'
+            ELSE concat('col', cast(l_linenumber AS string)) END AS column
+FROM {lineitem}
 """
 
 # What each input reads besides the supplied tables, in the order the texts need.
