@@ -7,81 +7,98 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.loose_json import text_list, text_map
-from ..schemas import TABLE_TARGET
-
-DRAFT_STATE = (
-    "struct<column_name:string,ordinal:int,data_type:string,current_comment:string,proposed_comment:string,"
-    "rationale:string,confidence:double,tags:array<string>,evidence_refs:array<string>,status:string,"
-    "apply_status:string,applied_comment:string>"
-)
+from ..schemas import DRAFT, TABLE_TARGET
+
+DRAFT_FIELDS = {
+    "column_name": "string", "ordinal": "int", "data_type": "string", "current_comment": "string", "proposed_comment": "string",
+    "rationale": "string", "confidence": "double", "judge_scores": "map<string,double>", "issues": "array<string>",
+    "tags": "array<string>", "evidence_refs": "array<string>", "facts": "map<string,string>",
+    "conditional_fields": "map<string,string>", "status": "string", "apply_status": "string", "applied_comment": "string",
+    "applied_at": "timestamp", "applied_by": "string",
+}
+DRAFT_STATE = "struct<" + ",".join(f"{name}:{kind}" for name, kind in DRAFT_FIELDS.items()) + ">"
+CONTEXT_STATE = "struct<text:string,source:string,informs:array<string>,relevance:double>"
+QUESTION_STATE = ("struct<id:string,target_kind:string,target_name:string,text:string,answered:boolean,"
+                  "suggested_answer:string>")
 STATE = (
     "target string, session_id string, template_id string, phase string, "
     "config struct<mode:string,keep_threshold:double>, "
-    "context array<struct<text:string,source:string,informs:array<string>,relevance:double>>, "
-    f"table_draft {DRAFT_STATE}, column_drafts array<{DRAFT_STATE}>, "
-    "open_questions array<struct<id:string,target_kind:string,target_name:string,text:string,answered:boolean,"
-    "suggested_answer:string>>"
+    f"context array<{CONTEXT_STATE}>, table_draft {DRAFT_STATE}, column_drafts array<{DRAFT_STATE}>, "
+    f"open_questions array<{QUESTION_STATE}>"
 )
-COLUMNS_PER_SNAPSHOT = 500
+COLUMNS_PER_PART = 500
+# Drafts and questions without a number are spread over this many parts by their name.
+UNNUMBERED_PARTS = 64
 
 
 def read_state(snapshots: DataFrame, column: str = "state") -> DataFrame:
-    """Snapshots as nested rows; what a snapshot leaves out gets its default."""
-    parsed = snapshots.withColumn("_s", F.from_json(F.col(column), STATE)).drop(column)
+    """Snapshots as nested rows; what a snapshot leaves out gets its default.
+
+    ``config``, ``profile`` and ``schema_meta`` come back as the JSON they were stored as.
+    """
+    raw = {name: F.get_json_object(column, f"$.{name}") for name in ("config", "profile", "schema_meta")}
+    parsed = snapshots.withColumns({"_s": F.from_json(F.col(column), STATE), **{f"_{n}": v for n, v in raw.items()}}).drop(column)
     mode = F.coalesce("_s.config.mode", F.lit("interactive"))
     threshold = F.coalesce("_s.config.keep_threshold", F.lit(0.75))
 
     def listed(name: str, of: str) -> Column:
         return F.coalesce(f"_s.{name}", F.array().cast(f"array<{of}>"))
 
+    own = ("_s", "target", "session_id", *[f"_{n}" for n in raw])
     return parsed.select(
-        *[c for c in parsed.columns if c not in ("_s", "target", "session_id")],
+        *[c for c in parsed.columns if c not in own],
         F.col("_s.target").alias("target"), F.col("_s.session_id").alias("session_id"),
         F.col("_s.template_id").alias("template_id"), F.coalesce("_s.phase", F.lit("created")).alias("phase"),
-        mode.alias("mode"), threshold.alias("keep_threshold"),
-        listed("context", "struct<text:string,source:string,informs:array<string>,relevance:double>").alias("context"),
+        mode.alias("mode"), threshold.alias("keep_threshold"), *[F.col(f"_{n}").alias(n) for n in raw],
+        listed("context", CONTEXT_STATE).alias("context"),
         F.col("_s.table_draft").alias("table_draft"), listed("column_drafts", DRAFT_STATE).alias("column_drafts"),
-        listed("open_questions", "struct<id:string,target_kind:string,target_name:string,text:string,"
-               "answered:boolean,suggested_answer:string>").alias("open_questions"))
+        listed("open_questions", QUESTION_STATE).alias("open_questions"))
+
+
+def whole_sessions(state: DataFrame) -> DataFrame:
+    """One row per session from the rows of its parts; a session is as large as its table is wide."""
+    lists = ("context", "column_drafts", "open_questions")
+    single = ("target", "template_id", "phase", "mode", "keep_threshold", "config", "profile", "schema_meta", "table_draft")
+    return state.groupBy("session_id").agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in single], *[F.flatten(F.collect_list(c)).alias(c) for c in lists])
 
 
 def drafts_of_state(state: DataFrame) -> DataFrame:
-    """The drafts inside the snapshots, table draft first."""
+    """The drafts inside the snapshots, table draft first, with every field of a draft."""
     none = F.array().cast("array<string>")
     both = F.concat(F.array_compact(F.array("table_draft")), F.col("column_drafts"))
     rows = state.select("session_id", F.col("target").alias("table_ref"), F.explode(both).alias("d"))
-    return rows.select(
-        "session_id", "table_ref", F.coalesce("d.column_name", F.lit(TABLE_TARGET)).alias("target"),
-        F.col("d.ordinal").alias("ordinal"), F.col("d.data_type").alias("data_type"),
-        F.col("d.current_comment").alias("current_comment"), F.col("d.proposed_comment").alias("proposed_comment"),
-        F.col("d.rationale").alias("rationale"), F.col("d.confidence").alias("confidence"),
-        F.coalesce("d.tags", none).alias("tags"), F.coalesce("d.evidence_refs", none).alias("evidence_refs"),
-        F.coalesce("d.status", F.lit("draft")).alias("status"),
-        F.coalesce("d.apply_status", F.lit("not_applied")).alias("apply_status"),
-        F.col("d.applied_comment").alias("applied_comment"))
-
-
-def write_state(sessions: DataFrame, drafts: DataFrame, questions: DataFrame,
-                width: int = COLUMNS_PER_SNAPSHOT) -> DataFrame:
-    """Sessions as JSON snapshots: ``session_id, part, state``.
-
-    A snapshot holds the columns of ``width`` ordinals; a table with more has several parts, so no
-    session has to fit in one row. Most have one part, which is the whole session.
+    fields = {
+        "session_id": F.col("session_id"), "table_ref": F.col("table_ref"),
+        "target": F.coalesce("d.column_name", F.lit(TABLE_TARGET)), "subscores": F.col("d.judge_scores"),
+        "tags": F.coalesce("d.tags", none), "evidence_refs": F.coalesce("d.evidence_refs", none),
+        "status": F.coalesce("d.status", F.lit("draft")), "apply_status": F.coalesce("d.apply_status", F.lit("not_applied"))}
+    return rows.select(*[(fields[n] if n in fields else F.col(f"d.{n}")).alias(n) for n in DRAFT.names])
+
+
+def write_state(sessions: DataFrame, drafts: DataFrame, questions: DataFrame, extras: DataFrame | None = None,
+                width: int = COLUMNS_PER_PART) -> DataFrame:
+    """Sessions as JSON snapshots, one row per session and part: ``session_id, part, state``.
+
+    A part holds the columns of ``width`` ordinals, so that no session has to fit in one row; part 0 is
+    always there and carries what is said once. ``extras`` adds per session a ``context`` array and the
+    JSON texts ``profile`` and ``schema_meta``. ``whole_sessions`` puts the parts together again.
     """
-    def part(ordinal: Column) -> Column:
-        return F.floor(F.coalesce(ordinal, F.lit(0)) / width).cast("int")
-
-    fields = [
-        F.when(F.col("target") != TABLE_TARGET, F.col("target")).alias("column_name"),
-        *[F.col(c) for c in ("ordinal", "data_type", "current_comment", "proposed_comment", "rationale", "confidence",
-                             "tags", "evidence_refs", "status", "apply_status", "applied_comment")]]
-    packed = drafts.select("session_id", part(F.col("ordinal")).alias("part"), "target", "ordinal", F.struct(*fields).alias("d"))
+    def part(number: Column, name: str) -> Column:
+        return F.coalesce(F.floor(number / width), F.pmod(F.xxhash64(name), F.lit(UNNUMBERED_PARTS))).cast("int")
+
     is_table = F.col("target") == TABLE_TARGET
+    have = set(drafts.columns)
+    named = {"judge_scores": "subscores"}
+    fields = [F.when(~is_table, F.col("target")).alias("column_name")] + [
+        F.col(named.get(f, f)).alias(f) for f in DRAFT_FIELDS if named.get(f, f) in have]
+    packed = drafts.select("session_id", F.when(is_table, 0).otherwise(part(F.col("ordinal"), "target")).alias("part"),
+                           "target", "ordinal", F.struct(*fields).alias("d"))
     grouped = packed.groupBy("session_id", "part").agg(
         F.max(F.when(is_table, F.to_json("d"))).alias("table_draft"),
         F.sort_array(F.collect_list(F.when(~is_table, F.struct("ordinal", "target", F.to_json("d").alias("body"))))).alias("cols"))
     number = F.regexp_extract("qid", r"\d+", 0).try_cast("int")
-    asked = questions.withColumn("part", part(number)).groupBy("session_id", "part").agg(
+    asked = questions.withColumn("part", part(number, "qid")).groupBy("session_id", "part").agg(
         F.sort_array(F.collect_list(F.struct(number.alias("n"), F.to_json(F.struct(
             F.col("qid").alias("id"), "target_kind", "target_name", "text", "answered", "suggested_answer")).alias("body")))).alias("qs"))
     first = sessions.select("session_id", F.lit(0).alias("part"))
@@ -89,18 +106,26 @@ def write_state(sessions: DataFrame, drafts: DataFrame, questions: DataFrame,
         first.join(grouped, ["session_id", "part"], "full_outer").join(asked, ["session_id", "part"], "full_outer")
         .join(sessions.drop("part"), "session_id")
     )
+    none = F.lit(None).cast("string")
+    if extras is None:
+        parts = parts.withColumns({"context": none, "profile": none, "schema_meta": none})
+    else:
+        told = extras.select("session_id", F.lit(0).alias("part"), F.to_json("context").alias("context"), "profile", "schema_meta")
+        parts = parts.join(told, ["session_id", "part"], "left")
+    stored = F.col("config") if "config" in sessions.columns else none
 
     def bodies(name: str) -> Column:
         return F.concat(F.lit("["), F.coalesce(F.array_join(F.transform(name, lambda x: x["body"]), ","), F.lit("")), F.lit("]"))
 
     head = F.to_json(F.struct(
-        F.concat_ws(".", "catalog", "schema", "table").alias("target"), "session_id", "template_id",
-        F.col("status").alias("phase"), F.struct("mode").alias("config")))
-    state = F.concat(
-        F.regexp_replace(head, r"\}$", ""),
-        F.lit(',"table_draft":'), F.coalesce("table_draft", F.lit("null")),
-        F.lit(',"column_drafts":'), bodies("cols"), F.lit(',"open_questions":'), bodies("qs"), F.lit("}"))
-    return parts.select("session_id", "part", state.alias("state"))
+        F.concat_ws(".", "catalog", "schema", "table").alias("target"), "session_id", "template_id", F.col("status").alias("phase")))
+    pieces = [F.regexp_replace(head, r"\}$", "")]
+    for name, body in (("config", F.coalesce(stored, F.to_json(F.struct("mode")))), ("context", F.coalesce("context", F.lit("[]"))),
+                       ("profile", F.coalesce("profile", F.lit("null"))), ("schema_meta", F.coalesce("schema_meta", F.lit("null"))),
+                       ("table_draft", F.coalesce("table_draft", F.lit("null"))), ("column_drafts", bodies("cols")),
+                       ("open_questions", bodies("qs"))):
+        pieces += [F.lit(f',"{name}":'), body]
+    return parts.select("session_id", "part", F.concat(*pieces, F.lit("}")).alias("state"))
 
 
 def uuid_or_null(value: Column) -> Column:

@@ -164,8 +164,8 @@ def apply_summary(t: Tables) -> DataFrame:
 
 
 @query("apply_audit", f"""WITH {DONE} SELECT session_id, CASE WHEN target = '__table__' THEN 'table' ELSE 'column' END AS draft_kind, 'applied' AS action,
-  concat('{{"comment":', CASE WHEN live IS NULL THEN 'null' ELSE concat('"', live, '"') END, '}}') AS before,
-  concat('{{"comment":"', proposed_comment, '"}}') AS after FROM done WHERE result = 'applied'""", APPLY_INPUTS)
+  concat('{{"comment":', CASE WHEN live IS NULL THEN 'null' ELSE concat('"', replace(live, chr(92), chr(92) || chr(92)), '"') END, '}}') AS before,
+  concat('{{"comment":"', replace(proposed_comment, chr(92), chr(92) || chr(92)), '"}}') AS after FROM done WHERE result = 'applied'""", APPLY_INPUTS)
 def apply_audit(t: Tables) -> DataFrame:
     return apply.audit_rows(done(t), "me", F.current_timestamp()).select("session_id", "draft_kind", "action", "before", "after")
 
@@ -307,15 +307,38 @@ def rewritten_drafts(t: Tables) -> DataFrame:
     return store.rewrite_drafts(stored, fresh, saved).select("session_id", "target", "status")
 
 
-@query("state_round_trip", """SELECT session_id, target, ordinal, status, confidence, proposed_comment FROM drafts
-WHERE session_id IN (SELECT session_id FROM sessions)""", ["drafts", "sessions"])
+@query("state_round_trip", """
+SELECT d.session_id, concat_ws('.', s.catalog, s.schema, s."table") AS table_ref, target, ordinal, d.status, confidence, current_comment,
+  proposed_comment, rationale, apply_status, concat(d.status, '/', coalesce(confidence, 0) > 0.5) AS scored, concat('owner of ', target) AS owner,
+  'null means ' || d.status AS null_meaning, d.status AS issue, CASE WHEN apply_status = 'applied' THEN 'me' END AS applied_by,
+  CASE WHEN apply_status = 'applied' THEN 1577836800 END AS applied_at, 'ready in ' || s.mode AS note,
+  CASE WHEN s.mode = 'hands_off' THEN 0.5 ELSE 0.75 END AS keep_threshold, s.mode, s.status AS phase, concat('{"rows":', d.session_id, '}') AS profile,
+  (SELECT count(*) FROM questions q WHERE q.session_id = d.session_id) AS questions
+FROM drafts d JOIN sessions s ON d.session_id = s.session_id""", ["drafts", "sessions", "questions"], keep_threshold="double")
 def state_round_trip(t: Tables) -> DataFrame:
+    """Every field of a draft, the settings, the context and the profile, through snapshots of several parts."""
     none = F.array().cast("array<string>")
-    drafts = t["drafts"].withColumns({"data_type": F.lit("bigint"), "tags": none, "evidence_refs": none, "applied_comment": F.lit(None).cast("string")})
+    applied = F.col("apply_status") == "applied"
+    drafts = t["drafts"].withColumns({
+        "data_type": F.lit("bigint"), "tags": none, "evidence_refs": none, "applied_comment": F.lit(None).cast("string"),
+        "subscores": F.create_map("status", F.coalesce("confidence", F.lit(0.0))), "issues": F.array("status"),
+        "facts": F.create_map(F.lit("owner"), F.concat(F.lit("owner of "), "target")),
+        "conditional_fields": F.create_map(F.lit("null_meaning"), F.concat(F.lit("null means "), "status")),
+        "applied_by": F.when(applied, "me"), "applied_at": F.when(applied, F.timestamp_seconds(F.lit(1577836800)))})
     questions = t["questions"].withColumn("target_kind", F.when(F.col("target_name").isNull(), "table").otherwise("column")).withColumn("text", F.lit("?"))
-    snapshots = store.write_state(t["sessions"], drafts, questions, width=4)
-    return store.drafts_of_state(store.read_state(snapshots)).select(
-        "session_id", "target", "ordinal", "status", "confidence", "proposed_comment")
+    sessions = t["sessions"].withColumn("config", F.when(F.col("mode") == "hands_off", F.to_json(F.struct("mode", F.lit(0.5).alias("keep_threshold")))))
+    note = F.struct(F.concat(F.lit("ready in "), "mode").alias("text"), F.lit("wiki").alias("source"), none.alias("informs"), F.lit(0.5).alias("relevance"))
+    extras = sessions.select("session_id", F.array(note).alias("context"), F.concat(F.lit('{"rows":'), "session_id", F.lit("}")).alias("profile"),
+                             F.lit(None).cast("string").alias("schema_meta"))
+    whole = store.whole_sessions(store.read_state(store.write_state(sessions, drafts, questions, extras, width=4)))
+    about = whole.select("session_id", F.get("context", F.lit(0))["text"].alias("note"), "keep_threshold", "mode", "phase", "profile",
+                         F.size("open_questions").cast("bigint").alias("questions"))
+    score = F.map_keys("subscores")[0]
+    return store.drafts_of_state(whole).join(about, "session_id").select(
+        "session_id", "table_ref", "target", "ordinal", "status", "confidence", "current_comment", "proposed_comment", "rationale", "apply_status",
+        F.concat(score, F.lit("/"), (F.map_values("subscores")[0] > 0.5).cast("string")).alias("scored"), F.col("facts")["owner"].alias("owner"),
+        F.col("conditional_fields")["null_meaning"].alias("null_meaning"), F.col("issues")[0].alias("issue"), "applied_by",
+        F.unix_timestamp("applied_at").cast("int").alias("applied_at"), "note", "keep_threshold", "mode", "phase", "profile", "questions")
 
 
 @query("lenient_columns", """
