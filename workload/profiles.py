@@ -92,9 +92,22 @@ def profile_lineitem(t: Tables) -> DataFrame:
     return shown(column_stats(t["lineitem"], "samples.tpch.lineitem", EXACT))
 
 
-@query("profile_lineitem_approximate")
+def beside_exact(found: DataFrame, t: Tables) -> DataFrame:
+    """Statistics of lineitem with the exact distinct counts beside them, as ``exact``."""
+    exact = column_stats(t["lineitem"], "samples.tpch.lineitem", EXACT).select("name", F.col("distinct_count").alias("exact"))
+    return found.join(exact, "name")
+
+
+LINEITEM_SQL = stats_sql("lineitem", "samples.tpch.lineitem", columns_of("lineitem"))
+
+
+@query("profile_lineitem_approximate", f"""SELECT name, data_type, null_fraction, min_text, max_text, true AS is_close
+FROM ({LINEITEM_SQL})""")
 def profile_lineitem_approximate(t: Tables) -> DataFrame:
-    return shown(column_stats(t["lineitem"], "samples.tpch.lineitem"))
+    """Estimates differ by at most a fifth, four deviations of the sketch."""
+    stats = beside_exact(shown(column_stats(t["lineitem"], "samples.tpch.lineitem")), t)
+    near = F.abs(F.col("distinct_count") - F.col("exact")) <= 0.2 * F.col("exact")
+    return stats.select("name", "data_type", "null_fraction", "min_text", "max_text", near.alias("is_close"))
 
 
 @query("profile_every_table", "\nUNION ALL\n".join(
@@ -225,19 +238,33 @@ def prompt_profile_fields(t: Tables) -> DataFrame:
     return without_verbose_fields(profile_table(t["customer"], "samples.tpch.customer", EXACT).columns).select("name", "ordinal")
 
 
-@query("row_sample")
+@query("row_sample", "SELECT least(500, count(*)) AS kept, least(500, count(*)) AS known, least(500, count(*)) AS different FROM orders")
 def row_sample(t: Tables) -> DataFrame:
-    return apply_sample(t["orders"], Sample("rows", 500))
+    """How many rows a sample of 500 has, how many of them are rows of the table, and how many differ."""
+    kept = apply_sample(t["orders"], Sample("rows", 500)).withColumn("_kept", F.lit(1))
+    known = kept.join(t["orders"], t["orders"].columns, "left_semi")
+    counted = kept.agg(F.count(F.lit(1)).alias("kept"), F.count_distinct("o_orderkey").alias("different"))
+    return counted.withColumn("one", F.lit(1)).join(
+        known.agg(F.count(F.lit(1)).alias("known"), F.lit(1).alias("one")), "one").select("kept", "known", "different")
 
 
-@query("percent_sample")
+@query("percent_sample", """SELECT l_returnflag, count(*) AS total, true AS about_a_tenth FROM lineitem GROUP BY l_returnflag""")
 def percent_sample(t: Tables) -> DataFrame:
-    return apply_sample(t["lineitem"], Sample("percent", 10))
+    """Whether a tenth of the rows of each flag is kept, within five deviations."""
+    kept = apply_sample(t["lineitem"], Sample("percent", 10)).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("kept"))
+    total = t["lineitem"].groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("total"))
+    near = F.abs(F.col("kept") - 0.1 * F.col("total")) <= 5 * F.sqrt(0.09 * F.col("total"))
+    return total.join(kept, "l_returnflag").select("l_returnflag", "total", near.alias("about_a_tenth"))
 
 
-@query("profile_of_sample")
+@query("profile_of_sample", f"SELECT name, type_class, true AS is_subset, true AS is_estimate FROM ({LINEITEM_SQL})")
 def profile_of_sample(t: Tables) -> DataFrame:
-    return shown(profile_table(t["lineitem"], "samples.tpch.lineitem", sample=Sample("percent", 20)).columns)
+    """A sample's profile never has more distinct values than the table, and says that it is an estimate."""
+    made = profile_table(t["lineitem"], "samples.tpch.lineitem", EXACT, sample=Sample("percent", 20))
+    columns = beside_exact(made.columns.select("table_ref", "name", "type_class", "distinct_count"), t)
+    return columns.join(made.tables, "table_ref").select(
+        "name", "type_class", (F.col("distinct_count") <= F.col("exact")).alias("is_subset"),
+        (F.col("row_count_is_estimate") & F.col("sampled")).alias("is_estimate"))
 
 
 @query("profile_versions", """

@@ -260,16 +260,17 @@ NEEDS = {
     "questions": ("table_drafts", "column_drafts", "drafts"),
     "library_keys": ("library",),
 }
-def ctes(names: Iterable[str]) -> str:
+def ctes(names: Iterable[str], once: str = "") -> str:
+    """The inputs as leading subqueries; ``once`` is what keeps an engine from running one for each use."""
     ordered: list[str] = []
     for name in names:
         ordered += [n for n in (*NEEDS.get(name, ()), name) if n not in ordered]
-    return "WITH " + ",\n".join(f"{n} AS ({INPUTS[n].strip()})" for n in ordered) if ordered else ""
+    return "WITH " + ",\n".join(f"{n} AS {once}({INPUTS[n].strip()})" for n in ordered) if ordered else ""
 
 
 def oracle(sql: str, inputs: Iterable[str] = ()) -> str:
     """The SQL for the checking engine: supplied tables by name, inputs as leading subqueries."""
-    head = ctes(inputs)
+    head = ctes(inputs, once="MATERIALIZED ")
     for table in COLUMNS:
         head = head.replace("{" + table + "}", table)
     text = head.replace("AS table,", 'AS "table",').replace("AS column\n", 'AS "column"\n')
