@@ -11,6 +11,7 @@ from ..operators import context, gate, inference, profile, prompts, review, scor
 from ..operators.runs import session_table
 from ..schemas import TABLE_TARGET
 from ..session import cut_lineage
+from ..sources import store
 from ..sources.sampling import Sample
 
 Model = inference.Model
@@ -235,3 +236,46 @@ def resume(state: Documented, answers: DataFrame, models: Models) -> Documented:
 def regenerate(state: Documented, requests: DataFrame, models: Models) -> Documented:
     """Drafts the requested targets again; ``requests`` has ``session_id, targets``, none meaning all."""
     return _redone(state, review.expand_targets(requests, state.drafts), models)
+
+
+STORED = ("sessions", "drafts", "questions", "snapshots")
+
+
+def save(state: Documented, folder: str) -> None:
+    """Adds a run's sessions, drafts, questions and JSON snapshots to the store; run again, it replaces what it redid.
+
+    Every part is partitioned by run, and only the partitions of this state's runs are rewritten.
+    """
+    spark, runs = state.sessions.sparkSession, state.sessions.select("schema_run_id").distinct()
+    named = state.sessions.select("session_id", "schema_run_id")
+
+    def earlier(part: str, like: DataFrame) -> DataFrame:
+        path = f"{folder.rstrip('/')}/{part}"
+        like.limit(0).write.mode("append").partitionBy("schema_run_id").parquet(path)
+        return spark.read.schema(like.schema).parquet(path).join(runs, "schema_run_id", "left_semi").select(like.columns)
+
+    def put(part: str, rows: DataFrame) -> None:
+        store.replace_partitions(rows, f"{folder.rstrip('/')}/{part}", ["schema_run_id"])
+
+    put("sessions", store.merged_sessions(earlier("sessions", state.sessions), state.sessions))
+    for part, rows in (("drafts", state.drafts), ("questions", state.questions), ("snapshots", store.write_state(
+            state.sessions, state.drafts, state.questions, _said_once(state)))):
+        fresh = rows.join(named, "session_id")
+        kept = earlier(part, fresh).join(named.select("session_id"), "session_id", "left_anti")
+        put(part, kept.unionByName(fresh))
+
+
+def _said_once(state: Documented) -> DataFrame:
+    """What a snapshot holds besides drafts and questions: context, table profile and declared keys."""
+    ids = state.sessions.select("session_id", F.concat_ws(".", "catalog", "schema", "table").alias("table_ref"))
+    profiles = state.tables.select("table_ref", F.to_json(F.struct(*state.tables.columns)).alias("profile"))
+    meta = prompts.schema_meta(state.keys.declared, state.keys.foreign)
+    return ids.join(prompts.context_lists(state.snippets), "table_ref", "left").join(profiles, "table_ref", "left").join(
+        meta, "table_ref", "left").select("session_id", "context", "profile", "schema_meta")
+
+
+def saved(spark: SparkSession, folder: str, part: str) -> DataFrame:
+    """One of the stored parts, of all runs; ``snapshots`` is read with ``store.read_state``."""
+    if part not in STORED:
+        raise ValueError(f"unknown part {part!r}, expected one of {STORED}")
+    return spark.read.parquet(f"{folder.rstrip('/')}/{part}")

@@ -162,6 +162,14 @@ def save_sessions(sessions: DataFrame, saved: DataFrame) -> DataFrame:
     return joined.select("session_id", *[v.alias(k) for k, v in out.items()])
 
 
+def merged_sessions(earlier: DataFrame, saved: DataFrame) -> DataFrame:
+    """Stored sessions of some runs after saving ``saved``: who made a session and when stay as first stored."""
+    first = earlier.select("session_id", F.col("created_by").alias("_by"), F.col("created_at").alias("_at"))
+    fresh = saved.join(first, "session_id", "left").withColumns({
+        "created_by": F.coalesce("_by", "created_by"), "created_at": F.coalesce("_at", "created_at")}).select(*saved.columns)
+    return earlier.join(saved.select("session_id"), "session_id", "left_anti").select(*saved.columns).unionByName(fresh)
+
+
 def rewrite_drafts(drafts: DataFrame, fresh: DataFrame, saved: DataFrame) -> DataFrame:
     """Drafts with those of the saved sessions replaced.
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tablelore.operators import apply, lineage
 from tablelore.operators.profile import ProfileOptions
-from tablelore.plans.documenting import Models, Settings, document, regenerate, resume
+from tablelore.plans.documenting import Models, Settings, document, regenerate, resume, save, saved
 from tablelore.plans.schema_run import run_schema
 from tablelore.plans.reviewing import take_bulk_approval, take_reviews, write_back
 from tablelore.schemas import LIBRARY
+from tablelore.sources import store
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -89,6 +90,21 @@ def test_questions_sessions_and_failures(state):
     assert "order_key" in [n for r in state.snippets.collect() for n in r.informs]
 
 
+def test_a_saved_run_comes_back_whole(state, spark, tmp_path):
+    folder = str(tmp_path / "store")
+    for _ in range(2):
+        save(state, folder)
+    assert by_target(saved(spark, folder, "drafts")).keys() == by_target(state.drafts).keys()
+    assert saved(spark, folder, "sessions").count() == state.sessions.count()
+    whole = store.whole_sessions(store.read_state(saved(spark, folder, "snapshots")))
+    row = whole.filter("target = 'c.s.orders'").first()
+    assert row.phase == "awaiting_input" and row.context and '"row_count":200' in row.profile
+    back, kept = by_target(store.drafts_of_state(whole)), by_target(state.drafts)
+    for name in ("note", "order_key", "__table__"):
+        assert (back[name].subscores, back[name].facts, back[name].confidence) == (kept[name].subscores, kept[name].facts, kept[name].confidence)
+    assert len(row.open_questions) == state.questions.count()
+
+
 def test_resume_redoes_only_the_answered_draft(state, spark):
     session = state.questions.first().session_id
     answers = spark.createDataFrame([(session, "q1", "free text"), (session, "q9", "lost")], "session_id string, qid string, answer string")
