@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablelore.session import checkpoint_folder, cut_lineage
 
 from .common import pair, rows_of
-from .words import LETTERS, BatchMemo, chunk_encoder, encoded, packed_ids, tokenizer
+from .words import LETTERS, BatchMemo, word_encoder, encoded, packed_ids, tokenizer
 
 MOST_WORDS = 200_000
 WORD_END = "</w>"
@@ -203,7 +203,7 @@ def encoder(path: str, name: str) -> BatchMemo:
         numbers = lexicon.numbers([x.encode() for x in words])
         return [packed_ids(lexicon.output(n).tolist() if n >= 0 else merges(word)) for word, n in zip(words, numbers.tolist())]
 
-    return chunk_encoder(of_words, tokenizer(path))
+    return word_encoder(of_words, tokenizer(path))
 
 
 @lru_cache(maxsize=2)

@@ -19,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Rows, pair, rows_of
-from .words import BatchMemo, chunk_encoder, encoded, packed_ids, tokenizer
+from .words import BatchMemo, word_encoder, encoded, packed_ids, tokenizer
 
 CAPACITY = 2048
 OPEN_BINS = 1024
@@ -67,7 +67,7 @@ class OpenBins:
 def encoder(path: str) -> BatchMemo:
     """One per worker process, so that later tasks find what earlier ones encoded."""
     library = tokenizer(path)
-    return chunk_encoder(lambda words: [packed_ids(x.ids) for x in library.encode_batch_fast(words, add_special_tokens=False)], library)
+    return word_encoder(lambda words: [packed_ids(x.ids) for x in library.encode_batch_fast(words, add_special_tokens=False)], library)
 
 
 def _cut(path: str, capacity: int, end_id: int):

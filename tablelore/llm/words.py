@@ -16,14 +16,16 @@ from itertools import filterfalse
 
 #: Characters of one segment of a long text, and entries of one generation of a memo.
 SEGMENT_CHARS = 1 << 18
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 500_000
 #: Characters of the texts whose fragments are looked up together.
 GROUP_CHARS = 1 << 20
 
 #: Characters on which Python's classes agree with those of the vocabularies.
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
-_PLAIN = re.compile(f"[\x21-\x7e{LETTERS}¡«»¿–—‘-”…]*")
-_PARTS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
+_PLAIN = re.compile(f"[\t-\r\x20-\x7e{LETTERS}¡«»¿–—‘-”…]*")
+_PARTS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9\t-\r\x20]+")
+#: Marks a key that only the library can encode; no plain text holds it.
+_ODD = "\uffff"
 _SPACE = re.compile(r"\s")
 
 
@@ -78,17 +80,15 @@ class BatchMemo(Memo):
             self.keep(key, value)
 
 
-def chunk_encoder(of_words: Callable[[list[str]], list[bytes]], library) -> BatchMemo:
-    """A memo from a run between white space to its ids, as little-endian 32-bit numbers."""
-    known = BatchMemo(of_words)
+def word_encoder(of_words: Callable[[list[str]], list[bytes]], library) -> BatchMemo:
+    """A memo from the keys of a text to their ids, as little-endian 32-bit numbers."""
 
-    def of_chunks(found: list[str]) -> list[bytes]:
-        split = [parts(x) for x in found]
-        known.learn([x for x in split if x is not None])
-        return [packed_ids(library.encode(chunk, add_special_tokens=False).ids) if x is None
-                else b"".join(map(known.__getitem__, x)) for chunk, x in zip(found, split)]
+    def of_keys(keys: list[str]) -> list[bytes]:
+        plain = [x for x in keys if not x.startswith(_ODD)]
+        found = dict(zip(plain, of_words(plain), strict=True))
+        return [found[x] if x in found else packed_ids(library.encode(x[1:], add_special_tokens=False).ids) for x in keys]
 
-    return BatchMemo(of_chunks)
+    return BatchMemo(of_keys)
 
 
 def packed_ids(ids: list[int]) -> bytes:
@@ -106,7 +106,7 @@ def encoded(rows: Iterator[tuple[int, str]], encoder: BatchMemo) -> Iterator[tup
                 [b"".join(b"".join(map(encoder.__getitem__, x)) for x in lists) for _, lists in group])
 
     for key, text in rows:
-        group.append((key, list(chunks(text))))
+        group.append((key, list(keys(text))))
         held += len(text)
         if held >= GROUP_CHARS:
             yield done()
@@ -127,17 +127,17 @@ def segments(text: str, cut: re.Pattern, size: int = SEGMENT_CHARS) -> Iterator[
     yield text[start:] if start else text
 
 
-def chunks(text: str) -> Iterator[list[str]]:
-    """Runs between white space, in lists. Python's split also takes four control characters for white space."""
+def keys(text: str) -> Iterator[list[str]]:
+    """What a text is merged by, in lists: lower-cased words and symbol runs, or runs between white space of an odd text."""
     for part in segments(text, _SPACE):
-        if not any(c in part for c in "\x1c\x1d\x1e\x1f"):
-            yield part.split()
+        if _PLAIN.fullmatch(part) and "<|" not in part:
+            yield _PARTS.findall(part.lower())
         else:
-            yield [x for x in re.split(r"[\t-\r \x85\xa0  -     　]+", part) if x]
+            yield [_ODD + x for x in chunks(part)]
 
 
-def parts(chunk: str) -> list[str] | None:
-    """The lower-cased words and symbol runs that a chunk is merged by; None if only the library can tell."""
-    if "<|" in chunk or not _PLAIN.fullmatch(chunk):
-        return None
-    return _PARTS.findall(chunk.lower())
+def chunks(text: str) -> list[str]:
+    """Runs between white space. Python's split also takes four control characters for white space."""
+    if not any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return text.split()
+    return [x for x in re.split("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", text) if x]
