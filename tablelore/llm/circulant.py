@@ -4,11 +4,12 @@ The set of a text is its distinct word shingles, as 64-bit hashes. One permutati
 a second one is shifted by one place per coordinate, and the minimum under each shift is a coordinate of the signature:
 two permutations stand for all. Bands of coordinates put texts into buckets; links are confirmed on the full sets.
 
-Texts with equal sets are one class from the start. No pairs of a bucket are listed: in each round every bucket compares
-its members with one pivot, the member that shares most buckets with others, and then gives the pivot up. Members that
-are already connected are not compared again. When what is left is small against the buckets, the members outside the
-largest component of each bucket are compared with all others there, which ends the work exactly. The chance that a pair
-just at the threshold shares no bucket is below 1e-6.
+Texts with equal sets are one class from the start. No pairs of a bucket are listed: first every bucket compares its
+members with one pivot, the member that shares most buckets with others, which links a family to its origin. Then, as
+long as the members of a bucket lie in several components, it compares ``PIVOTS`` members outside its largest component
+with all others, and gives them up. Members that are already connected are not compared again, and no bucket is left
+before its members are one component or each pair was compared. The chance that a pair just at the threshold shares no
+bucket is below 1e-6.
 
 Null, empty and blank texts have no set and are linked with nothing. A component is named by its smallest id; where no
 row of it has an id the name is null. Repeated rows are copies.
@@ -22,7 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablelore.session import cut_lineage
 
@@ -33,11 +34,11 @@ COORDINATES = BANDS * BAND_ROWS
 RANGE = 1 << 20
 #: Agreeing coordinates below which a pair is not worth a comparison: six deviations under the threshold's mean.
 DEVIATIONS = 6.0
-#: Comparisons left per bucket entry from which the rest is done at once.
-LEFT_PER_ENTRY = 2
+#: Members of a bucket that one round compares with all others there, after the first.
+PIVOTS = 32
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
-SETS = "doc_id long, content binary, n_shingles long, class binary, bands array<long>, sketch array<byte>"
+SETS = "doc_id long, content binary, n_shingles long, name binary, bands array<long>, sketch array<byte>"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -88,7 +89,7 @@ def band_hashes(coordinates: np.ndarray) -> np.ndarray:
 def _sign(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(pa.schema([
-            ("doc_id", pa.int64()), ("content", pa.binary()), ("n_shingles", pa.int64()), ("class", pa.binary()),
+            ("doc_id", pa.int64()), ("content", pa.binary()), ("n_shingles", pa.int64()), ("name", pa.binary()),
             ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int8()))]))
         for ident, text, content in rows_of(batches, "doc_id", "text", "content"):
             found = shingle_set(text, words)
@@ -105,7 +106,7 @@ def _sign(words: int):
 
 def _full_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Rows(pa.schema([("class", pa.binary()), ("shingles", pa.list_(pa.int64()))]))
+        out = Rows(pa.schema([("class", pa.int64()), ("shingles", pa.list_(pa.int64()))]))
         for name, text in rows_of(batches, "class", "text"):
             found = shingle_set(text, words)
             if out.add(name, found.view(np.int64), size=8 * len(found)):
@@ -123,33 +124,31 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     edges, before = cut_lineage(edges), None
     while True:
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
+        large = both.join(least, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         below = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-            below.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = cut_lineage(small)
+        small = large.join(below, "u").select(F.inline(F.array(
+            F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
+        edges = cut_lineage(small.filter("u <> v").distinct())
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break
         before = state
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+    return edges.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("label")),
+                                         F.struct(F.col("v").alias("node"), F.col("v").alias("label"))))).distinct()
 
 
 def _agreeing(a: str, b: str) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a``, ``b`` of classes whose full sets are similar by at least ``percent``."""
     share = percent / 100
     least = COORDINATES * share - DEVIATIONS * (COORDINATES * share * (1 - share)) ** 0.5
-    sketch = classes.select("class", "sketch")
     for side in "ab":
-        pairs = pairs.join(sketch.select(F.col("class").alias(side), F.col("sketch").alias(f"s{side}")), side)
+        pairs = pairs.join(sketches.select(F.col("class").alias(side), F.col("sketch").alias(f"s{side}")), side)
     likely = pairs.filter(_agreeing("sa", "sb") >= least).select("a", "b")
     for side in "ab":
         likely = likely.join(sets.select(F.col("class").alias(side), F.col("shingles").alias(f"t{side}")), side)
@@ -164,7 +163,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
     sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = cut_lineage(entries.join(sizes, "bucket"))
     weights = shared.groupBy("class").agg(F.sum("size").alias("weight"))
-    return cut_lineage(shared.drop("size").join(weights, "class"))
+    return cut_lineage(shared.drop("size").join(weights, "class").withColumn("label", F.col("class")))
 
 
 def _pairs(entries: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
@@ -176,61 +175,58 @@ def _pairs(entries: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
     return joined.select(F.least("class", "p_class").alias("a"), F.greatest("class", "p_class").alias("b")).distinct()
 
 
-def _best(entries: DataFrame) -> DataFrame:
-    """Per bucket the entry of greatest weight."""
-    best = F.max(F.struct("weight", "class", "n_shingles", "label"))
-    return entries.groupBy("bucket").agg(best.alias("x")).select("bucket", "x.class", "x.n_shingles", "x.label")
+def _open_entries(entries: DataFrame) -> DataFrame:
+    """The entries of buckets with several labels, with the most frequent one as ``major``."""
+    parts = entries.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = parts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("x"), F.sum("n").alias("size"))
+    several = largest.filter(F.col("x.n") < F.col("size")).select("bucket", F.col("x.label").alias("major"))
+    return entries.join(several, "bucket")
 
 
 def _linked(classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """``class`` and ``label`` of the classes that are linked with another one."""
-    entries = _buckets(classes).withColumn("label", F.col("class"))
+    entries = _buckets(classes)
     wanted = entries.select("class").distinct().join(classes.select("class", "content"), "class")
     known = texts.groupBy("content").agg(F.first("text").alias("text")).join(wanted, "content")
-    sets = cut_lineage(known.select("class", "text").mapInArrow(_full_sets(words), "class binary, shingles array<long>"))
+    sets = cut_lineage(known.select("class", "text").mapInArrow(_full_sets(words), "class long, shingles array<long>"))
+    sketches = classes.select("class", "sketch")
+    best = F.max(F.struct("weight", "class", "n_shingles", "label"))
+    pivots = entries.groupBy("bucket").agg(best.alias("x")).select("bucket", "x.class", "x.n_shingles", "x.label")
+    first = Window.partitionBy("bucket").orderBy(F.desc("weight"), "class")
     labels = None
-    pivots, last = _best(entries), False
     while True:
-        # Labels of linked classes are links themselves, so earlier rounds need not be kept.
-        links = confirmed(_pairs(entries, pivots, percent), classes, sets, percent)
-        if labels is not None:
+        links = confirmed(_pairs(entries, pivots, percent), sketches, sets, percent)
+        if labels is not None:  # what earlier rounds found, as links to the least node of each component
             links = links.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = cut_lineage(components(links))
-        if last:
-            break
+        labels = components(links)
         named = labels.select(F.col("node").alias("class"), F.col("label").alias("new"))
-        spent = pivots.select("bucket", F.col("class").alias("spent"))
-        entries = entries.join(spent, "bucket").filter("class <> spent").drop("spent", "label")
-        entries = cut_lineage(entries.join(named, "class", "left").select(
-            "bucket", "class", "n_shingles", "weight", F.coalesce("new", "class").alias("label")))
-        parts = entries.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-        largest = parts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("x"), F.sum("n").alias("size"))
-        mixed_ = largest.filter(F.col("x.n") < F.col("size")).select("bucket", F.col("x.label").alias("major"), "size")
-        entries = cut_lineage(entries.join(mixed_, "bucket"))
-        minor = entries.filter("label <> major")
-        state = entries.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("label") != F.col("major"), F.col("size"))).alias("left")).first()
-        if not state.n:
-            break
-        last = state.left <= LEFT_PER_ENTRY * state.n
-        pivots = minor if last else _best(minor)
-        entries = entries.drop("major", "size")
-    return labels.select(F.col("node").alias("class"), "label")
+        spent = pivots.select("bucket", "class")
+        rest = entries.join(spent, ["bucket", "class"], "left_anti").join(named, "class", "left").select(
+            "bucket", "class", "n_shingles", "weight", F.coalesce("new", "class").alias("label"))
+        rest = cut_lineage(_open_entries(rest))
+        if rest.isEmpty():
+            return labels.select(F.col("node").alias("class"), "label")
+        entries = rest.drop("major")
+        minor = rest.filter("label <> major").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= PIVOTS)
+        pivots = cut_lineage(minor.select("bucket", "class", "n_shingles", "label"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest id reachable) and ``kept``."""
     texts = pair(docs, doc_id, text).withColumn("content", F.unhex(F.md5("text")))
     signed = cut_lineage(texts.mapInArrow(_sign(words), SETS))
-    classes = cut_lineage(signed.filter("class IS NOT NULL").groupBy("class").agg(
+    classes = signed.filter("name IS NOT NULL").groupBy("name").agg(
         F.min("doc_id").alias("least_id"), F.min("content").alias("content"), F.first("n_shingles").alias("n_shingles"),
-        F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+        F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    # Stored before it is used, so the numbers stay what they are.
+    classes = cut_lineage(classes.withColumn("class", F.monotonically_increasing_id()))
     labels = _linked(classes, texts.select("content", "text"), words, percent)
-    named = classes.select("class", "least_id").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    named = classes.select("name", "class", "least_id").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    of_class = named.join(least, "label").select("class", "component_id")
-    rows = signed.select("doc_id", "n_shingles", "class")
-    found = rows.filter("class IS NOT NULL").join(of_class, "class").select("doc_id", "n_shingles", "component_id")
-    alone = rows.filter("class IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    of_class = named.join(least, "label").select("name", "component_id")
+    rows = signed.select("doc_id", "n_shingles", "name")
+    found = rows.filter("name IS NOT NULL").join(of_class, "name").select("doc_id", "n_shingles", "component_id")
+    alone = rows.filter("name IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -56,7 +56,7 @@ def test_families_chains_and_odd_rows(spark):
 
 
 def test_rounds_end_exactly_when_pivots_link_little(spark, monkeypatch):
-    monkeypatch.setattr(circulant, "LEFT_PER_ENTRY", 0)
+    monkeypatch.setattr(circulant, "PIVOTS", 2)
     rows = family(random.Random(2), 25, 0, 16)
     found = circulant.near_duplicates(frame(spark, rows), 3, 85)
     assert by_row(found, *COLUMNS) == sorted(plain(rows, 3, 85), key=repr)
