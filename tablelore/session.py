@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
+import uuid
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+#: Applications whose tasks have this package.
+_SHIPPED: set[str] = set()
+
+
 def build_session(app: str = "tablelore", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on; ``conf`` wins over the defaults."""
     builder = SparkSession.builder.appName(app)
@@ -44,6 +53,29 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def write_shared(spark: SparkSession, name: str, content: bytes) -> str:
+    """Writes a small file into the shared folder and gives its address."""
+    folder = checkpoint_folder(spark).rstrip("/")
+    store, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    store.create_dir(path, recursive=True)
+    with store.open_output_stream(f"{path}/{name}") as file:
+        file.write(content)
+    return f"{folder}/{name}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Lets the tasks of this session import this package, also where it is not installed on the executors."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    root, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    context.addPyFile(write_shared(spark, f"tablelore-{uuid.uuid4().hex}.zip", packed.getvalue()))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     checkpoint_folder(df.sparkSession)
