@@ -21,11 +21,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import public_tokenizers
-from pyarrow import fs
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablelore.session import checkpoint_folder, cut_lineage
+from tablelore.session import cut_lineage, write_shared
 
 from .common import pair, rows_of
 from .words import LETTERS, BatchMemo, word_encoder, encoded, packed_ids, tokenizer
@@ -186,11 +185,7 @@ def frequent(docs: DataFrame, most: int = MOST_WORDS, doc_id: str = "doc_id", te
 def published(spark: SparkSession, image: bytes) -> str:
     """Writes the image into the shared folder and has Spark send it to executors; gives the name of their copy."""
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    store, folder = fs.FileSystem.from_uri(checkpoint_folder(spark))
-    store.create_dir(folder, recursive=True)
-    with store.open_output_stream(f"{folder}/{name}") as file:
-        file.write(image)
-    spark.sparkContext.addFile(f"{checkpoint_folder(spark).rstrip('/')}/{name}")
+    spark.sparkContext.addFile(write_shared(spark, name, image))
     return name
 
 
