@@ -18,7 +18,7 @@ row of it has an id the name is null. Repeated rows are copies.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +30,16 @@ from tablelore.session import cut_lineage
 from .common import Rows, pair, rows_of
 
 BANDS, BAND_ROWS = 24, 5
-COORDINATES = BANDS * BAND_ROWS
 RANGE = 1 << 20
-#: Agreeing coordinates below which a pair is not worth a comparison: six deviations under the threshold's mean.
-DEVIATIONS = 6.0
+#: Lowest bits of so many coordinates are a text's sketch. Pairs whose sketches differ in more bits than those of a
+#: pair at the threshold, by so many deviations, are not compared.
+SKETCH_BITS = 1024
+DEVIATIONS = 5.5
 #: Members of a bucket that one round compares with all others there, after the first.
-PIVOTS = 32
+PIVOTS = 512
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
-SETS = "doc_id long, content binary, n_shingles long, name binary, bands array<long>, sketch array<byte>"
+SETS = "doc_id long, content binary, n_shingles long, name binary, bands array<long>, sketch array<long>"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -53,8 +54,8 @@ def permutations() -> tuple[np.ndarray, np.ndarray]:
     places = np.arange(RANGE, dtype=np.uint64)
     first = np.argsort(mixed(places + _ODD[0]), kind="stable").astype(np.uint32)
     second = np.argsort(mixed(places + _ODD[1]), kind="stable").astype(np.uint32)
-    circle = np.concatenate([second, second[:COORDINATES - 1]])
-    return first, np.lib.stride_tricks.sliding_window_view(circle, COORDINATES)
+    circle = np.concatenate([second, second[:SKETCH_BITS - 1]])
+    return first, np.lib.stride_tricks.sliding_window_view(circle, SKETCH_BITS)
 
 
 def shingle_set(text: str, words: int) -> np.ndarray:
@@ -72,14 +73,14 @@ def shingle_set(text: str, words: int) -> np.ndarray:
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     first, shifts = permutations()
-    places, least = first[shingles >> np.uint64(44)], np.full(COORDINATES, RANGE, np.uint32)
-    for at in range(0, len(places), 4096):
-        np.minimum(least, shifts[places[at:at + 4096]].min(axis=0), out=least)
+    places, least = first[shingles >> np.uint64(44)], np.full(SKETCH_BITS, RANGE, np.uint32)
+    for at in range(0, len(places), 512):
+        np.minimum(least, shifts[places[at:at + 512]].min(axis=0), out=least)
     return least
 
 
 def band_hashes(coordinates: np.ndarray) -> np.ndarray:
-    rows = coordinates.reshape(BANDS, BAND_ROWS).astype(np.uint64)
+    rows = coordinates[:BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS).astype(np.uint64)
     found = np.arange(BANDS, dtype=np.uint64)
     for k in range(BAND_ROWS):
         found = mixed(found * _ODD[2] + rows[:, k])
@@ -90,14 +91,14 @@ def _sign(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(pa.schema([
             ("doc_id", pa.int64()), ("content", pa.binary()), ("n_shingles", pa.int64()), ("name", pa.binary()),
-            ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int8()))]))
+            ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))]))
         for ident, text, content in rows_of(batches, "doc_id", "text", "content"):
             found = shingle_set(text, words)
             row = (ident, content, 0, None, None, None)
             if len(found):
                 coordinates = signature(found)
                 row = (ident, content, len(found), xxhash.xxh3_128_digest(found.tobytes()), band_hashes(coordinates),
-                       coordinates.astype(np.uint8).view(np.int8))
+                       np.packbits((coordinates & 1).astype(np.uint8)).view(np.int64))
             if out.add(*row):
                 yield from out.take()
         yield from out.take()
@@ -115,6 +116,10 @@ def _full_sets(words: int):
     return run
 
 
+#: What is known of an entry of a bucket.
+FIELDS = ("class", "n_shingles", "label", "sketch")
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``label``, the least node it can reach, for all nodes of the links.
 
@@ -139,17 +144,21 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                                          F.struct(F.col("v").alias("node"), F.col("v").alias("label"))))).distinct()
 
 
-def _agreeing(a: str, b: str) -> Column:
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
+def _differing(a: str, b: str) -> Column:
+    """Bits in which two sketches differ."""
+    words = (F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(SKETCH_BITS // 64))
+    return reduce(lambda x, y: x + y, words)
+
 
+def most_differing(percent: int) -> float:
+    """Differing bits that a pair at the threshold has at most, but for a chance below 1e-7."""
+    chance = (1 - percent / 100) / 2
+    return SKETCH_BITS * chance + DEVIATIONS * (SKETCH_BITS * chance * (1 - chance)) ** 0.5
 
-def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a``, ``b`` of classes whose full sets are similar by at least ``percent``."""
-    share = percent / 100
-    least = COORDINATES * share - DEVIATIONS * (COORDINATES * share * (1 - share)) ** 0.5
-    for side in "ab":
-        pairs = pairs.join(sketches.select(F.col("class").alias(side), F.col("sketch").alias(f"s{side}")), side)
-    likely = pairs.filter(_agreeing("sa", "sb") >= least).select("a", "b")
+    likely = pairs
     for side in "ab":
         likely = likely.join(sets.select(F.col("class").alias(side), F.col("shingles").alias(f"t{side}")), side)
     common = F.size(F.array_intersect("ta", "tb"))
@@ -163,14 +172,15 @@ def _buckets(classes: DataFrame) -> DataFrame:
     sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = cut_lineage(entries.join(sizes, "bucket"))
     weights = shared.groupBy("class").agg(F.sum("size").alias("weight"))
-    return cut_lineage(shared.drop("size").join(weights, "class").withColumn("label", F.col("class")))
+    known = weights.join(classes.select("class", "sketch"), "class")
+    return cut_lineage(shared.drop("size").join(known, "class").withColumn("label", F.col("class")))
 
 
 def _pairs(entries: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of an entry and a pivot of its bucket that differ in label and may be similar by size."""
-    other = pivots.select("bucket", *(F.col(x).alias(f"p_{x}") for x in ("class", "n_shingles", "label")))
+    """Distinct pairs of an entry and a pivot of its bucket that differ in label and may be similar by size and sketch."""
+    other = pivots.select("bucket", *(F.col(x).alias(f"p_{x}") for x in FIELDS))
     joined = entries.join(other, "bucket").filter(
-        (F.col("label") != F.col("p_label"))
+        (F.col("label") != F.col("p_label")) & (_differing("sketch", "p_sketch") <= most_differing(percent))
         & (100 * F.least("n_shingles", "p_n_shingles") >= percent * F.greatest("n_shingles", "p_n_shingles")))
     return joined.select(F.least("class", "p_class").alias("a"), F.greatest("class", "p_class").alias("b")).distinct()
 
@@ -189,26 +199,25 @@ def _linked(classes: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     wanted = entries.select("class").distinct().join(classes.select("class", "content"), "class")
     known = texts.groupBy("content").agg(F.first("text").alias("text")).join(wanted, "content")
     sets = cut_lineage(known.select("class", "text").mapInArrow(_full_sets(words), "class long, shingles array<long>"))
-    sketches = classes.select("class", "sketch")
-    best = F.max(F.struct("weight", "class", "n_shingles", "label"))
-    pivots = entries.groupBy("bucket").agg(best.alias("x")).select("bucket", "x.class", "x.n_shingles", "x.label")
+    best = F.max(F.struct("weight", *FIELDS))
+    pivots = entries.groupBy("bucket").agg(best.alias("x")).select("bucket", *(f"x.{name}" for name in FIELDS))
     first = Window.partitionBy("bucket").orderBy(F.desc("weight"), "class")
     labels = None
     while True:
-        links = confirmed(_pairs(entries, pivots, percent), sketches, sets, percent)
+        links = confirmed(_pairs(entries, pivots, percent), sets, percent)
         if labels is not None:  # what earlier rounds found, as links to the least node of each component
             links = links.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
         labels = components(links)
         named = labels.select(F.col("node").alias("class"), F.col("label").alias("new"))
         spent = pivots.select("bucket", "class")
         rest = entries.join(spent, ["bucket", "class"], "left_anti").join(named, "class", "left").select(
-            "bucket", "class", "n_shingles", "weight", F.coalesce("new", "class").alias("label"))
+            "bucket", "class", "n_shingles", "sketch", "weight", F.coalesce("new", "class").alias("label"))
         rest = cut_lineage(_open_entries(rest))
         if rest.isEmpty():
             return labels.select(F.col("node").alias("class"), "label")
         entries = rest.drop("major")
         minor = rest.filter("label <> major").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= PIVOTS)
-        pivots = cut_lineage(minor.select("bucket", "class", "n_shingles", "label"))
+        pivots = cut_lineage(minor.select("bucket", *FIELDS))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
