@@ -8,8 +8,8 @@ Texts with equal sets are one class from the start. No pairs of a bucket are lis
 members with one pivot, the member that shares most buckets with others, which links a family to its origin. Then, as
 long as the members of a bucket lie in several components, it compares ``PIVOTS`` members outside its largest component
 with all others, and gives them up. Members that are already connected are not compared again, and no bucket is left
-before its members are one component or each pair was compared. The chance that a pair just at the threshold shares no
-bucket is below 1e-6.
+before its members are one component or each pair was compared. A pair just at the threshold shares no bucket with a
+chance of 8e-7 at 85 % and 7e-5 at 80 %, less for closer pairs.
 
 Null, empty and blank texts have no set and are linked with nothing. A component is named by its smallest id; where no
 row of it has an id the name is null. Repeated rows are copies.
