@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 SPACES = r"\x20\x09-\x0D"
 HELD_OUT = 2
 FOLDS = 4
+#: Bits of a sieve: one megabyte.
+SIEVE_BITS = 1 << 23
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,6 +31,13 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(kept % FOLDS == HELD_OUT, F.lit(False))
 
 
+def sieve(values: DataFrame) -> DataFrame:
+    """``slot`` and ``bits``: the CRCs of the one column as a set of bits. What it lacks is not there, what it holds may be."""
+    crc = F.crc32(F.col(values.columns[0])) % SIEVE_BITS
+    bit = values.select(crc.alias("at")).selectExpr("cast(at div 64 AS int) AS slot", "shiftleft(1L, cast(at % 64 AS int)) AS bit")
+    return bit.groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str, at_once: int = 256) -> Iterator[tuple]:
     """Rows of Arrow batches as Python values, a slice at a time, so that few texts are held twice."""
     for batch in batches:
@@ -36,6 +46,13 @@ def rows_of(batches: Iterator[pa.RecordBatch], *names: str, at_once: int = 256)
             yield from zip(*(part.column(name).to_pylist() for name in names), strict=True)
 
 
+def packed_sieve(bits: DataFrame) -> bytes:
+    """A sieve as bytes, for tasks: bit ``crc % SIEVE_BITS``, the least of each byte first."""
+    table, words = bits.toArrow(), np.zeros(SIEVE_BITS // 64, "<i8")
+    words[table.column("slot").to_numpy()] = table.column("bits").to_numpy()
+    return words.tobytes()
+
+
 class Rows:
     """Collects rows into record batches of bounded size: ``add`` a row, yield what ``full`` and ``rest`` give."""
 

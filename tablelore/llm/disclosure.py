@@ -3,7 +3,8 @@
 Patterns find protected entities: mail addresses, IP addresses, card and phone numbers. A term near an entity discloses
 the share of the entity's information that knowing the term gives away: the pointwise mutual information of term and
 entity over the information of the entity, from counts over the whole corpus. Terms that disclose at least ``GENERAL``
-are generalised, at least ``REMOVED`` removed; the patterns' own spans always go.
+are generalised, at least ``REMOVED`` removed; the patterns' own spans always go. Nearness only serves to measure: a
+term goes wherever it stands in a text that holds its entity. In texts that do not hold the entity it stays.
 
 Only repeated evidence counts: a term must stand near the entity in ``CONTEXTS`` different contexts, told apart by the
 words next to the entity, so that copies of one text are one context. Results depend on text alone: spans are found per
@@ -13,6 +14,7 @@ distinct content and joined to every row. Null text is empty; rows without spans
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablelore.session import cut_lineage
 
-from .common import Rows, pair, rows_of
+from .common import SIEVE_BITS, Rows, packed_sieve, pair, rows_of, sieve
 
 #: Kinds in the order of the contract, then those the method adds.
 BASE = ("email", "ip", "card", "phone")
@@ -42,9 +44,9 @@ _NOT_DIGIT = re.compile("[^0-9]+")
 _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())])
 _TERM = pa.struct([("entity", pa.string()), ("context", pa.string()), ("term", pa.string()),
                    ("start", pa.int32()), ("end", pa.int32())])
-FOUND = ("doc_id long, blob binary, spans array<struct<start: int, kind: string, end: int>>, "
+FOUND = ("doc_id long, blob binary, spans array<struct<start: int, kind: string, end: int>>, entities array<string>, "
          "terms array<struct<entity: string, context: string, term: string, start: int, end: int>>")
-TERM_SPANS = "blob binary, spans array<struct<start: int, kind: string, end: int>>"
+PLACES = "blob binary, term string, places array<struct<start: int, end: int>>"
 
 
 def luhn(digits: str) -> bool:
@@ -84,11 +86,16 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return sorted(spans, key=lambda x: (x[0], BASE.index(x[1])))
 
 
+def entity(text: str, start: int, kind: str, end: int) -> str:
+    """The name of the entity of a span, the same for all its spellings."""
+    value = text[start:end].lower() if kind == "email" else _NOT_DIGIT.sub("." if kind == "ip" else "", text[start:end])
+    return f"{kind}:{value}"
+
+
 def near_terms(text: str, spans: list[tuple[int, str, int]]) -> list[tuple[str, str, str, int, int]]:
     """(entity, context, term, start, end) of the words on either side of each span, outside all spans."""
     found = []
     for start, kind, end in spans:
-        value = text[start:end].lower() if kind == "email" else _NOT_DIGIT.sub("." if kind == "ip" else "", text[start:end])
         low, high = max(0, start - _NEAR_CHARS), min(len(text), end + _NEAR_CHARS)
         close = [(a, b) for a, _, b in spans if b > low and a < high]
         sides = []
@@ -97,29 +104,72 @@ def near_terms(text: str, spans: list[tuple[int, str, int]]) -> list[tuple[str,
                       if all(m.end() <= a or m.start() >= b for a, b in close)]
             sides.append(places[words])
         context = " ".join(w for w, _, _ in sides[0][-2:] + [("|", 0, 0)] + sides[1][:2])
-        found += [(f"{kind}:{value}", context, *x) for side in sides for x in side]
+        name = entity(text, start, kind, end)
+        found += [(name, context, *x) for side in sides for x in side]
     return found
 
 
+def words_outside(text: str, spans: list[tuple[int, str, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of all words between the spans, which are sorted by start."""
+    at = 0
+    for start, _, end in [*spans, (len(text), "", len(text))]:
+        if start > at:
+            yield from ((m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text, at, start))
+        at = max(at, end)
+
+
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
-    out = Rows(pa.schema([("doc_id", pa.int64()), ("blob", pa.binary()), ("spans", pa.list_(_SPAN)), ("terms", pa.list_(_TERM))]))
+    out = Rows(pa.schema([("doc_id", pa.int64()), ("blob", pa.binary()), ("spans", pa.list_(_SPAN)),
+                          ("entities", pa.list_(pa.string())), ("terms", pa.list_(_TERM))]))
     for ident, text in rows_of(batches, "doc_id", "text"):
         spans = base_spans(text)
         terms = near_terms(text, spans)
         row = (ident, hashlib.sha256(text.encode()).digest(), [dict(zip(("start", "kind", "end"), x)) for x in spans],
-               [dict(zip(("entity", "context", "term", "start", "end"), x)) for x in terms])
-        if out.add(*row, size=100 * len(terms)):
+               sorted({entity(text, *x) for x in spans}), [dict(zip(("entity", "context", "term", "start", "end"), x)) for x in terms])
+        if out.add(*row, size=100 * (len(terms) + len(spans))):
             yield from out.take()
     yield from out.take()
 
 
 def found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: the content's address, the base spans, and the terms near them."""
+    """Per row: the content's address, the base spans, their entities, and the terms near them."""
     return pair(docs, doc_id, text).mapInArrow(_find, FOUND)
 
 
+def _place(sieve):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        bits, place = sieve.value, pa.struct([("start", pa.int32()), ("end", pa.int32())])
+        out = Rows(pa.schema([("blob", pa.binary()), ("term", pa.string()), ("places", pa.list_(place))]))
+        for (text,) in rows_of(batches, "text"):
+            spans, places = base_spans(text), {}
+            for term, start, end in words_outside(text, spans) if spans else ():
+                if term not in places:
+                    at = zlib.crc32(term.encode()) % SIEVE_BITS
+                    places[term] = [] if bits[at >> 3] >> (at & 7) & 1 else None
+                if places[term] is not None:
+                    places[term].append({"start": start, "end": end})
+            blob = hashlib.sha256(text.encode()).digest() if spans else b""
+            for term, found in places.items():
+                if found and out.add(blob, term, found, size=50 + 20 * len(found)):
+                    yield from out.take()
+        yield from out.take()
+    return run
+
+
+def placed(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
+    """Per content with base spans and term: all ``places`` of the term in it, outside the spans.
+
+    Holds the ``terms`` given and, as words are first tried against a sieve, perhaps a few others.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(packed_sieve(sieve(terms)))
+    texts = docs.select(F.coalesce(docs[text], F.lit("")).alias("text"))
+    return texts.mapInArrow(_place(sent), PLACES).dropDuplicates(["blob", "term"])
+
+
 def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     """``term`` and the number of rows that hold it, for every lower-cased word of the corpus."""
     words = F.array_distinct(F.split(F.lower(docs[text]), r"[^\p{L}\p{Nl}\p{No}]+"))
@@ -143,10 +193,11 @@ def term_spans(docs: DataFrame, seen: DataFrame, text: str = "text", **threshold
     """Per content with disclosing terms: their spans. ``seen`` is the stored result of ``found``."""
     mentions = cut_lineage(seen.filter(F.size("terms") > 0).dropDuplicates(["blob"])
                            .select("blob", F.explode("terms").alias("t")).select("blob", "t.*"))
-    flagged = disclosing(mentions, document_frequencies(docs, text), seen.count(), **thresholds)
-    placed = mentions.join(flagged, ["entity", "term"])
-    # A term near two entities goes by the stronger measure.
-    spans = placed.groupBy("blob", "start", "end").agg(F.max("kind").alias("kind"))
+    flagged = cut_lineage(disclosing(mentions, document_frequencies(docs, text), seen.count(), **thresholds))
+    held = seen.select("blob", F.explode("entities").alias("entity")).distinct()
+    everywhere = placed(docs, flagged.select("term"), text).join(flagged, "term").join(held, ["blob", "entity"])
+    # A term of two entities goes by the stronger measure.
+    spans = everywhere.select("blob", "kind", F.inline("places")).groupBy("blob", "start", "end").agg(F.max("kind").alias("kind"))
     return spans.groupBy("blob").agg(F.collect_list(F.struct("start", "kind", "end")).alias("term_spans"))
 
 

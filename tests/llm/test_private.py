@@ -66,3 +66,14 @@ def test_sanitised_rows_keep_their_columns(spark):
     assert texts[100] == "lorem ipsum  dolor mail [EMAIL] sit amet"
     assert by_row(made.filter("doc_id < 100 OR doc_id IS NULL"), "doc_id", "text") == sorted(ODD, key=repr)
     assert disclosure.sanitised(frame(spark, [])).count() == 0
+
+
+def test_disclosing_terms_go_from_the_whole_text(spark):
+    far = " ".join(FILLER * 9)
+    near = [(400 + k, f"{FILLER[k]} {FILLER[k + 1]} Zyzzyx {FILLER[k + 2]} mail p.q@example.com {FILLER[k + 3]}") for k in range(8)]
+    rows = near + [(1000 + k, f"mail {k} {FILLER[k % 12]} {FILLER[k % 11]}") for k in range(500)] + [(300, f"Zyzzyx {far} write to P.Q@example.com or a@b.cc {far} by zyzzyx, Zyzzyx."), (301, "a@b.cc knows Zyzzyx")]
+    found = {r.doc_id: r.spans for r in disclosure.private_spans(frame(spark, rows)).collect()}
+    assert [dict(rows)[300][x.start:x.end] for x in sorted(found[300]) if x.kind in ("removed", "general")] == ["Zyzzyx", "zyzzyx", "Zyzzyx"]
+    assert [x.kind for x in found[301]] == ["email"]
+    texts = dict(by_row(disclosure.sanitised(frame(spark, rows)), "doc_id", "text"))
+    assert "zyzzyx" not in texts[300].lower() and texts[300].count("[EMAIL]") == 2
