@@ -2,7 +2,7 @@
 
 Patterns find protected entities: mail addresses, IP addresses, card and phone numbers. A term near an entity discloses
 the share of the entity's information that knowing the term gives away: the pointwise mutual information of term and
-entity over the information of the entity, from counts over the whole corpus. Terms that disclose at least ``GENERAL``
+entity over the information of the entity, from counts over all distinct contents of the corpus. Terms that disclose at least ``GENERAL``
 are generalised, at least ``REMOVED`` removed; the patterns' own spans always go. Nearness only serves to measure: a
 term goes wherever it stands in a text that holds its entity. In texts that do not hold the entity it stays.
 
@@ -170,6 +170,19 @@ def placed(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     return texts.mapInArrow(_place(sent), PLACES).dropDuplicates(["blob", "term"])
 
 
+def distinct_texts(docs: DataFrame, repeated: DataFrame, text: str = "text") -> DataFrame:
+    """``text`` of each content once, a null text being empty. ``repeated`` are the ``blob`` of several rows.
+
+    Only rows that a sieve does not exclude from the repeated ones are shuffled to be merged.
+    """
+    plain = docs.select(F.coalesce(docs[text], F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
+    marked = plain.withColumn("at", F.crc32("blob") % SIEVE_BITS).withColumn("slot", F.expr("cast(at div 64 AS int)"))
+    marked = marked.join(F.broadcast(sieve(repeated)), "slot", "left").withColumn(
+        "again", F.expr("coalesce(bits & shiftleft(1L, cast(at % 64 AS int)), 0L) <> 0"))
+    return marked.filter("NOT again").select("text").unionByName(
+        marked.filter("again").select("blob", "text").dropDuplicates(["blob"]).select("text"))
+
+
 def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     """``term`` and the number of rows that hold it, for every lower-cased word of the corpus."""
     words = F.array_distinct(F.split(F.lower(docs[text]), r"[^\p{L}\p{Nl}\p{No}]+"))
@@ -193,7 +206,9 @@ def term_spans(docs: DataFrame, seen: DataFrame, text: str = "text", **threshold
     """Per content with disclosing terms: their spans. ``seen`` is the stored result of ``found``."""
     mentions = cut_lineage(seen.filter(F.size("terms") > 0).dropDuplicates(["blob"])
                            .select("blob", F.explode("terms").alias("t")).select("blob", "t.*"))
-    flagged = cut_lineage(disclosing(mentions, document_frequencies(docs, text), seen.count(), **thresholds))
+    contents = cut_lineage(seen.groupBy("blob").agg(F.count(F.lit(1)).alias("n")))
+    texts = distinct_texts(docs, contents.filter("n > 1").select("blob"), text)
+    flagged = cut_lineage(disclosing(mentions, document_frequencies(texts), contents.count(), **thresholds))
     held = seen.select("blob", F.explode("entities").alias("entity")).distinct()
     everywhere = placed(docs, flagged.select("term"), text).join(flagged, "term").join(held, ["blob", "entity"])
     # A term of two entities goes by the stronger measure.

@@ -77,3 +77,11 @@ def test_disclosing_terms_go_from_the_whole_text(spark):
     assert [x.kind for x in found[301]] == ["email"]
     texts = dict(by_row(disclosure.sanitised(frame(spark, rows)), "doc_id", "text"))
     assert "zyzzyx" not in texts[300].lower() and texts[300].count("[EMAIL]") == 2
+
+
+def test_copies_of_each_text_change_no_span(spark):
+    once = [*entity_rows(), *((1000 + k, f"mail {k} {FILLER[k % 12]} {FILLER[k % 11]}") for k in range(100)), (9, None), (10, "")]
+    copied = [(i, t) for i, t in once for _ in range(100)]
+    plain, repeated = (by_row(disclosure.private_spans(frame(spark, x)), "doc_id", "spans") for x in (once, copied))
+    assert sum(any(x.kind == "removed" for x in spans) for _, spans in plain) == 3
+    assert repeated == [x for x in plain for _ in range(100)]
