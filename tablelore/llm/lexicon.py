@@ -6,7 +6,7 @@ memory there, once for all its workers. A word's number is the sum of the counts
 number. Words that the automaton does not hold are merged exactly by the vocabulary's ranks.
 
 ``frequent`` bounds the lexicon by its definition: fewer than ``most`` words can each make up more than 1 / ``most`` of
-all words. Null and empty texts have no ids and decode to an empty text.
+all words, and none has more than ``MOST_LETTERS`` letters. Null and empty texts have no ids and decode to an empty text.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from .common import pair, rows_of
 from .words import LETTERS, BatchMemo, word_encoder, encoded, packed_ids, tokenizer
 
 MOST_WORDS = 200_000
+#: Letters of a word in the lexicon; longer words are merged when they are met, so that lookups stay narrow.
+MOST_LETTERS = 64
 WORD_END = "</w>"
 
 
@@ -81,12 +83,14 @@ def compiled(words: Iterable[str], ids_of) -> bytes:
     """The image of the minimal automaton over the words, with the ids of each by its number in byte order."""
     spelled = sorted({word.encode() for word in words if word})
     register: dict[tuple, _State] = {}
-    root, path, last = _State(), [], b""
+    root, path, last, counts = _State(), [], b"", {}
 
     def close(depth: int) -> None:
         while len(path) > depth:
             above, byte, state = path.pop()
-            above.edges[byte] = register.setdefault(state.signature(), state)
+            kept = above.edges[byte] = register.setdefault(state.signature(), state)
+            # Closed states are below this one, so their counts are known.
+            counts[id(kept)] = kept.final + sum(counts[id(x)] for x in kept.edges.values())
 
     for word in spelled:
         common = next((k for k, (a, b) in enumerate(zip(last, word)) if a != b), min(len(last), len(word)))
@@ -100,18 +104,13 @@ def compiled(words: Iterable[str], ids_of) -> bytes:
         state.final, last = True, word
     close(0)
 
-    numbers, order, below = {id(root): 0}, [root], {}
+    numbers, order = {id(root): 0}, [root]
     for state in order:
         for other in state.edges.values():
             if id(other) not in numbers:
                 numbers[id(other)] = len(order)
                 order.append(other)
 
-    def words_below(state: _State) -> int:
-        if id(state) not in below:
-            below[id(state)] = state.final + sum(words_below(x) for x in state.edges.values())
-        return below[id(state)]
-
     keys, targets, skips = [], [], []
     for state in order:
         before = int(state.final)
@@ -119,7 +118,7 @@ def compiled(words: Iterable[str], ids_of) -> bytes:
             keys.append(numbers[id(state)] << 8 | byte)
             targets.append(numbers[id(other)])
             skips.append(before)
-            before += words_below(other)
+            before += counts[id(other)]
     outputs = [ids_of(word.decode()) for word in spelled]
     blocks = [
         np.array(keys, "<i8"), np.array(targets, "<i8"), np.array(skips, "<i8"),
@@ -174,10 +173,10 @@ class Transducer:
 
 
 def frequent(docs: DataFrame, most: int = MOST_WORDS, doc_id: str = "doc_id", text: str = "text") -> list[str]:
-    """The lower-cased words that each make up more than 1 / ``most`` of the words met more than once."""
+    """The lower-cased words, not overlong, that each make up more than 1 / ``most`` of the words met more than once."""
     found = F.explode(F.split(F.lower("text"), f"[^{LETTERS}]+")).alias("word")
     counts = cut_lineage(pair(docs, doc_id, text).select(found).groupBy("word").count()
-                         .filter((F.col("count") > 1) & (F.col("word") != "")))
+                         .filter((F.col("count") > 1) & (F.length("word").between(1, MOST_LETTERS))))
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     return [row.word for row in counts.filter(F.col("count") * most > total).select("word").collect()]
 

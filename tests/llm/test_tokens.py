@@ -125,3 +125,13 @@ def test_merges(library):
     merges, source = lexicon.Merges(WORDS), random.Random(1)
     spelled = ["".join(source.choices("abcdeoilnrsté", k=source.randint(1, 14))) for _ in range(2000)] + ["", "aaaaaaa", "x" * 99]
     assert [merges(w) for w in spelled] == [ids_of(library, WORDS, w) for w in spelled]
+
+
+def test_long_words_compile_and_encode(spark, library):
+    held = ["x" * 30000, "x" * 29999 + "y", "y"]
+    automaton = lexicon.Transducer(lexicon.compiled(held, lambda w: [len(w)]))
+    assert automaton.numbers([w.encode() for w in held]).tolist() == [0, 1, 2]
+    rows = ODD + [(90, "x" * 30000), (91, "ab" * 300), (92, "ab" * 300)]
+    made = lexicon.encode(frame(spark, rows), most=40)
+    assert by_row(made, "doc_id", "ids") == sorted(((i, ids_of(library, WORDS, t)) for i, t in rows), key=repr)
+    assert max(map(len, lexicon.frequent(frame(spark, rows)))) <= lexicon.MOST_LETTERS
