@@ -1,9 +1,9 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
 A lexicon of words comes from labelled texts: the log-odds of a word between the classes, smoothed by a Dirichlet prior
-that is part informative (the word's share of both classes) and part flat. Toxic texts that hold a word count once for
-each word that stands before it there, so that copies of one toxic text do not make all its words toxic. Words whose log-odds are significant score
-that value; every other word scores the small loss of not being one of them. A linear scan then finds all maximal
+that is part informative (the word's share of both classes) and part flat. Near-copies among the labelled texts of a
+class count once, so that copies of one toxic text do not make all its words toxic. Words whose log-odds are significant
+score that value; every other word scores the small loss of not being one of them. A linear scan then finds all maximal
 segments, and a segment is a toxic passage if its chance under an extreme-value law is small; the law's constant is
 fitted on clean texts. The excess of a text's passages is turned into a probability by logistic calibration on labelled
 texts that the lexicon did not see.
@@ -24,6 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tablelore.session import cut_lineage
+
+from . import circulant
 from .common import Rows, held_out, pair, rows_of
 
 #: Bounds of the model: labelled texts to learn from, and terms of the lexicon.
@@ -132,12 +135,15 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
     ).select("doc_id", "text", "toxic", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) > 0).alias("fits"))
 
 
-def _contexts(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """``word`` and how many different words stand before it in toxic texts, for at most ``TERMS`` terms."""
-    words = texts.filter("toxic = 1").select(F.split(F.lower("text"), r"[^\p{L}]+").alias("w"))
-    pairs = F.zip_with("w", F.concat(F.array(F.lit("")), "w"), lambda x, before: F.struct(x.alias("word"), before.alias("before")))
-    each = words.select(F.inline(pairs)).join(F.broadcast(terms), "word").distinct()
-    return each.groupBy("word").agg(F.count(F.lit(1)).cast("double").alias("contexts"))
+def merged(texts: DataFrame) -> DataFrame:
+    """Of each group of near-copies one text per class, and the groups on one side of ``fits``.
+
+    Near-copies of both classes stay apart, as they tell what makes the difference.
+    """
+    groups = circulant.near_duplicates(texts).select("doc_id", "component_id")
+    return texts.join(groups, "doc_id").groupBy("component_id", "toxic").agg(
+        F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("doc_id")
+    ).select("doc_id", "text", "toxic", (F.pmod(F.xxhash64("component_id"), F.lit(4)) > 0).alias("fits"))
 
 
 def _lexicon(texts: DataFrame) -> tuple[dict[str, float], float, float]:
@@ -159,13 +165,8 @@ def _lexicon(texts: DataFrame) -> tuple[dict[str, float], float, float]:
     odds = log_odds("y1", n1) - log_odds("y0", n0)
     z = odds / F.sqrt(1 / (F.col("y1") + prior) + 1 / (F.col("y0") + prior))
 
-    def significant(counted: DataFrame) -> DataFrame:
-        terms = counted.select("word", "y1", "y0", odds.alias("odds"), z.alias("z"))
-        return terms.filter((F.col("z") >= LEAST_Z) & (F.col("odds") > 0)).orderBy(F.desc("z"), "word").limit(TERMS)
-
-    first = significant(counts).select("word", "y1", "y0")
-    fewer = first.join(_contexts(texts, first.select("word")), "word").withColumn("y1", F.least("y1", "contexts"))
-    kept = significant(fewer).collect()
+    terms = counts.select("word", "y1", "y0", odds.alias("odds"), z.alias("z")).filter((F.col("z") >= LEAST_Z) & (F.col("odds") > 0))
+    kept = terms.orderBy(F.desc("z"), "word").limit(TERMS).collect()
     scores = {x.word: x.odds for x in kept}
     share1 = min(0.9, sum(x.y1 for x in kept) / n1)
     share0 = (sum(x.y0 for x in kept) + FLAT) / (n0 + 1)
@@ -199,7 +200,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int =
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     """The model from at most ``rows`` labelled texts; three quarters give the lexicon, the rest calibrates it."""
-    texts = labelled(docs, labels, rows)
+    texts = cut_lineage(merged(cut_lineage(labelled(docs, labels, rows))))
     scores, other, decay = _lexicon(texts.filter("fits"))
     model = Model(scores, other, decay)
     rest = texts.filter("NOT fits")

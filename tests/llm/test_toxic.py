@@ -73,3 +73,28 @@ def test_rows_that_are_not_toxic_keep_their_columns(spark):
     model = toxicity.Model({"lazy": 8.0}, constant=1e-3, bias=-5.0, slope=10.0)
     kept = toxicity.not_toxic(docs, model)
     assert kept.columns == docs.columns and kept.count() == len(ODD) - 2
+
+
+def phrases(n):
+    """One text in five is toxic; the word stands in half of those and in one clean text of 40, after four words only."""
+    source, neutral = random.Random(7), [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)]
+    rows = []
+    for i in range(n):
+        words, toxic = source.choices(neutral, k=20), int(i % 5 == 0)
+        if i % 10 == 0 or i % 50 == 1:
+            words += [("oh", "you", "the", "old")[i // 10 % 4], "grobl"]
+        rows.append((i, " ".join(words), toxic))
+    return rows
+
+
+def test_words_of_fixed_phrases_stay_as_labels_grow(spark):
+    odds = [toxicity._lexicon(spark.createDataFrame(phrases(n), "doc_id long, text string, toxic int"))[0].get("grobl") for n in (300, 3000)]
+    assert all(odds) and odds[1] > 0.9 * odds[0]
+
+
+def test_near_copies_of_a_class_count_once(spark):
+    text = " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(100))
+    rows = [(k, f"{text} end{chr(97 + k)}", int(k % 2 == 0), True) for k in range(20)] + [(50, "others stay", 1, True), (51, "", 0, True)]
+    made = toxicity.merged(spark.createDataFrame(rows, "doc_id long, text string, toxic int, fits boolean")).collect()
+    assert sorted((r.doc_id, r.toxic) for r in made) == [(0, 1), (1, 0), (50, 1), (51, 0)]
+    assert len({r.fits for r in made if r.doc_id < 2}) == 1
