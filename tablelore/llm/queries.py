@@ -164,6 +164,6 @@ x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.valu
       UNION ALL
       SELECT p.lang, p.source, 'term', p.term, ((p.p - q.q) * (p.p - q.q)) // (p.p + q.q)
       FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p.p > q.q),
-y AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item::BLOB)::INT AS rank FROM x)
+y AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM x)
 SELECT lang, source, part, item, value, rank FROM y WHERE part = 'pair' OR rank <= 10
 """
