@@ -6,7 +6,8 @@ import io
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -63,6 +64,17 @@ def write_shared(spark: SparkSession, name: str, content: bytes) -> str:
     return f"{folder}/{name}"
 
 
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A new folder in the shared one, gone at the end: for tables that nothing reads later."""
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Lets the tasks of this session import this package, also where it is not installed on the executors."""
     context = spark.sparkContext
