@@ -31,6 +31,12 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(kept % FOLDS == HELD_OUT, F.lit(False))
 
 
+def finite(vector: Column) -> Column:
+    """True for a vector that is not null, has entries, and holds only finite numbers."""
+    fine = F.forall(vector, lambda c: F.coalesce(~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) != float("inf")), F.lit(False)))
+    return vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(fine, F.lit(False))
+
+
 def sieve(values: DataFrame) -> DataFrame:
     """``slot`` and ``bits``: the CRCs of the one column as a set of bits. What it lacks is not there, what it holds may be."""
     crc = F.crc32(F.col(values.columns[0])) % SIEVE_BITS

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import circulant, disclosure, divergence, language, ledger, lexicon, outliers, packing, tokens, toxicity, tries
+from . import circulant, disclosure, divergence, flatgraph, language, ledger, lexicon, outliers, packing, tokens, toxicity, tries, whitening
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,29 @@ x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.valu
 y AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM x)
 SELECT lang, source, part, item, value, rank FROM y WHERE part = 'pair' OR rank <= 10
 """
+
+
+@_query
+def op12_pruned_graph(spark: SparkSession, folder: str) -> DataFrame:
+    return flatgraph.near_duplicates(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+ORACLES["op12_pruned_graph"] = """
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+u AS (SELECT r, label, len(v) AS size, list_transform(v, lambda c: c / sqrt(list_dot_product(v, v))) AS v
+      FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda c: c IS NOT NULL AND isfinite(c))) = len(v)
+          AND len(list_filter(v, lambda c: c <> 0)) > 0),
+l AS (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.label = b.label AND a.size = b.size AND a.r <> b.r
+      WHERE list_dot_product(a.v, b.v) >= 0.98),
+reach(r, node) AS (SELECT r, r FROM e UNION SELECT reach.r, l.b FROM reach JOIN l ON l.a = reach.node),
+c AS (SELECT reach.r, min(e.vec_id) AS component_id FROM reach JOIN e ON e.r = reach.node GROUP BY reach.r),
+n AS (SELECT a AS r, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM e LEFT JOIN n USING (r) JOIN c USING (r)
+"""
+
+
+@_query
+def op13_secular_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    made = whitening.whitened(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    return made.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
