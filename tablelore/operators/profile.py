@@ -1,4 +1,4 @@
-"""Column and table profiles: one aggregate pass for statistics, one for the common values."""
+"""Column and table profiles: statistics and common values from one aggregate pass."""
 
 from __future__ import annotations
 
@@ -63,35 +63,60 @@ def _comment(field: T.StructField) -> str | None:
 
 
 def column_stats(df: DataFrame, ref: str, options: ProfileOptions = ProfileOptions(),
-                 columns: Sequence[str] | None = None, with_total: bool = False) -> DataFrame:
+                 columns: Sequence[str] | None = None, with_total: bool = False, with_values: bool = False) -> DataFrame:
     """One row of statistics per column, from one aggregate per slice of ``batch_size`` columns.
 
     Each slice reads only its own columns. Complex and binary columns are listed with their
-    structure and are not read. ``with_total`` adds the row count as ``total``.
+    structure and are not read. ``with_total`` adds the row count as ``total``. ``with_values`` adds ``top_k``, the
+    most common values of the enumerations, counted in the same pass.
     """
     wanted = _wanted(df, columns)
     size = options.batch_size
     slices = [wanted[i:i + size] for i in range(0, len(wanted), size)]
-    shown = T.StructType([*COLUMN_STATS.fields, *[T.StructField("total", T.LongType())] * with_total])
+    shown = T.StructType([*COLUMN_STATS.fields, *[T.StructField("total", T.LongType())] * with_total,
+                          *[T.StructField("top_k", TOP_VALUES)] * with_values])
     if not slices:
         return df.sparkSession.createDataFrame([], shown)
-    made = reduce(DataFrame.unionByName, [_slice_stats(df, ref, part, options) for part in slices])
-    return made if with_total else made.drop("total")
+    return reduce(DataFrame.unionByName, [_slice_stats(df, ref, part, options, with_values) for part in slices]).select(shown.names)
+
+
+def counted_values(source: str, data_type: T.DataType, options: ProfileOptions) -> tuple[str, str, int]:
+    """A value to count, SQL for the text of a counted one, and how many values are counted at a time.
+
+    The counts are exact while a column has no more distinct values (and a null) than are counted at a time, and so
+    for every enumeration: twice as many are counted as it may have, since the distinct count may be an estimate.
+    """
+    kinds = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType,
+             T.DateType, T.TimestampType, T.TimestampNTZType)
+    plain = isinstance(data_type, kinds)
+    return (source if plain else value_text(source, data_type), value_text("x.item", data_type) if plain else "x.item",
+            2 * options.max_cardinality + 2)
+
+
+def most_common(listed: str, k: int) -> str:
+    """SQL for the ``k`` most common of counted values (``value``, ``count``), ties by value."""
+    ranked = f"array_sort(transform(filter({listed}, x -> x.value IS NOT NULL), x -> struct(-x.count AS n, x.value AS value)))"
+    return f"transform(slice({ranked}, 1, {k}), x -> struct(x.value AS value, -x.n AS count))"
 
 
 def _slice_stats(df: DataFrame, ref: str, part: list[tuple[int, T.StructField]],
-                 options: ProfileOptions) -> DataFrame:
+                 options: ProfileOptions, with_values: bool) -> DataFrame:
     aggregates, measured = ["count(1) AS total"], []
     for i, field in part:
         kind = type_class_of(field.dataType)
         source = quoted(field.name)
         present, distinct, low, high = "cast(NULL AS bigint)", "cast(NULL AS bigint)", "cast(NULL AS string)", "cast(NULL AS string)"
+        listed = "cast(NULL AS array<struct<value:string,count:bigint>>)"
         if kind not in STRUCTURE_ONLY_CLASSES:
             aggregates.append(f"count({source}) AS n_{i}")
             present = f"n_{i}"
             if not options.exact:
                 aggregates.append(f"approx_count_distinct({countable(source, field.dataType)[0]}) AS d_{i}")
                 distinct = f"d_{i}"
+            if with_values and options.top_k > 0:
+                value, text, most = counted_values(source, field.dataType, options)
+                aggregates.append(f"approx_top_k({value}, {most}, {most}) AS t_{i}")
+                listed = f"transform(t_{i}, x -> struct({text} AS value, x.count AS count))"
         if kind in RANGED_CLASSES and ordered(field.dataType):
             aggregates += [f"min({source}) AS lo_{i}", f"max({source}) AS hi_{i}"]
             low, high = value_text(f"lo_{i}", field.dataType), value_text(f"hi_{i}", field.dataType)
@@ -101,7 +126,7 @@ def _slice_stats(df: DataFrame, ref: str, part: list[tuple[int, T.StructField]],
             "data_type": literal(field.dataType.simpleString()), "type_class": literal(kind),
             "nullable": str(field.nullable).lower(),
             "existing_comment": "cast(NULL AS string)" if comment is None else literal(comment),
-            "present": present, "found": distinct, "low": low, "high": high}
+            "present": present, "found": distinct, "low": low, "high": high, "listed": listed}
         measured.append("struct(" + ", ".join(f"{v} AS {k}" for k, v in declared.items()) + ")")
     rows = df.selectExpr(*aggregates).selectExpr("total", f"inline(array({', '.join(measured)}))")
     if options.exact:
@@ -115,7 +140,8 @@ def _slice_stats(df: DataFrame, ref: str, part: list[tuple[int, T.StructField]],
         f"CASE WHEN {described} THEN {str(not options.exact).lower()} END AS distinct_is_approx",
         "CASE WHEN present > 0 THEN round(distinct_count / present, 6) END AS cardinality_ratio",
         "low AS min", "high AS max",
-        f"distinct_count > 0 AND distinct_count <= {options.max_cardinality} AS is_enum_candidate", "total")
+        f"distinct_count > 0 AND distinct_count <= {options.max_cardinality} AS is_enum_candidate", "total",
+        f"CASE WHEN distinct_count > 0 AND distinct_count <= {options.max_cardinality} THEN {most_common('listed', options.top_k)} END AS top_k")
 
 
 def _exact_distinct(df: DataFrame, part: list[tuple[int, T.StructField]]) -> DataFrame:
@@ -142,32 +168,6 @@ def _exact_distinct(df: DataFrame, part: list[tuple[int, T.StructField]]) -> Dat
     return present.select("ordinal", *fields).distinct().groupBy("ordinal").agg(F.count(F.lit(1)).alias("found"))
 
 
-def top_values(df: DataFrame, ref: str, names: Sequence[str], k: int = 20) -> DataFrame:
-    """The ``k`` most common values of the named columns, ties by value.
-
-    Columns are turned into (column, value) rows and counted with map-side combine, so a value
-    holding most rows costs one row per task. The columns are enumerations: what is left to rank
-    has at most a few dozen rows per column.
-    """
-    types = {f.name: f.dataType for f in df.schema.fields}
-    pairs = ", ".join(
-        f"struct({literal(n)} AS name, {value_text(quoted(n), types[n])} AS value)" for n in names)
-    counts = (
-        df.selectExpr(f"inline(array({pairs}))").filter("value IS NOT NULL")
-        .groupBy("name", "value").agg(F.count(F.lit(1)).alias("count"))
-    )
-    order = Window.partitionBy("name").orderBy(F.col("count").desc(), "value")
-    ranked = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select(F.lit(ref).alias("table_ref"), "name", "rank", "value", "count")
-
-
-def gather_top_values(ranked: DataFrame) -> DataFrame:
-    """Ranked values as one list per column; the list holds at most the k values kept above."""
-    items = F.array_sort(F.collect_list(F.struct("rank", "value", "count")))
-    top_k = F.transform(items, lambda x: F.struct(x["value"].alias("value"), x["count"].alias("count")))
-    return ranked.groupBy("table_ref", "name").agg(top_k.cast(TOP_VALUES).alias("top_k"))
-
-
 def with_privacy(columns: DataFrame, mask_range: bool = True) -> DataFrame:
     """Adds the ``pii`` verdict and masks what a flagged column would show."""
     by_values = F.when(F.col("type_class") == "string", classes_by_values(F.col("top_k")))
@@ -218,21 +218,16 @@ def profile_table(df: DataFrame, ref: str, options: ProfileOptions = ProfileOpti
                   comment: str | None = None, partition_columns: Sequence[str] = ()) -> Profile:
     """Profile of one table.
 
-    The statistics, one row per column of a schema the driver already holds, are read back to
-    choose the enumerations; only those columns are scanned again for their common values.
+    One pass; its result, one row per column of a schema the driver already holds, is read back, so that the profile's
+    two tables do not make the pass twice.
     """
     spark = df.sparkSession
     rows = fixed_sample(df, sample)
-    measured = column_stats(rows, ref, options, columns, with_total=True).collect()
-    stats = small_table(spark, [tuple(r)[:-1] for r in measured], COLUMN_STATS)
-    enums = [r.name for r in measured if r.is_enum_candidate]
-    if enums and options.top_k > 0:
-        ranked = top_values(rows, ref, enums, options.top_k)
-        joined = stats.join(gather_top_values(ranked), ["table_ref", "name"], "left")
-    else:
-        joined = stats.withColumn("top_k", F.lit(None).cast(TOP_VALUES))
+    measured = [r.asDict(True) for r in column_stats(rows, ref, options, columns, with_total=True, with_values=True).collect()]
+    shown = T.StructType([*COLUMN_STATS.fields, T.StructField("top_k", TOP_VALUES)])
+    joined = small_table(spark, [[r[n] for n in shown.names] for r in measured], shown)
     block = table_block(rows, ref, sample.active, len(measured), comment=comment, partition_columns=partition_columns,
-                        row_count=measured[0].total if measured else None)
+                        row_count=measured[0]["total"] if measured else None)
     return Profile(block, with_privacy(joined, options.mask_range))
 
 

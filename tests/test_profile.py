@@ -161,3 +161,24 @@ def test_values_without_order_or_equality_are_profiled(spark, exact):
     assert found["i"].min is None and found["i"].max is None and found["id"].max == "60"
     assert {x["count"] for x in found["v"].top_k} == {20} and found["v"].top_k[0]["value"] == '{"a":0}'
     assert made.tables.first().row_count == 61
+
+
+def test_values_are_counted_in_the_pass_of_the_statistics(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(3000).select(
+        "id", (F.col("id") % 40).alias("forty"), (F.col("id") % 75).alias("more"), F.expr("IF(id % 3 = 0, NULL, id % 2 = 0)").alias("flag"),
+        F.expr("cast(id % 4 AS decimal(6,2)) / 4").alias("part"), F.expr("date_add(DATE'2024-01-01', cast(id % 3 AS int))").alias("day"),
+        F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, (id % 2) / 2)").alias("at"),
+        F.expr("make_dt_interval(0, cast(id % 2 AS int))").alias("span"), F.expr("make_ym_interval(1, cast(id % 2 AS int))").alias("months"),
+        F.expr("concat(repeat('long', 200), id % 5)").alias("text")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    stats = column_stats(rows, "a.b.c", EXACT, with_values=True)
+    assert str(column_stats(rows, "a.b.c", with_values=True)._jdf.queryExecution().optimizedPlan()).count("Relation") == 1
+    for made in (stats, profile_table(rows, "a.b.c").columns):
+        found = {r.name: r.top_k and [(v.value, v["count"]) for v in r.top_k] for r in made.collect()}
+        assert found["id"] is None and found["more"] is None and len(found["forty"]) == 20
+        assert found["forty"] == sorted(((str(k), 75) for k in range(40)))[:20]
+        assert found["flag"] == [("false", 1000), ("true", 1000)] and found["day"][0] == ("2024-01-01", 1000)
+        assert found["at"] == [("2024-01-01T00:00:00", 1500), ("2024-01-01T00:00:00.500000", 1500)]
+        assert [v for v, _ in found["part"]] == sorted(v for v, _ in found["part"]) and len(found["part"]) == 4
+        assert len(found["span"]) == len(found["months"]) == 2 and found["text"][0] == ("long" * 200 + "0", 600)
