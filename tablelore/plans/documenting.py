@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..operators import context, gate, inference, profile, prompts, review, scoring
 from ..operators.runs import session_table
-from ..schemas import TABLE_TARGET
+from ..schemas import DRAFT, QUESTION, TABLE_TARGET
 from ..session import cut_lineage
 from ..sources import store
+from ..sources.replies import KEEP_EVERY, Replies
 from ..sources.sampling import Sample
+from ..sources.versions import Moved, Versions, key_of
 
 Model = inference.Model
 QUESTIONS_PER_PROMPT = 25
@@ -30,7 +32,11 @@ ANSWER_RULES = (
 
 @dataclass(frozen=True)
 class Settings:
-    """``replies`` is a folder that keeps every reply of a model, so that a run begun again asks only what is missing."""
+    """``replies`` is a folder that keeps every reply of a model, so that a run begun again asks only what is missing.
+
+    A task puts its replies away after ``keep_every`` calls. With ``store`` a run is saved there as it goes: when its
+    tables are profiled, when they are drafted, scored and routed, and after each time it goes on.
+    """
 
     mode: str = "hands_off"
     keep_threshold: float = gate.KEEP_THRESHOLD
@@ -39,6 +45,8 @@ class Settings:
     columns_per_prompt: int = prompts.COLUMNS_PER_PROMPT
     calls_at_once: int | None = None
     replies: str | None = None
+    keep_every: int = KEEP_EVERY
+    store: str | None = None
     sample: Sample = Sample()
     profile: profile.ProfileOptions = profile.ProfileOptions()
 
@@ -88,26 +96,18 @@ def session_key(run: str, table_ref: Column) -> Column:
     return F.sha2(F.concat_ws("\n", F.lit(run), table_ref), 256)
 
 
-REPLIES = "call_id string, reply string, failure string"
-
-
 def _asked(prompted: DataFrame, model: Model, settings: Settings, stage: str) -> DataFrame:
     """Replies, stored: a model may answer differently when asked again.
 
-    With ``settings.replies`` each prompt is asked once ever per stage: its words are its key. Failed
-    calls are not kept, so they are made again by the next run.
+    With ``settings.replies`` each prompt is asked once ever per stage: its words are its key, and replies are kept
+    as they come. Failed calls are made again by the next run.
     """
     if settings.replies is None:
         return cut_lineage(inference.infer(prompted, model, partitions=settings.calls_at_once))
-    folder = f"{settings.replies.rstrip('/')}/{stage}"
-    spark = prompted.sparkSession
-    spark.createDataFrame([], REPLIES).write.mode("append").parquet(folder)
+    kept = Replies(prompted.sparkSession, f"{settings.replies.rstrip('/')}/{stage}", settings.keep_every)
     named = cut_lineage(prompted.withColumn("call_id", F.sha2(F.concat_ws("\n", "prompt_id", "messages"), 256)))
-    known = cut_lineage(spark.read.schema(REPLIES).parquet(folder).dropDuplicates(["call_id"]))
-    fresh = cut_lineage(inference.infer(named, model, done=known, key="call_id", partitions=settings.calls_at_once).select(
-        "call_id", "reply", "failure"))
-    fresh.filter("failure IS NULL").write.mode("append").parquet(folder)
-    return cut_lineage(named.join(known.unionByName(fresh).dropDuplicates(["call_id"]), "call_id").drop("call_id"))
+    answered = kept.ask(named, model, settings.calls_at_once)
+    return cut_lineage(named.join(answered, "call_id").drop("call_id"))
 
 
 def _fitted(asked: DataFrame, models: Models, settings: Settings, stage: str) -> DataFrame:
@@ -208,8 +208,20 @@ def document(spark: SparkSession, tables: Mapping[str, Callable[[], DataFrame]],
         F.lit(None).cast("string").alias("config"), F.lit(created_by).alias("created_by"), F.lit(run).alias("schema_run_id"),
         now.alias("created_at"), now.alias("updated_at"))
     state = Documented(profiles, columns, keys, cut_lineage(gathered.snippets), spark.createDataFrame([], inference.DRAFT),
-                       spark.createDataFrame([], "session_id string"), cut_lineage(sessions), made.errors, gathered.warnings, settings)
-    return _gated(state, _judged(state, _drafts(state, profiles, columns, models), models.judge), models)
+                       spark.createDataFrame([], QUESTION), cut_lineage(sessions), made.errors, gathered.warnings, settings)
+    _kept(state)
+    drafted = replace(state, drafts=cut_lineage(_drafts(state, profiles, columns, models)))
+    _kept(drafted)
+    scored = replace(drafted, drafts=_judged(drafted, drafted.drafts, models.judge))
+    _kept(scored)
+    return _kept(_gated(scored, scored.drafts, models))
+
+
+def _kept(state: Documented) -> Documented:
+    """The state, saved where its settings say."""
+    if state.settings.store:
+        save(state, state.settings.store)
+    return state
 
 
 def _redone(state: Documented, targets: DataFrame, models: Models) -> Documented:
@@ -220,7 +232,7 @@ def _redone(state: Documented, targets: DataFrame, models: Models) -> Documented
     columns = state.columns.join(named.select("table_ref", F.col("target").alias("name")), ["table_ref", "name"], "left_semi")
     fresh = _drafts(state, tables, columns, models).join(named, ["session_id", "target"], "left_semi")
     merged = review.merge_redrafts(state.drafts, _judged(state, cut_lineage(fresh), models.judge))
-    return _gated(state, merged, models)
+    return _kept(_gated(state, merged, models))
 
 
 def resume(state: Documented, answers: DataFrame, models: Models) -> Documented:
@@ -238,31 +250,40 @@ def regenerate(state: Documented, requests: DataFrame, models: Models) -> Docume
     return _redone(state, review.expand_targets(requests, state.drafts), models)
 
 
-STORED = ("sessions", "drafts", "questions", "snapshots")
+#: The parts of a store; drafts and questions may still be missing while a run goes on.
+STORED = {"sessions": None, "snapshots": None, "drafts": T.StructType(DRAFT.fields + [T.StructField("schema_run_id", T.StringType())]),
+          "questions": T.StructType(QUESTION.fields + [T.StructField("schema_run_id", T.StringType())])}
+SAVE_TRIES = 5
 
 
 def save(state: Documented, folder: str) -> None:
     """Adds a run's sessions, drafts, questions and JSON snapshots to the store; run again, it replaces what it redid.
 
-    Every part is partitioned by run, and only the partitions of this state's runs are rewritten.
+    All parts change at once, in one new version of the store, and only for the runs of this state. If another writer
+    was first, what it left is read again and this state added to it; ``Moved`` after ``SAVE_TRIES`` such cases.
     """
-    spark, runs = state.sessions.sparkSession, state.sessions.select("schema_run_id").distinct()
+    versions = Versions(state.sessions.sparkSession, folder)
+    runs = [row[0] for row in state.sessions.select(key_of("schema_run_id")).distinct().collect()]
     named = state.sessions.select("session_id", "schema_run_id")
-
-    def earlier(part: str, like: DataFrame) -> DataFrame:
-        path = f"{folder.rstrip('/')}/{part}"
-        like.limit(0).write.mode("append").partitionBy("schema_run_id").parquet(path)
-        return spark.read.schema(like.schema).parquet(path).join(runs, "schema_run_id", "left_semi").select(like.columns)
-
-    def put(part: str, rows: DataFrame) -> None:
-        store.replace_partitions(rows, f"{folder.rstrip('/')}/{part}", ["schema_run_id"])
-
-    put("sessions", store.merged_sessions(earlier("sessions", state.sessions), state.sessions))
-    for part, rows in (("drafts", state.drafts), ("questions", state.questions), ("snapshots", store.write_state(
-            state.sessions, state.drafts, state.questions, _said_once(state)))):
-        fresh = rows.join(named, "session_id")
-        kept = earlier(part, fresh).join(named.select("session_id"), "session_id", "left_anti")
-        put(part, kept.unionByName(fresh))
+    for again in range(SAVE_TRIES):
+        base = versions.snapshot()
+
+        def earlier(part: str, like: DataFrame) -> DataFrame:
+            return versions.read(part, like.schema, base, runs).select(like.columns)
+
+        rows = {"sessions": store.merged_sessions(earlier("sessions", state.sessions), state.sessions)}
+        for part, fresh in (("drafts", state.drafts), ("questions", state.questions), ("snapshots", store.write_state(
+                state.sessions, state.drafts, state.questions, _said_once(state)))):
+            fresh = fresh.join(named, "session_id")
+            rows[part] = earlier(part, fresh).join(named.select("session_id"), "session_id", "left_anti").unionByName(fresh)
+        written = {part: versions.write(part, made, "schema_run_id") for part, made in rows.items()}
+        try:
+            versions.commit(base, {part: {k: written[part].get(k) for k in runs} for part in rows})
+            return
+        except Moved:
+            versions.forget()
+            if again + 1 == SAVE_TRIES:
+                raise
 
 
 def _said_once(state: Documented) -> DataFrame:
@@ -277,5 +298,9 @@ def _said_once(state: Documented) -> DataFrame:
 def saved(spark: SparkSession, folder: str, part: str) -> DataFrame:
     """One of the stored parts, of all runs; ``snapshots`` is read with ``store.read_state``."""
     if part not in STORED:
-        raise ValueError(f"unknown part {part!r}, expected one of {STORED}")
-    return spark.read.parquet(f"{folder.rstrip('/')}/{part}")
+        raise ValueError(f"unknown part {part!r}, expected one of {tuple(STORED)}")
+    versions = Versions(spark, folder)
+    snapshot = versions.snapshot()
+    if not snapshot.version:
+        raise ValueError(f"nothing was saved in {folder}")
+    return versions.read(part, STORED[part], snapshot)
