@@ -13,6 +13,7 @@ from tablelore.operators.profile import (
     ProfileOptions, accept_versions, column_stats, merge_batches, profile_table, profile_tables,
     scan_for_private_values, table_block, without_verbose_fields,
 )
+from tablelore.operators.parts import measure, merge
 from tablelore.sources.sampling import Sample, apply_sample
 
 from .tables import COLUMNS, Tables, columns_of, query
@@ -110,6 +111,23 @@ def profile_lineitem_approximate(t: Tables) -> DataFrame:
     return stats.select("name", "data_type", "null_fraction", "min_text", "max_text", near.alias("is_close"))
 
 
+@query("profile_from_parts", f"""SELECT name, data_type, null_fraction, min_text, max_text, is_enum_candidate, true AS is_close,
+(SELECT count(*) FROM lineitem) AS total FROM ({LINEITEM_SQL})""")
+def profile_from_parts(t: Tables) -> DataFrame:
+    """Measured per return flag and merged: all but the distinct counts is exact, those are within six deviations of a sketch."""
+    stats = merge(measure(t["lineitem"], "samples.tpch.lineitem", "l_returnflag"))
+    exact = column_stats(t["lineitem"], "samples.tpch.lineitem", EXACT).select("name", F.col("distinct_count").alias("exact"))
+    near = F.abs(F.col("distinct_count") - F.col("exact")) <= 0.1 * F.col("exact")
+    return shown(stats).join(stats.select("name", "total"), "name").join(exact, "name").select(
+        "name", "data_type", "null_fraction", "min_text", "max_text", "is_enum_candidate", near.alias("is_close"), "total")
+
+
+@query("enum_values_from_parts", RANKED_VALUES.format(
+    counts=values_sql("orders", "samples.tpch.orders", columns_of("orders"))), rank="int")
+def enum_values_from_parts(t: Tables) -> DataFrame:
+    return listed_values(merge(measure(t["orders"], "samples.tpch.orders", "o_orderpriority")))
+
+
 @query("profile_every_table", "\nUNION ALL\n".join(
     stats_sql(name, f"samples.shop.{name}", columns_of(name)) for name in COLUMNS))
 def profile_every_table(t: Tables) -> DataFrame:
