@@ -31,14 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tablelore.session import cut_lineage, scratch
+from tablelore.session import cut_lineage, scratch, spread
 
 from .circulant import components
 from .common import finite
 
 LEAST = 0.98
 #: Nodes of a shard at most and about; clusters a cell is cut into at once; levels; nodes k-means learns from; rows a task assigns.
-CAP, TARGET, FAN, LEVELS, SAMPLE, ASSIGNED = 2048, 1024, 16, 8, 1024, 8192
+CAP, TARGET, FAN, LEVELS, SAMPLE, ASSIGNED = 1024, 512, 16, 8, 1024, 8192
 #: Clusters that a node belongs to at first and at most.
 OVERLAP, MOST_OVERLAP = 2, 4
 #: Near and far candidates of a node, its neighbours in a shard, and how much shorter a detour must be to stand for an edge.
@@ -47,6 +47,8 @@ NEAR, FAR, DEGREE, ALPHA = 64, 32, 32, 1.2
 BEAM, WIDER, QUERIES, AT_ONCE = 8, 1.5, 4096, 256
 AUDIT, RECALL = 512, 0.99
 ITERATIONS = 8
+#: Distances between candidates that are held at once.
+PRUNED = 1 << 21
 FOUND = "kind int, node long, other long, shard string"
 _COUNT, _EDGE, _FORWARD = 0, 1, 2
 
@@ -109,22 +111,27 @@ def sharded(nodes: DataFrame, overlap: int) -> DataFrame:
     """``node``, ``cell``, ``home``, ``vector``, ``shard``: all memberships."""
     members = nodes.select("node", "cell", F.lit(True).alias("home"), "vector")
     schema, names = ", ".join(f"{name} {kind}" for name, kind in members.dtypes), members.columns
+    deals = spread(nodes.sparkSession)
     for _ in range(LEVELS):
         large = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CAP)
-        large = cut_lineage(large.select("cell", F.ceil(F.col("n") / ASSIGNED).cast("int").alias("slices"),
+        large = cut_lineage(large.select("cell", "n", F.ceil(F.col("n") / ASSIGNED).cast("int").alias("slices"),
                                          F.least(F.lit(FAN), F.ceil(F.col("n") / TARGET)).cast("int").alias("parts")))
         if large.isEmpty():
             break
-        split = members.join(large, "cell")
+        # A cell meets its size in as many tasks as there are, and only few rows more than the sample are ranked.
+        known = large.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+        marked = cut_lineage(members.withColumn("deal", F.expr(f"cast(pmod(xxhash64(node, 4), {deals}) AS int)")).join(known, ["cell", "deal"], "left"))
+        split = marked.filter("n IS NOT NULL")
         first = Window.partitionBy("cell").orderBy(F.xxhash64("node"), "node")
-        sample = split.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= SAMPLE)
+        likely = split.filter(F.expr(f"pmod(xxhash64(node), {1 << 30}) * cast(n AS double) <= {4 * SAMPLE << 30}"))
+        sample = likely.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= SAMPLE)
         centres = cut_lineage(sample.select("cell", "node", "vector", "parts").groupBy("cell").applyInArrow(
             _centres, "in_cell string, centres array<double>"))
         dealt = split.select(*names, F.expr("cast(pmod(xxhash64(node, 1), slices) AS int)").alias("slice"))
         sent = centres.join(large.select(F.col("cell").alias("in_cell"), "slices"), "in_cell").select(
             "in_cell", "centres", F.explode(F.expr("sequence(0, slices - 1)")).alias("in_slice"))
         moved = dealt.groupBy("cell", "slice").cogroup(sent.groupBy("in_cell", "in_slice")).applyInArrow(_assigned(overlap, names), schema)
-        members = cut_lineage(members.join(large.select("cell"), "cell", "left_anti").select(names).union(moved))
+        members = cut_lineage(marked.filter("n IS NULL").select(names).union(moved))
     sizes = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CAP).cast("int").alias("slices"))
     shard = F.concat_ws("#", "cell", F.expr("pmod(xxhash64(node, 2), slices)").cast("string"))
     return members.join(sizes, "cell").select(*names, "slices", shard.alias("shard"))
@@ -135,9 +142,10 @@ def _pruned(rows: np.ndarray, pool: np.ndarray, near: np.ndarray) -> np.ndarray:
     order = np.argsort(-near, axis=1, kind="stable")
     pool, near = np.take_along_axis(pool, order, 1), np.take_along_axis(near, order, 1)
     found = rows[np.maximum(pool, 0)]
-    between = np.sqrt(np.maximum(2 - 2 * (found @ found.transpose(0, 2, 1)), 0))
-    away = np.sqrt(np.maximum(2 - 2 * np.where(np.isfinite(near), near, 0), 0))
+    # Squares of distances, halved: a detour is worth an edge if ALPHA times its length is not above the edge's.
+    between = ALPHA ** 2 * (1 - found @ found.transpose(0, 2, 1))
     alive, each = np.isfinite(near), np.arange(len(pool))
+    away = 1 - np.where(alive, near, 0)
     kept = np.full((len(pool), DEGREE), -1)
     for k in range(DEGREE):
         some = alive.any(axis=1)
@@ -145,7 +153,7 @@ def _pruned(rows: np.ndarray, pool: np.ndarray, near: np.ndarray) -> np.ndarray:
             break
         pick = alive.argmax(axis=1)
         kept[some, k] = pool[some, pick[some]]
-        alive &= ~(ALPHA * between[each, pick] <= away)
+        alive &= between[each, pick] > away
         alive[each, pick] = False
     return kept
 
@@ -168,13 +176,22 @@ def graph(rows: np.ndarray) -> np.ndarray:
     edges = np.unique(a * size + b)  # both ways, so that what is found from one side is found from the other
     a, b = edges // size, edges % size
     starts = np.searchsorted(a, np.arange(size + 1))
-    for node in range(size):
-        every = b[starts[node]:starts[node + 1]]
-        if len(every) <= DEGREE:
-            kept[node] = -1
-            kept[node, :len(every)] = every
-        else:
-            kept[node] = _pruned(rows, every[None], (rows[every] @ rows[node])[None])[0]
+    many = np.diff(starts)
+    rank = np.arange(len(a)) - starts[a]
+    few = many[a] <= DEGREE
+    kept[:] = -1
+    kept[a[few], rank[few]] = b[few]
+    more = np.flatnonzero(many > DEGREE)
+    more = more[np.argsort(many[more], kind="stable")]
+    while len(more):  # pools of like size at once, so many that their distances fit
+        wide = int(many[more[min(len(more), AT_ONCE // 2) - 1]])
+        own, more = np.split(more, [max(1, min(AT_ONCE // 2, PRUNED // wide ** 2))])
+        wide = int(many[own[-1]])
+        at = starts[own][:, None] + np.arange(wide)
+        there = np.arange(wide) < many[own][:, None]
+        pool = np.where(there, b[np.minimum(at, len(b) - 1)], -1)
+        near = np.einsum("ijk,ik->ij", rows[np.maximum(pool, 0)], rows[own])
+        kept[own] = _pruned(rows, pool, np.where(there, near, -np.inf))
     return kept
 
 
