@@ -266,6 +266,18 @@ def row_sample(t: Tables) -> DataFrame:
         known.agg(F.count(F.lit(1)).alias("known"), F.lit(1).alias("one")), "one").select("kept", "known", "different")
 
 
+@query("row_sample_shares", """SELECT l_returnflag, l_linenumber, count(*) AS total, true AS is_fair FROM lineitem GROUP BY l_returnflag, l_linenumber""")
+def row_sample_shares(t: Tables) -> DataFrame:
+    """Whether 3000 rows drawn hold each flag and line number by its share, within five deviations."""
+    keys = ["l_returnflag", "l_linenumber"]
+    kept = apply_sample(t["lineitem"], Sample("rows", 3000)).groupBy(*keys).agg(F.count(F.lit(1)).alias("kept"))
+    total = t["lineitem"].groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
+    every = total.groupBy().agg(F.sum("total").alias("every"), F.lit(1).alias("one"))
+    share = F.col("total") / F.col("every")
+    near = F.abs(F.coalesce("kept", F.lit(0)) - 3000 * share) <= 5 * F.sqrt(3000 * share * (1 - share)) + 1
+    return total.join(kept, keys, "left").withColumn("one", F.lit(1)).join(every, "one").select(*keys, "total", near.alias("is_fair"))
+
+
 @query("percent_sample", """SELECT l_returnflag, count(*) AS total, true AS about_a_tenth FROM lineitem GROUP BY l_returnflag""")
 def percent_sample(t: Tables) -> DataFrame:
     """Whether a tenth of the rows of each flag is kept, within five deviations."""
