@@ -48,11 +48,20 @@ def _stated(value: Column, names: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.nullif(_field(value, n, "string"), F.lit("")) for n in names])
 
 
+def nesting(payload: Column) -> Column:
+    """How deep objects lie in one another in a JSON text; braces inside strings do not count."""
+    bare = F.regexp_replace(payload, r'"(?:[^"\\]++|\\.)*+"', "")
+    steps = F.transform(F.regexp_extract_all(bare, F.lit(r"[{}]"), F.lit(0)), lambda b: F.when(b == "{", 1).otherwise(-1))
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(steps, zero, lambda acc, step: F.struct(
+        (acc["now"] + step).alias("now"), F.greatest(acc["most"], acc["now"] + step).alias("most")), lambda acc: acc["most"])
+
+
 def result_texts(payload: Column) -> Column:
     """Text rows of a tool result: a string, a list, or an object around either, nested at will."""
     parsed = F.try_parse_json(payload)
-    # Only objects are unwrapped, so a list needs no round and an object one per brace at most.
-    depth = F.when(F.ltrim(payload).startswith("["), 0).otherwise(F.regexp_count(payload, F.lit(r"\{")))
+    # Only objects are unwrapped, each from the inside of another one: as many rounds as they lie deep.
+    depth = F.when(F.ltrim(payload).startswith("["), 0).otherwise(nesting(payload))
     core = F.when(depth == 0, parsed).otherwise(
         F.aggregate(F.sequence(F.lit(1), depth), parsed, lambda acc, _: _unwrap(acc)))
     items = F.try_variant_get(core, "$", "array<variant>")
