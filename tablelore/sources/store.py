@@ -56,11 +56,21 @@ def read_state(snapshots: DataFrame, column: str = "state") -> DataFrame:
 
 
 def whole_sessions(state: DataFrame) -> DataFrame:
-    """One row per session from the rows of its parts; a session is as large as its table is wide."""
+    """One row per session from the rows of its parts, in the order of their ``part``; a session is as large as its table is wide.
+
+    What is said once is taken from the first part that says it. Rows without ``part`` count as the first.
+    """
     lists = ("context", "column_drafts", "open_questions")
     single = ("target", "template_id", "phase", "mode", "keep_threshold", "config", "profile", "schema_meta", "table_draft")
+    place = F.coalesce(F.col("part").cast("int"), F.lit(0)) if "part" in state.columns else F.lit(0)
+
+    def in_order(name: str) -> Column:
+        parts = F.array_sort(F.collect_list(F.struct(place.alias("place"), F.col(name).alias("part"))),
+                             lambda x, y: F.when(x["place"] < y["place"], -1).when(x["place"] > y["place"], 1).otherwise(0))
+        return F.flatten(F.transform(parts, lambda x: x["part"]))
+
     return state.groupBy("session_id").agg(
-        *[F.first(c, ignorenulls=True).alias(c) for c in single], *[F.flatten(F.collect_list(c)).alias(c) for c in lists])
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in single], *[in_order(c).alias(c) for c in lists])
 
 
 def drafts_of_state(state: DataFrame) -> DataFrame:
