@@ -83,9 +83,10 @@ def result_snippets(results: DataFrame, limit: int = SNIPPETS_PER_PROVIDER) -> D
     return first.select("table_ref", *snippet_fields(F.col("text"), F.col("provider"), RESULT_RELEVANCE, F.col("rank")))
 
 
-def ranking() -> list[Column]:
-    """Most relevant first; then in order of provider, place within the provider, and text."""
-    return [F.col("relevance").desc(), F.col("provider_seq"), F.col("seq"), F.col("text"), F.col("source")]
+def ranking() -> tuple[list[Column], list[Column]]:
+    """Most relevant first, without relevance last; then in order of provider and place within the provider; then by text."""
+    place = [F.col("relevance").isNull(), -F.col("relevance"), F.col("provider_seq"), F.col("seq")]
+    return place, [F.col("text"), F.col("source")]
 
 
 def with_token_cost(snippets: DataFrame) -> DataFrame:
@@ -95,7 +96,7 @@ def with_token_cost(snippets: DataFrame) -> DataFrame:
 def within_budget(snippets: DataFrame, budget: int = CONTEXT_BUDGET) -> DataFrame:
     """Snippets of each table from the most relevant on, as long as they fit the budget together."""
     priced = with_token_cost(snippets)
-    kept = prefix_within_budget(priced, ["table_ref"], ranking(), "cost", budget, ["text", "source"])
+    kept = prefix_within_budget(priced, ["table_ref"], *ranking(), "cost", budget, ["text", "source"])
     return kept.drop("cost")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import spread
+from ..session import cut_lineage, spread
 
 _SALT = "_slice"
 
@@ -42,10 +42,11 @@ def number_by_ordinal(df: DataFrame, keys: Sequence[str], ordinal: str, order: S
     """Position of each row within its key, by an integer ordinal and then ``order``.
 
     Ranges of ``width`` ordinals are numbered apart; a range starts after the rows counted in the
-    ranges before it. Only those counts, one row per range, are brought together per key.
+    ranges before it. Only those counts, one row per range, are brought together per key. The rows are stored
+    first, so that what they come from is read once.
     """
     block = "_block"
-    parts = df.withColumn(block, F.floor(F.coalesce(F.col(ordinal), F.lit(0)) / width))
+    parts = cut_lineage(df.withColumn(block, F.floor(F.coalesce(F.col(ordinal), F.lit(0)) / width)))
     before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         parts.groupBy(*keys, block).agg(F.count(F.lit(1)).alias("_rows"))
@@ -61,16 +62,49 @@ def number_by_ordinal(df: DataFrame, keys: Sequence[str], ordinal: str, order: S
     )
 
 
-def prefix_within_budget(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cost: str,
+def prefix_within_budget(df: DataFrame, keys: Sequence[str], place: Sequence[Column], rest: Sequence[Column], cost: str,
                          budget: int, slice_by: Sequence[str]) -> DataFrame:
     """The longest leading run of each key whose costs fit the budget; the first row always stays.
 
+    Rows stand by ``place``, narrow columns, rising, and those of one place by ``rest``. Costs are summed per place, and
+    running sums over the places find the one where a key's budget ends. Rows of earlier places stay and later
+    ones go as they are, whatever else they hold; only the rows of that one place are looked at singly. Places without
+    costs take no part in the sums, and slices of a key drop places behind a full budget of their own before those of
+    one key meet, so few more than ``budget`` places per slice do.
+    """
+    at, salt = "_at", _SALT
+    rows = df.withColumn(at, F.struct(*(p.alias(f"p{k}") for k, p in enumerate(place))))
+    sums = rows.groupBy(*keys, at).agg(F.sum(cost).alias("_cost"))
+    first = sums.groupBy(*keys).agg(F.min(at).alias("_begin"))
+    up_to_here = (Window.unboundedPreceding, Window.currentRow)
+    sliced = Window.partitionBy(*keys, salt).orderBy(at).rowsBetween(*up_to_here)
+    whole = Window.partitionBy(*keys).orderBy(at).rowsBetween(*up_to_here)
+    near = (
+        sums.filter(F.col("_cost") > 0)
+        .withColumn(salt, slice_of([at], spread(df.sparkSession)))
+        .withColumn("_before", F.sum("_cost").over(sliced) - F.col("_cost"))
+        .filter(F.col("_before") <= budget)
+        .withColumn("_before", F.sum("_cost").over(whole) - F.col("_cost"))
+    )
+    stops = near.filter(F.col("_before") + F.col("_cost") > budget).groupBy(*keys).agg(
+        F.min(F.struct(F.col(at).alias("at"), F.col("_before").alias("before"))).alias("_stop"))
+    ends = stops.join(first, [*keys]).select(*keys, F.col("_stop.at").alias("_last"), (F.lit(budget) - F.col("_stop.before")).alias("_room"),
+                                             (F.col("_stop.at") == F.col("_begin")).alias("_opens"))
+    marked = rows.join(ends, [*keys], "left")
+    before = marked.filter(F.col("_last").isNull() | (F.col(at) < F.col("_last"))).select(*df.columns)
+    edge = marked.filter(F.col(at) == F.col("_last")).drop(at, "_last")
+    return before.unionByName(_prefix_of_place(edge, df.columns, keys, rest, cost, slice_by))
+
+
+def _prefix_of_place(df: DataFrame, fields: Sequence[str], keys: Sequence[str], order: Sequence[Column], cost: str,
+                     slice_by: Sequence[str]) -> DataFrame:
+    """As above for rows of one place per key, within ``_room``; the first row stays in any case where ``_opens``.
+
     Equal rows are counted first and given back at the end. A row behind a full budget of its own
     slice is behind a full budget of its key too, so slices drop such rows before rows of one key
     meet; each slice keeps the row that overflows it, so that nothing behind that row gets in.
     """
-    fields = df.columns
-    counted = df.groupBy(*fields).agg(F.count(F.lit(1)).alias("_copies"))
+    counted = df.groupBy(*fields).agg(F.count(F.lit(1)).alias("_copies"), F.first("_room").alias("_room"), F.first("_opens").alias("_opens"))
     counted = counted.withColumn("_cost", F.col(cost) * F.col("_copies"))
     up_to_here = (Window.unboundedPreceding, Window.currentRow)
     sliced = Window.partitionBy(*keys, _SALT).orderBy(*order).rowsBetween(*up_to_here)
@@ -79,11 +113,11 @@ def prefix_within_budget(df: DataFrame, keys: Sequence[str], order: Sequence[Col
     near = (
         counted.withColumn(_SALT, slice_of(slice_by, spread(df.sparkSession)))
         .withColumn("_before", F.sum("_cost").over(sliced) - F.col("_cost"))
-        .filter(F.col("_before") <= budget)
+        .filter(F.col("_before") <= F.col("_room"))
         .withColumn("_before", running)
-        .withColumn("_first", F.row_number().over(whole) == 1)
+        .withColumn("_first", (F.row_number().over(whole) == 1) & F.col("_opens"))
     )
-    room = F.lit(budget) - F.col("_before")
+    room = F.col("_room") - F.col("_before")
     fitting = (
         F.when(room < 0, 0)
         .when(F.col(cost) == 0, F.col("_copies"))

@@ -42,9 +42,9 @@ def test_budget_prefix_equals_the_loop(spark):
         k = key_of(i) if i % 4 else f"small{i % 400}"
         rows.append((k, rng.choice([0.1, 0.5, 0.9]), rng.choice([0, 0, 1, 3, 8, 40, 200]), rng.choice(["same", f"t{i}"])))
     frame = spark.createDataFrame(rows, "k string, r double, cost int, text string").repartition(8)
-    order = [F.col("r").desc(), F.col("text"), F.col("cost")]
     for budget in (0, 10, 60):
-        got = sorted(tuple(r) for r in prefix_within_budget(frame, ["k"], order, "cost", budget, ["text"]).collect())
+        got = sorted(tuple(r) for r in prefix_within_budget(
+            frame, ["k"], [-F.col("r")], [F.col("text"), F.col("cost")], "cost", budget, ["text"]).collect())
         expected = []
         for k in {r[0] for r in rows}:
             used, kept = 0, []
@@ -88,3 +88,15 @@ def test_a_hub_table_lists_its_first_names(spark):
     targets = spark.createDataFrame([("c.s.hub",)], "table_ref string")
     text = lineage.lineage_snippets(edges, columns, targets, names_listed=3).first().text
     assert text == "Upstream sources (lineage): c.s.n001, c.s.n002, c.s.n003."
+
+
+def test_rows_that_cost_nothing_do_not_meet(spark):
+    rows = spark.range(1_000_000).select(
+        F.lit("hot").alias("k"), F.col("id").alias("seq"), F.expr("IF(id % 100000 = 99999, 4, 0)").cast("int").alias("cost"),
+        F.lit("text").alias("text"))
+    kept = prefix_within_budget(rows, ["k"], [F.col("seq")], [F.col("text")], "cost", 10, ["text"])
+    found = kept.agg(F.count(F.lit(1)), F.max("seq"), F.sum("cost")).first()
+    assert tuple(found) == (299_999, 299_998, 8)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.split("Window")[1:]:  # what is summed up holds no text
+        assert "text#" not in line.split("\n")[0]

@@ -1,5 +1,7 @@
 """Worked examples of the single steps."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,3 +233,41 @@ def test_pages_that_are_too_long_are_refused(spark):
     with pytest.raises(ValueError):
         runs.list_runs(rows, limit=201)
     assert runs.list_runs(rows, limit=201, longest=500).count() == 5
+
+
+def test_rows_are_drawn_from_the_whole_table(spark, monkeypatch):
+    from tablelore.sources import sampling
+    table = spark.range(0, 40_000, numPartitions=7).select("id", F.floor(F.col("id") / 4000).alias("tenth"))
+    for few in (10_000, 20):
+        monkeypatch.setattr(sampling, "FEW", few)
+        kept = sampling.apply_sample(table, sampling.Sample("rows", 2000))
+        ids = [r.id for r in kept.collect()]
+        assert len(ids) == len(set(ids)) == 2000 and sorted(ids) == sorted(r.id for r in kept.collect())
+        shares = [sum(i // 4000 == k for i in ids) for k in range(10)]
+        assert all(abs(s - 200) <= 5 * (2000 * 0.09) ** 0.5 for s in shares)
+        other = {r.id for r in sampling.apply_sample(table, sampling.Sample("rows", 2000, seed=7)).collect()}
+        assert len(other & set(ids)) < 200
+    assert sampling.apply_sample(table, sampling.Sample("rows", 50_000)).count() == 40_000
+    assert sampling.apply_sample(table.limit(0), sampling.Sample("rows", 5)).count() == 0
+    assert sampling.apply_sample(table, sampling.Sample("rows", 1)).count() == 1
+
+
+def test_many_objects_under_one_name_need_as_many_rounds_as_they_lie_deep(spark):
+    from tablelore.functions.loose_json import nesting, result_texts
+    many = json.dumps({"results": [{"text": f"t{k}", "more": {"a": "}{"}} for k in range(10_000)]})
+    payloads = [(many, 3), ('{"data": {"items": {"results": {"text": "x{{{"}}}}', 4), ('{"a": "\\"{"}', 1), ("[1]", 0), ("no {json", 1), (None, None)]
+    rows = spark.createDataFrame(payloads, "payload string, deep int").select(
+        "deep", nesting(F.col("payload")).alias("found"), result_texts(F.col("payload")).alias("texts")).collect()
+    assert all(r.deep == r.found for r in rows)
+    assert rows[0].texts == [f"t{k}" for k in range(10_000)] and rows[1].texts == ["x{{{"]
+
+
+def test_parts_come_together_in_order(spark):
+    parts = [(p, json.dumps({"target": "a.b.c", "session_id": "s", "phase": "reviewing" if p else None,
+                             "column_drafts": [{"column_name": f"c{p}_{k}"} for k in range(3)],
+                             "open_questions": [{"id": f"q{p}"}], "table_draft": {"proposed_comment": f"t{p}"} if p in (3, 1) else None}))
+             for p in (4, 0, 3, 1, 2)]
+    state = store.read_state(spark.createDataFrame(parts, "part int, state string").repartition(5))
+    row = store.whole_sessions(state).first()
+    assert [d.column_name for d in row.column_drafts] == [f"c{p}_{k}" for p in range(5) for k in range(3)]
+    assert [q.id for q in row.open_questions] == [f"q{p}" for p in range(5)] and row.table_draft.proposed_comment == "t1"
