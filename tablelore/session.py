@@ -88,9 +88,15 @@ def ship_package(spark: SparkSession) -> None:
     context.addPyFile(write_shared(spark, f"tablelore-{uuid.uuid4().hex}.zip", packed.getvalue()))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
+def cut_lineage(df: DataFrame, few: bool = False) -> DataFrame:
+    """Reliable checkpoint in the shared folder.
+
+    With ``few`` it has at most two files per core: for rows that many steps write anew, where a file per shuffle partition
+    would be most of the work, and whose partitioning no later step needs.
+    """
     checkpoint_folder(df.sparkSession)
+    if few:
+        df = df.coalesce(max(1, 2 * df.sparkSession.sparkContext.defaultParallelism))
     return df.checkpoint(eager=True)
 
 
