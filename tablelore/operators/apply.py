@@ -1,11 +1,13 @@
-"""Writing approved comments back: the plan is a DataFrame, the statements run one by one."""
+"""Writing approved comments back: the plan is a DataFrame, its statements run on the driver, some tables at a time."""
 
 from __future__ import annotations
 
 import uuid
-from itertools import islice
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from itertools import groupby, islice
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from ..functions.text import is_blank, quoted_name, quoted_text, split_table_ref, strip, table_key
 from ..schemas import APPLYABLE_DRAFT_STATUSES, AUDIT, TABLE_TARGET
@@ -13,7 +15,7 @@ from ..sources.catalog import list_columns, list_tables
 from .library import entries_from_drafts
 
 OUTCOME = "session_id string, table_ref string, target string, error string"
-BATCH = 1000
+BATCH, AT_ONCE = 1000, 8
 EMPTY_OVER_GOOD = "refusing to write an empty comment over an existing one"
 
 
@@ -56,9 +58,13 @@ def decision(live: Column, current: Column, proposed: Column, confirm: Column) -
     )
 
 
+def _table(table_ref: Column) -> Column:
+    return F.array_join(F.transform(F.split(table_key(table_ref), r"\."), quoted_name), ".")
+
+
 def statement(table_ref: Column, target: Column, comment: Column) -> Column:
     """The statement that writes one comment, names and text quoted."""
-    table = F.array_join(F.transform(F.split(table_key(table_ref), r"\."), quoted_name), ".")
+    table = _table(table_ref)
     return F.when(
         target == TABLE_TARGET,
         F.concat(F.lit("COMMENT ON TABLE "), table, F.lit(" IS "), quoted_text(comment)),
@@ -82,30 +88,48 @@ def plan_apply(drafts: DataFrame, live: DataFrame, *, confirm: bool | str = Fals
         F.when(F.col("_d.status") == "write", text).alias("statement"))
 
 
-def execute(plan: DataFrame, out: str, run: str | None = None) -> DataFrame:
-    """Runs the planned statements, one item at a time; a failed one leaves its error and the rest go on.
+def execute(plan: DataFrame, out: str, run: str | None = None, *, at_once: int = AT_ONCE,
+            send: Callable[[str], object] | None = None) -> DataFrame:
+    """Runs the planned statements: tables side by side, a table's columns in one statement where the catalog takes it.
 
-    The rows to write are streamed to the driver, where catalog statements have to run. Outcomes are
-    stored every few items under ``out``, in a folder of this ``run``, so that a broken run shows what
-    it had done, the driver holds few of them, and earlier runs into the same folder stay apart.
+    A statement for several columns that fails is followed by one per column, so that every item has an outcome of its
+    own; a failed item leaves its error and the rest go on. The rows to write are streamed to the driver, where
+    catalog statements have to run, ``at_once`` tables at a time. Outcomes are stored every few items under
+    ``out``, in a folder of this ``run``, so that a broken run shows what it had done, the driver holds few of them, and
+    earlier runs into the same folder stay apart. ``send`` runs a statement in place of the session.
     """
     spark = plan.sparkSession
-    out = f"{out.rstrip('/')}/run={run or uuid.uuid4().hex}"
-    rows = plan.filter(F.col("decision") == "write").select("session_id", "table_ref", "target", "statement").toLocalIterator()
+    out, send = f"{out.rstrip('/')}/run={run or uuid.uuid4().hex}", send or spark.sql
+    part = F.concat(quoted_name(F.col("target")), F.lit(" COMMENT "), quoted_text(F.col("proposed_comment")))
+    writes = plan.filter(F.col("decision") == "write").select(
+        "session_id", "table_ref", "target", "statement", F.concat(F.lit("ALTER TABLE "), _table(F.col("table_ref")), F.lit(" ALTER COLUMN ")).alias("head"),
+        F.when(F.col("target") != TABLE_TARGET, part).alias("part"))
+    near = writes.repartition("table_ref").sortWithinPartitions("table_ref", (F.col("target") != TABLE_TARGET), "target", "session_id")
     spark.createDataFrame([], OUTCOME).write.mode("overwrite").parquet(out)
-    while chunk := list(islice(rows, BATCH)):
-        outcomes = []
-        for row in chunk:
-            try:
-                spark.sql(row.statement)
-                error = None
-            except Exception as failure:  # shown on the item
-                error = str(failure).splitlines()[0]
-            outcomes.append((row.session_id, row.table_ref, row.target, error))
-        spark.createDataFrame(outcomes, OUTCOME).write.mode("append").parquet(out)
+    rows = near.toLocalIterator()
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        while chunk := list(islice(rows, BATCH)):
+            tables = [list(own) for _, own in groupby(chunk, key=lambda row: row.table_ref)]
+            outcomes = [x for done in pool.map(lambda own: _write_table(own, send), tables) for x in done]
+            spark.createDataFrame(outcomes, OUTCOME).write.mode("append").parquet(out)
     return spark.read.schema(OUTCOME).parquet(out)
 
 
+def _write_table(rows: list[Row], send: Callable[[str], object]) -> list[tuple]:
+    """Outcomes of the items of one table: all its columns at once first, if each is named once."""
+    def tried(text: str) -> str | None:
+        try:
+            send(text)
+            return None
+        except Exception as failure:  # shown on the item
+            return str(failure).splitlines()[0] if str(failure) else type(failure).__name__
+
+    columns = [row for row in rows if row.part is not None]
+    together = len(columns) > 1 and len({row.target for row in columns}) == len(columns)
+    done = together and tried(columns[0].head + ", ".join(row.part for row in columns)) is None
+    return [(row.session_id, row.table_ref, row.target, None if done and row.part is not None else tried(row.statement)) for row in rows]
+
+
 def results(plan: DataFrame, outcomes: DataFrame) -> DataFrame:
     """The plan with the final ``result`` of each item."""
     ran = outcomes.withColumn("_ran", F.lit(True))

@@ -217,3 +217,33 @@ def test_a_run_begun_again_asks_only_what_is_missing(spark, tmp_path):
     third, _ = run(False)
     assert set(broken.values()) == {"error"} and "error" not in mended.values()
     assert (first, again, third) == (5, 3, 0)
+
+
+def test_tables_are_written_side_by_side_and_columns_together(spark, tmp_path):
+    import threading
+    import time
+
+    rows = [(f"s{t}", f"c.s.t{t}", n, f"ALTER {t}.{n}" if n != "__table__" else f"TABLE {t}", "write", f"about {n}'s")
+            for t in range(100) for n in ("__table__", "a", "b", "bad" if t == 7 else "c")]
+    rows += [("twice", "c.s.t3", "a", "ALTER 3.a again", "write", "other"), ("no", "c.s.t3", "a", None, "skipped_noop", "x")]
+    plan = spark.createDataFrame(rows, "session_id string, table_ref string, target string, statement string, decision string, proposed_comment string")
+    sent, running, most, lock = [], 0, 0, threading.Lock()
+
+    def send(text):
+        nonlocal running, most
+        with lock:
+            running += 1
+            most = max(most, running)
+            sent.append(text)
+        time.sleep(0.01)
+        with lock:
+            running -= 1
+        if "bad" in text:
+            raise RuntimeError("no such column\nmore")
+
+    found = {(r.session_id, r.table_ref, r.target): r.error for r in apply.execute(plan, str(tmp_path / "out"), at_once=4, send=send).collect()}
+    assert len(found) == 401 and {k for k, e in found.items() if e} == {("s7", "c.s.t7", "bad")} and found[("s7", "c.s.t7", "bad")] == "no such column"
+    assert 1 < most <= 4
+    together = [x for x in sent if x.count(" COMMENT ") == 3]
+    assert len(together) == 99 and "ALTER TABLE `c`.`s`.`t5` ALTER COLUMN `a` COMMENT 'about a''s', `b` COMMENT 'about b''s', `c` COMMENT 'about c''s'" in sent
+    assert [x for x in sent if x.startswith("ALTER 3")] and sum(x.startswith("ALTER 7") for x in sent) == 3
