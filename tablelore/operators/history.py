@@ -13,6 +13,9 @@ SOURCE = "query_history"
 JOIN_PATTERN = r"(?i)\bON\s+([\w.`]+\s*=\s*[\w.`]+)"
 GROUP_PATTERN = r"(?i)\bGROUP\s+BY\b\s+([\w.`,\s]+?)(?:\bORDER\b|\bLIMIT\b|$)"
 RECENT_STATEMENTS = 200
+#: Lengths of the beginnings of names that are looked up, and bits of the sieve before that: one megabyte.
+BEGINNINGS = (0, 1, 2, 4, 8, 16, 32, 64, 128)
+SIEVE_BITS = 1 << 23
 LISTED = 5
 COUNT_RELEVANCE, JOIN_RELEVANCE, GRAIN_RELEVANCE = 0.5, 0.75, 0.65
 
@@ -20,18 +23,19 @@ COUNT_RELEVANCE, JOIN_RELEVANCE, GRAIN_RELEVANCE = 0.5, 0.75, 0.65
 def mentions(log: DataFrame, targets: DataFrame) -> DataFrame:
     """(table_ref, statement_id, start_time) for each statement that contains a target's full name.
 
-    Containment of a name ``a.b.c`` means: between two dots of the statement stands exactly ``b``,
-    the text before ends in ``a`` and the text after starts with ``c``. So statements are cut at
-    their dots and joined by equality, on ``b`` and then on (``b``, ``c``) for the lengths of
-    ``c`` that exist under ``b``; no statement meets a table it does not name the schema of.
+    Containment of a name ``a.b.c`` means: between two dots of the statement stands exactly ``b``, the text before
+    ends in ``a`` and the text after starts with ``c``. So statements are cut at their dots. A target is known by a
+    fingerprint of ``b`` and the longest beginning of ``c`` whose length is a power of two; each place of a statement has
+    one for every such length. A sieve of the targets' fingerprints, of fixed size, goes to all tasks, and what
+    passes it is joined by fingerprint, so that a schema or a name's first letters that most statements share are
+    spread like any others. The log is read once.
     """
     named = targets.select("table_ref").distinct().select(
         "table_ref",
         F.lower(ref_part(F.col("table_ref"), 1)).alias("catalog"),
-        F.lower(ref_part(F.col("table_ref"), 2)).alias("schema"),
+        F.lower(ref_part(F.col("table_ref"), 2)).alias("own_schema"),
         F.lower(ref_part(F.col("table_ref"), 3)).alias("name"))
-    lengths = named.groupBy("schema").agg(
-        F.collect_set(F.length("name")).alias("lengths"), F.max(F.length("catalog")).alias("longest"))
+    known = named.withColumn("length", F.array_max(_beginnings("name"))).withColumn("print", _print("own_schema", "name"))
     cut = F.split(F.lower(F.col("statement_text")), r"\.")
     around = F.transform(
         F.sequence(F.lit(1), F.size("cut") - 2),
@@ -40,16 +44,33 @@ def mentions(log: DataFrame, targets: DataFrame) -> DataFrame:
     places = (
         log.select("statement_id", "start_time", cut.alias("cut")).filter(F.size("cut") >= 3)
         .select("statement_id", "start_time", F.inline(around))
+        .select("statement_id", "start_time", "before", "schema", "after", F.explode(_beginnings("after")).alias("length"))
+        .withColumn("print", _print("schema", "after"))
     )
-    in_schema = places.join(lengths, "schema").select(
-        "statement_id", "start_time", "schema", F.expr("right(before, longest)").alias("before"), "after",
-        F.explode(F.filter("lengths", lambda n: n <= F.length("after"))).alias("length"))
-    return (
-        in_schema.withColumn("name", F.expr("left(after, length)"))
-        .join(named, ["schema", "name"])
-        .filter(F.col("before").endswith(F.col("catalog")))
-        .select("table_ref", "statement_id", "start_time").distinct()
-    )
+    likely = places.withColumns(_slot()).join(F.broadcast(_sieve(known)), "slot").filter("(bits & bit) <> 0").drop("slot", "bit", "bits")
+    found = likely.join(known.drop("length"), "print").filter(
+        (F.col("schema") == F.col("own_schema")) & F.col("after").startswith(F.col("name")) & F.col("before").endswith(F.col("catalog")))
+    return found.select("table_ref", "statement_id", "start_time").distinct()
+
+
+def _beginnings(text: str) -> Column:
+    """The lengths of a text's beginnings that a fingerprint may be of."""
+    return F.filter(F.array(*(F.lit(n) for n in BEGINNINGS)), lambda n: n <= F.length(text))
+
+
+def _print(schema: str, text: str) -> Column:
+    return F.xxhash64(schema, "length", F.expr(f"left({text}, length)"))
+
+
+def _slot() -> dict[str, Column]:
+    """Where the fingerprint of a row is in the sieve: a word of 64 bits, and the bit there."""
+    at = F.pmod(F.col("print"), F.lit(SIEVE_BITS))
+    return {"slot": F.floor(at / 64).cast("int"), "bit": F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 64).cast("int"))}
+
+
+def _sieve(known: DataFrame) -> DataFrame:
+    """The fingerprints as bits, at most ``SIEVE_BITS / 64`` rows."""
+    return known.select("print").withColumns(_slot()).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
 
 
 def recent_mentions(log: DataFrame, targets: DataFrame, limit: int = RECENT_STATEMENTS) -> DataFrame:

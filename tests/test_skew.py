@@ -58,8 +58,8 @@ def test_budget_prefix_equals_the_loop(spark):
 
 
 def test_mentions_equal_containment(spark):
-    names = ["a.b.c", "a.b.cd", "xa.b.c", "a.bb.c", "main.s.t1", "main.s.t12", "a.b.c_d", "A.B.E"]
-    pieces = ["a.b.c", "xa.b.cd e", "(A.b.C)", "main.s.t12.col", "a.b", ".b.", "a . b.c", "a.b.c.d.b.c", "q.a.b.cd", "a.bb.c", "a.b.e"]
+    names = ["a.b." + "n" * 130, "a.b." + "n" * 140, "a.b.", "a.b.c", "a.b.cd", "xa.b.c", "a.bb.c", "main.s.t1", "main.s.t12", "a.b.c_d", "A.B.E"]
+    pieces = ["a.b.c", "xa.b.cd e", "(A.b.C)", "main.s.t12.col", "a.b", ".b.", "a . b.c", "a.b.c.d.b.c", "q.a.b.cd", "a.bb.c", "a.b.e", "a.b." + "n" * 133]
     rng = random.Random(3)
     log = [(i, i, " ".join(rng.choices(pieces, k=rng.randint(0, 4)))) for i in range(300)]
     frame = spark.createDataFrame(log, "statement_id int, start_time int, statement_text string")
@@ -100,3 +100,15 @@ def test_rows_that_cost_nothing_do_not_meet(spark):
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     for line in plan.split("Window")[1:]:  # what is summed up holds no text
         assert "text#" not in line.split("\n")[0]
+
+
+def test_the_log_is_read_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    spark.range(2000).select(F.col("id").alias("statement_id"), F.col("id").alias("start_time"),
+                             F.concat(F.lit("SELECT 1 FROM main.hot.t"), F.col("id") % 700).alias("statement_text")).write.parquet(path)
+    targets = spark.createDataFrame([(f"main.hot.t{k}",) for k in range(0, 700, 7)], "table_ref string")
+    found = history.mentions(spark.read.parquet(path), targets)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+    expected = {(f"main.hot.t{k}", i) for i in range(2000) for k in range(0, 700, 7) if f"t{i % 700}".startswith(f"t{k}")}
+    assert {(r.table_ref, r.statement_id) for r in found.collect()} == expected
