@@ -120,8 +120,13 @@ def grain_hints(recent: DataFrame, listed: int = LISTED) -> DataFrame:
 
 def usage_snippets(log: DataFrame, targets: DataFrame, limit: int = RECENT_STATEMENTS, listed: int = LISTED) -> DataFrame:
     """Per table: how many statements use it, their join conditions, and their grain."""
+    return snippets_of(recent_mentions(log, targets, limit), listed)
+
+
+def snippets_of(recent: DataFrame, listed: int = LISTED) -> DataFrame:
+    """The same from the newest statements of each table, with their ``rank``."""
     kinds = {"count": F.array(F.lit("")), "join": _found(JOIN_PATTERN), "grain": _found(GROUP_PATTERN)}
-    used = _most_used(_counted(recent_mentions(log, targets, limit), kinds), listed)
+    used = _most_used(_counted(recent, kinds), listed)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "item"))), lambda x: x["item"])
     told = used.groupBy("table_ref", "kind").agg(F.array_join(ordered, "; ").alias("listed"), F.max("uses").alias("uses"))
     text, relevance, seq = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("int")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import ref_part
@@ -40,6 +42,12 @@ def rollup(outcomes: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total"), *[F.count_if(key == k).alias(k) for k in RUN_COUNT_KEYS])
 
 
+def merged_rollups(*parts: DataFrame) -> DataFrame:
+    """Counters per run from those of several parts, such as the outcomes so far and those that came since."""
+    every = reduce(DataFrame.unionByName, parts)
+    return every.groupBy("schema_run_id").agg(*[F.sum(k).alias(k) for k in ("total", *RUN_COUNT_KEYS)])
+
+
 def run_status(counts: DataFrame, enumeration_failed: Column | None = None, *,
                returned_failures_count: bool = True) -> DataFrame:
     """Final status of each run. Failures a table returned count like raised ones, unless switched off.

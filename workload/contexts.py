@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from tablelore.functions.loose_json import result_texts
 from tablelore.functions.text import tokens
 from tablelore.operators import context, history, library, lineage
+from tablelore.session import checkpoint_folder
 from tablelore.sources import catalog
+from tablelore.streaming.query_log import GrowingLog
 
 from .tables import Tables, query
 
@@ -107,6 +111,17 @@ def recent_statements(t: Tables) -> DataFrame:
     return history.recent_mentions(t["query_log"], t["log_targets"]).drop("start_time")
 
 
+@query("recent_statements_by_increments", f"WITH {MENTIONED} SELECT table_ref, statement_id, rank, statement_text FROM recent WHERE rank <= 200", LOG, rank="int")
+def recent_statements_by_increments(t: Tables) -> DataFrame:
+    """The log comes in three batches; the newest statements are kept in a store between them."""
+    log, folder = t["query_log"], f"{checkpoint_folder(t.spark).rstrip('/')}/growing-log-{uuid.uuid4().hex}"
+    kinds = (log.schema[name].dataType.simpleString() for name in ("statement_id", "start_time"))
+    kept = GrowingLog(t.spark, folder, kinds=tuple(kinds))
+    for number in range(3):
+        kept.merge(log.filter(F.pmod(F.xxhash64("statement_id"), F.lit(3)) == number), t["log_targets"], number)
+    return kept.recent().drop("start_time")
+
+
 def counted_sql(pattern: str) -> str:
     return f"""WITH {MENTIONED},
 found AS (SELECT table_ref, rank, unnest(regexp_extract_all(statement_text, '{pattern}', 1)) AS raw,
