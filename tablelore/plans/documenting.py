@@ -179,7 +179,7 @@ def _gated(state: Documented, drafts: DataFrame, models: Models) -> Documented:
     signals = gate.hard_signals(state.columns, state.snippets, state.keys.foreign)
     routed = cut_lineage(gate.route(drafts, signals, settings.keep_threshold))
     asks = settings.mode in gate.ASKING_MODES
-    questions = gate.questions(routed) if asks else gate.questions(routed).limit(0)
+    questions = gate.questions(routed) if asks else routed.sparkSession.createDataFrame([], QUESTION)
     outcome = gate.outcomes(routed, settings.mode).select("session_id", F.col("status").alias("_status"))
     sessions = state.sessions.join(outcome, "session_id", "left").withColumn(
         "status", F.coalesce("_status", F.lit("failed"))).drop("_status")
