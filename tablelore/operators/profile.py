@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
-from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F, types as T
 
@@ -27,6 +26,8 @@ WARN_SAMPLED = "sampled: row_count is an estimate"
 WARN_NO_COLUMNS = "no columns found (check the table name / SELECT grant)"
 WARN_EMPTY = ("table is empty (0 rows): distributions and cardinality are not meaningful")
 
+#: Bytes and columns of the tables that are profiled in one job.
+PACK_BYTES, PACK_COLUMNS = 256 << 20, 1000
 # When a profile was made says nothing about the table, and would make every prompt a new one.
 VOLATILE_FIELDS = ("profiled_at",)
 VERBOSE_FIELDS = ("top_k", "sample_values", "pattern_summary", "percentiles")
@@ -199,18 +200,25 @@ def table_warnings(row_count: Column, column_count: Column, sampled: Column) ->
 def table_block(df: DataFrame, ref: str, sampled: bool, column_count: int, *, row_count: int | None = None,
                 comment: str | None = None, partition_columns: Sequence[str] = ()) -> DataFrame:
     """The table's own row; the rows are counted unless ``row_count`` is known."""
-    parts = F.array(*[F.lit(p) for p in partition_columns]).cast("array<string>")
-    counted = df.agg(F.count(F.lit(1)).alias("row_count")) if row_count is None else small_table(
-        df.sparkSession, [(row_count,)], T.StructType([T.StructField("row_count", T.LongType())]))
-    row = counted.select(
-        F.lit(ref).alias("table_ref"), "row_count",
-        F.lit(sampled).alias("row_count_is_estimate"), F.lit(sampled).alias("sampled"),
-        F.lit(column_count).alias("column_count"), parts.alias("partition_columns"),
-        F.lit(comment).cast("string").alias("existing_comment"), F.lit("computed").alias("stats_source"),
-        F.current_timestamp().alias("profiled_at"),
-        table_warnings(F.col("row_count"), F.lit(column_count), F.lit(sampled)).alias("warnings"),
-        F.lit(PROFILE_VERSION).alias("profile_version"))
-    return row.select(*[f.name for f in TABLE_PROFILE.fields])
+    said = small_table(df.sparkSession, [(ref, row_count, column_count, list(partition_columns), comment)], _BLOCK)
+    if row_count is None:
+        counted = df.agg(F.count(F.lit(1)).alias("row_count")).withColumn("table_ref", F.lit(ref))
+        said = said.drop("row_count").join(counted, "table_ref")
+    return _blocks(said, sampled)
+
+
+_BLOCK = T.StructType([
+    T.StructField("table_ref", T.StringType()), T.StructField("row_count", T.LongType()), T.StructField("column_count", T.IntegerType()),
+    T.StructField("partition_columns", T.ArrayType(T.StringType())), T.StructField("existing_comment", T.StringType())])
+
+
+def _blocks(said: DataFrame, sampled: bool) -> DataFrame:
+    """The rows of tables from what is known of each."""
+    rows = said.withColumns({
+        "row_count_is_estimate": F.lit(sampled), "sampled": F.lit(sampled), "stats_source": F.lit("computed"),
+        "profiled_at": F.current_timestamp(), "profile_version": F.lit(PROFILE_VERSION),
+        "warnings": table_warnings(F.col("row_count"), F.col("column_count"), F.lit(sampled))})
+    return rows.select(*[f.name for f in TABLE_PROFILE.fields])
 
 
 def profile_table(df: DataFrame, ref: str, options: ProfileOptions = ProfileOptions(), *,
@@ -221,14 +229,27 @@ def profile_table(df: DataFrame, ref: str, options: ProfileOptions = ProfileOpti
     One pass; its result, one row per column of a schema the driver already holds, is read back, so that the profile's
     two tables do not make the pass twice.
     """
-    spark = df.sparkSession
     rows = fixed_sample(df, sample)
-    measured = [r.asDict(True) for r in column_stats(rows, ref, options, columns, with_total=True, with_values=True).collect()]
+    measured = measured_tables([(ref, rows)], options, columns)
+    counted = measured[ref][0]["total"] if measured[ref] else None
+    block = table_block(rows, ref, sample.active, len(measured[ref]), comment=comment, partition_columns=partition_columns, row_count=counted)
+    return Profile(block, _column_rows(df.sparkSession, measured, options))
+
+
+def measured_tables(tables: Sequence[tuple[str, DataFrame]], options: ProfileOptions,
+                    columns: Sequence[str] | None = None) -> dict[str, list[dict]]:
+    """Statistics and common values of the columns of some tables, by table, from one job."""
+    stats = [column_stats(df, ref, options, columns, with_total=True, with_values=True) for ref, df in tables]
+    found: dict[str, list[dict]] = {ref: [] for ref, _ in tables}
+    for row in reduce(DataFrame.unionByName, stats).collect():
+        found[row.table_ref].append(row.asDict(True))
+    return found
+
+
+def _column_rows(spark: SparkSession, measured: Mapping[str, list[dict]], options: ProfileOptions) -> DataFrame:
     shown = T.StructType([*COLUMN_STATS.fields, T.StructField("top_k", TOP_VALUES)])
-    joined = small_table(spark, [[r[n] for n in shown.names] for r in measured], shown)
-    block = table_block(rows, ref, sample.active, len(measured), comment=comment, partition_columns=partition_columns,
-                        row_count=measured[0]["total"] if measured else None)
-    return Profile(block, with_privacy(joined, options.mask_range))
+    rows = [[r[n] for n in shown.names] for own in measured.values() for r in own]
+    return with_privacy(small_table(spark, rows, shown), options.mask_range)
 
 
 @dataclass(frozen=True)
@@ -238,38 +259,88 @@ class CatalogProfile:
     errors: DataFrame
 
 
+@dataclass(frozen=True)
+class _Loaded:
+    ref: str
+    rows: DataFrame
+    said: Mapping
+    size: int
+
+
+def _size(df: DataFrame) -> int:
+    """Bytes as Spark estimates them before it runs anything; a source that does not know says very many."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _packs(tables: Sequence[_Loaded], together: bool) -> list[list[_Loaded]]:
+    """Tables to be profiled in one job each time: of small ones as many as the bounds on bytes and columns allow."""
+    packs: list[list[_Loaded]] = []
+    size = columns = 0
+    for table in sorted(tables, key=lambda t: t.size):
+        width = len(table.rows.columns)
+        if not together or not width or not packs or size + table.size > PACK_BYTES or columns + width > PACK_COLUMNS:
+            packs.append([])
+            size = columns = 0
+        packs[-1].append(table)
+        size, columns = size + table.size, columns + width
+    return packs
+
+
+def _profile_pack(pack: Sequence[_Loaded], options: ProfileOptions, sample: Sample) -> Profile:
+    if len(pack) == 1:
+        [table] = pack
+        return profile_table(table.rows, table.ref, options, sample=sample, **table.said)
+    spark = pack[0].rows.sparkSession
+    measured = measured_tables([(t.ref, t.rows) for t in pack], options)
+    said = [(t.ref, measured[t.ref][0]["total"], len(measured[t.ref]), list(t.said.get("partition_columns", ())), t.said.get("comment")) for t in pack]
+    return Profile(_blocks(small_table(spark, said, _BLOCK), False), _column_rows(spark, measured, options))
+
+
 def profile_tables(spark: SparkSession, tables: Mapping[str, Callable[[], DataFrame]], *,
                    options: ProfileOptions = ProfileOptions(), sample: Sample = Sample(),
                    describe: Callable[[str], dict] | None = None,
                    out: str | None = None, at_once: int = 8) -> CatalogProfile:
     """Profiles of many tables, several at a time; a table that fails becomes an error row.
 
-    ``describe`` gives a table's ``comment`` and ``partition_columns`` where they are known.
+    Small tables share a job, as many as ``PACK_BYTES`` and ``PACK_COLUMNS`` allow; if it fails, they are profiled one by
+    one. ``describe`` gives a table's ``comment`` and ``partition_columns`` where they are known.
 
     With ``out`` every table's profile is written to its own folder there and read back, so that a
     whole catalog never passes through the driver and a rerun replaces only what it redoes.
     """
-    def one(item: tuple[str, Callable[[], DataFrame]]):
+    def failed(ref: str, failure: Exception) -> Row:
+        code = getattr(failure, "getCondition", lambda: None)() or "provider_error"
+        return Row(table_ref=ref, code=code, message=str(failure).splitlines()[0])
+
+    def loaded(item: tuple[str, Callable[[], DataFrame]]):
         ref, load = item
         try:
-            made = profile_table(load(), ref, options, sample=sample, **(describe(ref) if describe else {}))
-            if out:
-                folder = f"table_ref={quote(ref, safe='')}"
-                made.tables.drop("table_ref").write.mode("overwrite").parquet(f"{out}/tables/{folder}")
-                made.columns.drop("table_ref").write.mode("overwrite").parquet(f"{out}/columns/{folder}")
-            return made
+            rows = load()
+            return _Loaded(ref, rows, describe(ref) if describe else {}, _size(rows))
         except Exception as failure:  # one table must not stop the others
-            code = getattr(failure, "getCondition", lambda: None)() or "provider_error"
-            return Row(table_ref=ref, code=code, message=str(failure).splitlines()[0])
+            return failed(ref, failure)
+
+    def profiled(pack: list[_Loaded]) -> list:
+        try:
+            made = _profile_pack(pack, options, sample)
+            if out:
+                for part, rows in (("tables", made.tables), ("columns", made.columns)):
+                    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("table_ref").parquet(f"{out}/{part}")
+            return [made]
+        except Exception as failure:
+            return [failed(pack[0].ref, failure)] if len(pack) == 1 else [x for table in pack for x in profiled([table])]
 
     with ThreadPoolExecutor(max_workers=at_once) as pool:
-        results = list(pool.map(one, tables.items()))
+        found = list(pool.map(loaded, tables.items()))
+        packs = _packs([x for x in found if isinstance(x, _Loaded)], not sample.active)
+        results = [x for made in pool.map(profiled, packs) for x in made]
     made = [r for r in results if isinstance(r, Profile)]
-    errors = small_table(spark, [tuple(r) for r in results if isinstance(r, Row)], PROFILE_ERROR)
+    missed = [r for r in (*found, *results) if isinstance(r, Row)]
+    errors = small_table(spark, [tuple(r) for r in missed], PROFILE_ERROR)
     if out and made:
-        failed = {r.table_ref for r in results if isinstance(r, Row)}
+        gone = {r.table_ref for r in missed}
         named = T.StructType([T.StructField("table_ref", T.StringType())])
-        asked = small_table(spark, [(ref,) for ref in tables if ref not in failed], named)
+        asked = small_table(spark, [(ref,) for ref in tables if ref not in gone], named)
 
         def stored(part: str, schema: T.StructType) -> DataFrame:
             rows = spark.read.schema(schema).parquet(f"{out}/{part}")

@@ -182,3 +182,33 @@ def test_values_are_counted_in_the_pass_of_the_statistics(spark, tmp_path):
         assert found["at"] == [("2024-01-01T00:00:00", 1500), ("2024-01-01T00:00:00.500000", 1500)]
         assert [v for v, _ in found["part"]] == sorted(v for v, _ in found["part"]) and len(found["part"]) == 4
         assert len(found["span"]) == len(found["months"]) == 2 and found["text"][0] == ("long" * 200 + "0", 600)
+
+
+def test_small_tables_share_jobs(spark, tmp_path, monkeypatch):
+    from tablelore.operators import profile
+
+    paths = {f"a.b.t{k}": str(tmp_path / f"t{k}") for k in range(30)}
+    for k, path in enumerate(paths.values()):
+        spark.range(k + 1).select("id", (F.col("id") % 3).cast("string").alias("few")).coalesce(1).write.parquet(path)
+    loaders = {ref: (lambda path=path: spark.read.parquet(path)) for ref, path in paths.items()}
+    packs, own = [], profile.measured_tables
+
+    def counted(tables, *args):
+        packs.append(len(tables))
+        return own(tables, *args)
+    monkeypatch.setattr(profile, "measured_tables", counted)
+    for out in (None, str(tmp_path / "out")):
+        packs.clear()
+        made = profile_tables(spark, loaders, options=EXACT, out=out, describe=lambda ref: {"comment": f"about {ref}"})
+        assert packs == [30] and {(r.table_ref, r.row_count, r.existing_comment) for r in made.tables.collect()} == {
+            (f"a.b.t{k}", k + 1, f"about a.b.t{k}") for k in range(30)}
+        assert made.columns.count() == 60 and made.errors.count() == 0
+    monkeypatch.setattr(profile, "PACK_COLUMNS", 20)
+    packs.clear()
+    profile_tables(spark, loaders)
+    assert packs == [10, 10, 10]
+    loaders |= {"a.b.bad": lambda: spark.read.parquet(paths["a.b.t1"]).select(F.raise_error(F.lit("broken")).alias("x"), "id"),
+                "a.b.none": lambda: spark.range(7).select(), "a.b.gone": lambda: spark.read.parquet(str(tmp_path / "nowhere"))}
+    found = profile_tables(spark, loaders)
+    assert {r.table_ref for r in found.errors.collect()} == {"a.b.bad", "a.b.gone"}
+    assert found.tables.count() == 31 and {r.row_count for r in found.tables.filter("table_ref = 'a.b.none'").collect()} == {7}
