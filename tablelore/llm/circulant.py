@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablelore.session import cut_lineage
 
-from .common import Rows, pair, rows_of
+from .common import Rows, free_name, pair, rows_of
 
 BANDS, BAND_ROWS = 24, 5
 RANGE = 1 << 20
@@ -127,7 +127,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     step is an aggregate and a join, so no component is ever in one place.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    edges, before = cut_lineage(edges), None
+    edges, before = cut_lineage(edges, few=True), None
     while True:
         both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -135,7 +135,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").select(F.inline(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
-        edges = cut_lineage(small.filter("u <> v").distinct())
+        edges = cut_lineage(small.filter("u <> v").distinct(), few=True)
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break
@@ -217,7 +217,7 @@ def _linked(classes: DataFrame, texts: DataFrame, words: int, percent: int) -> D
             return labels.select(F.col("node").alias("class"), "label")
         entries = rest.drop("major")
         minor = rest.filter("label <> major").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= PIVOTS)
-        pivots = cut_lineage(minor.select("bucket", *FIELDS))
+        pivots = cut_lineage(minor.select("bucket", *FIELDS), few=True)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -245,5 +245,6 @@ def first_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     Rows without id cannot be told apart: all of them stay if a component has no other rows.
     """
     found = near_duplicates(docs, words, percent)
-    kept = found.filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    name = free_name(docs, "_kept")
+    kept = found.filter("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col(name)), "left_semi")

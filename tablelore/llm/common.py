@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 SPACES = r"\x20\x09-\x0D"
 HELD_OUT = 2
 FOLDS = 4
+#: Rows whose texts a task holds as Python strings at once.
+AT_ONCE = 256
 #: Bits of a sieve: one megabyte.
 SIEVE_BITS = 1 << 23
 
@@ -25,6 +27,14 @@ def pair(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     return docs.select(docs[doc_id].cast("bigint").alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
 
 
+def free_name(df: DataFrame, like: str) -> str:
+    """A column name that the rows do not have."""
+    taken = {name.lower() for name in df.columns}
+    while like.lower() in taken:
+        like += "_"
+    return like
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """True for the fold that no model may learn from; a null id is never held out."""
     kept = F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string"))
@@ -44,7 +54,7 @@ def sieve(values: DataFrame) -> DataFrame:
     return bit.groupBy("slot").agg(F.bit_or("bit").alias("bits"))
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], *names: str, at_once: int = 256) -> Iterator[tuple]:
+def rows_of(batches: Iterator[pa.RecordBatch], *names: str, at_once: int = AT_ONCE) -> Iterator[tuple]:
     """Rows of Arrow batches as Python values, a slice at a time, so that few texts are held twice."""
     for batch in batches:
         for start in range(0, batch.num_rows, at_once):

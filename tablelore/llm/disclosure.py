@@ -3,8 +3,8 @@
 Patterns find protected entities: mail addresses, IP addresses, card and phone numbers. A term near an entity discloses
 the share of the entity's information that knowing the term gives away: the pointwise mutual information of term and
 entity over the information of the entity, from counts over all distinct contents of the corpus. Terms that disclose at least ``GENERAL``
-are generalised, at least ``REMOVED`` removed; the patterns' own spans always go. Nearness only serves to measure: a
-term goes wherever it stands in a text that holds its entity. In texts that do not hold the entity it stays.
+are generalised, at least ``REMOVED`` removed; the patterns' own spans always go. Near are the ``NEAR`` whole words on
+either side, however far they stand. Nearness only serves to measure: a term goes wherever it stands in a text that holds its entity. In texts that do not hold the entity it stays.
 
 Only repeated evidence counts: a term must stand near the entity in ``CONTEXTS`` different contexts, told apart by the
 words next to the entity, so that copies of one text are one context. Results depend on text alone: spans are found per
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablelore.session import cut_lineage
 
-from .common import SIEVE_BITS, Rows, packed_sieve, pair, rows_of, sieve
+from .common import AT_ONCE, SIEVE_BITS, Rows, packed_sieve, pair, rows_of, sieve
 
 #: Kinds in the order of the contract, then those the method adds.
 BASE = ("email", "ip", "card", "phone")
@@ -31,7 +32,6 @@ LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"
 
 #: Words on either side of an entity, contexts a pair needs, and the disclosed shares from which a term goes.
 NEAR, CONTEXTS, GENERAL, REMOVED = 8, 2, 0.85, 0.95
-_NEAR_CHARS = 400
 
 _WORD = re.compile(r"[^\W\d_]+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -93,22 +93,24 @@ def entity(text: str, start: int, kind: str, end: int) -> str:
 
 
 def near_terms(text: str, spans: list[tuple[int, str, int]]) -> list[tuple[str, str, str, int, int]]:
-    """(entity, context, term, start, end) of the words on either side of each span, outside all spans."""
+    """(entity, context, term, start, end) of the words on either side of each span, however far, outside all spans."""
+    words = [(w, a, b) for w, a, b in words_outside(text, spans) if not _cut(text, a, b)] if spans else []
+    starts = [a for _, a, _ in words]
     found = []
     for start, kind, end in spans:
-        low, high = max(0, start - _NEAR_CHARS), min(len(text), end + _NEAR_CHARS)
-        close = [(a, b) for a, _, b in spans if b > low and a < high]
-        sides = []
-        for area, words in (((low, start), slice(-NEAR, None)), ((end, high), slice(NEAR))):
-            places = [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text, *area)
-                      if all(m.end() <= a or m.start() >= b for a, b in close)]
-            sides.append(places[words])
+        before, after = bisect_left(starts, start), bisect_left(starts, end)
+        sides = words[max(0, before - NEAR):before], words[after:after + NEAR]
         context = " ".join(w for w, _, _ in sides[0][-2:] + [("|", 0, 0)] + sides[1][:2])
         name = entity(text, start, kind, end)
         found += [(name, context, *x) for side in sides for x in side]
     return found
 
 
+def _cut(text: str, start: int, end: int) -> bool:
+    """Whether a word goes on across the border of a span."""
+    return bool(start and _WORD.match(text[start - 1]) or end < len(text) and _WORD.match(text[end]))
+
+
 def words_outside(text: str, spans: list[tuple[int, str, int]]) -> Iterator[tuple[str, int, int]]:
     """(term, start, end) of all words between the spans, which are sorted by start."""
     at = 0
@@ -208,7 +210,7 @@ def term_spans(docs: DataFrame, seen: DataFrame, text: str = "text", **threshold
                            .select("blob", F.explode("terms").alias("t")).select("blob", "t.*"))
     contents = cut_lineage(seen.groupBy("blob").agg(F.count(F.lit(1)).alias("n")))
     texts = distinct_texts(docs, contents.filter("n > 1").select("blob"), text)
-    flagged = cut_lineage(disclosing(mentions, document_frequencies(texts), contents.count(), **thresholds))
+    flagged = cut_lineage(disclosing(mentions, document_frequencies(texts), contents.count(), **thresholds), few=True)
     held = seen.select("blob", F.explode("entities").alias("entity")).distinct()
     everywhere = placed(docs, flagged.select("term"), text).join(flagged, "term").join(held, ["blob", "entity"])
     # A term of two entities goes by the stronger measure.
@@ -249,11 +251,13 @@ def cleaned(text: str, spans: list[tuple[int, str, int]]) -> str:
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [None if t is None else cleaned(t, base_spans(t) + [(x["start"], x["kind"], x["end"]) for x in more or ()])
-                 for t, more in zip(batch.column("text").to_pylist(), batch.column("term_spans").to_pylist())]
-        kept = [k for k, n in enumerate(batch.schema.names) if n != "term_spans"]
-        columns = [pa.array(texts, pa.string()) if batch.schema.names[k] == "text" else batch.column(k) for k in kept]
-        yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[k] for k in kept])
+        for at in range(0, batch.num_rows, AT_ONCE):
+            part = batch.slice(at, AT_ONCE)
+            texts = [None if t is None else cleaned(t, base_spans(t) + [(x["start"], x["kind"], x["end"]) for x in more or ()])
+                     for t, more in zip(part.column("text").to_pylist(), part.column("term_spans").to_pylist())]
+            kept = [k for k, n in enumerate(part.schema.names) if n != "term_spans"]
+            columns = [pa.array(texts, pa.string()) if part.schema.names[k] == "text" else part.column(k) for k in kept]
+            yield pa.RecordBatch.from_arrays(columns, [part.schema.names[k] for k in kept])
 
 
 def sanitised(docs: DataFrame, **thresholds) -> DataFrame:

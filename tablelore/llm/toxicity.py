@@ -27,11 +27,10 @@ from pyspark.sql import DataFrame, functions as F
 from tablelore.session import cut_lineage
 
 from . import circulant
-from .common import Rows, held_out, pair, rows_of
+from .common import AT_ONCE, Rows, held_out, pair, rows_of
 
-#: Bounds of the model: labelled texts to learn from, and terms of the lexicon.
+#: Bound of the model: labelled texts to learn from. Its lexicon holds the significant words of these texts.
 ROWS = 40_000
-TERMS = 20_000
 #: Prior: weight of the informative part, flat part, and the z-score from which a term counts.
 INFORMED, FLAT, LEAST_Z = 1000.0, 0.5, 3.0
 #: Chance of a passage under the law of clean texts below which it is significant.
@@ -80,7 +79,9 @@ def maximal_segments(hits: list[tuple[int, float]], other: float) -> list[tuple[
 
 def evidence(text: str, model: Model) -> tuple[int, float, list[tuple[int, int, float, float]]]:
     """Words, excess of the significant passages, and those passages with their place, score and chance."""
-    words = _WORD.findall(text.lower())
+    small = text.lower()
+    # Where small letters take other places than large ones, words are found in the text itself and made small singly.
+    words = _WORD.findall(small) if len(small) == len(text) else [x.lower() for x in _WORD.findall(text)]
     hits = [(k, model.scores[w]) for k, w in enumerate(words) if w in model.scores]
     if not hits:
         return len(words), 0.0, []
@@ -92,8 +93,7 @@ def evidence(text: str, model: Model) -> tuple[int, float, list[tuple[int, int,
         chance = -math.expm1(-math.exp(-over)) if over > -3 else 1.0
         if chance <= CHANCE:
             excess += over
-            if hits[last][0] < len(places):
-                passages.append((places[hits[first][0]][0], places[hits[last][0]][1], score, chance))
+            passages.append((places[hits[first][0]][0], places[hits[last][0]][1], score, chance))
     return len(words), excess, passages
 
 
@@ -128,6 +128,10 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # Only ids whose hash lies below the share that holds the sample but for a chance of 1e-20 are sorted for it.
+    share = (rows + 10 * rows ** 0.5 + 100) / max(1, known.count())
+    if share < 1:
+        known = known.filter(F.xxhash64("doc_id") < F.lit(int(-2**63 + share * 2**64)))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = pair(docs).join(F.broadcast(sample), "doc_id")
     return texts.withColumn("content", F.xxhash64("text")).groupBy("content").agg(
@@ -166,7 +170,7 @@ def _lexicon(texts: DataFrame) -> tuple[dict[str, float], float, float]:
     z = odds / F.sqrt(1 / (F.col("y1") + prior) + 1 / (F.col("y0") + prior))
 
     terms = counts.select("word", "y1", "y0", odds.alias("odds"), z.alias("z")).filter((F.col("z") >= LEAST_Z) & (F.col("odds") > 0))
-    kept = terms.orderBy(F.desc("z"), "word").limit(TERMS).collect()
+    kept = terms.orderBy(F.desc("z"), "word").collect()
     scores = {x.word: x.odds for x in kept}
     share1 = min(0.9, sum(x.y1 for x in kept) / n1)
     share0 = (sum(x.y0 for x in kept) + FLAT) / (n0 + 1)
@@ -200,7 +204,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int =
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     """The model from at most ``rows`` labelled texts; three quarters give the lexicon, the rest calibrates it."""
-    texts = cut_lineage(merged(cut_lineage(labelled(docs, labels, rows))))
+    texts = cut_lineage(merged(cut_lineage(labelled(docs, labels, rows), few=True)), few=True)
     scores, other, decay = _lexicon(texts.filter("fits"))
     model = Model(scores, other, decay)
     rest = texts.filter("NOT fits")
@@ -234,9 +238,10 @@ def _keep(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = model.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            kept = [probability(evidence(x or "", held)[1], held) < THRESHOLD for x in texts]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                texts = part.column("text").to_pylist()
+                yield part.filter(pa.array([probability(evidence(x or "", held)[1], held) < THRESHOLD for x in texts], pa.bool_()))
     return run
 
 

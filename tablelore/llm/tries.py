@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Rows, pair, rows_of
+from .common import Rows, free_name, pair, rows_of
 
 #: Bytes of text that one trie holds before it spills a subtree or is closed.
 TRIE_BYTES = 24 << 20
@@ -181,6 +181,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
 
     A row stays if its id and its text's hash are those of an owner; rows without id stay if no other row has the text.
     """
-    known = owners(docs).select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep_id"))
+    own, keep = free_name(docs, "_digest"), free_name(docs, "_keep_id")
+    known = owners(docs).select(F.col("digest").alias(own), F.col("keep_id").alias(keep))
     digest = F.unhex(F.sha2(normalised(F.coalesce("text", F.lit(""))), 256))
-    return docs.join(known, (digest == F.col("_digest")) & docs["doc_id"].eqNullSafe(F.col("_keep_id")), "left_semi")
+    return docs.join(known, (digest == F.col(own)) & docs["doc_id"].eqNullSafe(F.col(keep)), "left_semi")

@@ -14,9 +14,11 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import filterfalse
 
-#: Characters of one segment of a long text, and entries of one generation of a memo.
+#: Characters of one segment of a long text, and entries and bytes (about) of one generation of a memo.
 SEGMENT_CHARS = 1 << 18
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES, MEMO_BYTES = 500_000, 128 << 20
+#: Bytes that an entry takes besides its key and value.
+_ENTRY = 200
 #: Characters of the texts whose fragments are looked up together.
 GROUP_CHARS = 1 << 20
 
@@ -42,11 +44,11 @@ def tokenizer(path: str):
 
 
 class Memo(dict):
-    """Answers of ``resolve`` by key, in two generations of at most ``most`` entries."""
+    """Answers of ``resolve`` by key, in two generations of at most ``most`` entries and ``most_bytes`` bytes."""
 
-    def __init__(self, resolve: Callable, most: int = MEMO_ENTRIES):
+    def __init__(self, resolve: Callable, most: int = MEMO_ENTRIES, most_bytes: int = MEMO_BYTES):
         super().__init__()
-        self.resolve, self.most, self.old = resolve, most, {}
+        self.resolve, self.most, self.most_bytes, self.held, self.old = resolve, most, most_bytes, 0, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
@@ -56,17 +58,23 @@ class Memo(dict):
         return value
 
     def keep(self, key, value) -> None:
-        if len(self) >= self.most:
+        if len(self) >= self.most or self.held >= self.most_bytes:
             self.old = dict(self)
             self.clear()
+            self.held = 0
+        self.held += _ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 0)
         self[key] = value
 
+    def rest(self) -> None:
+        """Gives back the older generation, when a task has ended."""
+        self.old = {}
+
 
 class BatchMemo(Memo):
     """A memo that resolves many keys at once: ``learn`` what a batch needs, then look up."""
 
-    def __init__(self, resolve_all: Callable[[list], list], most: int = MEMO_ENTRIES):
-        super().__init__(lambda key: resolve_all([key])[0], most)
+    def __init__(self, resolve_all: Callable[[list], list], most: int = MEMO_ENTRIES, most_bytes: int = MEMO_BYTES):
+        super().__init__(lambda key: resolve_all([key])[0], most, most_bytes)
         self.resolve_all = resolve_all
 
     def learn(self, lists: list[list]) -> None:
@@ -80,7 +88,7 @@ class BatchMemo(Memo):
             self.keep(key, value)
 
 
-def word_encoder(of_words: Callable[[list[str]], list[bytes]], library) -> BatchMemo:
+def word_encoder(of_words: Callable[[list[str]], list[bytes]], library, most_bytes: int = MEMO_BYTES) -> BatchMemo:
     """A memo from the keys of a text to their ids, as little-endian 32-bit numbers."""
 
     def of_keys(keys: list[str]) -> list[bytes]:
@@ -88,7 +96,7 @@ def word_encoder(of_words: Callable[[list[str]], list[bytes]], library) -> Batch
         found = dict(zip(plain, of_words(plain), strict=True))
         return [found[x] if x in found else packed_ids(library.encode(x[1:], add_special_tokens=False).ids) for x in keys]
 
-    return BatchMemo(of_keys)
+    return BatchMemo(of_keys, most_bytes=most_bytes)
 
 
 def packed_ids(ids: list[int]) -> bytes:

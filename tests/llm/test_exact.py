@@ -62,3 +62,9 @@ def test_first_of_each_keeps_all_columns(spark):
     expected = [(i, t) for i, t in ODD if (i, t) not in {(2, ODD[1][1]), (9, ODD[11][1])} and i != 4]
     expected = [(i, t) for i, t in expected if i is not None]
     assert by_row(kept, "doc_id", "text") == sorted(expected, key=repr)
+
+
+def test_columns_with_the_names_of_helpers(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 5), (2, "a  b", "y", 6), (3, None, "z", 7)], "doc_id long, text string, _digest string, _KEEP_ID int")
+    kept = tries.first_of_each(docs)
+    assert kept.columns == docs.columns and by_row(kept, "doc_id", "_digest") == [(1, "x"), (3, "z")]

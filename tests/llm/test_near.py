@@ -82,3 +82,9 @@ def test_no_rows_and_kept_rows(spark):
     docs = frame(spark, [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (4, "")])
     kept = circulant.first_of_each(docs)
     assert kept.columns == docs.columns and by_row(kept, "doc_id") == [(1,), (3,), (4,)]
+
+
+def test_a_column_with_the_name_of_a_helper(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y")], "doc_id long, text string, _kept string")
+    kept = circulant.first_of_each(docs)
+    assert kept.columns == docs.columns and by_row(kept, "doc_id", "_kept") == [(1, "x")]

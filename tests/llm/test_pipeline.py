@@ -1,12 +1,31 @@
 import re
+from collections import Counter, defaultdict
+from itertools import accumulate
 
 import corpus_pipeline
-from tablelore.llm import disclosure, packing, toxicity
+import public_tokenizers
+import pytest
+
+from odd_rows import ODD
+from tablelore.llm import disclosure, packing, toxicity, words
 from test_near import plain as plain_groups
 
 SF = "/root/testdata/sf0.001"
 
 
+def whole(before, after):
+    """Pieces hold all tokens of their texts, and sequences are filled without gaps up to their capacity."""
+    library = words.tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    lengths, sequences = Counter(), defaultdict(list)
+    for r in after:
+        lengths[r.doc_id] += r.length
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert all(lengths[i] == len(library.encode(r.text or "", add_special_tokens=False).ids) + 1 for i, r in before.items())
+    for places in sequences.values():
+        places.sort()
+        assert [o for o, _ in places] == [0, *accumulate(n for _, n in places[:-1])] and sum(n for _, n in places) <= packing.CAPACITY
+
+
 def test_every_stage_against_plain_loops(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
@@ -34,7 +53,8 @@ def test_every_stage_against_plain_loops(spark, tmp_path):
             assert not any(disclosure.base_spans(r.text) for r in after)
             assert all(r.n_chars == len(r.text) for r in after)
         if name == "packing":
-            assert {r.doc_id for r in after} == set(before) and max(r.length for r in after) <= packing.CAPACITY
+            assert {r.doc_id for r in after} == set(before)
+            whole(before, after)
         else:
             assert made.columns == columns
         docs = made
@@ -43,3 +63,16 @@ def test_every_stage_against_plain_loops(spark, tmp_path):
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.ORACLE_SQL is None
     assert set(corpus_pipeline.run(spark, SF).columns) >= {"doc_id", "piece", "sequence_id", "offset"}
+
+
+@pytest.mark.parametrize("rows", [ODD + [(20, "a@b.org and a@b.org"), (None, "c@d.org")], []])
+def test_odd_and_no_rows_and_columns_with_the_names_of_helpers(spark, tmp_path, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, blob string, class string, digest string, _kept int, _digest int, c0 int"
+    made = [(i, t, None, None, None, "b", "c", "d", 1, 2, 3) for i, t in rows]
+    docs = spark.createDataFrame(made, schema)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 1), (6, 0, 0), (None, 1, None), (1, 0, 0)][:len(rows)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} <= {i for i, _ in rows} and bool(packed) == bool(rows)

@@ -85,3 +85,13 @@ def test_copies_of_each_text_change_no_span(spark):
     plain, repeated = (by_row(disclosure.private_spans(frame(spark, x)), "doc_id", "spans") for x in (once, copied))
     assert sum(any(x.kind == "removed" for x in spans) for _, spans in plain) == 3
     assert repeated == [x for x in plain for _ in range(100)]
+
+
+def test_near_words_are_whole_and_may_be_far():
+    long = "x" * 405
+    text = f"{long} a@b.org " + "1" * 3000 + " later wordé"
+    spans = disclosure.base_spans(text)
+    found = disclosure.near_terms(text, [s for s in spans if s[1] == "email"])
+    assert {x[2] for x in found} == {long, "later", "wordé"}
+    touching = "name@site.comé after"
+    assert {x[2] for x in disclosure.near_terms(touching, disclosure.base_spans(touching))} == {"after"}

@@ -98,3 +98,10 @@ def test_near_copies_of_a_class_count_once(spark):
     made = toxicity.merged(spark.createDataFrame(rows, "doc_id long, text string, toxic int, fits boolean")).collect()
     assert sorted((r.doc_id, r.toxic) for r in made) == [(0, 1), (1, 0), (50, 1), (51, 0)]
     assert len({r.fits for r in made if r.doc_id < 2}) == 1
+
+
+def test_places_where_small_letters_take_more_room():
+    model = toxicity.Model({"bad": 9.0, "words": 9.0}, -0.5, 1.0, 1e-6)
+    text = "İstanbul İzmir bad words here"
+    _, _, found = toxicity.evidence(text, model)
+    assert [text[a:b] for a, b, _, _ in found] == ["bad words"]
