@@ -2,7 +2,7 @@
 
 A writer asks the model inside its tasks and puts the replies into the folder a few at a time, each file whole before
 it has its name. A run that breaks off, even in the middle of a task, keeps what it has paid for; the run after it asks
-only what is missing. Files lie in folders by the first digits of the call's key, so that looking up some calls reads
+only what is missing, and so does a task that Spark runs again. Files lie in folders by the first digits of the call's key, so that looking up some calls reads
 some of the folders.
 
 Failed calls are noted with the attempt they belong to and are asked again by the next one. A call asked twice, by
@@ -56,8 +56,12 @@ class AskingWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Kept:
         kept, waiting, began = Kept(), [], time.monotonic()
+        task = TaskContext.get()
+        done = self._put_away() if task and task.attemptNumber() else set()
         for batch in iterator:
             for call_id, messages in zip(batch.column("call_id").to_pylist(), batch.column("messages").to_pylist()):
+                if call_id in done:
+                    continue
                 late = time.monotonic() - began > KEEP_SECONDS
                 if waiting and (late or len(waiting) >= self.keep_every or waiting[0][0][:DIGITS] != call_id[:DIGITS]):
                     self._keep(waiting, kept)
@@ -72,11 +76,24 @@ class AskingWriter(DataSourceArrowWriter):
             self._keep(waiting, kept)
         return kept
 
+    def _own(self) -> str:
+        task = TaskContext.get()
+        return f"{self.attempt}-{task.partitionId() if task else 0}-"
+
+    def _put_away(self) -> set[str]:
+        """Calls that this task was answered before it had to run again."""
+        store, root = _place(self.folder)
+        done: set[str] = set()
+        for file in store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)):
+            if file.base_name.startswith(self._own()):
+                rows = pq.read_table(file.path, columns=["call_id", "failure"], filesystem=store, partitioning=None).to_pylist()
+                done.update(row["call_id"] for row in rows if row["failure"] is None)
+        return done
+
     def _keep(self, rows: list[tuple], kept: Kept) -> None:
         """One more file. Names are new each time, so a task that runs again overwrites nothing."""
         store, root = _place(self.folder)
-        task = TaskContext.get()
-        name = f"{self.attempt}-{task.partitionId() if task else 0}-{uuid.uuid4().hex}.parquet"
+        name = f"{self._own()}{uuid.uuid4().hex}.parquet"
         into = f"{root}/digits={rows[0][0][:DIGITS]}"
         table = pa.table([pa.array(x, kind) for x, kind in zip(zip(*rows), _KEPT.types)], schema=_KEPT)
         store.create_dir(into, recursive=True)
@@ -145,7 +162,7 @@ class Replies:
         if not todo.isEmpty():
             called = f"asking_{attempt}"
             self.spark.dataSource.register(_source(called, AskingWriter(self.folder, model, attempt, self.keep_every)))
-            dealt = todo.repartitionByRange(partitions, "call_id") if partitions else todo.repartitionByRange("call_id")
+            dealt = todo.repartitionByRange(partitions or self.spark.sparkContext.defaultParallelism, "call_id")
             dealt.sortWithinPartitions("call_id").write.format(called).mode("append").save()
         rows = self._rows(prompts).withColumn("answered", F.col("failure").isNull()).filter(
             F.col("answered") | (F.col("attempt") == attempt))

@@ -80,6 +80,30 @@ def test_some_calls_are_looked_up_in_their_folders_only(spark, tmp_path):
     assert Replies(spark, str(tmp_path / "nothing")).known(calls(spark, [5])).count() == 0
 
 
+def test_a_task_that_runs_again_asks_only_what_is_missing(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    from tablelore.sources import replies
+
+    class Task:
+        attempt = 0
+
+        def partitionId(self):
+            return 3
+
+        def attemptNumber(self):
+            return self.attempt
+    monkeypatch.setattr(replies, "TaskContext", type("Context", (), {"get": staticmethod(Task)}))
+    messages = [json.dumps([{"role": "user", "content": str(n)}]) for n in range(12)]
+    batch = pa.RecordBatch.from_pydict({"call_id": [f"{n:03x}" * 4 for n in range(12)], "messages": messages})
+    first, second = Counted(tmp_path / "first", fails=("2",)), Counted(tmp_path / "second")
+    folder = str(tmp_path / "replies")
+    replies.AskingWriter(folder, first, "run", 5).write(iter([batch.slice(0, 7)]))
+    Task.attempt = 1
+    kept = replies.AskingWriter(folder, second, "run", 5).write(iter([batch]))
+    assert second.made() == sorted(str(n) for n in (2, *range(7, 12))) and kept.replies == 6
+
+
 def run_rows(spark, run, n, text):
     return spark.range(n).select(F.lit(run).alias("run"), "id", F.lit(text).alias("text"))
 
