@@ -12,7 +12,6 @@ learn every text is ``und``. Repeated ids are learned from once.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +28,6 @@ EPOCHS = 2
 RATE, OFFSET, L1, L2 = 0.5, 1.0, 0.02, 0.02
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 _SMALL = 0x250
 _IS_LETTER = np.array([chr(c).isalpha() for c in range(_SMALL)])
@@ -143,7 +141,8 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, doc_id: str = "doc_id", text:
     order = Window.partitionBy("lang").orderBy("place", "doc_id")
     ids = known.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("lang").alias("lang"))
     sample = ids.withColumn("place", F.xxhash64("doc_id")).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_lang)
-    chosen = known.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "lang", "place")), "doc_id").dropDuplicates(["doc_id"])
+    chosen = known.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "lang", "place")), "doc_id").groupBy(
+        "doc_id", "lang", "place").agg(F.min("text").alias("text"))
     langs = sorted(x.lang for x in sample.select("lang").distinct().collect())
     if not langs:
         return Model([], idf, np.zeros((FEATURES, 0)), np.zeros(0))
@@ -159,7 +158,7 @@ def _predict(model):
         out = Rows(pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())]))
         for ident, text in rows_of(batches, "doc_id", "text"):
             pred, score = UNKNOWN, 0.0
-            if text and held.langs and _LETTER.search(text):
+            if text and held.langs and any(map(str.isalpha, text)):
                 found, values = weighed(text, held.idf)
                 chances = softmax((values @ held.weights[found] + held.bias) / held.temperature)
                 best = int(chances.argmax())

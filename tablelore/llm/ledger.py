@@ -6,6 +6,9 @@ only those rules, and joins the findings of the whole ledger back to all paths.
 their text is moved, so a text that fills a third of the corpus is scanned once.
 
 Positions follow from the lengths of the pieces between matches. Null text is empty; repeated rows are each returned.
+The ledger keeps with each span the version of its rule, and findings are those of the versions asked for, so that a new
+version of a rule takes the place of the older one. Findings add ``blob`` and ``spans`` to the path columns; a path
+column that has one of these names gets underscores at its end until it is free.
 """
 
 from __future__ import annotations
@@ -70,7 +73,7 @@ def scanned(pending: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         between = F.split("text", rule.pattern, -1)
         found = F.arrays_zip(F.transform(between, F.length).alias("before"), F.transform(hits, F.length).alias("hit"),
                              F.transform(group, lambda x: F.length(x) >= rule.least).alias("right"))
-        return F.when(asked, F.struct(F.lit(rule.name).alias("rule"), F.lit(rules.index(rule)).alias("at"), found.alias("found")))
+        return F.when(asked, F.struct(F.lit(rule.key).alias("rule"), F.lit(rules.index(rule)).alias("at"), found.alias("found")))
 
     kinds = pending.select("blob", "rules", F.array_compact(F.array(*map(matches, rules))).alias("kinds"))
     each = kinds.select("blob", "rules", F.explode_outer("kinds").alias("kind"))
@@ -86,12 +89,22 @@ def scanned(pending: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """All rows of ``versions`` but their text, with the ``spans`` that the given rules have for their content."""
-    known = F.array(*(F.lit(rule.name) for rule in rules))
+    known = F.array(*(F.lit(rule.key) for rule in rules))
     per_blob = ledger.filter(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    held = F.filter("spans", lambda x: F.array_contains(known, x.rule))
+    held = F.transform(F.filter("spans", lambda x: F.array_contains(known, x.rule)), lambda x: F.struct(
+        x.start.alias("start"), F.regexp_replace(x.rule, ":[0-9]+$", "").alias("rule"), x.end.alias("end")))
     none = F.array().cast("array<struct<start: int, rule: string, end: int>>")
-    addressed = versions.withColumn("blob", blob_of(F.col("text"))).drop("text")
-    return addressed.join(per_blob, "blob", "left").withColumn("spans", F.coalesce(held, none))
+    paths = [name for name in versions.columns if name != "text"]
+    shown, taken = {}, {"blob", "spans", *(name.lower() for name in paths)}
+    for name in paths:
+        shown[name] = name
+        if name.lower() in ("blob", "spans"):
+            while shown[name].lower() in taken:
+                shown[name] += "_"
+            taken.add(shown[name].lower())
+    addressed = versions.select(*(F.col(f"`{name}`").alias(f"path {k}") for k, name in enumerate(paths)), blob_of(F.col("text")).alias("blob"))
+    joined = addressed.join(per_blob, "blob", "left")
+    return joined.select(*(F.col(f"path {k}").alias(shown[name]) for k, name in enumerate(paths)), "blob", F.coalesce(held, none).alias("spans"))
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,7 @@ all words, and none has more than ``MOST_LETTERS`` letters. Null and empty texts
 
 from __future__ import annotations
 
+import heapq
 import json
 import mmap
 import uuid
@@ -32,6 +33,8 @@ from .words import LETTERS, BatchMemo, word_encoder, encoded, packed_ids, tokeni
 MOST_WORDS = 200_000
 #: Letters of a word in the lexicon; longer words are merged when they are met, so that lookups stay narrow.
 MOST_LETTERS = 64
+#: Symbols from which a word is merged by a heap: the plain way takes time by the square of the length.
+LONG_WORD = 200
 WORD_END = "</w>"
 
 
@@ -56,6 +59,8 @@ class Merges:
         if not found:
             return []
         found[-1] += WORD_END
+        if len(found) > LONG_WORD:
+            return [self.ids[x] for x in self._merged_by_heap(found) if x in self.ids]
         none = len(self.ranks)
         ranks = [self.ranks.get(x, none) for x in zip(found, found[1:])]
         while ranks and (least := min(ranks)) < none:
@@ -68,6 +73,26 @@ class Merges:
         return [self.ids[x] for x in found if x in self.ids]
 
 
+    def _merged_by_heap(self, found: list[str]) -> list[str]:
+        """The same for a long word: pairs wait in a heap by rank and place, and neighbours are linked."""
+        size = len(found)
+        before, after = [*range(-1, size - 1)], [*range(1, size + 1)]
+        waiting = [(rank, k, found[k], found[k + 1]) for k in range(size - 1) if (rank := self.ranks.get((found[k], found[k + 1]))) is not None]
+        heapq.heapify(waiting)
+        while waiting:
+            _, k, left, right = heapq.heappop(waiting)
+            other = after[k]
+            if other >= size or found[k] != left or found[other] != right:
+                continue  # one of the two has been merged since
+            found[k], found[other], after[k] = left + right, "", after[other]
+            if after[k] < size:
+                before[after[k]] = k
+            for a, b in ((before[k], k), (k, after[k])):
+                if a >= 0 and b < size and (rank := self.ranks.get((found[a], found[b]))) is not None:
+                    heapq.heappush(waiting, (rank, a, found[a], found[b]))
+        return [x for x in found if x]
+
+
 class _State:
     __slots__ = ("edges", "final")
 

@@ -11,9 +11,10 @@ Null text is empty; an empty text is one piece that holds only the end id. Repea
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
@@ -24,6 +25,10 @@ from .words import BatchMemo, word_encoder, encoded, packed_ids, tokenizer
 CAPACITY = 2048
 OPEN_BINS = 1024
 END_ID = 0
+#: Fixed value: what the last token of a word ends in. Words that the library encodes as one text.
+WORD_END, WORDS_AT_ONCE = "</w>", 2048
+#: Bytes of one generation of a worker's memo: workers live on while other stages run.
+MEMO_BYTES = 24 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -67,7 +72,27 @@ class OpenBins:
 def encoder(path: str) -> BatchMemo:
     """One per worker process, so that later tasks find what earlier ones encoded."""
     library = tokenizer(path)
-    return word_encoder(lambda words: [packed_ids(x.ids) for x in library.encode_batch_fast(words, add_special_tokens=False)], library)
+    return word_encoder(ids_of_words(library), library, MEMO_BYTES)
+
+
+def ids_of_words(library) -> Callable[[list[str]], list[bytes]]:
+    """Packed ids of many words: a line each of one text, cut after the tokens that end a word."""
+    ends = np.array([(library.id_to_token(i) or "").endswith(WORD_END) for i in range(library.get_vocab_size(with_added_tokens=True))])
+
+    def singly(words: list[str]) -> list[bytes]:
+        return [packed_ids(x.ids) for x in library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def run(words: list[str]) -> list[bytes]:
+        found: list[bytes] = []
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            part = words[at:at + WORDS_AT_ONCE]
+            [made] = library.encode_batch_fast(["\n".join(part)], add_special_tokens=False)
+            ids = np.array(made.ids, "<u4")
+            stops = (4 * np.flatnonzero(ends[ids]) + 4).tolist()
+            data = ids.tobytes()
+            found += [data[a:b] for a, b in zip([0, *stops], stops)] if len(stops) == len(part) else singly(part)
+        return found
+    return run
 
 
 def _cut(path: str, capacity: int, end_id: int):
@@ -83,6 +108,7 @@ def _cut(path: str, capacity: int, end_id: int):
                     if out.add(ident, k, at // 4, len(piece) // 4, zlib.crc32(piece)):
                         yield from out.take()
         yield from out.take()
+        encoder(path).rest()
     return run
 
 

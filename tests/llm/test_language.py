@@ -61,3 +61,12 @@ def test_odd_rows_and_no_languages(spark):
 def test_temperature_lowers_the_loss_of_sharp_scores():
     scores, labels = np.array([[9.0, 0.0], [8.0, 0.0], [7.0, 0.0], [9.0, 0.0]]), np.array([0, 0, 1, 0])
     assert language.temperature(scores, labels) > 2
+
+
+def test_numerals_are_no_letters(spark):
+    rows = [(k, "der die das und nicht wir" if k % 2 else "the and of not we are", "de" if k % 2 else "en") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    odd = spark.createDataFrame([(1, "² ½"), (2, "Ⅷ ③ _"), (3, "½ die"), (4, "中")], "doc_id long, text string")
+    found = {r.doc_id: r.lang_pred for r in language.predicted(odd, model).collect()}
+    assert found[1] == found[2] == "und" and found[3] == "de" and found[4] in ("de", "en")

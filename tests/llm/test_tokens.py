@@ -135,3 +135,37 @@ def test_long_words_compile_and_encode(spark, library):
     made = lexicon.encode(frame(spark, rows), most=40)
     assert by_row(made, "doc_id", "ids") == sorted(((i, ids_of(library, WORDS, t)) for i, t in rows), key=repr)
     assert max(map(len, lexicon.frequent(frame(spark, rows)))) <= lexicon.MOST_LETTERS
+
+
+def test_long_words_are_merged_as_short_ones_are(monkeypatch):
+    import random
+    import time
+
+    source, merges = random.Random(3), lexicon.Merges(public_tokenizers.path("word_bpe_49k.json"))
+    words = ["".join(source.choices("aeinrst-é", k=source.randrange(1, 150))) for _ in range(300)] + ["a" * 120, "ab" * 70, "-" * 99]
+    plain = [merges(x) for x in words]
+    monkeypatch.setattr(lexicon, "LONG_WORD", 0)
+    assert [merges(x) for x in words] == plain
+    began = time.process_time()
+    merges("".join(source.choices("aeinrst", k=200_000)))
+    assert time.process_time() - began < 20
+
+
+def test_a_memo_is_bounded_in_bytes():
+    memo = words.Memo(lambda key: key.encode(), most_bytes=5000)
+    for k in range(300):
+        assert memo[f"{k}" * 30] == (f"{k}" * 30).encode()
+    assert len(memo) + len(memo.old) < 60
+    memo.rest()
+    assert not memo.old
+
+
+def test_words_encoded_as_lines_are_those_encoded_singly():
+    library = words.tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    source = random.Random(5)
+    made = ["".join(source.choices("abcdefgéßñ", k=source.randrange(1, 12))) for _ in range(3000)] + ["'s", "!!", "...", "7", "–", "q" * 300]
+    expected = [words.packed_ids(library.encode(x, add_special_tokens=False).ids) for x in made]
+    assert packing.ids_of_words(library)(made) == expected
+    assert packing.ids_of_words(library)(["two words", "one"]) == [
+        words.packed_ids(library.encode(x, add_special_tokens=False).ids) for x in ("two words", "one")]
+    assert packing.ids_of_words(library)([]) == []
