@@ -28,7 +28,7 @@ END_ID = 0
 #: Fixed value: what the last token of a word ends in. Words that the library encodes as one text.
 WORD_END, WORDS_AT_ONCE = "</w>", 2048
 #: Bytes of one generation of a worker's memo: workers live on while other stages run.
-MEMO_BYTES = 24 << 20
+MEMO_BYTES = 56 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
