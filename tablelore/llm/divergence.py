@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tablelore.session import cut_lineage
+from tablelore.session import cut_lineage, spread
 
 from .common import Rows, rows_of
 
@@ -214,12 +214,16 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) ->
     number = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
     groups = cut_lineage(named.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").fillna(
         0, ["total", "terms", "lang_total"]).withColumn("number", number).withColumn(
-        "blocks", F.greatest(F.lit(1), F.ceil(F.col("terms") / BLOCK_TERMS)).cast("int")))
-
-    blocks = groups.select("lang", "blocks").distinct()
-    spread = of_lang.join(blocks, "lang").withColumn("block", F.expr("cast(pmod(xxhash64(term), blocks) AS int)"))
+        "blocks", F.greatest(F.lit(1), F.ceil(F.col("terms") / BLOCK_TERMS)).cast("int")).withColumn(
+        "last", F.expr(f"cast((count(1) OVER (PARTITION BY lang) - 1) div {TILE} AS int)")))
+
+    # Terms meet the sizes of their language in as many slices as there are tasks, so that no language is in one of them.
+    slices = spread(docs.sparkSession)
+    blocks = groups.select("lang", "blocks").distinct().withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    dealt = of_lang.withColumn("slice", F.expr(f"cast(pmod(xxhash64(term, 1), {slices}) AS int)")).join(blocks, ["lang", "slice"])
+    dealt = dealt.withColumn("block", F.expr("cast(pmod(xxhash64(term), blocks) AS int)"))
     ids = F.row_number().over(Window.partitionBy("lang", "block").orderBy("term"))
-    terms = cut_lineage(spread.select("lang", "term", "lang_n", "block", ids.alias("id")))
+    terms = cut_lineage(dealt.select("lang", "term", "lang_n", "block", ids.alias("id")))
     known = cut_lineage(counted.join(terms, ["lang", "term"]).join(
         groups.select("lang", "source", "number", "total", "terms", "lang_total"), ["lang", "source"]))
 
@@ -229,14 +233,12 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) ->
 
     entries = known.groupBy("lang", "number", "block").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("entries"))
     in_block = terms.groupBy("lang", "block").agg(F.count(F.lit(1)).alias("block_terms"))
-    every = groups.select("lang", "number", "total", "terms", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
+    every = groups.select("lang", "number", "total", "terms", "last", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
     lists = every.join(in_block, ["lang", "block"], "left").join(entries, ["lang", "number", "block"], "left").select(
-        "lang", "number", "block", "total", "terms", F.coalesce("block_terms", F.lit(0)).cast("bigint").alias("block_terms"),
+        "lang", "number", "block", "total", "terms", "last", F.coalesce("block_terms", F.lit(0)).cast("bigint").alias("block_terms"),
         F.coalesce("entries", F.expr("cast(array() AS array<struct<id:int,n:bigint>>)")).alias("entries"),
         F.expr(f"number div {TILE}").cast("int").alias("tile"))
-    lists = cut_lineage(lists)
-    tiles = groups.groupBy("lang").agg(F.expr(f"cast(max(number) div {TILE} AS int)").alias("last"))
-    placed = lists.join(tiles, "lang")
+    placed = cut_lineage(lists)
     fields = ("lang", "block", "number", "total", "terms", "block_terms", "entries")
     first = placed.select(*fields, F.col("tile").alias("i"), F.explode(F.expr("sequence(tile, last)")).alias("j"))
     second = placed.select(*(F.col(x).alias(f"other_{x}") for x in fields[:2]), *(F.col(x).alias(x) for x in fields[2:]),
