@@ -189,9 +189,13 @@ def test_a_run_is_saved_as_it_goes(spark, tmp_path, monkeypatch):
     assert len(seen) == 5
 
 
-def test_two_runs_saved_at_once_both_stay(spark, tmp_path, monkeypatch):
+@pytest.fixture(scope="module")
+def states(spark):
+    return [document(spark, tables(spark), Models(write, judge), settings=Settings(mode="batch"), run=run) for run in ("one", "two")]
+
+
+def test_two_runs_saved_at_once_both_stay(spark, states, tmp_path, monkeypatch):
     folder = str(tmp_path / "store")
-    states = [document(spark, tables(spark), Models(write, judge), settings=Settings(mode="batch"), run=run) for run in ("one", "two")]
     own, first = Versions.commit, []
 
     def late(self, base, changes):  # the other writer commits while the first one is writing
@@ -205,14 +209,14 @@ def test_two_runs_saved_at_once_both_stay(spark, tmp_path, monkeypatch):
     assert saved(spark, folder, "drafts").count() == 6
 
 
-def test_a_store_that_keeps_moving_refuses(spark, tmp_path, monkeypatch):
-    state = document(spark, tables(spark), Models(write, judge), settings=Settings(mode="batch"), run="one")
+def test_a_store_that_keeps_moving_refuses(spark, states, tmp_path, monkeypatch):
+    monkeypatch.setattr(documenting, "SAVE_TRIES", 2)
 
     def moved(self, base, changes):
         raise Moved("again")
     monkeypatch.setattr(Versions, "commit", moved)
     with pytest.raises(Moved):
-        save(state, str(tmp_path / "store"))
+        save(states[0], str(tmp_path / "store"))
     data = tmp_path / "store" / "data"
     assert not data.exists() or not os.listdir(data)
     with pytest.raises(ValueError, match="nothing was saved"):
