@@ -9,7 +9,9 @@ members with one pivot, the member that shares most buckets with others, which l
 long as the members of a bucket lie in several components, it compares ``PIVOTS`` members outside its largest component
 with all others, and gives them up. Members that are already connected are not compared again, and no bucket is left
 before its members are one component or each pair was compared. A pair just at the threshold shares no bucket with a
-chance of 8e-7 at 85 % and 7e-5 at 80 %, less for closer pairs.
+chance of 8e-7 at 85 % and 7e-5 at 80 %, less for closer pairs. Two sketches keep pairs that cannot be links from
+becoming rows: least values tell unlike long texts apart, and parities bound how many shingles two sets do not share,
+so that of a large family just below the threshold hardly a pair is left to confirm.
 
 Null, empty and blank texts have no set and are linked with nothing. A component is named by its smallest id; where no
 row of it has an id the name is null. Repeated rows are copies.
@@ -39,7 +41,7 @@ DEVIATIONS = 5.5
 PIVOTS = 512
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
-SETS = "doc_id long, content binary, n_shingles long, name binary, bands array<long>, sketch array<long>"
+SETS = "doc_id long, content binary, n_shingles long, name binary, bands array<long>, sketch array<long>, parities array<long>"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -87,18 +89,27 @@ def band_hashes(coordinates: np.ndarray) -> np.ndarray:
     return found.view(np.int64)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether the number of shingles is odd, for each of ``SKETCH_BITS`` classes of hashes.
+
+    Two sets differ in no more of these bits than there are shingles in only one of them.
+    """
+    odd = np.bincount((shingles % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sign(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(pa.schema([
             ("doc_id", pa.int64()), ("content", pa.binary()), ("n_shingles", pa.int64()), ("name", pa.binary()),
-            ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))]))
+            ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("parities", pa.list_(pa.int64()))]))
         for ident, text, content in rows_of(batches, "doc_id", "text", "content"):
             found = shingle_set(text, words)
-            row = (ident, content, 0, None, None, None)
+            row = (ident, content, 0, None, None, None, None)
             if len(found):
                 coordinates = signature(found)
                 row = (ident, content, len(found), xxhash.xxh3_128_digest(found.tobytes()), band_hashes(coordinates),
-                       np.packbits((coordinates & 1).astype(np.uint8)).view(np.int64))
+                       np.packbits((coordinates & 1).astype(np.uint8)).view(np.int64), parities(found))
             if out.add(*row):
                 yield from out.take()
         yield from out.take()
@@ -117,7 +128,7 @@ def _full_sets(words: int):
 
 
 #: What is known of an entry of a bucket.
-FIELDS = ("class", "n_shingles", "label", "sketch")
+FIELDS = ("class", "n_shingles", "label", "sketch", "parities")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -172,15 +183,18 @@ def _buckets(classes: DataFrame) -> DataFrame:
     sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = cut_lineage(entries.join(sizes, "bucket"))
     weights = shared.groupBy("class").agg(F.sum("size").alias("weight"))
-    known = weights.join(classes.select("class", "sketch"), "class")
+    known = weights.join(classes.select("class", "sketch", "parities"), "class")
     return cut_lineage(shared.drop("size").join(known, "class").withColumn("label", F.col("class")))
 
 
 def _pairs(entries: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of an entry and a pivot of its bucket that differ in label and may be similar by size and sketch."""
+    """Distinct pairs of an entry and a pivot of its bucket that differ in label and may be similar by size and sketches."""
+    total = F.col("n_shingles") + F.col("p_n_shingles")
     other = pivots.select("bucket", *(F.col(x).alias(f"p_{x}") for x in FIELDS))
     joined = entries.join(other, "bucket").filter(
-        (F.col("label") != F.col("p_label")) & (_differing("sketch", "p_sketch") <= most_differing(percent))
+        (F.col("label") != F.col("p_label"))
+        & ((100 + percent) * _differing("parities", "p_parities") <= (100 - percent) * total)
+        & (_differing("sketch", "p_sketch") <= most_differing(percent))
         & (100 * F.least("n_shingles", "p_n_shingles") >= percent * F.greatest("n_shingles", "p_n_shingles")))
     return joined.select(F.least("class", "p_class").alias("a"), F.greatest("class", "p_class").alias("b")).distinct()
 
@@ -211,7 +225,7 @@ def _linked(classes: DataFrame, texts: DataFrame, words: int, percent: int) -> D
         named = labels.select(F.col("node").alias("class"), F.col("label").alias("new"))
         spent = pivots.select("bucket", "class")
         rest = entries.join(spent, ["bucket", "class"], "left_anti").join(named, "class", "left").select(
-            "bucket", "class", "n_shingles", "sketch", "weight", F.coalesce("new", "class").alias("label"))
+            "bucket", "class", "n_shingles", "sketch", "parities", "weight", F.coalesce("new", "class").alias("label"))
         rest = cut_lineage(_open_entries(rest))
         if rest.isEmpty():
             return labels.select(F.col("node").alias("class"), "label")
@@ -226,7 +240,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     signed = cut_lineage(texts.mapInArrow(_sign(words), SETS))
     classes = signed.filter("name IS NOT NULL").groupBy("name").agg(
         F.min("doc_id").alias("least_id"), F.min("content").alias("content"), F.first("n_shingles").alias("n_shingles"),
-        F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        F.first("bands").alias("bands"), F.first("sketch").alias("sketch"),
+        F.first("parities").alias("parities"))
     # Stored before it is used, so the numbers stay what they are.
     classes = cut_lineage(classes.withColumn("class", F.monotonically_increasing_id()))
     labels = _linked(classes, texts.select("content", "text"), words, percent)

@@ -62,6 +62,35 @@ def test_rounds_end_exactly_when_pivots_link_little(spark, monkeypatch):
     assert by_row(found, *COLUMNS) == sorted(plain(rows, 3, 85), key=repr)
 
 
+def test_a_family_just_below_the_threshold_leaves_few_pairs_to_confirm(spark, monkeypatch):
+    source, asked, confirm = random.Random(3), [], circulant.confirmed
+    base = [f"w{source.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for k in range(80):  # two of them share some 85 % of their shingles
+        words = list(base)
+        for at in source.sample(range(1, 149), 2):
+            words[at] = f"e{source.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+
+    def counted(pairs, sets, percent):
+        asked.append(pairs.count())
+        return confirm(pairs, sets, percent)
+    monkeypatch.setattr(circulant, "confirmed", counted)
+    found = circulant.near_duplicates(frame(spark, rows), 3, 91)
+    assert by_row(found, *COLUMNS) == sorted(plain(rows, 3, 91), key=repr)
+    assert sum(asked) < 400  # of 3160
+
+
+def test_parities_never_differ_more_than_the_sets(spark):
+    source = random.Random(5)
+    for _ in range(200):
+        words = [f"w{source.randrange(3000)}" for _ in range(source.randrange(1, 3000))]
+        other = [w if source.random() < 0.9 else f"x{source.randrange(3000)}" for w in words]
+        a, b = (circulant.shingle_set(" ".join(x), 3) for x in (words, other))
+        bits = sum(int(x).bit_count() for x in (circulant.parities(a) ^ circulant.parities(b)).view("u8"))
+        assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
 def test_components_match_union_find(spark):
     source = random.Random(4)
     pairs = [(source.randrange(120), source.randrange(120)) for _ in range(90)] + [(k, k + 1) for k in range(200, 240)]
