@@ -148,25 +148,21 @@ def _slice_stats(df: DataFrame, ref: str, part: list[tuple[int, T.StructField]],
 def _exact_distinct(df: DataFrame, part: list[tuple[int, T.StructField]]) -> DataFrame:
     """Exact distinct counts per column.
 
-    Each row becomes one narrow row per column, with one value field per type instead of one per
-    column, so the rows to shuffle do not get wider with the table. Values repeated within a task
-    are merged before the shuffle, whatever their share.
+    Each row becomes one narrow row per column, number and value; the columns of one type are read together, so a
+    row to shuffle has one value whatever the table holds. Values repeated within a task are merged before the
+    shuffle, whatever their share.
     """
     plain = [(i, f) for i, f in part if type_class_of(f.dataType) not in STRUCTURE_ONLY_CLASSES]
     compared = {i: countable(quoted(f.name), f.dataType) for i, f in plain}
-    types = list(dict.fromkeys(kind for _, kind in compared.values()))
     if not plain:
         return df.sparkSession.createDataFrame([], "ordinal int, found long")
 
-    def cell(i: int) -> str:
-        source, own = compared[i]
-        values = [source if t == own else f"cast(NULL AS {t})" for t in types]
-        return f"struct({i} AS ordinal, " + ", ".join(f"{v} AS v{n}" for n, v in enumerate(values)) + ")"
+    def values(kind: str) -> DataFrame:
+        cells = (f"struct({i} AS ordinal, {source} AS value)" for i, (source, own) in compared.items() if own == kind)
+        return df.selectExpr(f"inline(array({', '.join(cells)}))").filter("value IS NOT NULL").distinct().groupBy("ordinal").agg(
+            F.count(F.lit(1)).alias("found"))
 
-    fields = [f"v{n}" for n in range(len(types))]
-    cells = df.selectExpr(f"inline(array({', '.join(map(cell, compared))}))")
-    present = cells.filter(" OR ".join(f"{f} IS NOT NULL" for f in fields))
-    return present.select("ordinal", *fields).distinct().groupBy("ordinal").agg(F.count(F.lit(1)).alias("found"))
+    return reduce(DataFrame.unionByName, [values(kind) for kind in dict.fromkeys(own for _, own in compared.values())])
 
 
 def with_privacy(columns: DataFrame, mask_range: bool = True) -> DataFrame:

@@ -1,11 +1,12 @@
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F, types as T
 
 from tablelore.functions.columns import share_label, type_class, type_class_of
 from tablelore.operators.profile import (
-    WARN_EMPTY, WARN_SAMPLED, ProfileOptions, accept_versions, column_stats, merge_batches, profile_table,
+    WARN_EMPTY, WARN_SAMPLED, ProfileOptions, _exact_distinct, accept_versions, column_stats, merge_batches, profile_table,
     profile_tables, scan_for_private_values, table_block,
 )
 from tablelore.sources.sampling import Sample, apply_sample
@@ -91,6 +92,16 @@ def test_wide_table_in_batches(spark):
     assert all(r.distinct_count == min(30, int(r.name[1:]) + 1) for r in rows)
 
 
+def test_exact_counts_shuffle_one_value_a_row(spark):
+    kinds = ("bigint", "double", "string", "date", "boolean", "int")
+    wide = spark.range(40).selectExpr(*(
+        f"cast({'timestamp_seconds(id * 86400)' if k == 'date' else 'id % 7'} AS {k}) AS {k}_{n}" for k in kinds for n in range(2)))
+    shuffled = _exact_distinct(wide, list(enumerate(wide.schema.fields)))
+    assert {r.ordinal: r.found for r in shuffled.collect()} == dict(enumerate([7, 7, 7, 7, 7, 7, 40, 40, 2, 2, 7, 7]))
+    keys = re.findall(r"Aggregate \[(ordinal[^\]]*)\]", shuffled._jdf.queryExecution().optimizedPlan().toString())
+    assert max(len(k.split(",")) for k in keys) == 2
+
+
 def test_merged_batches_keep_first_columns_and_all_warnings(spark, orders):
     def batch(n, names):
         return (column_stats(orders, "a.b.c", EXACT, names).withColumn("batch", F.lit(n)),
