@@ -73,17 +73,22 @@ def whole_sessions(state: DataFrame) -> DataFrame:
         *[F.min_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in single], *[in_order(c).alias(c) for c in lists])
 
 
-def drafts_of_state(state: DataFrame) -> DataFrame:
-    """The drafts inside the snapshots, table draft first, with every field of a draft."""
+def drafts_of_state(state: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+    """The drafts inside the snapshots, table draft first, with every field of a draft.
+
+    Each draft also has the ``carried`` columns of its row, so that nobody has to read the state again and join it.
+    """
     none = F.array().cast("array<string>")
     both = F.concat(F.array_compact(F.array("table_draft")), F.col("column_drafts"))
-    rows = state.select("session_id", F.col("target").alias("table_ref"), F.explode(both).alias("d"))
+    told = [F.col(name).alias(f"_{name}") for name in carried]
+    rows = state.select("session_id", F.col("target").alias("table_ref"), *told, F.explode(both).alias("d"))
     fields = {
         "session_id": F.col("session_id"), "table_ref": F.col("table_ref"),
         "target": F.coalesce("d.column_name", F.lit(TABLE_TARGET)), "subscores": F.col("d.judge_scores"),
         "tags": F.coalesce("d.tags", none), "evidence_refs": F.coalesce("d.evidence_refs", none),
         "status": F.coalesce("d.status", F.lit("draft")), "apply_status": F.coalesce("d.apply_status", F.lit("not_applied"))}
-    return rows.select(*[(fields[n] if n in fields else F.col(f"d.{n}")).alias(n) for n in DRAFT.names])
+    return rows.select(*[(fields[n] if n in fields else F.col(f"d.{n}")).alias(n) for n in DRAFT.names],
+                       *[F.col(f"_{name}").alias(name) for name in carried])
 
 
 def write_state(sessions: DataFrame, drafts: DataFrame, questions: DataFrame, extras: DataFrame | None = None,
@@ -111,17 +116,16 @@ def write_state(sessions: DataFrame, drafts: DataFrame, questions: DataFrame, ex
     asked = questions.withColumn("part", part(number, "qid")).groupBy("session_id", "part").agg(
         F.sort_array(F.collect_list(F.struct(number.alias("n"), F.to_json(F.struct(
             F.col("qid").alias("id"), "target_kind", "target_name", "text", "answered", "suggested_answer")).alias("body")))).alias("qs"))
-    first = sessions.select("session_id", F.lit(0).alias("part"))
+    first, none = sessions.select("session_id", F.lit(0).alias("part")), F.lit(None).cast("string")
+    if extras is None:
+        first = first.withColumns({"context": none, "profile": none, "schema_meta": none})
+    else:
+        first = first.join(extras.select("session_id", F.to_json("context").alias("context"), "profile", "schema_meta"), "session_id", "left")
+    # The drafts come last, so that their bodies stay where they were grouped.
     parts = (
-        first.join(grouped, ["session_id", "part"], "full_outer").join(asked, ["session_id", "part"], "full_outer")
+        first.join(asked, ["session_id", "part"], "full_outer").join(grouped, ["session_id", "part"], "full_outer")
         .join(sessions.drop("part"), "session_id")
     )
-    none = F.lit(None).cast("string")
-    if extras is None:
-        parts = parts.withColumns({"context": none, "profile": none, "schema_meta": none})
-    else:
-        told = extras.select("session_id", F.lit(0).alias("part"), F.to_json("context").alias("context"), "profile", "schema_meta")
-        parts = parts.join(told, ["session_id", "part"], "left")
     stored = F.col("config") if "config" in sessions.columns else none
 
     def bodies(name: str) -> Column:

@@ -188,6 +188,14 @@ def test_failed_and_missing_replies(spark):
                     "d": ("error", "reasoning failed: model output is not a valid JSON object")}
 
 
+def test_drafts_carry_what_their_snapshot_says(spark):
+    state = store.read_state(spark.createDataFrame(
+        [('{"target": "a.b.c", "session_id": "s", "phase": "ready", "column_drafts": [{"column_name": "x"}, {"column_name": "y"}]}',)], "state string"))
+    rows = store.drafts_of_state(state, ["phase", "mode"])
+    assert sorted((r.target, r.phase, r.mode, r.status) for r in rows.collect()) == [
+        ("x", "ready", "interactive", "draft"), ("y", "ready", "interactive", "draft")]
+
+
 def test_state_defaults(spark):
     text = '{"target": "a.b.c", "session_id": "s", "table_draft": {"confidence": 0.9}, "column_drafts": [{"column_name": "k", "status": "approved"}]}'
     state = store.read_state(spark.createDataFrame([(text,), ("broken",)], "state string"))

@@ -331,10 +331,10 @@ def state_round_trip(t: Tables) -> DataFrame:
     extras = sessions.select("session_id", F.array(note).alias("context"), F.concat(F.lit('{"rows":'), "session_id", F.lit("}")).alias("profile"),
                              F.lit(None).cast("string").alias("schema_meta"))
     whole = store.whole_sessions(store.read_state(store.write_state(sessions, drafts, questions, extras, width=4)))
-    about = whole.select("session_id", F.get("context", F.lit(0))["text"].alias("note"), "keep_threshold", "mode", "phase", "profile",
-                         F.size("open_questions").cast("bigint").alias("questions"))
+    about = {"note": F.get("context", F.lit(0))["text"], "questions": F.size("open_questions").cast("bigint")}
+    carried = [*about, "keep_threshold", "mode", "phase", "profile"]
     score = F.map_keys("subscores")[0]
-    return store.drafts_of_state(whole).join(about, "session_id").select(
+    return store.drafts_of_state(whole.withColumns(about), carried).select(
         "session_id", "table_ref", "target", "ordinal", "status", "confidence", "current_comment", "proposed_comment", "rationale", "apply_status",
         F.concat(score, F.lit("/"), (F.map_values("subscores")[0] > 0.5).cast("string")).alias("scored"), F.col("facts")["owner"].alias("owner"),
         F.col("conditional_fields")["null_meaning"].alias("null_meaning"), F.col("issues")[0].alias("issue"), "applied_by",
