@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+# Fixed value: rows of a shuffled table that one task takes.
+ROWS_PER_TASK = 500_000
+
 #: Applications whose tasks have this package.
 _SHIPPED: set[str] = set()
 
@@ -41,6 +44,15 @@ def spread(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def tasks_for(rows: DataFrame, each: int = ROWS_PER_TASK) -> int:
+    """Number of shuffle partitions that gives a task about ``each`` of these rows, at least those of the session.
+
+    For rows that nearly all get shuffled: with a fixed number the memory of a task would grow with them. It counts them, so
+    they should be cheap to count, as a selection from a stored table is.
+    """
+    return max(spread(rows.sparkSession), -(-rows.count() // each))
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder the session names in ``spark.checkpoint.dir``; a temporary one only in local mode."""
     context = spark.sparkContext

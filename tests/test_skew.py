@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablelore.operators import history, lineage
 from tablelore.operators.skew import number_by_ordinal, prefix_within_budget, top_per_key
+from tablelore.session import spread, tasks_for
 
 
 def key_of(i):
@@ -90,6 +91,19 @@ def test_a_hub_table_lists_its_first_names(spark):
     assert text == "Upstream sources (lineage): c.s.n001, c.s.n002, c.s.n003."
 
 
+def test_linked_tables_take_more_tasks_when_there_are_more_edges(spark, monkeypatch):
+    assert tasks_for(spark.range(1000), 10) == 100 and tasks_for(spark.range(1), 10) == spread(spark)
+    edges = spark.createDataFrame([(f"c.s.n{i % 300:03d}", "c.s.hub" if i % 10 else None) for i in range(900)],
+                                  "source_table_full_name string, target_table_full_name string")
+    targets = spark.createDataFrame([("c.s.hub",), (None,)], "table_ref string")
+    monkeypatch.setattr(lineage, "tasks_for", lambda rows: 37)
+    monkeypatch.setattr(lineage, "TARGETS_SENT_WHOLE", 0)
+    found = lineage.upstream(edges, targets)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert ", 37)" in plan and "ShuffledHashJoin" in plan
+    assert sorted(tuple(r) for r in found.collect()) == [("c.s.hub", f"c.s.n{i:03d}") for i in range(300) if i % 10]
+
+
 def test_rows_that_cost_nothing_do_not_meet(spark):
     rows = spark.range(1_000_000).select(
         F.lit("hot").alias("k"), F.col("id").alias("seq"), F.expr("IF(id % 100000 = 99999, 4, 0)").cast("int").alias("cost"),
