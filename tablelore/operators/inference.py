@@ -95,6 +95,14 @@ def table_drafts(replies: DataFrame) -> DataFrame:
     }))
 
 
+def _last_named(answers: Column, name: Column) -> Column:
+    """The last of the answers with this name; NULL if there is none."""
+    from_end = F.reverse(answers["name"])
+    place = F.when(name.isNotNull(), F.array_position(from_end, name)).otherwise(
+        F.array_position(F.transform(from_end, lambda n: n.isNull()), F.lit(True)))
+    return F.get(answers, (F.size(answers) - place).cast("int"))
+
+
 def column_drafts(replies: DataFrame) -> DataFrame:
     """One draft per asked column; a column the reply leaves out is an error, one never asked for is ignored.
 
@@ -105,10 +113,11 @@ def column_drafts(replies: DataFrame) -> DataFrame:
     given = F.coalesce(F.col("answer.columns"), F.array().cast(
         "array<struct<name:string,proposed_comment:string,rationale:string,tags:array<string>,"
         "conditional_fields:map<string,string>,evidence_refs:array<string>,self_confidence:double>>"))
-    asked = rows.withColumn("given", given).select(
-        "session_id", "table_ref", "failure", "actions", "given", F.inline("asked"))
-    found = asked.withColumn("a", F.try_element_at(
-        F.filter("given", lambda g: g["name"].eqNullSafe(F.col("name"))), F.lit(-1)))
+    # The answers are looked up inside the prompt's row, so that no column carries those of all others.
+    found = rows.withColumn("given", given).select("session_id", "table_ref", "failure", "actions", F.inline(F.transform(
+        "asked", lambda c: F.struct(
+            c["name"].alias("name"), c["ordinal"].alias("ordinal"), c["data_type"].alias("data_type"),
+            c["current_comment"].alias("current_comment"), _last_named(F.col("given"), c["name"]).alias("a")))))
     missing = F.col("a").isNull()
     rationale = (
         F.when(F.col("failure").isNotNull(), F.concat(F.lit("reasoning failed: "), F.col("failure")))

@@ -65,6 +65,19 @@ def test_lineage_and_history_snippets(spark):
     assert "Common GROUP BY (grain hint): o.o_orderstatus." in texts and "Observed in 1 recent queries referencing this table." in texts
 
 
+def test_answers_are_found_in_the_row_of_their_prompt(spark):
+    names = ["a", None, "b", "c"]
+    reply = json.dumps({"columns": [{"name": n, "proposed_comment": f"{n} {k}"} for k in range(2) for n in ("b", None, "a", "x")]})
+    kind = "struct<name:string,ordinal:int,data_type:string,current_comment:string>"
+    replies = spark.createDataFrame([("s", "a.b.t", [(n, i, "int", None) for i, n in enumerate(names)], [], reply, None)],
+                                    f"session_id string, table_ref string, asked array<{kind}>, actions array<string>, reply string, failure string")
+    found = inference.column_drafts(replies)
+    assert [(r.target, r.proposed_comment, r.status) for r in sorted(found.collect(), key=lambda r: r.ordinal)] == [
+        ("a", "a 1", "draft"), (None, "None 1", "draft"), ("b", "b 1", "draft"), ("c", None, "error")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate inline(transform(asked" in plan and "Generate inline(asked" not in plan
+
+
 SNIPPET = "table_ref string, text string, source string, informs array<string>, relevance double, seq int, provider_seq int"
 
 
