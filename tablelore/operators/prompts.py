@@ -117,6 +117,14 @@ def table_prompts(tables: DataFrame, contexts: DataFrame) -> DataFrame:
         "profile", F.col("profile").alias("brief_profile"), F.lit("Draft the table comment.").alias("instruction"))
 
 
+def _in_place(listed: Column, columns: DataFrame) -> Column:
+    """The listed columns by ordinal and name; fields that cannot be compared, as maps, take no part."""
+    if not any("map<" in kind or "variant" in kind for _, kind in columns.dtypes):
+        return F.sort_array(listed)
+    at = lambda c: F.struct(c["ordinal"], c["name"])
+    return F.array_sort(listed, lambda a, b: F.when(at(a) < at(b), -1).when(at(a) > at(b), 1).otherwise(0))
+
+
 def column_prompts(columns: DataFrame, contexts: DataFrame, meta: DataFrame, table_comments: DataFrame,
                    size: int = COLUMNS_PER_PROMPT) -> DataFrame:
     """One prompt per batch of columns, grounded in the table comment where there is one.
@@ -125,14 +133,16 @@ def column_prompts(columns: DataFrame, contexts: DataFrame, meta: DataFrame, tab
     """
     shown = [c for c in columns.columns if c != "table_ref"]
     brief = [c for c in shown if c not in VERBOSE_FIELDS]
-    batches = column_batches(columns, size).groupBy("table_ref", "batch").agg(
-        F.sort_array(F.collect_list(F.struct(
-            "ordinal", "name",
-            F.struct("name", "ordinal", "data_type", F.col("existing_comment").alias("current_comment")).alias("asked"),
-            F.to_json(F.struct(*shown)).alias("full"), F.to_json(F.struct(*brief)).alias("brief")))).alias("cols"))
-
-    def profile(field: str) -> Column:
-        bodies = F.array_join(F.transform("cols", lambda c: c[field]), ",")
+    # Each column travels once; the texts are made of it when the batch is together.
+    place = ["ordinal", "name", "data_type", "existing_comment"]
+    listed = F.collect_list(F.struct(*place, *[c for c in shown if c not in place]))
+    batches = column_batches(columns, size).groupBy("table_ref", "batch").agg(_in_place(listed, columns).alias("cols"))
+    asked = F.transform("cols", lambda c: F.struct(
+        c["name"].alias("name"), c["ordinal"].alias("ordinal"), c["data_type"].alias("data_type"),
+        c["existing_comment"].alias("current_comment")))
+
+    def profile(fields: list[str]) -> Column:
+        bodies = F.array_join(F.transform("cols", lambda c: F.to_json(F.struct(*[c[f].alias(f) for f in fields]))), ",")
         return F.concat(F.lit('{"columns":['), bodies, F.lit('],"schema_meta":'),
                         F.coalesce("schema_meta", F.lit("{}")), F.lit("}"))
 
@@ -144,9 +154,9 @@ def column_prompts(columns: DataFrame, contexts: DataFrame, meta: DataFrame, tab
     joined = batches.join(contexts, "table_ref", "left").join(meta, "table_ref", "left").join(comments, "table_ref", "left")
     return joined.select(
         F.concat_ws("|", "table_ref", F.col("batch").cast("string")).alias("prompt_id"), "table_ref", "batch",
-        F.transform("cols", lambda c: c["asked"]).alias("asked"), F.lit(COLUMN_RULES).alias("system"),
+        asked.alias("asked"), F.lit(COLUMN_RULES).alias("system"),
         _short_context(F.col("context")).alias("context"),
-        profile("full").alias("profile"), profile("brief").alias("brief_profile"), grounded.alias("instruction"))
+        profile(shown).alias("profile"), profile(brief).alias("brief_profile"), grounded.alias("instruction"))
 
 
 def prompt_cost(system: Column, context: Column, profile: Column, instruction: Column) -> Column:

@@ -65,6 +65,19 @@ def test_lineage_and_history_snippets(spark):
     assert "Common GROUP BY (grain hint): o.o_orderstatus." in texts and "Observed in 1 recent queries referencing this table." in texts
 
 
+def test_columns_of_a_prompt_travel_once(spark):
+    columns = spark.createDataFrame([("a.b.t", n, o, "int", None, {"k": n}) for o, n in enumerate("dcba")],
+                                    "table_ref string, name string, ordinal int, data_type string, existing_comment string, extra map<string,string>")
+    contexts = spark.createDataFrame([], "table_ref string, context array<struct<text:string,source:string,informs:array<string>,relevance:double>>")
+    none = spark.createDataFrame([], "table_ref string, schema_meta string")
+    comments = none.withColumnRenamed("schema_meta", "comment")
+    rows = sorted(prompts.column_prompts(columns, contexts, none, comments, 3).collect(), key=lambda r: r.batch)
+    assert [[a.name for a in r.asked] for r in rows] == [["d", "c", "b"], ["a"]]
+    assert json.loads(rows[1].profile)["columns"] == [{"name": "a", "ordinal": 3, "data_type": "int", "extra": {"k": "a"}}]
+    asked = prompts.column_prompts(columns.drop("extra"), contexts, none, comments, 3).select("prompt_id", "asked")
+    assert "StructsToJson" not in asked._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_answers_are_found_in_the_row_of_their_prompt(spark):
     names = ["a", None, "b", "c"]
     reply = json.dumps({"columns": [{"name": n, "proposed_comment": f"{n} {k}"} for k in range(2) for n in ("b", None, "a", "x")]})

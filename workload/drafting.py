@@ -16,9 +16,11 @@ from .tables import Tables, query
 
 
 def order_columns(t: Tables) -> DataFrame:
-    return t["lineitem"].select(
+    """One column per supplier, order and line; made distinct as numbers, before the names are spelled out."""
+    keys = t["lineitem"].select("l_suppkey", "l_orderkey", "l_linenumber").distinct()
+    return keys.select(
         F.concat(F.lit("main.sales.s"), "l_suppkey").alias("table_ref"), F.concat_ws("_", F.lit("c"), "l_orderkey", "l_linenumber").alias("name"),
-        F.col("l_orderkey").cast("int").alias("ordinal")).distinct()
+        F.col("l_orderkey").cast("int").alias("ordinal"))
 
 
 @query("column_batches", """
