@@ -18,6 +18,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 # Fixed value: rows of a shuffled table that one task takes.
 ROWS_PER_TASK = 500_000
+# Fixed value: sessions or tables, each with its columns, that one task takes.
+TABLES_PER_TASK = 50_000
+# Fixed value: up to so many keys to look up Spark may choose to send all of them to every task.
+KEYS_SENT_WHOLE = 100_000
 
 #: Applications whose tasks have this package.
 _SHIPPED: set[str] = set()
@@ -53,6 +57,16 @@ def tasks_for(rows: DataFrame, each: int = ROWS_PER_TASK) -> int:
     return max(spread(rows.sparkSession), -(-rows.count() // each))
 
 
+def dealt(rows: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """Rows dealt by key over more tasks than the session has shuffle partitions; otherwise as they are."""
+    return rows.repartition(tasks, *keys) if tasks > spread(rows.sparkSession) else rows
+
+
+def hashed(keys: DataFrame, number: int) -> DataFrame:
+    """Keys to look rows up in, of about that number: many are hashed, so that the rows need no sorting; few are left to Spark."""
+    return keys.hint("shuffle_hash") if number > KEYS_SENT_WHOLE else keys
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder the session names in ``spark.checkpoint.dir``; a temporary one only in local mode."""
     context = spark.sparkContext

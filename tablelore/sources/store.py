@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.loose_json import text_list, text_map
 from ..schemas import DRAFT, TABLE_TARGET
+from ..session import hashed
 
 DRAFT_FIELDS = {
     "column_name": "string", "ordinal": "int", "data_type": "string", "current_comment": "string", "proposed_comment": "string",
@@ -190,9 +191,10 @@ def rewrite_drafts(drafts: DataFrame, fresh: DataFrame, saved: DataFrame) -> Dat
     Column drafts carry the id of their table draft; a session saved without one stores no columns.
     """
     table_id = F.sha2(F.concat_ws("\n", "session_id", F.lit(TABLE_TARGET)), 256)
-    with_table = fresh.filter(F.col("target") == TABLE_TARGET).select("session_id").distinct()
+    number = saved.count()  # the fresh drafts are those of the saved sessions
+    with_table = hashed(fresh.filter(F.col("target") == TABLE_TARGET).select("session_id").distinct(), number)
     rows = fresh.join(with_table, "session_id", "left_semi").withColumn("table_draft_id", table_id)
-    kept = drafts.join(saved.select("session_id").distinct(), "session_id", "left_anti")
+    kept = drafts.join(hashed(saved.select("session_id").distinct(), number), "session_id", "left_anti")
     return kept.unionByName(rows.select(*kept.columns))
 
 

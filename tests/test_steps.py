@@ -91,6 +91,19 @@ def test_answers_are_found_in_the_row_of_their_prompt(spark):
     assert "Generate inline(transform(asked" in plan and "Generate inline(asked" not in plan
 
 
+def physical(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_many_sessions_rewrite_their_drafts_without_sorting_them(spark, monkeypatch):
+    monkeypatch.setattr("tablelore.session.KEYS_SENT_WHOLE", 0)
+    drafts = spark.createDataFrame([("s", "__table__", "x"), ("s", "c", None), ("t", "c", "x")], "session_id string, target string, table_draft_id string")
+    fresh = drafts.filter("session_id = 's'").drop("table_draft_id").unionByName(spark.createDataFrame([("u", "c")], "session_id string, target string"))
+    made = store.rewrite_drafts(drafts, fresh, spark.createDataFrame([("s",), ("u",)], "session_id string"))
+    assert physical(made).count("ShuffledHashJoin") >= 2 and "SortMergeJoin" not in physical(made)
+    assert sorted((r.session_id, r.target) for r in made.collect()) == [("s", "__table__"), ("s", "c"), ("t", "c")]
+
+
 SNIPPET = "table_ref string, text string, source string, informs array<string>, relevance double, seq int, provider_seq int"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tablelore.functions.columns import confidence_band
 from tablelore.operators import apply, review, runs
 from tablelore.schemas import RUN_COUNT_KEYS
+from tablelore.session import hashed
 from tablelore.sources import catalog, store
 
 from .tables import Tables, query
@@ -302,7 +303,7 @@ UNION ALL SELECT session_id, target, 'draft' FROM drafts WHERE session_id IN (SE
   AND session_id IN (SELECT session_id FROM table_drafts)""", ["drafts", "sessions"])
 def rewritten_drafts(t: Tables) -> DataFrame:
     saved = t["sessions"].filter("status IN ('applied', 'failed')")
-    fresh = t["drafts"].join(saved, "session_id", "left_semi").withColumn("status", F.lit("draft"))
+    fresh = t["drafts"].join(hashed(saved, saved.count()), "session_id", "left_semi").withColumn("status", F.lit("draft"))
     stored = t["drafts"].withColumn("table_draft_id", F.lit(None).cast("string"))
     return store.rewrite_drafts(stored, fresh, saved).select("session_id", "target", "status")
 
