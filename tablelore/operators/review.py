@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import is_blank
 from ..schemas import TABLE_TARGET
+from ..session import TABLES_PER_TASK, dealt, tasks_for
 from .gate import KEEP_THRESHOLD
 
 REVIEW_ACTIONS = {"approve": "approved", "reject": "rejected", "edit": "edited"}
@@ -110,12 +111,13 @@ def expand_targets(requests: DataFrame, drafts: DataFrame) -> DataFrame:
     """Targets to redo: the named ones, or the table and every column where none or all are asked for."""
     everything = (F.coalesce(F.size("targets"), F.lit(0)) <= 0) | F.coalesce(
         F.array_contains("targets", ALL_TARGETS), F.lit(False))
+    tasks = tasks_for(requests, TABLES_PER_TASK)
     whole = requests.filter(everything).select("session_id").distinct()
-    all_of = drafts.join(whole, "session_id", "left_semi").select("session_id", "target")
+    all_of = dealt(drafts.select("session_id", "target"), tasks, "session_id").join(whole, "session_id", "left_semi")
     tables = whole.select("session_id", F.lit(TABLE_TARGET).alias("target"))
     named = requests.filter(~everything).select("session_id", F.explode("targets").alias("target")).withColumn(
         "target", target_name(F.col("target")))
-    return all_of.unionByName(tables).unionByName(named).distinct()
+    return dealt(all_of.unionByName(tables).unionByName(named), tasks, "session_id").distinct()
 
 
 def merge_redrafts(drafts: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -104,6 +104,14 @@ def test_many_sessions_rewrite_their_drafts_without_sorting_them(spark, monkeypa
     assert sorted((r.session_id, r.target) for r in made.collect()) == [("s", "__table__"), ("s", "c"), ("t", "c")]
 
 
+def test_targets_to_redo_meet_in_more_tasks_when_there_are_more_requests(spark, monkeypatch):
+    monkeypatch.setattr(review, "tasks_for", lambda rows, each: 37)
+    requests = spark.createDataFrame([("s", []), ("s", ["c"]), ("t", ["d", "d"])], "session_id string, targets array<string>")
+    made = review.expand_targets(requests, spark.createDataFrame([("s", "c"), ("t", "c")], "session_id string, target string"))
+    assert physical(made).count("Repartition") + physical(made).count(", 37)") >= 2
+    assert sorted(tuple(r) for r in made.collect()) == [("s", "__table__"), ("s", "c"), ("t", "d")]
+
+
 SNIPPET = "table_ref string, text string, source string, informs array<string>, relevance double, seq int, provider_seq int"
 
 
