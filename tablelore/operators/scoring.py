@@ -74,10 +74,10 @@ def evidence_rows(drafts: DataFrame, tables: DataFrame, columns: DataFrame, keys
     table_profile = tables.select("table_ref", F.to_json(F.struct(*[c for c in tables.columns if c not in VOLATILE_FIELDS])).alias("table_profile"))
     column_profile = columns.select(
         "table_ref", F.col("name").alias("target"), F.to_json(F.struct(*columns.columns)).alias("column_profile"))
+    # The joins by table stand together, so that the drafts are dealt by column once and by table once.
     joined = (
-        open_drafts.join(table_profile, "table_ref", "left")
-        .join(column_profile, ["table_ref", "target"], "left")
-        .join(keys, "table_ref", "left").join(snippets, "table_ref", "left")
+        open_drafts.join(column_profile, ["table_ref", "target"], "left")
+        .join(table_profile, "table_ref", "left").join(keys, "table_ref", "left").join(snippets, "table_ref", "left")
     )
     none = F.array().cast("array<struct<text:string,source:string,informs:array<string>,relevance:double>>")
     context = F.coalesce("context", none)
@@ -89,11 +89,11 @@ def evidence_rows(drafts: DataFrame, tables: DataFrame, columns: DataFrame, keys
     def evidence(context_text: Column) -> Column:
         return F.to_json(F.struct(profile.alias("profile"), meta.alias("schema_meta"), context_text.alias("context")))
 
-    full = evidence(F.to_json(context))
     count = F.when(F.size(context) > 0, F.format_string("<%d context snippets omitted to fit budget>", F.size(context)))
     kind = F.when(is_table, "table").otherwise("column")
-    cost = tokens(F.lit(system)) + tokens(judge_content(kind, draft, full))
-    chosen = full if budget is None else F.when(cost > budget, evidence(count)).otherwise(full)
-    return joined.select(
+    texts = joined.withColumns({"_draft": draft, "_full": evidence(F.to_json(context))})  # each is used twice
+    cost = tokens(F.lit(system)) + tokens(judge_content(kind, F.col("_draft"), F.col("_full")))
+    chosen = F.col("_full") if budget is None else F.when(cost > budget, evidence(count)).otherwise(F.col("_full"))
+    return texts.select(
         "session_id", "table_ref", "target",
-        kind.alias("kind"), draft.alias("draft"), chosen.alias("evidence"))
+        kind.alias("kind"), F.col("_draft").alias("draft"), chosen.alias("evidence"))

@@ -112,6 +112,20 @@ def test_targets_to_redo_meet_in_more_tasks_when_there_are_more_requests(spark,
     assert sorted(tuple(r) for r in made.collect()) == [("s", "__table__"), ("s", "c"), ("t", "d")]
 
 
+def test_evidence_texts_are_made_once(spark):
+    drafts = spark.createDataFrame([("s", "a.b.t", "c", "words", None, [], "draft"), ("s", "a.b.t", "__table__", "more", None, [], "draft")],
+                                   "session_id string, table_ref string, target string, proposed_comment string, rationale string, evidence_refs array<string>, status string")
+    tables = spark.createDataFrame([("a.b.t", 5)], "table_ref string, row_count int")
+    columns = spark.createDataFrame([("a.b.t", "c", 1)], "table_ref string, name string, ordinal int")
+    keys = spark.createDataFrame([], "table_ref string, schema_meta string")
+    contexts = spark.createDataFrame([("a.b.t", [("note", "wiki", [], 0.5)])], "table_ref string, context array<struct<text:string,source:string,informs:array<string>,relevance:double>>")
+    made = scoring.evidence_rows(drafts, tables, columns, keys, contexts, 1000)
+    found = {r.target: json.loads(r.evidence) for r in made.collect()}
+    assert found["c"]["profile"] and "ordinal" in found["c"]["profile"] and "row_count" in found["__table__"]["profile"]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "_full" in plan and "_draft" in plan
+
+
 SNIPPET = "table_ref string, text string, source string, informs array<string>, relevance double, seq int, provider_seq int"
 
 
