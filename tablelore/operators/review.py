@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import is_blank
 from ..schemas import TABLE_TARGET
-from ..session import TABLES_PER_TASK, dealt, tasks_for
+from ..session import TABLES_PER_TASK, dealt, hashed, tasks_for
 from .gate import KEEP_THRESHOLD
 
 REVIEW_ACTIONS = {"approve": "approved", "reject": "rejected", "edit": "edited"}
@@ -113,7 +113,7 @@ def expand_targets(requests: DataFrame, drafts: DataFrame) -> DataFrame:
         F.array_contains("targets", ALL_TARGETS), F.lit(False))
     tasks = tasks_for(requests, TABLES_PER_TASK)
     whole = requests.filter(everything).select("session_id").distinct()
-    all_of = dealt(drafts.select("session_id", "target"), tasks, "session_id").join(whole, "session_id", "left_semi")
+    all_of = drafts.select("session_id", "target").join(hashed(whole, requests.count()), "session_id", "left_semi")
     tables = whole.select("session_id", F.lit(TABLE_TARGET).alias("target"))
     named = requests.filter(~everything).select("session_id", F.explode("targets").alias("target")).withColumn(
         "target", target_name(F.col("target")))
