@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablelore.session import cut_lineage, write_shared
 
 from .common import pair, rows_of
-from .words import LETTERS, BatchMemo, word_encoder, encoded, packed_ids, tokenizer
+from .words import BatchMemo, groups, listed, packed_ids, tokenizer, word_counts, word_encoder
 
 MOST_WORDS = 200_000
 #: Letters of a word in the lexicon; longer words are merged when they are met, so that lookups stay narrow.
 MOST_LETTERS = 64
 #: Symbols from which a word is merged by a heap: the plain way takes time by the square of the length.
 LONG_WORD = 200
+#: Bytes of the words that are merged side by side, and how many of them at once.
+SIDE_BY_SIDE, AT_ONCE = 32, 8192
 WORD_END = "</w>"
 
 
@@ -53,6 +55,80 @@ class Merges:
             model = json.load(file)["model"]
         self.ids, self.symbols = model["vocab"], byte_symbols()
         self.ranks = {tuple(pair): rank for rank, pair in enumerate(model["merges"])}
+        self._number()
+
+    def _number(self) -> None:
+        """The same as arrays: symbols by number, pairs as sorted keys with their ranks, and by rank what a pair becomes."""
+        numbers: dict[str, int] = {}
+
+        def number(symbol: str) -> int:
+            return numbers.setdefault(symbol, len(numbers))
+
+        self.first = np.array([number(x) for x in self.symbols], np.int32)
+        self.last = np.array([number(x + WORD_END) for x in self.symbols], np.int32)
+        pairs = np.array([number(a) << 32 | number(b) for a, b in self.ranks] or [-1], np.int64)
+        ranks = np.array([*self.ranks.values()] or [0], np.int32)
+        self.none = len(pairs) and int(ranks.max()) + 1
+        self.becomes = np.full(self.none, -1, np.int32)
+        self.becomes[ranks[:len(self.ranks)]] = [number(a + b) for a, b in self.ranks]
+        order = np.argsort(pairs)
+        self.pairs, self.pair_ranks = pairs[order], ranks[order]
+        self.numbered = np.array([self.ids.get(x, -1) for x in numbers], np.int64)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, ``none`` where two symbols are not merged; a number below 0 is no symbol."""
+        key = left.astype(np.int64) << 32 | np.maximum(right, 0)
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == key) & (right >= 0) & (left >= 0), self.pair_ranks[at], self.none)
+
+    def many(self, words: list[str]) -> list[bytes]:
+        """The packed ids of each word: words of few bytes are merged side by side, a pair of each at a time."""
+        spelled = [x.encode() for x in words]
+        short = [k for k, x in enumerate(spelled) if 0 < len(x) <= SIDE_BY_SIDE and b"\0" not in x]
+        short.sort(key=lambda k: len(spelled[k]))
+        made: list[bytes | None] = [None] * len(words)
+        for start in range(0, len(short), AT_ONCE):
+            part = short[start:start + AT_ONCE]
+            for k, ids in zip(part, self._side_by_side([spelled[k] for k in part]), strict=True):
+                made[k] = ids
+        return [packed_ids(self(word)) if ids is None else ids for word, ids in zip(words, made)]
+
+    def _side_by_side(self, words: list[bytes]) -> list[bytes]:
+        lengths = np.array([len(x) for x in words])
+        width = int(lengths.max())
+        letters = np.array(words, f"S{width}").view(np.uint8).reshape(len(words), width)
+        found = np.where(np.arange(width) < lengths[:, None], self.first[letters], -1).astype(np.int32)
+        ends = np.arange(len(words)), lengths - 1
+        found[ends] = self.last[letters[ends]]
+        rows, now = np.arange(len(words)), found
+        ranks = self._ranks(now[:, :-1], now[:, 1:])
+        while ranks.shape[1]:
+            at = ranks.argmin(1)
+            least = ranks[np.arange(len(ranks)), at]
+            open_ = least < self.none
+            found[rows[~open_], :now.shape[1]] = now[~open_]
+            if not open_.any():
+                break
+            rows, now, ranks, at, least = rows[open_], now[open_], ranks[open_], at[open_], least[open_]
+            each = np.arange(len(rows))
+            # What lies behind the pair moves up by one; the symbols and ranks of one column less remain.
+            found[rows, now.shape[1] - 1] = -1
+            keep = np.arange(now.shape[1] - 1)
+            behind = keep >= at[:, None]
+            now = np.where(behind, now[:, 1:], now[:, :-1])
+            now[each, at] = self.becomes[least]
+            ranks = np.where(behind[:, :-1], ranks[:, 1:], ranks[:, :-1])
+            if not ranks.shape[1]:
+                found[rows, :now.shape[1]] = now
+                break
+            inner = at > 0
+            ranks[each[inner], at[inner] - 1] = self._ranks(now[each[inner], at[inner] - 1], now[each[inner], at[inner]])
+            inner = at < ranks.shape[1]
+            ranks[each[inner], at[inner]] = self._ranks(now[each[inner], at[inner]], now[each[inner], at[inner] + 1])
+        ids = np.where(found >= 0, self.numbered[found], -1)
+        held = ids >= 0
+        packed, stops = ids[held].astype("<u4").tobytes(), (4 * np.cumsum(held.sum(1))).tolist()
+        return [packed[a:b] for a, b in zip([0, *stops], stops)]
 
     def __call__(self, word: str) -> list[int]:
         found = [self.symbols[b] for b in word.encode()]
@@ -197,10 +273,17 @@ class Transducer:
         return self.ids[self.offsets[number]:self.offsets[number + 1]]
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for group in groups(rows_of(batches, "text")):
+        found, counts = word_counts([text for text, in group])
+        for start in range(0, len(found), 1 << 16):
+            yield pa.RecordBatch.from_arrays([found[start:start + (1 << 16)], counts[start:start + (1 << 16)]], ["word", "count"])
+
+
 def frequent(docs: DataFrame, most: int = MOST_WORDS, doc_id: str = "doc_id", text: str = "text") -> list[str]:
     """The lower-cased words, not overlong, that each make up more than 1 / ``most`` of the words met more than once."""
-    found = F.explode(F.split(F.lower("text"), f"[^{LETTERS}]+")).alias("word")
-    counts = cut_lineage(pair(docs, doc_id, text).select(found).groupBy("word").count()
+    found = pair(docs, doc_id, text).select("text").mapInArrow(_count, "word string, count long")
+    counts = cut_lineage(found.groupBy("word").agg(F.sum("count").alias("count"))
                          .filter((F.col("count") > 1) & (F.length("word").between(1, MOST_LETTERS))))
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     return [row.word for row in counts.filter(F.col("count") * most > total).select("word").collect()]
@@ -213,14 +296,15 @@ def published(spark: SparkSession, image: bytes) -> str:
     return name
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str, name: str) -> BatchMemo:
-    """One per worker process: the mapped lexicon first, merging for the words it lacks."""
+    """One per worker process, the last asked for: the mapped lexicon first, merging for the words it lacks."""
     lexicon, merges = Transducer.mapped(SparkFiles.get(name)), Merges(path)
 
     def of_words(words: list[str]) -> list[bytes]:
-        numbers = lexicon.numbers([x.encode() for x in words])
-        return [packed_ids(lexicon.output(n).tolist() if n >= 0 else merges(word)) for word, n in zip(words, numbers.tolist())]
+        numbers = lexicon.numbers([x.encode() for x in words]).tolist()
+        others = iter(merges.many([word for word, n in zip(words, numbers) if n < 0]))
+        return [packed_ids(lexicon.output(n).tolist()) if n >= 0 else next(others) for n in numbers]
 
     return word_encoder(of_words, tokenizer(path))
 
@@ -238,10 +322,11 @@ def decoded(ids: pa.ListArray, path: str) -> pa.Array:
 
 def _encode(path: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for idents, made in encoded(rows_of(batches, "doc_id", "text"), encoder(path, name)):
-            offsets = np.cumsum([0, *(len(x) // 4 for x in made)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(made), "<i4")))
-            yield pa.RecordBatch.from_arrays([pa.array(idents, pa.int64()), ids, decoded(ids, path)], ["doc_id", "ids", "decoded"])
+        for group in groups(rows_of(batches, "doc_id", "text")):
+            ids = listed([text for _, text in group], encoder(path, name))
+            yield pa.RecordBatch.from_arrays([pa.array([ident for ident, _ in group], pa.int64()), ids, decoded(ids, path)],
+                                             ["doc_id", "ids", "decoded"])
+        encoder(path, name).rest()
     return run
 
 

@@ -1,5 +1,8 @@
 import random
+import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -169,3 +172,52 @@ def test_words_encoded_as_lines_are_those_encoded_singly():
     assert packing.ids_of_words(library)(["two words", "one"]) == [
         words.packed_ids(library.encode(x, add_special_tokens=False).ids) for x in ("two words", "one")]
     assert packing.ids_of_words(library)([]) == []
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.lists(st.one_of(CHARACTERS, st.text(st.sampled_from("'aAsSrevEmlLdt!9 \n×÷İé|<"), max_size=20), st.text(max_size=30)), max_size=4))
+def test_texts_cut_as_arrays_encode_like_the_whole(texts):
+    library = words.tokenizer(WORDS)
+    found = words.listed([*texts, ""], packing.encoder(WORDS)).to_pylist()
+    assert found == [library.encode(x, add_special_tokens=False).ids for x in texts] + [[]]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.one_of(CHARACTERS, st.text("aÉ×÷İĲſ'8 ", max_size=12), st.text(max_size=30)), max_size=4))
+def test_words_are_counted_as_a_plain_loop_does(texts):
+    found, counts = words.word_counts(texts)
+    expected = Counter(x for text in texts for x in re.findall(f"[{words.LETTERS}]+", text.lower()))
+    assert dict(zip(found.to_pylist(), counts.to_pylist(), strict=True)) == expected
+
+
+def test_frequent_words_are_those_of_a_plain_loop(spark):
+    rows = ODD + [(50 + k, f"Common words and rare{k} ones, common ×words÷ again İt's") for k in range(30)]
+    counts = Counter(x for _, text in rows for x in re.findall(f"[{words.LETTERS}]+", (text or "").lower()))
+    counts = {x: n for x, n in counts.items() if n > 1 and len(x) <= lexicon.MOST_LETTERS}
+    for most in (40, 5000, 10**9):
+        expected = sorted(x for x, n in counts.items() if n * most > sum(counts.values()))
+        assert sorted(lexicon.frequent(frame(spark, rows), most)) == expected
+
+
+def test_words_merged_side_by_side_are_those_merged_singly():
+    merges, source = lexicon.Merges(WORDS), random.Random(7)
+    made = ["".join(source.choices("aeinrstdlo-é!", k=source.randint(1, 40))) for _ in range(5000)]
+    made += ["", "a", "é", "!!", "\0", "a\0", "a" * 32, "a" * 33, "x" * 300, "the", "'s"]
+    assert merges.many(made) == [words.packed_ids(merges(x)) for x in made]
+    assert merges.many([]) == [] and merges.many(["a"]) == [words.packed_ids(merges("a"))]
+
+
+def test_encoding_looks_up_and_merges_many_words_at_once():
+    merges, source = lexicon.Merges(WORDS), random.Random(9)
+    made = ["".join(source.choices("aeinrstdlo", k=source.randint(5, 12))) for _ in range(20_000)]
+    texts = [" ".join(source.choices(made, k=400)) for _ in range(1500)]
+
+    def seconds(run):
+        began = time.process_time()
+        run()
+        return time.process_time() - began
+
+    assert seconds(lambda: merges.many(made)) < 0.7 * seconds(lambda: [merges(x) for x in made])
+    singly = packing.encoder(WORDS)
+    singly.learn([made])
+    assert seconds(lambda: words.listed(texts, singly)) < 0.7 * seconds(lambda: list(words.encoded(enumerate(texts), singly)))
