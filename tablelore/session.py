@@ -48,13 +48,13 @@ def spread(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def tasks_for(rows: DataFrame, each: int = ROWS_PER_TASK) -> int:
+def tasks_for(rows: DataFrame, each: int = ROWS_PER_TASK, number: int | None = None) -> int:
     """Number of shuffle partitions that gives a task about ``each`` of these rows, at least those of the session.
 
-    For rows that nearly all get shuffled: with a fixed number the memory of a task would grow with them. It counts them, so
-    they should be cheap to count, as a selection from a stored table is.
+    For rows that nearly all get shuffled: with a fixed number the memory of a task would grow with them. It counts them unless
+    their ``number`` is given, so they should be cheap to count, as a selection from a stored table is.
     """
-    return max(spread(rows.sparkSession), -(-rows.count() // each))
+    return max(spread(rows.sparkSession), -(-(rows.count() if number is None else number) // each))
 
 
 def dealt(rows: DataFrame, tasks: int, *keys: str) -> DataFrame:
@@ -62,6 +62,11 @@ def dealt(rows: DataFrame, tasks: int, *keys: str) -> DataFrame:
     return rows.repartition(tasks, *keys) if tasks > spread(rows.sparkSession) else rows
 
 
+def gathered(rows: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """Rows dealt by key in any case, for steps that group and join them by more columns or several times: none deals them again."""
+    return rows.repartition(tasks, *keys) if tasks > spread(rows.sparkSession) else rows.repartition(*keys)
+
+
 def hashed(keys: DataFrame, number: int) -> DataFrame:
     """Keys to look rows up in, of about that number: many are hashed, so that the rows need no sorting; few are left to Spark."""
     return keys.hint("shuffle_hash") if number > KEYS_SENT_WHOLE else keys

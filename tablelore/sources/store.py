@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.loose_json import text_list, text_map
 from ..schemas import DRAFT, TABLE_TARGET
-from ..session import hashed
+from ..session import gathered, hashed, tasks_for
 
 DRAFT_FIELDS = {
     "column_name": "string", "ordinal": "int", "data_type": "string", "current_comment": "string", "proposed_comment": "string",
@@ -30,12 +30,15 @@ STATE = (
 COLUMNS_PER_PART = 500
 # Drafts and questions without a number are spread over this many parts by their name.
 UNNUMBERED_PARTS = 64
+# Sessions, each with its snapshots, that one task takes.
+SESSIONS_PER_TASK = 20_000
 
 
 def read_state(snapshots: DataFrame, column: str = "state") -> DataFrame:
     """Snapshots as nested rows; what a snapshot leaves out gets its default.
 
-    ``config``, ``profile`` and ``schema_meta`` come back as the JSON they were stored as.
+    ``config``, ``profile`` and ``schema_meta`` come back as the JSON they were stored as. The session a row
+    was stored under is kept as ``stored_under``, next to the ``session_id`` that its snapshot states.
     """
     raw = {name: F.get_json_object(column, f"$.{name}") for name in ("config", "profile", "schema_meta")}
     parsed = snapshots.withColumns({"_s": F.from_json(F.col(column), STATE), **{f"_{n}": v for n, v in raw.items()}}).drop(column)
@@ -46,8 +49,9 @@ def read_state(snapshots: DataFrame, column: str = "state") -> DataFrame:
         return F.coalesce(f"_s.{name}", F.array().cast(f"array<{of}>"))
 
     own = ("_s", "target", "session_id", *[f"_{n}" for n in raw])
+    key = [F.col("session_id").alias("stored_under")] if "session_id" in snapshots.columns else []
     return parsed.select(
-        *[c for c in parsed.columns if c not in own],
+        *[c for c in parsed.columns if c not in own], *key,
         F.col("_s.target").alias("target"), F.col("_s.session_id").alias("session_id"),
         F.col("_s.template_id").alias("template_id"), F.coalesce("_s.phase", F.lit("created")).alias("phase"),
         mode.alias("mode"), threshold.alias("keep_threshold"), *[F.col(f"_{n}").alias(n) for n in raw],
@@ -60,6 +64,7 @@ def whole_sessions(state: DataFrame) -> DataFrame:
     """One row per session from the rows of its parts, in the order of their ``part``; a session is as large as its table is wide.
 
     What is said once is taken from the first part that says it. Rows without ``part`` count as the first.
+    Rows are grouped by what they were stored under as well, so that those of ``write_state`` are grouped where they lie.
     """
     lists = ("context", "column_drafts", "open_questions")
     single = ("target", "template_id", "phase", "mode", "keep_threshold", "config", "profile", "schema_meta", "table_draft")
@@ -70,8 +75,9 @@ def whole_sessions(state: DataFrame) -> DataFrame:
                              lambda x, y: F.when(x["place"] < y["place"], -1).when(x["place"] > y["place"], 1).otherwise(0))
         return F.flatten(F.transform(parts, lambda x: x["part"]))
 
-    return state.groupBy("session_id").agg(
-        *[F.min_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in single], *[in_order(c).alias(c) for c in lists])
+    keys = [c for c in ("stored_under", "session_id") if c in state.columns]
+    return state.groupBy(*keys).agg(
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in single], *[in_order(c).alias(c) for c in lists]).drop("stored_under")
 
 
 def drafts_of_state(state: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
@@ -108,35 +114,41 @@ def write_state(sessions: DataFrame, drafts: DataFrame, questions: DataFrame, ex
     named = {"judge_scores": "subscores"}
     fields = [F.when(~is_table, F.col("target")).alias("column_name")] + [
         F.col(named.get(f, f)).alias(f) for f in DRAFT_FIELDS if named.get(f, f) in have]
-    packed = drafts.select("session_id", F.when(is_table, 0).otherwise(part(F.col("ordinal"), "target")).alias("part"),
-                           "target", "ordinal", F.struct(*fields).alias("d"))
-    grouped = packed.groupBy("session_id", "part").agg(
-        F.max(F.when(is_table, F.to_json("d"))).alias("table_draft"),
-        F.sort_array(F.collect_list(F.when(~is_table, F.struct("ordinal", "target", F.to_json("d").alias("body"))))).alias("cols"))
     number = F.regexp_extract("qid", r"\d+", 0).try_cast("int")
-    asked = questions.withColumn("part", part(number, "qid")).groupBy("session_id", "part").agg(
-        F.sort_array(F.collect_list(F.struct(number.alias("n"), F.to_json(F.struct(
-            F.col("qid").alias("id"), "target_kind", "target_name", "text", "answered", "suggested_answer")).alias("body")))).alias("qs"))
-    first, none = sessions.select("session_id", F.lit(0).alias("part")), F.lit(None).cast("string")
+    body = F.to_json(F.struct(*fields))
+    question = F.to_json(F.struct(F.col("qid").alias("id"), "target_kind", "target_name", "text", "answered", "suggested_answer"))
+    made = drafts.select(
+        "session_id", F.when(is_table, 0).otherwise(part(F.col("ordinal"), "target")).alias("part"),
+        F.when(is_table, body).alias("table_draft"), F.when(~is_table, F.struct("ordinal", "target", body.alias("body"))).alias("col"))
+    asked = questions.select("session_id", part(number, "qid").alias("part"), F.struct(number.alias("n"), question.alias("body")).alias("q"))
+    first = sessions.select("session_id", F.lit(0).alias("part"))
+    pieces = made.unionByName(asked, allowMissingColumns=True).unionByName(first, allowMissingColumns=True)
+    # Drafts and questions are dealt by session, as texts: neither the joins below nor ``whole_sessions`` deal them again.
+    count = sessions.count()
+    tasks = tasks_for(sessions, SESSIONS_PER_TASK, count)
+    grouped = gathered(pieces, tasks, "session_id").groupBy("session_id", "part").agg(
+        F.max("table_draft").alias("table_draft"), F.sort_array(F.collect_list("col")).alias("cols"),
+        F.sort_array(F.collect_list("q")).alias("qs"))
+    heads, none = gathered(sessions.drop("part"), tasks, "session_id"), F.lit(None).cast("string")
     if extras is None:
-        first = first.withColumns({"context": none, "profile": none, "schema_meta": none})
+        heads = heads.withColumns({"context": none, "profile": none, "schema_meta": none})
     else:
-        first = first.join(extras.select("session_id", F.to_json("context").alias("context"), "profile", "schema_meta"), "session_id", "left")
-    # The drafts come last, so that their bodies stay where they were grouped.
-    parts = (
-        first.join(asked, ["session_id", "part"], "full_outer").join(grouped, ["session_id", "part"], "full_outer")
-        .join(sessions.drop("part"), "session_id")
-    )
+        told = extras.select("session_id", F.to_json("context").alias("context"), "profile", "schema_meta")
+        heads = heads.join(hashed(told, count), "session_id", "left")
+    parts = grouped.join(hashed(heads, count), "session_id")
     stored = F.col("config") if "config" in sessions.columns else none
 
     def bodies(name: str) -> Column:
         return F.concat(F.lit("["), F.coalesce(F.array_join(F.transform(name, lambda x: x["body"]), ","), F.lit("")), F.lit("]"))
 
+    def once(name: str, empty: str) -> Column:
+        return F.coalesce(F.when(F.col("part") == 0, F.col(name)), F.lit(empty))
+
     head = F.to_json(F.struct(
         F.concat_ws(".", "catalog", "schema", "table").alias("target"), "session_id", "template_id", F.col("status").alias("phase")))
     pieces = [F.regexp_replace(head, r"\}$", "")]
-    for name, body in (("config", F.coalesce(stored, F.to_json(F.struct("mode")))), ("context", F.coalesce("context", F.lit("[]"))),
-                       ("profile", F.coalesce("profile", F.lit("null"))), ("schema_meta", F.coalesce("schema_meta", F.lit("null"))),
+    for name, body in (("config", F.coalesce(stored, F.to_json(F.struct("mode")))), ("context", once("context", "[]")),
+                       ("profile", once("profile", "null")), ("schema_meta", once("schema_meta", "null")),
                        ("table_draft", F.coalesce("table_draft", F.lit("null"))), ("column_drafts", bodies("cols")),
                        ("open_questions", bodies("qs"))):
         pieces += [F.lit(f',"{name}":'), body]

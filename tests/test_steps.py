@@ -341,3 +341,46 @@ def test_parts_come_together_in_order(spark):
     row = store.whole_sessions(state).first()
     assert [d.column_name for d in row.column_drafts] == [f"c{p}_{k}" for p in range(5) for k in range(3)]
     assert [q.id for q in row.open_questions] == [f"q{p}" for p in range(5)] and row.table_draft.proposed_comment == "t1"
+
+
+def test_drafts_are_dealt_once_on_their_way_through_snapshots(spark):
+    sessions = spark.range(30).select(
+        F.col("id").cast("string").alias("session_id"), F.lit("c").alias("catalog"), F.lit("s").alias("schema"), F.concat(F.lit("t"), "id").alias("table"),
+        F.lit("hands_off").alias("mode"), F.lit("ready_for_review").alias("status"), F.lit("default").alias("template_id"))
+    targets = F.concat(F.array(F.lit("__table__")), F.transform(F.sequence(F.lit(1), F.lit(9)), lambda k: F.concat(F.lit("c"), k.cast("string"))))
+    drafts = sessions.filter("session_id <> '7'").select("session_id", F.posexplode(targets).alias("ordinal", "target")).withColumn(
+        "proposed_comment", F.concat("session_id", F.lit(": "), "target"))
+    unknown = drafts.limit(1).withColumn("session_id", F.lit("gone"))
+    questions = drafts.filter("ordinal IN (2, 9)").select(
+        "session_id", F.concat(F.lit("q"), "ordinal").alias("qid"), F.lit("column").alias("target_kind"), F.col("target").alias("target_name"),
+        F.lit("?").alias("text"), F.lit(False).alias("answered"), F.lit(None).cast("string").alias("suggested_answer"))
+    note = F.struct(F.concat(F.lit("note "), "session_id").alias("text"), F.lit("wiki").alias("source"),
+                    F.array().cast("array<string>").alias("informs"), F.lit(0.5).alias("relevance"))
+    extras = sessions.filter("session_id <> '8'").select(
+        "session_id", F.array(note).alias("context"), F.lit('{"rows":1}').alias("profile"), F.lit(None).cast("string").alias("schema_meta"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with more sessions than can be sent to every task
+    try:
+        snapshots = store.write_state(sessions, drafts.unionByName(unknown), questions, extras, width=4)
+        whole = store.whole_sessions(store.read_state(snapshots))
+        plan = whole._jdf.queryExecution().executedPlan().toString()
+        rows = {r.session_id: r for r in whole.collect()}
+        parts = sorted((r.session_id, r.part) for r in snapshots.select("session_id", "part").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning(") == 3  # drafts with questions, sessions, extras: each once
+    assert parts == sorted((str(k), p) for k in range(30) for p in ((0,) if k == 7 else (0, 1, 2)))
+    assert rows.keys() == {str(k) for k in range(30)}
+    for key, row in rows.items():
+        assert row.target == f"c.s.t{key}" and row.phase == "ready_for_review" and row.mode == "hands_off"
+        assert [c.text for c in row.context] == ([] if key == "8" else [f"note {key}"]) and row.profile == (None if key == "8" else '{"rows":1}')
+        assert [d.proposed_comment for d in row.column_drafts] == ([] if key == "7" else [f"{key}: c{k}" for k in range(1, 10)])
+        assert (row.table_draft and row.table_draft.proposed_comment) == (None if key == "7" else f"{key}: __table__")
+        assert [q.id for q in row.open_questions] == ([] if key == "7" else ["q2", "q9"])
+
+
+def test_a_broken_snapshot_leaves_its_session_as_it_is(spark):
+    text = json.dumps({"target": "a.b.c", "session_id": "s", "phase": "reviewing", "column_drafts": [{"column_name": "x"}]})
+    rows = spark.createDataFrame([("s", 0, "broken"), ("s", 1, text)], "session_id string, part int, state string")
+    whole = {r.session_id: r for r in store.whole_sessions(store.read_state(rows)).collect()}
+    assert whole["s"].phase == "reviewing" and [d.column_name for d in whole["s"].column_drafts] == ["x"]
